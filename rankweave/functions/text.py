@@ -99,8 +99,11 @@ def display_score() -> Column:
 
 
 def latency_label(ms: Column) -> Column:
+    """'n ms' below a second, else seconds at two places, halves rounded up."""
+    hundredths = F.floor((ms + 5) / 10)
+    seconds = F.format_string("%d.%02d s", F.floor(hundredths / 100), F.pmod(hundredths, F.lit(100)))
     return (
         F.when(ms.isNull(), F.lit("—"))
         .when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms")))
-        .otherwise(F.format_string("%.2f s", ms / F.lit(1000.0)))
+        .otherwise(seconds)
     )

@@ -97,25 +97,30 @@ def _value_bucket(v: Column) -> Column:
     return F.when(x < 0, -place).otherwise(place).cast("long")
 
 
+def _histogram(df: DataFrame, col: str, *also: str) -> DataFrame:
+    """(v, n, bucket, *also). The bucket is an aggregate, not a key, so later filters on it
+    stay above the grouping and every use of the histogram reads the same shuffle."""
+    return df.groupBy(F.col(col).alias("v"), *also).agg(
+        F.count(F.lit(1)).alias("n"), F.max(_value_bucket(F.col(col))).alias("bucket"))
+
+
 def _percentiles(hist: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """(p, value) from a histogram (v, n).
+    """(p, value) from a histogram; rows with a null bucket (null values) are left out.
 
     The element at index min(int(N * p), N - 1) of the sorted values is the smallest value
     whose running count passes that index. Running counts go over coarse buckets first;
     only the buckets holding an asked index are then numbered value by value, each on its
     own, so no task ever orders all distinct values.
     """
-    hist = hist.withColumn("bucket", _value_bucket(F.col("v")))
-    per_bucket = hist.groupBy("bucket").agg(F.sum("n").alias("bn"))
+    per_bucket = hist.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("bn"))
     running = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     everything = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(ps)])
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in ps])
     total = F.col("total")
-    target = F.least(F.floor(total * F.col("p")), total - 1)
     wanted = (
         per_bucket.withColumn("upto", F.sum("bn").over(running)).withColumn("total", F.sum("bn").over(everything))
         .select("bucket", "bn", "upto", "total", F.inline(asked))
-        .withColumn("target", target)
+        .withColumn("target", F.least(F.floor(total * F.col("p")), total - 1))
         .where((F.col("target") < F.col("upto")) & (F.col("target") >= F.col("upto") - F.col("bn")))
         .select("bucket", "p", "target", (F.col("upto") - F.col("bn")).alias("before"))
     )
@@ -131,10 +136,8 @@ def _percentiles(hist: DataFrame, ps: Sequence[float]) -> DataFrame:
 
 def percentile_nearest(df: DataFrame, col: str, ps: Sequence[float]) -> DataFrame:
     """(p, value): exact nearest-rank percentiles of the non-null values; 0.0 when there are none."""
-    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    found = _percentiles(hist, ps)
-    spark = df.sparkSession
-    asked = spark.createDataFrame([(float(p),) for p in ps], "p double")
+    found = _percentiles(_histogram(df, col), ps)
+    asked = df.sparkSession.createDataFrame([(float(p),) for p in ps], "p double")
     return asked.join(F.broadcast(found), "p", "left").select("p", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -151,16 +154,19 @@ def performance(logs: DataFrame, days: int, now: Column) -> DataFrame:
     The log is scanned once into a histogram over (latency, status); every figure comes
     from that. Averages and percentiles skip null latencies, the counts do not.
     """
-    hist = last_days(logs, days, now).groupBy(F.col("latency_ms").alias("v"), "status").agg(
-        F.count(F.lit(1)).alias("n"))
-    known = F.col("v").isNotNull()
-    sums = hist.agg(
-        F.sum(F.when(known, F.col("v") * F.col("n"))).alias("ms"), F.sum(F.when(known, F.col("n"))).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("status") == "error", F.col("n"))), F.lit(0)).alias("error_count"),
-        F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("n"))), F.lit(0)).alias("success_count"),
+    hist = _histogram(last_days(logs, days, now), "latency_ms", "status")
+    known, n = F.col("v").isNotNull(), F.col("n")
+    per_bucket = hist.groupBy("bucket").agg(
+        F.sum(F.when(known, F.col("v") * n)).alias("ms"), F.sum(F.when(known, n)).alias("rows"),
+        F.sum(F.when(F.col("status") == "error", n).otherwise(0)).alias("errors"),
+        F.sum(F.when(F.col("status") == "success", n).otherwise(0)).alias("successes"),
+    )
+    sums = per_bucket.agg(
+        F.sum("ms").alias("ms"), F.sum("rows").alias("rows"),
+        F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"),
+        F.coalesce(F.sum("successes"), F.lit(0)).alias("success_count"),
     )
-    by_value = hist.where(known).groupBy("v").agg(F.sum("n").alias("n"))
-    points = _percentiles(by_value, (0.5, 0.95)).agg(
+    points = _percentiles(hist, (0.5, 0.95)).agg(
         F.struct(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"),
                  F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95")).alias("s")).scalar()
     zero = F.lit(0.0)

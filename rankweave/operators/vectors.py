@@ -263,7 +263,7 @@ def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7, fraction:
     """Cosine k-means centres. `fraction` trains on a sample; every vector is still indexed."""
     sample = embeddings if fraction >= 1.0 else embeddings.sample(fraction, seed)
     points = sample.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=20).fit(points)
+    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
