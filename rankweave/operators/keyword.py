@@ -1,12 +1,13 @@
 """Ranked keyword search: postings, phrases, prefixes, boolean conditions, BM25.
 
-Every function works on posting rows
+A batch of questions works on postings, in one of two forms. `scan_index` derives them
+lazily from the case table, one row per word:
 
-    term, case_id, field, tf, positions, field_lens
+    term, case_id, field, pos, field_lens
 
-of which there may be several for one (term, case_id, field). `scan_index` derives them
-lazily from the case table, one row per word, for ad-hoc questions; `build_index` stores
-them grouped and bucketed by term, so that a search reads only the buckets of its terms.
+`build_index` stores them grouped, with `tf` and `positions`, and bucketed by term, so that
+a search reads only the buckets of its terms. A single question without an index is
+answered by `keyword_scan`, inside each row.
 """
 
 from __future__ import annotations
@@ -98,10 +99,7 @@ def scan_index(cases: DataFrame, fields: Sequence[str] = SEARCHED_FIELDS,
                stop_words: Sequence[str] = STOP_WORDS) -> KeywordIndex:
     """Postings read straight from the case text, nothing stored."""
     cases = spread(cases.select("case_id", *fields), "case_id")
-    postings = occurrences(cases, fields, stop_words).select(
-        "term", "case_id", "field", F.lit(1).alias("tf"), F.array("pos").alias("positions"),
-        "field_lens",
-    )
+    postings = occurrences(cases, fields, stop_words)
     return KeywordIndex(postings, field_totals(cases, fields, stop_words), tuple(fields), tuple(stop_words))
 
 
@@ -130,6 +128,7 @@ def build_index(cases: DataFrame, path: str, fields: Sequence[str] = INDEXED_FIE
                 stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS,
                 shards: int = CASE_SHARDS) -> KeywordIndex:
     """Write postings (by term bucket, sorted by term) and totals below `path`."""
+    cases = spread(cases.select("case_id", *fields), "case_id")
     (
         build_postings(cases, fields, stop_words, buckets, shards)
         .sortWithinPartitions("term_bucket", "term", "case_id")
@@ -245,15 +244,18 @@ def leaf_hits(index: KeywordIndex, terms: DataFrame, fields: Sequence[str], n_te
     if set(fields) != set(index.fields):
         postings = postings.where(F.col("field").isin(*fields))
     dl = reduce(lambda a, b: a + b, [F.coalesce(F.col("field_lens")[f], F.lit(0)) for f in fields])
-    single = F.col("n_terms") == 1
-    starts = F.when(single, F.array(F.lit(None).cast("int"))).otherwise(
-        F.transform("positions", lambda p: p - F.col("idx"))
-    )
     matched = _matches(index, postings, terms, n_terms, has_prefix)
     if index.versions is not None:
         matched = matched.join(index.versions, ["case_id", "batch_id"], "left_semi")
+    single = F.col("n_terms") == 1
+    if "pos" in postings.columns:
+        tf, start = F.lit(1), F.when(~single, F.col("pos") - F.col("idx"))
+    else:
+        tf = F.col("tf")
+        start = F.explode(F.when(single, F.array(F.lit(None).cast("int"))).otherwise(
+            F.transform("positions", lambda p: p - F.col("idx"))))
     rows = (
-        matched.select("leaf", "case_id", "field", "n_terms", dl.alias("dl"), "tf", F.explode(starts).alias("start"))
+        matched.select("leaf", "case_id", "field", "n_terms", dl.alias("dl"), tf.alias("tf"), start.alias("start"))
         .repartition("leaf", "case_id")
     )
     at_start = rows.groupBy("leaf", "case_id", "field", "start").agg(
@@ -274,9 +276,12 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
     fields = tuple(fields or index.fields)
     leaves = condition_leaves(requests)
     terms = _leaf_terms(leaves, index.stop_words)
-    asked_for = leaves.agg(
-        F.coalesce(F.sum(F.size("ws")), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("leaves"),
-        F.coalesce(F.bool_or("is_prefix"), F.lit(False)).alias("has_prefix"),
+    asked_for = leaves.groupBy("query_id").agg(
+        F.sum(F.size("ws")).alias("words"), F.count(F.lit(1)).alias("leaves"), F.bool_or("is_prefix").alias("prefix"),
+    ).agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"),
+        F.coalesce(F.max("leaves"), F.lit(0)).alias("most"),
+        F.coalesce(F.bool_or("prefix"), F.lit(False)).alias("has_prefix"),
     ).first()
     n_leaves = asked_for["leaves"]
     hits = leaf_hits(index, terms, fields, asked_for["words"], asked_for["has_prefix"])
@@ -295,31 +300,50 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
                 bm25(F.col("tf"), F.col("dl"), F.col("df"), totals["n"], avg_dl, k1, b).alias("leaf_score"))
     )
 
-    real = leaves.where(F.exists("ws", lambda w: is_kept(w, index.stop_words)))
-    per_query = (
-        real.groupBy("query_id", "group_no")
-        .agg(F.array_compact(F.collect_set(F.when(~F.col("negated"), F.col("leaf")))).alias("need"),
-             F.array_compact(F.collect_set(F.when(F.col("negated"), F.col("leaf")))).alias("ban"))
-        .groupBy("query_id").agg(F.collect_list(F.struct("need", "ban")).alias("groups"))
-    )
-    asked = real.groupBy("query_id", "leaf").agg(F.max(~F.col("negated")).alias("counts"))
-    per_case = (
-        scored.join(broadcast_if(asked, n_leaves), "leaf")
-        .groupBy("query_id", "case_id")
-        .agg(F.round(F.sum(F.when(F.col("counts"), F.col("leaf_score"))), 8).alias("keyword_score"),
-             F.collect_set("leaf").alias("matched"))
-    )
-    meets = F.exists("groups", lambda g: (
-        (F.size(g["need"]) > 0)
-        & F.forall(g["need"], lambda x: F.array_contains(F.col("matched"), x))
-        & ~F.arrays_overlap(g["ban"], F.col("matched"))
-    ))
+    asked, conditions = _conditions(leaves, index.stop_words)
+    per_case = scored.join(broadcast_if(asked, n_leaves), "leaf").groupBy("query_id", "case_id")
+    score = F.round(F.sum(F.when(F.col("counts"), F.col("leaf_score"))), 8).alias("keyword_score")
+    if asked_for["most"] <= 63:
+        # One bit per leaf of a query: a plain integer aggregate.
+        hits = per_case.agg(score, F.bit_or(F.expr("shiftleft(1L, ord)")).alias("matched"))
+        meets = F.exists("groups", lambda g: (
+            (g["need_bits"] != 0) & (F.col("matched").bitwiseAND(g["need_bits"]) == g["need_bits"])
+            & (F.col("matched").bitwiseAND(g["ban_bits"]) == 0)
+        ))
+    else:
+        hits = per_case.agg(score, F.collect_set("leaf").alias("matched"))
+        meets = F.exists("groups", lambda g: (
+            (F.size(g["need"]) > 0)
+            & F.forall(g["need"], lambda x: F.array_contains(F.col("matched"), x))
+            & ~F.arrays_overlap(g["ban"], F.col("matched"))
+        ))
     return (
-        per_case.join(broadcast_if(per_query, n_leaves), "query_id").where(meets)
+        hits.join(broadcast_if(conditions, n_leaves), "query_id").where(meets)
         .select("query_id", "case_id", "keyword_score")
     )
 
 
+def _conditions(leaves: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, leaf, counts, ord), the leaves of each query numbered from 0, and
+    (query_id, groups), what each OR group needs and bans, as leaf sets and as bits."""
+    real = leaves.where(F.exists("ws", lambda w: is_kept(w, stop_words)))
+    asked = real.groupBy("query_id", "leaf").agg(F.max(~F.col("negated")).alias("counts")).withColumn(
+        "ord", F.row_number().over(W.partitionBy("query_id").orderBy("leaf")) - 1)
+    members = real.select("query_id", "group_no", "leaf", "negated").join(asked, ["query_id", "leaf"])
+
+    def side(negated: bool) -> list[Column]:
+        is_it = F.col("negated") if negated else ~F.col("negated")
+        name = "ban" if negated else "need"
+        bit = F.expr("shiftleft(1L, least(ord, 62))")
+        return [F.array_compact(F.collect_set(F.when(is_it, F.col("leaf")))).alias(name),
+                F.coalesce(F.bit_or(F.when(is_it, bit)), F.lit(0).cast("long")).alias(f"{name}_bits")]
+
+    groups = members.groupBy("query_id", "group_no").agg(*side(False), *side(True))
+    conditions = groups.groupBy("query_id").agg(
+        F.collect_list(F.struct("need", "ban", "need_bits", "ban_bits")).alias("groups"))
+    return asked, conditions
+
+
 @dataclass(frozen=True)
 class Leaf:
     """One leaf of a single condition; `terms` are (offset, word) without stop words."""
@@ -467,10 +491,16 @@ def contains_filter(cases: DataFrame, fields: Sequence[str], condition: str,
                     stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Cases whose `fields` meet a search condition: a row filter, nothing shuffles."""
     leaves = parse_condition(cases.sparkSession, condition, stop_words)
-    ws = [f"_ws{i}" for i in range(len(fields))]
-    with_words = cases.select("*", *[words(F.col(f)).alias(w) for f, w in zip(fields, ws)])
-    tf = {leaf.name: reduce(lambda a, b: a + b, [leaf_count(leaf, F.col(w)) for w in ws]) for leaf in leaves}
-    return with_words.where(meets_condition(leaves, tf)).drop(*ws)
+
+    def holds(row: Column) -> Column:
+        tf = {
+            leaf.name: reduce(lambda a, b: a + b, [leaf_count(leaf, row[f]) for f in fields]) for leaf in leaves
+        }
+        return meets_condition(leaves, tf)
+
+    # The words are bound to a lambda variable, so each text is split once per row.
+    split = F.struct(*[words(F.col(f)).alias(f) for f in fields])
+    return cases.where(F.exists(F.array(split), holds))
 
 
 def freetext_filter(cases: DataFrame, fields: Sequence[str], text: str,

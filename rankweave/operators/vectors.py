@@ -21,7 +21,7 @@ from rankweave.session import BROADCAST_ROWS, run_dir
 # Distances are defined to this many decimals, so equal vectors tie exactly and the
 # case id decides, whichever block of a matrix product they were computed in.
 DISTANCE_DECIMALS = 12
-QUERY_CHUNK = 2048
+QUERY_CHUNK = 4096
 ROW_BLOCK = 2048
 SCORED = "query_id long, case_id long, vector_distance double"
 
@@ -259,8 +259,13 @@ class IvfIndex:
     centroids: np.ndarray
 
 
-def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7, fraction: float = 1.0) -> np.ndarray:
-    """Cosine k-means centres. `fraction` trains on a sample; every vector is still indexed."""
+def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7, per_cell: int = 1000) -> np.ndarray:
+    """Cosine k-means centres from about `per_cell` vectors for each centre.
+
+    More would move the centres little and scan everything once per iteration. Only the
+    training samples; every vector is indexed.
+    """
+    fraction = per_cell * nlist / max(1, embeddings.count())
     sample = embeddings if fraction >= 1.0 else embeddings.sample(fraction, seed)
     points = sample.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
@@ -277,7 +282,7 @@ def _assign(unit_centroids: np.ndarray):
     return scan
 
 
-def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7, fraction: float = 1.0,
+def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7, per_cell: int = 1000,
               shards: int = 16) -> IvfIndex:
     """Write vectors partitioned by embedding type and nearest centre.
 
@@ -286,7 +291,7 @@ def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7, fract
     """
     spark = embeddings.sparkSession
     dim = F.size("embedding")
-    centroids = train_centroids(embeddings, nlist, seed, fraction)
+    centroids = train_centroids(embeddings, nlist, seed, per_cell)
     unit, _ = _unit_rows(centroids)
     rows = embeddings.where(dim == centroids.shape[1]).select("case_id", "embedding_type", "embedding")
     (

@@ -13,7 +13,7 @@ from rankweave.operators.prompt import conversation_requests
 from rankweave.plans import sql
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import REQUESTS
-from rankweave.plans.tables import DIM, cases, conversations, embeddings, logs, now, users
+from rankweave.plans.tables import DIM, cases, conversations, embeddings, logs, now
 from rankweave.session import run_dir, spread
 from rankweave.sources import tables
 
@@ -67,10 +67,12 @@ SELECT c_custkey AS key, c_name AS value FROM customer""")
 def seed_and_append_missing(spark: SparkSession, folder: str) -> DataFrame:
     path = run_dir(spark, "seed")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.StringType())])
-    rows = users(spark, folder).select(F.col("id").alias("key"), F.col("email").alias("value"))
-    tables.seed_defaults(spark, path, schema, rows.where("key % 2 = 0"), "key")
-    tables.seed_defaults(spark, path, schema, rows, "key")
-    tables.seed_defaults(spark, path, schema, rows, "key")
+    customers = tables.read_table(spark, folder, "customer")
+    rows = customers.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    earlier = customers.where("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    for batch in (earlier, rows, rows):
+        tables.seed_defaults(spark, path, schema, batch, "key")
     return spark.read.parquet(path)
 
 
@@ -131,7 +133,7 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _long(vectors: DataFrame) -> DataFrame:
-    return vectors.select("case_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select(
+    return vectors.select("case_id", F.posexplode_outer("embedding").alias("dim", "x")).where("x <> 0").select(
         "case_id", "dim", F.round(F.col("x").cast("double"), 6).alias("value"))
 
 

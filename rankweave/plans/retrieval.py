@@ -177,10 +177,10 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("contains_filter", f"""
-WITH {sql.CASES}, {sql.keyword(sql.one('"re th" AND onen'))}
+WITH {sql.CASES}, {sql.keyword(sql.one('"re th" OR onen AND er AND NOT ing'))}
 SELECT c.case_id, c.chief_complaint, c.diagnosis FROM cases c WHERE c.case_id IN (SELECT case_id FROM kw)""")
 def contains_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword.contains_filter(cases(spark, folder), TEXT_FIELDS, '"re th" AND onen').select(
+    return keyword.contains_filter(cases(spark, folder), TEXT_FIELDS, '"re th" OR onen AND er AND NOT ing').select(
         "case_id", "chief_complaint", "diagnosis")
 
 

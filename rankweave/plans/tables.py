@@ -22,7 +22,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.split("text", "\n")
     return read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("case_id"), F.col("n_chars").cast("int").alias("patient_age"),
-        F.col("lang").alias("gender"), F.get(lines, F.lit(0)).alias("chief_complaint"),
+        F.col("lang").alias("gender"), F.substring_index("text", "\n", 1).alias("chief_complaint"),
         F.col("text").alias("symptoms"), F.get(lines, F.lit(1)).alias("medical_history"),
         F.col("source").alias("diagnosis"), F.col("text").alias("treatment_plan"),
         F.get(lines, F.lit(2)).alias("outcome"),
