@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -46,6 +47,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _of_size(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+    """Rows whose vector has `dim` elements.
+
+    Checked here and not by a where(): on vectors that a model has just computed, Spark
+    would push the condition down and compute them twice. A null element turns the norm
+    into NaN, which scans skip.
+    """
+    fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), dim), False)
+    return batch if pc.all(fits).as_py() else batch.filter(fits)
+
+
 def _best(query: np.ndarray, dist: np.ndarray, case: np.ndarray, k: int):
     """The k nearest (distance, case) of each query."""
     order = np.lexsort((case, dist, query))
@@ -63,6 +75,7 @@ def _nearest(block: QueryBlock, k: int) -> Callable[[Iterator[pa.RecordBatch]],
         best = (np.array([], np.int64), np.array([]), np.array([], np.int64))
         limit = np.full(len(block.ids), np.inf)
         for batch in batches:
+            batch = _of_size(batch, block.unit.shape[1])
             if not batch.num_rows:
                 continue
             cases = batch.column("case_id").to_numpy()
@@ -104,6 +117,7 @@ def _distances(unit_query: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _of_size(batch, len(unit_query))
             if not batch.num_rows:
                 continue
             unit, usable = _unit_rows(_matrix(batch.column("embedding")))
@@ -116,11 +130,6 @@ def _distances(unit_query: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], I
     return scan
 
 
-def well_formed(embeddings: DataFrame, dim: int) -> DataFrame:
-    """Vectors of the expected size. A null element turns the norm into NaN; scans skip such rows."""
-    return embeddings.where(F.size("embedding") == dim)
-
-
 def check_type(embedding_type: str, known: Sequence[str] | None = EMBEDDING_TYPES) -> None:
     if known is not None and embedding_type not in known:
         raise ValueError(f"unknown embedding type: {embedding_type}")
@@ -145,7 +154,7 @@ def vector_topk(embeddings: DataFrame, query: Sequence[float], k: int) -> DataFr
     Each task keeps k rows, so what reaches the final sort is k rows per task.
     """
     unit = _unit_query(query)
-    rows = well_formed(embeddings, len(unit)).select("case_id", "embedding")
+    rows = embeddings.select("case_id", "embedding")
     block = QueryBlock(np.zeros(1, np.int64), unit[None, :])
     return (
         rows.mapInArrow(_nearest(block, k), SCORED).drop("query_id")
@@ -156,7 +165,7 @@ def vector_topk(embeddings: DataFrame, query: Sequence[float], k: int) -> DataFr
 def vector_distances(embeddings: DataFrame, query: Sequence[float]) -> DataFrame:
     """(case_id, vector_distance) for every vector."""
     unit = _unit_query(query)
-    rows = well_formed(embeddings, len(unit)).select("case_id", "embedding")
+    rows = embeddings.select("case_id", "embedding")
     return rows.mapInArrow(_distances(unit), "case_id long, vector_distance double")
 
 
@@ -192,11 +201,8 @@ def _collect_block(queries: DataFrame, with_type: bool) -> QueryBlock:
     table = queries.select("query_id", "embedding", *(["embedding_type"] if with_type else [])).toArrow()
     if not table.num_rows:
         return QueryBlock(np.array([], np.int64), np.zeros((0, 0)), {} if with_type else None)
-    table = table.combine_chunks()
-    column = table.column("embedding").combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0)
-    unit, usable = _unit_rows(_matrix(column))
+    batch = table.combine_chunks().to_batches()[0]
+    unit, usable = _unit_rows(_matrix(batch.column("embedding")))
     by_label = None
     if with_type:
         types = np.asarray(table.column("embedding_type").to_pylist(), dtype=object)[usable]
@@ -207,7 +213,7 @@ def _collect_block(queries: DataFrame, with_type: bool) -> QueryBlock:
 def _scan_block(embeddings: DataFrame, block: QueryBlock, k: int, label: str | None) -> DataFrame:
     if not len(block.ids):
         return embeddings.sparkSession.createDataFrame([], SCORED)
-    rows = well_formed(embeddings, block.unit.shape[1])
+    rows = embeddings
     if label is not None:
         rows = rows.where(F.col(label).isin(list(block.by_label)))
     columns = ["case_id", "embedding"] + ([F.col(label).alias("label")] if label else [])
@@ -275,6 +281,7 @@ def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7, per_cell:
 def _assign(unit_centroids: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _of_size(batch, unit_centroids.shape[1])
             if batch.num_rows:
                 unit, _ = _unit_rows(_matrix(batch.column("embedding")))
                 cell = np.argmax(np.nan_to_num(unit) @ unit_centroids.T, axis=1).astype(np.int32)
@@ -290,10 +297,9 @@ def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7, per_c
     `shards` tasks.
     """
     spark = embeddings.sparkSession
-    dim = F.size("embedding")
     centroids = train_centroids(embeddings, nlist, seed, per_cell)
     unit, _ = _unit_rows(centroids)
-    rows = embeddings.where(dim == centroids.shape[1]).select("case_id", "embedding_type", "embedding")
+    rows = embeddings.select("case_id", "embedding_type", "embedding")
     (
         rows.mapInArrow(_assign(unit), "case_id long, embedding_type string, embedding array<float>, cell int")
         .repartition("embedding_type", "cell", F.pmod(F.xxhash64("case_id"), F.lit(shards)))
@@ -352,7 +358,7 @@ def lsh_search(embeddings: DataFrame, query: Sequence[float], k: int, bucket_len
     On unit vectors the Euclidean order is the cosine order: d^2 / 2 is the cosine distance.
     """
     unit = _unit_query(query)
-    points = well_formed(embeddings, len(unit)).select("case_id", array_to_vector("embedding").alias("raw"))
+    points = embeddings.where(F.size("embedding") == len(unit)).select("case_id", array_to_vector("embedding").alias("raw"))
     points = Normalizer(inputCol="raw", outputCol="features").transform(points).select("case_id", "features")
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
