@@ -84,6 +84,7 @@ def status_counts(logs: DataFrame) -> DataFrame:
 
 def _value_bucket(v: Column) -> Column:
     """An order-preserving coarse bucket: binary exponent and the next 10 bits of a number.
+    Null for null.
 
     At most about 2 x 2,100 x 1,024 buckets exist over all doubles, and in practice a few
     thousand; values are spread over them relative to their size.
@@ -94,7 +95,7 @@ def _value_bucket(v: Column) -> Column:
     low = F.pow(F.lit(2.0), exponent.cast("double"))
     step = F.when(size > 0, F.floor((size / low - 1.0) * 1024)).otherwise(F.lit(0))
     place = (exponent + F.lit(1101)) * F.lit(1024) + F.least(F.greatest(step, F.lit(0)), F.lit(1023))
-    return F.when(x < 0, -place).otherwise(place).cast("long")
+    return F.when(x < 0, -place).when(x >= 0, place).cast("long")
 
 
 def _histogram(df: DataFrame, col: str, *also: str) -> DataFrame:
