@@ -24,11 +24,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Fixed value: how a null is written, so that a quoted empty field stays an empty string.
+CSV_NULL = "\\N"
+
+
 def load_cases_csv(spark: SparkSession, path: str, schema: T.StructType = CASES, header: bool = False,
                    multi_line: bool = True) -> DataFrame:
     """Cases from CSV with standard quoting; unreadable rows keep their text in `_corrupt`.
 
-    Quoted line breaks need `multi_line`, which reads each file as one split. Large loads
+    An unquoted empty field is null, a quoted one an empty string. Quoted line breaks need `multi_line`, which reads each file as one split. Large loads
     should therefore come as many files, or set it to False where fields hold no breaks.
     """
     with_corrupt = T.StructType(
@@ -39,16 +43,16 @@ def load_cases_csv(spark: SparkSession, path: str, schema: T.StructType = CASES,
         spark.read.schema(with_corrupt)
         .option("sep", ",").option("header", header).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", "_corrupt").option("emptyValue", "").option("nullValue", CSV_NULL)
         .csv(path)
     )
 
 
 def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
-    """The counterpart of `load_cases_csv`: quotes doubled, null written as nothing."""
+    """The counterpart of `load_cases_csv`: quotes doubled, null written as `CSV_NULL`."""
     (
         df.write.option("header", header).option("quote", '"').option("escape", '"')
-        .option("quoteAll", True).option("emptyValue", "").option("lineSep", "\n").csv(path)
+        .option("quoteAll", True).option("emptyValue", "").option("nullValue", CSV_NULL).option("lineSep", "\n").csv(path)
     )
 
 
