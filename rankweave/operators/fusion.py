@@ -12,9 +12,9 @@ from rankweave.functions.scoring import rrf_score
 from rankweave.operators.keyword import KeywordIndex, keyword_scan, keyword_search, keyword_topk
 from rankweave.operators.quality import validate_params
 from rankweave.operators.topk import topk_per_group
-from rankweave.operators.vectors import check_type, existing, knn_join, vector_topk
+from rankweave.operators.vectors import check_type, existing, knn_join, look_up, vector_topk
 from rankweave.schemas import CANDIDATES, CASE_COLS, EMBEDDING_TYPES, MISSING_RANK, RESULT_COLS, SEARCHED_FIELDS
-from rankweave.session import BROADCAST_ROWS, broadcast_if
+from rankweave.session import broadcast_if
 
 # The offered weight presets, as (label, vector weight, keyword weight).
 WEIGHT_PRESETS = (
@@ -60,7 +60,7 @@ def hybrid_ranks(embeddings: DataFrame, cases: DataFrame, query: Sequence[float]
     of_type = embeddings.where(F.col("embedding_type") == embedding_type)
     near = vector_topk(of_type, query, candidates)
     if not fk_enforced:
-        near = existing(near, cases, candidates)
+        near = look_up(cases.select("case_id"), near, candidates)
     if index is None:
         words = keyword_scan(cases, fields, condition, candidates)
     else:
@@ -81,7 +81,7 @@ def hybrid_search(embeddings: DataFrame, cases: DataFrame, query: Sequence[float
     score = rrf_score(F.col("vector_rank"), F.col("keyword_rank"), F.lit(float(vector_weight)),
                       F.lit(float(keyword_weight)), F.lit(rrf_k), missing_rank)
     top = ranks.withColumn("hybrid_score", score).orderBy(F.desc("hybrid_score"), "case_id").limit(n)
-    return with_cases(top, cases, n).select(*HYBRID_COLS).orderBy(F.desc("hybrid_score"), "case_id")
+    return look_up(cases.select(*CASE_COLS), top, n).select(*HYBRID_COLS).orderBy(F.desc("hybrid_score"), "case_id")
 
 
 def hybrid_ranks_batch(index: KeywordIndex, embeddings: DataFrame, cases: DataFrame, requests: DataFrame,

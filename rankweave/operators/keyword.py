@@ -24,7 +24,7 @@ from rankweave.functions.scoring import BM25_B, BM25_K1, bm25
 from rankweave.functions.text import STOP_WORDS, is_kept, words
 from rankweave.operators.topk import topk_per_group
 from rankweave.schemas import CANDIDATES, INDEXED_FIELDS, SEARCHED_FIELDS
-from rankweave.session import BROADCAST_ROWS, broadcast_if, spread
+from rankweave.session import join_small, spread
 
 TERM_BUCKETS = 256
 CASE_SHARDS = 64
@@ -197,13 +197,9 @@ def _matches(index: KeywordIndex, postings: DataFrame, terms: DataFrame, n_terms
              has_prefix: bool) -> DataFrame:
     """Postings of the asked terms. Prefixes join on their first letters, then filter.
 
-    Few terms are broadcast, so the corpus stays where it is. Too many for that, and both
-    sides shuffle on the term and a hash of the case, which splits the common words.
+    Few terms are broadcast, so the corpus stays where it is. Too many for that, and the
+    join is salted by case, which splits the common words.
     """
-    if not has_prefix and not index.buckets and n_terms > BROADCAST_ROWS:
-        salted = postings.withColumn("salt", F.pmod(F.xxhash64("case_id"), F.lit(CASE_SHARDS)))
-        copies = terms.drop("is_prefix").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CASE_SHARDS - 1).cast("long"))))
-        return salted.join(copies, ["term", "salt"]).drop("salt")
     if not has_prefix:
         terms, on = terms.drop("is_prefix"), ["term"]
         if index.buckets:
@@ -211,7 +207,7 @@ def _matches(index: KeywordIndex, postings: DataFrame, terms: DataFrame, n_terms
             # term buckets of the stored index at run time.
             terms = terms.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)).where("n_terms > 0")
             on = ["term_bucket", "term"]
-        return postings.join(broadcast_if(terms, n_terms), on)
+        return join_small(postings, terms, on, n_terms)
 
     def head(n: int) -> Column:
         return F.substring("term", 1, n)
@@ -227,7 +223,7 @@ def _matches(index: KeywordIndex, postings: DataFrame, terms: DataFrame, n_terms
         F.concat(F.lit("="), "term"), *[F.concat(F.lit(str(n)), head(n)) for n in (1, 2, 3)],
     )))
     return (
-        keyed.join(broadcast_if(asked, n_terms), "key")
+        join_small(keyed, asked, ["key"], n_terms)
         .where(~F.col("is_prefix") | F.col("term").startswith(F.col("asked")))
         .drop("key", "asked", "is_prefix")
     )
@@ -295,13 +291,13 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
     ).scalar()
     avg_dl = F.try_divide(totals["len"], totals["n"])
     scored = (
-        hits.where(found).join(broadcast_if(freqs, n_leaves), "leaf")
+        join_small(hits.where(found), freqs, ["leaf"], n_leaves)
         .select("leaf", "case_id",
                 bm25(F.col("tf"), F.col("dl"), F.col("df"), totals["n"], avg_dl, k1, b).alias("leaf_score"))
     )
 
     asked, conditions = _conditions(leaves, index.stop_words)
-    per_case = scored.join(broadcast_if(asked, n_leaves), "leaf").groupBy("query_id", "case_id")
+    per_case = join_small(scored, asked, ["leaf"], n_leaves).groupBy("query_id", "case_id")
     score = F.round(F.sum(F.when(F.col("counts"), F.col("leaf_score"))), 8).alias("keyword_score")
     if asked_for["most"] <= 63:
         # One bit per leaf of a query: a plain integer aggregate.
@@ -318,14 +314,15 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
             & ~F.arrays_overlap(g["ban"], F.col("matched"))
         ))
     return (
-        hits.join(broadcast_if(conditions, n_leaves), "query_id").where(meets)
+        join_small(hits, conditions, ["query_id"], n_leaves).where(F.col("plain") | meets)
         .select("query_id", "case_id", "keyword_score")
     )
 
 
 def _conditions(leaves: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(query_id, leaf, counts, ord), the leaves of each query numbered from 0, and
-    (query_id, groups), what each OR group needs and bans, as leaf sets and as bits."""
+    (query_id, groups, plain), what each OR group needs and bans, as leaf sets and as bits.
+    A plain condition is an OR of single leaves, which any scored case meets."""
     real = leaves.where(F.exists("ws", lambda w: is_kept(w, stop_words)))
     asked = real.groupBy("query_id", "leaf").agg(F.max(~F.col("negated")).alias("counts")).withColumn(
         "ord", F.row_number().over(W.partitionBy("query_id").orderBy("leaf")) - 1)
@@ -340,7 +337,8 @@ def _conditions(leaves: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame
 
     groups = members.groupBy("query_id", "group_no").agg(*side(False), *side(True))
     conditions = groups.groupBy("query_id").agg(
-        F.collect_list(F.struct("need", "ban", "need_bits", "ban_bits")).alias("groups"))
+        F.collect_list(F.struct("need", "ban", "need_bits", "ban_bits")).alias("groups"),
+        F.bool_and((F.size("need") == 1) & (F.size("ban") == 0)).alias("plain"))
     return asked, conditions
 
 

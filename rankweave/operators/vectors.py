@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +189,8 @@ def find_similar(embeddings: DataFrame, cases: DataFrame, query: Sequence[float]
             vector_distances(of_type, query).join(cases.select("case_id"), "case_id", "left_semi")
             .orderBy("vector_distance", "case_id").limit(k)
         )
-    # At most k <= 100 rows are broadcast.
     return (
-        cases.select(*CASE_COLS).join(F.broadcast(hits), "case_id")
+        look_up(cases.select(*CASE_COLS), hits, k)
         .select(*CASE_COLS, similarity(F.col("vector_distance")).alias("similarity"))
         .orderBy(F.desc("similarity"), "case_id")
     )
@@ -248,6 +248,23 @@ def _ranked(hits: DataFrame, k: int, rank_col: str) -> DataFrame:
     return topk_per_group(hits, ["query_id"], [F.asc("vector_distance"), F.asc("case_id")], k, rank_col)
 
 
+def look_up(cases: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """Join at most `n` hits of one question to the case table.
+
+    The search runs here and its few narrow rows come to the driver, so that their ids reach
+    the scan as literal equalities: row groups without any of them are not read. Spark
+    pushes a longer IN list down only as a range, hence the ORs.
+    """
+    rows = hits.limit(n).toArrow()
+    ids = rows.column("case_id").to_pylist()
+    if not ids:
+        return cases.join(hits.limit(0), "case_id")
+    if len(ids) <= 100:
+        cases = cases.where(reduce(lambda a, b: a | b, [F.col("case_id") == i for i in ids]))
+    found = cases.sparkSession.createDataFrame(rows, hits.schema)
+    return cases.join(F.broadcast(found), "case_id")
+
+
 def existing(candidates: DataFrame, cases: DataFrame, rows: int) -> DataFrame:
     """Candidates whose case exists. A counted few are broadcast to the case ids."""
     ids = cases.select("case_id")

@@ -82,13 +82,18 @@ merged AS (SELECT * FROM base UNION ALL SELECT * FROM upd WHERE value IS NOT NUL
 stored AS (SELECT key, value, updated_at FROM merged QUALIFY row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, value DESC) = 1)"""
 
 
-def _settings(spark: SparkSession, folder: str) -> DataFrame:
+def _settings_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     base = tables.read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"),
         F.lit("1990-01-01").cast("timestamp_ntz").alias("updated_at"))
     updates = tables.read_table(spark, folder, "events").select(
         F.col("user_id").alias("key"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("value"),
         F.col("ts").alias("updated_at"))
+    return base, updates
+
+
+def _settings(spark: SparkSession, folder: str) -> DataFrame:
+    base, updates = _settings_parts(spark, folder)
     return tables.upsert_latest(base, updates, ["key"], "updated_at", skip_null="value")
 
 
@@ -97,6 +102,14 @@ def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     return _settings(spark, folder)
 
 
+@query("update_table", f"WITH {SETTINGS} SELECT key, value, updated_at FROM stored")
+def update_table(spark: SparkSession, folder: str) -> DataFrame:
+    path = run_dir(spark, "settings")
+    base, updates = _settings_parts(spark, folder)
+    tables.write_version(base, path)
+    return tables.update_table(path, updates, ["key"], "updated_at", skip_null="value")
+
+
 @query("config_overlay", f"""
 WITH {SETTINGS}, changed AS (SELECT * FROM stored WHERE updated_at > TIMESTAMP '1990-01-01')
 SELECT c_custkey AS key, coalesce(s.value, c_mktsegment) AS value FROM customer LEFT JOIN changed s ON s.key = c_custkey""")

@@ -411,7 +411,12 @@ def cases_context(spark: SparkSession, folder: str) -> DataFrame:
     return prompt.cases_context(_numbered(spark, folder))
 
 
-@query("chat_payload")
+@query("chat_payload", f"""
+WITH {NUMBERED}, ctx AS (SELECT string_agg({sql.case_block()}, '' ORDER BY rank) AS context FROM numbered)
+SELECT 0::BIGINT AS query_id, to_json({{'messages': [
+    {{'role': 'system', 'content': {sql.system_prompt()}}},
+    {{'role': 'user', 'content': {sql.user_prompt(f"'{QUESTION}'", 'context')}}}],
+  'max_tokens': {prompt.MAX_TOKENS}, 'temperature': {prompt.TEMPERATURE}::DOUBLE}})::VARCHAR AS payload FROM ctx""")
 def chat_payload(spark: SparkSession, folder: str) -> DataFrame:
     request = spark.createDataFrame([(0, QUESTION)], "query_id long, query_text string")
     built = prompt.build_prompt(request, _numbered(spark, folder))

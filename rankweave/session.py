@@ -58,16 +58,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A table of at most this many estimated bytes per core is small enough to be spread.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a frame read from fewer splits than there are cores.
+    """Hash-spread a small frame over all cores.
 
-    A large table already has more splits than cores and is returned untouched, so
-    no shuffle is added there; one small file would otherwise keep a single core busy.
-    Hashing the hash leaves later exchanges on the same keys in place: operators place
-    theirs after the rows have become narrow.
+    A small file may be a single split, which keeps one core busy with all of its text. A
+    large table has splits enough and is returned untouched, so no shuffle is added there.
+    The size is the optimizer's estimate, nothing runs for it. Hashing the hash leaves later
+    exchanges on the same keys in place: operators place theirs after the rows have become
+    narrow.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES * cores:
         return df
     return df.repartition(cores, F.xxhash64(*keys))
 
@@ -83,3 +89,18 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     AQE splits.
     """
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, salt: str = "case_id",
+               shards: int = 64) -> DataFrame:
+    """Join a large side with one of at most `rows` rows, whichever key is hot.
+
+    Few rows are broadcast and the large side stays where it is. Otherwise both sides
+    shuffle on the key and a hash of `salt`, a column of the large side: the small side is
+    copied to every shard, so no key meets in one task.
+    """
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on)
+    shard = F.pmod(F.xxhash64(salt), F.lit(shards)).cast("int")
+    copies = small.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return big.withColumn("_shard", shard).join(copies, [*on, "_shard"]).drop("_shard")

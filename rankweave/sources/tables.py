@@ -128,6 +128,38 @@ def upsert_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], orde
     ])
 
 
+def write_version(df: DataFrame, path: str) -> int:
+    """Write the next version of a small table. Earlier versions stay for running readers,
+    and of two writers of one version the second fails."""
+    spark = df.sparkSession
+    number = latest_version(spark, path) + 1
+    df.write.parquet(f"{path}/version={number}")
+    return number
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The newest version, -1 if there is none; answered from folder names."""
+    try:
+        return spark.read.parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return -1
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    number = latest_version(spark, path) if version is None else version
+    return spark.read.parquet(f"{path}/version={number}")
+
+
+def update_table(path: str, updates: DataFrame, keys: Sequence[str], order_col: str,
+                 skip_null: str | None = None) -> DataFrame:
+    """Upsert into the newest version and write the result as the next one."""
+    spark = updates.sparkSession
+    write_version(upsert_latest(read_version(spark, path), updates, keys, order_col, skip_null), path)
+    return read_version(spark, path)
+
+
 def effective_config(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     """(key, value): the stored value where there is one, else the default."""
     stored = overrides.select("key", F.col("value").alias("stored"))

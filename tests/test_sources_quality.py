@@ -63,6 +63,18 @@ def test_settings_change(spark):
     assert got == {"top_n": "8", "embedding_type": "FullCase", "vector_weight": "0.7", "keyword_weight": "0.3", "rrf_k": "60"}
 
 
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "cfg")
+    assert S.latest_version(spark, path) == -1
+    S.write_version(spark.createDataFrame([(k, v, None, T0) for k, v in DEFAULT_CONFIG.items()], CONFIG), path)
+    before = S.read_version(spark, path)
+    change = S.config_updates({"top_n": 8}, 1, F.lit(T0 + dt.timedelta(days=1)), spark)
+    after = S.update_table(path, change, ["key"], "updated_at", "value")
+    assert S.latest_version(spark, path) == 1
+    assert after.where("key = 'top_n'").first().value == "8" and after.count() == 5
+    assert before.where("key = 'top_n'").first().value == "5"
+
+
 def test_effective_config(spark):
     defaults = spark.createDataFrame(list(DEFAULT_CONFIG.items()), "key string, value string")
     stored = spark.createDataFrame([("top_n", "9"), ("other", "1")], "key string, value string")
