@@ -58,14 +58,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
 
 
-def is_kept(word: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Whether a word is indexed, i.e. no stop word."""
-    return ~word.isin(list(stop_words)) if stop_words else F.lit(True)
+def _quoted(stop_words: Sequence[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop_words)
+
+
+def is_kept(word: str, stop_words: Sequence[str] = STOP_WORDS) -> str:
+    """SQL text: whether the named word is indexed, i.e. no stop word.
+
+    As text the whole list reaches Spark in one call, and is looked up as a set.
+    """
+    return f"{word} NOT IN ({_quoted(stop_words)})" if stop_words else "true"
+
+
+def kept_words(column: str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """The indexed words of a column of words."""
+    return F.expr(f"filter(`{column}`, w -> {is_kept('w', stop_words)})")
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Indexed words of a text: lower-cased, accent-folded, stop words dropped."""
-    return F.filter(words(text), lambda w: is_kept(w, stop_words))
+    if not stop_words:
+        return words(text)
+    stops = F.expr(f"array({_quoted(stop_words)})")
+    return F.filter(words(text), lambda w: ~F.array_contains(stops, w))
 
 
 def derive_keywords(text: Column, n: int = 3) -> Column:

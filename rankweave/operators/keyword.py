@@ -21,10 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import BM25_B, BM25_K1, bm25
-from rankweave.functions.text import STOP_WORDS, is_kept, words
+from rankweave.functions.text import STOP_WORDS, is_kept, kept_words, words
 from rankweave.operators.topk import topk_per_group
 from rankweave.schemas import CANDIDATES, INDEXED_FIELDS, SEARCHED_FIELDS
-from rankweave.session import join_small, spread
+from rankweave.session import join_small, spread, written
 
 TERM_BUCKETS = 256
 CASE_SHARDS = 64
@@ -65,7 +65,7 @@ def occurrences(cases: DataFrame, fields: Sequence[str],
     )
     lengths = F.create_map(*[
         x for f in fields
-        for x in (F.lit(f), F.size(F.filter(F.col(f), lambda w: is_kept(w, stop_words))))
+        for x in (F.lit(f), F.size(kept_words(f, stop_words)))
     ])
     per_field = with_words.select(
         "case_id", lengths.alias("field_lens"),
@@ -76,19 +76,17 @@ def occurrences(cases: DataFrame, fields: Sequence[str],
     # which would break every text into words a second time.
     return (
         per_field.select("case_id", "field", "field_lens", F.posexplode_outer("ws").alias("pos", "term"))
-        .where(is_kept(F.col("term"), stop_words))
+        .where(is_kept("term", stop_words))
     )
 
 
 def field_totals(cases: DataFrame, fields: Sequence[str],
                  stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(field, n_cases, total_len) in one pass with map-side aggregation."""
-    def length(f: str) -> Column:
-        return F.size(F.filter(words(F.col(f)), lambda w: is_kept(w, stop_words)))
-
-    sums = cases.agg(
+    with_words = cases.select(*[words(F.col(f)).alias(f) for f in fields])
+    sums = with_words.agg(
         F.count(F.lit(1)).alias("n_cases"),
-        *[F.coalesce(F.sum(length(f)), F.lit(0)).alias(f) for f in fields],
+        *[F.coalesce(F.sum(F.size(kept_words(f, stop_words))), F.lit(0)).alias(f) for f in fields],
     )
     return sums.select("n_cases", F.inline(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("total_len")) for f in fields
@@ -183,10 +181,8 @@ def condition_leaves(requests: DataFrame) -> DataFrame:
 
 def _leaf_terms(leaves: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """Distinct (leaf, idx, term, is_prefix, n_terms); stop words keep their place only."""
-    kept = F.filter(
-        F.transform("ws", lambda w, i: F.struct(i.alias("idx"), w.alias("term"))),
-        lambda x: is_kept(x["term"], stop_words),
-    )
+    kept = F.expr("filter(transform(ws, (w, i) -> struct(i AS idx, w AS term)), "
+                  f"x -> {is_kept('x.term', stop_words)})")
     return (
         leaves.select("leaf", "is_prefix", "ws").distinct()
         .select("leaf", "is_prefix", F.size(kept).alias("n_terms"), F.inline(kept))
@@ -270,7 +266,8 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
     places before anything ranks by it. `requests` needs query_id and keyword_search.
     """
     fields = tuple(fields or index.fields)
-    leaves = condition_leaves(requests)
+    # The leaves feed four joins; written once, the requests behind them run once.
+    leaves = written(condition_leaves(requests), "leaves")
     terms = _leaf_terms(leaves, index.stop_words)
     asked_for = leaves.groupBy("query_id").agg(
         F.sum(F.size("ws")).alias("words"), F.count(F.lit(1)).alias("leaves"), F.bool_or("is_prefix").alias("prefix"),
@@ -323,7 +320,7 @@ def _conditions(leaves: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame
     """(query_id, leaf, counts, ord), the leaves of each query numbered from 0, and
     (query_id, groups, plain), what each OR group needs and bans, as leaf sets and as bits.
     A plain condition is an OR of single leaves, which any scored case meets."""
-    real = leaves.where(F.exists("ws", lambda w: is_kept(w, stop_words)))
+    real = leaves.where(f"exists(ws, w -> {is_kept('w', stop_words)})")
     asked = real.groupBy("query_id", "leaf").agg(F.max(~F.col("negated")).alias("counts")).withColumn(
         "ord", F.row_number().over(W.partitionBy("query_id").orderBy("leaf")) - 1)
     members = real.select("query_id", "group_no", "leaf", "negated").join(asked, ["query_id", "leaf"])
@@ -427,7 +424,7 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
 
     counts = with_words.select(
         "case_id",
-        over_fields(lambda ws: F.size(F.filter(ws, lambda w: is_kept(w, stop_words)))).alias("dl"),
+        reduce(lambda x, y: x + y, [F.size(kept_words(f"ws{i}", stop_words)) for i in range(len(fields))]).alias("dl"),
         *[over_fields(lambda ws, n=n: leaf_count(by_name[n], ws)).alias(f"tf{i}") for i, n in enumerate(names)],
     ).repartition("case_id")
     tf = {n: F.col(f"tf{i}") for i, n in enumerate(names)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from rankweave.functions.text import STOP_WORDS, compose_text, is_kept, words
+from rankweave.functions.text import STOP_WORDS, compose_text, kept_words, words
 from rankweave.operators.analytics import rate_violations
 from rankweave.operators.embed import embed
 from rankweave.operators.keyword import CASE_SHARDS, TERM_BUCKETS, KeywordIndex, build_postings
@@ -58,14 +58,15 @@ def write_index_batch(cases: DataFrame, batch_id: int, path: str, fields: Sequen
                       shards: int = CASE_SHARDS) -> None:
     """Index the cases of one micro-batch; of several versions of a case the newest counts."""
     newest = cases.groupBy("case_id").agg(F.max(F.struct(order_col, *fields)).alias("c")).select("case_id", "c.*")
-    lengths = F.array(*[F.size(F.filter(words(F.col(f)), lambda w: is_kept(w, stop_words))) for f in fields])
+    with_words = newest.select("case_id", *[words(F.col(f)).alias(f) for f in fields])
+    lengths = F.array(*[F.size(kept_words(f, stop_words)) for f in fields])
     (
         build_postings(newest, fields, stop_words, buckets, shards)
         .sortWithinPartitions("term_bucket", "term", "case_id")
         .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings/batch_id={batch_id}")
     )
     # The versions come last: they make the finished postings visible.
-    newest.select("case_id", lengths.alias("lengths")).write.mode("overwrite").parquet(
+    with_words.select("case_id", lengths.alias("lengths")).write.mode("overwrite").parquet(
         f"{path}/versions/batch_id={batch_id}")
 
 
