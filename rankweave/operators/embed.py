@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import compose_text, tokens
-from rankweave.sources.tables import append_missing
+from rankweave.sources.tables import EMBEDDING_STORE, append_missing, read_or_empty
 
 
 class HashEmbedder:
@@ -93,8 +93,6 @@ def embed_missing(cases: DataFrame, embeddings: DataFrame, embedding_type: str,
 
 def append_embeddings(cases: DataFrame, path: str, embedding_type: str, embedder, now: Column) -> None:
     """Run `embed_missing` against the stored vectors and append the result."""
-    from rankweave.sources.tables import EMBEDDING_STORE, read_or_empty
-
     stored = read_or_empty(cases.sparkSession, path, EMBEDDING_STORE)
     fresh = embed_missing(cases, stored, embedding_type, embedder, now)
     append_missing(fresh, stored, ["case_id", "embedding_type"], path, partition_by=["embedding_type"])

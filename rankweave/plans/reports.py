@@ -110,7 +110,7 @@ def logs_filtered_page(spark: SparkSession, folder: str) -> DataFrame:
 WITH {sql.LOGS} SELECT id, created_at, status FROM logs WHERE created_at < TIMESTAMP '{NOW}' ORDER BY created_at DESC, id DESC LIMIT 20""")
 def logs_page_after(spark: SparkSession, folder: str) -> DataFrame:
     rows = logs(spark, folder)
-    return page_after(rows.withColumn("created_at", F.col("created_at")), now(), 0, 20).select("id", "created_at", "status")
+    return page_after(rows, now(), 0, 20).select("id", "created_at", "status")
 
 
 @query("recent_logs", f"""
