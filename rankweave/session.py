@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +28,26 @@ def build_session(master: str | None = None, app: str = "rankweave", **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, once per application.
+
+    The archive is built next to the driver; Spark copies it to every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "rankweave"), "zip", root, "rankweave")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
