@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import exact, simhash, toxicity
+from rankweave.llm import decontaminate, exact, mixing, simhash, toxicity
 from rankweave.llm.queries import fold
 from rankweave.session import run_dir, ship_package
 from rankweave.sources.tables import read_table
@@ -28,7 +28,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    ship_package(spark)
+    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with how often (copies) and what their source was given."""
+    ship_package(spark)
+    return mixing.mix(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies),
+          ("decontamination", drop_leaks), ("source_mix", mix)]
 
 # Models, fingerprints and seeded choices have no SQL form; the tests compare with plain Python.
 ORACLE_SQL = None

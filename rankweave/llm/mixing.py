@@ -33,6 +33,7 @@ REPEATS = 2
 REACH = 1 << 16
 #: parts into which the documents of one source and length are ranked
 PARTS = 1024
+_WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -127,7 +128,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     """(id, source, size, source_size, target, copies, taken) of every row of `docs`."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"))
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumns({"drawn": F.xxhash64("id", F.lit(seed)), "named": F.col("source").isNotNull(),
                              "key": F.coalesce("source", F.lit(""))})
     rows = written(rows.withColumn("part", F.pmod(F.col("drawn"), F.lit(PARTS)).cast("int")), "sizes")
@@ -153,3 +154,25 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     copies = (whole + (F.col("ahead") + F.col("rank") <= more).cast("long")).cast("long")
     return ranked.select("id", F.when(F.col("named"), F.col("key")).alias("source"), "size", "source_size", "target",
                          copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
+        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that are taken, with size, source_size, target, copies and taken.
+
+    A new column whose name `docs` already has gets an underscore. Rows that share id, source
+    and size are taken alike, as often as the one of them that is taken most.
+    """
+    found = mixed(docs, weights, share, repeats, seed, id_col, text_col, source_col)
+    values = ["source_size", "target", "copies", "taken"]
+    found = found.groupBy("id", "source", "size").agg(*(F.max(c).alias(c) for c in values)).where("copies > 0")
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(_WORD)), F.lit(0)).cast("long")
+    same = (docs[id_col].eqNullSafe(found["id"]) & docs[source_col].cast("string").eqNullSafe(found["source"])
+            & (size == found["size"]))
+    added = []
+    for name in ("size", *values):
+        new = name
+        while new in docs.columns or new in [a for a, _ in added]:
+            new += "_"
+        added.append((new, found[name]))
+    return docs.join(found, same).select(*(docs[c] for c in docs.columns), *(c.alias(n) for n, c in added))

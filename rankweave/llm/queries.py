@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import exact, simhash, toxicity
+from rankweave.llm import decontaminate, exact, html, licenses, mixing, pii, quality, secrets, simhash, toxicity
 from rankweave.plans.registry import Query, with_package
+from rankweave.session import written
 from rankweave.sources.tables import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,73 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query("op2_html")
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extracted(read_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(read_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+OP4_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+asked AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS width, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS line
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM asked WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM windows),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+hits AS (
+    SELECT s.doc_id, s.i, k.width, h.item_id
+    FROM starts s JOIN widths k ON s.i + k.width - 1 <= len(s.w)
+    JOIN windows h ON h.width = k.width AND h.line = array_to_string(s.w[s.i:s.i + k.width - 1], ' ')),
+marked AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + width)) AS place FROM hits) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+        array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS line
+    FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op4_decontaminate", OP4_SQL)
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"),
+                                        keep=["doc_id"])
+    names = F.array_sort(F.transform("items", lambda item: item.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    facts = written(quality.measured(read_table(spark, folder, "documents")), "facts")
+    labels = read_table(spark, folder, "labels").where(fold("doc_id", 4) != 2)
+    found = quality.scored(facts, quality.fit(facts, labels))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_mix")
+def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
@@ -46,6 +114,27 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op8_pii")
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(read_table(spark, folder, "documents"))
+    counts = [F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.KINDS if k.base]
+    base = F.concat(*(F.col(k.name) for k in pii.KINDS if k.base))
+    every = F.concat(*(F.col(k.name) for k in pii.KINDS))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_line(base), 256).alias("base_sha256"),
+                        pii.as_line(every).alias("spans"))
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(read_table(spark, folder, "documents"))
+    base = secrets.KINDS[:3]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
+    only = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_line(only), 256).alias("base_sha256"),
+                        pii.as_line(F.col("spans")).alias("spans"))
+
+
 OP10_SQL = """
 WITH rows AS (
     SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
