@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import written
+
 #: ranges that one text may be cut into
 SALTS = 1024
 #: characters of a text in a splitter
@@ -30,7 +32,10 @@ PREFIX = 32
 def normalised(text: Column | str) -> Column:
     """A-Z in lower case, nothing else changed, null as empty."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.length(text)       # ASCII only, where `lower` does the same, faster
+    return F.when(plain, F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -54,7 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `keep` says whether the smallest or the largest id of equal texts stays.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("text_sha256"))
-    found = rows.join(runs(docs, id_col, text_col, keep), "text_sha256")
+    # written first, so that both sides of the join come straight from a shuffle and a hot text can be split
+    found = rows.join(written(runs(docs, id_col, text_col, keep), "runs"), "text_sha256")
     return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
                         "text_sha256")
 
