@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         distinct = distinct.select("print", F.coalesce("root", "id").alias("component"))
     else:
         distinct = distinct.select("print", F.col("id").alias("component"))
-    return prints.join(distinct, "print", "left").select("id", "print", "component")
+    # written first, so that both sides come straight from a shuffle and a hot fingerprint can be split
+    return prints.join(written(distinct, "components"), "print", "left").select("id", "print", "component")
 
 
 def _kept(choice: tuple[int, ...]) -> int:
