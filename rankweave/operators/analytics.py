@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.operators.topk import check_page, page
+from rankweave.session import written
 
 
 def check_days(days: int) -> None:
@@ -82,51 +83,36 @@ def status_counts(logs: DataFrame) -> DataFrame:
     )
 
 
-def _value_bucket(v: Column) -> Column:
-    """An order-preserving coarse bucket: binary exponent and the next 10 bits of a number.
-    Null for null.
-
-    At most about 2 x 2,100 x 1,024 buckets exist over all doubles, and in practice a few
-    thousand; values are spread over them relative to their size.
-    """
-    x = v.cast("double")
-    size = F.abs(x)
-    exponent = F.when(size > 0, F.floor(F.log2(size))).otherwise(F.lit(-1100))
-    low = F.pow(F.lit(2.0), exponent.cast("double"))
-    step = F.when(size > 0, F.floor((size / low - 1.0) * 1024)).otherwise(F.lit(0))
-    place = (exponent + F.lit(1101)) * F.lit(1024) + F.least(F.greatest(step, F.lit(0)), F.lit(1023))
-    return F.when(x < 0, -place).when(x >= 0, place).cast("long")
-
-
 def _histogram(df: DataFrame, col: str, *also: str) -> DataFrame:
-    """(v, n, bucket, *also). The bucket is an aggregate, not a key, so later filters on it
-    stay above the grouping and every use of the histogram reads the same shuffle."""
-    return df.groupBy(F.col(col).alias("v"), *also).agg(
-        F.count(F.lit(1)).alias("n"), F.max(_value_bucket(F.col(col))).alias("bucket"))
+    """(v, n, *also): how often each value occurs, counted where the rows lie first."""
+    return df.groupBy(F.col(col).alias("v"), *also).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _percentiles(hist: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """(p, value) from a histogram; rows with a null bucket (null values) are left out.
+    """(p, value) from a histogram; null values are left out.
 
     The element at index min(int(N * p), N - 1) of the sorted values is the smallest value
-    whose running count passes that index. Running counts go over coarse buckets first;
-    only the buckets holding an asked index are then numbered value by value, each on its
-    own, so no task ever orders all distinct values.
+    whose running count passes that index. Spark deals the distinct values into ranges by
+    sampled splitters; running counts go over the ranges, and only the ranges that hold an
+    asked index are numbered value by value, each on its own. No task sees more than a range.
+    NaN sorts above infinity.
     """
-    per_bucket = hist.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("bn"))
-    running = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    everything = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    known = hist.where("v IS NOT NULL").groupBy("v").agg(F.sum("n").alias("n"))
+    ranged = written(known.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
+    per_range = ranged.groupBy("range").agg(F.sum("n").alias("rn"))
+    running = W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)
+    everything = W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     asked = F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in ps])
     total = F.col("total")
     wanted = (
-        per_bucket.withColumn("upto", F.sum("bn").over(running)).withColumn("total", F.sum("bn").over(everything))
-        .select("bucket", "bn", "upto", "total", F.inline(asked))
+        per_range.withColumn("upto", F.sum("rn").over(running)).withColumn("total", F.sum("rn").over(everything))
+        .select("range", "rn", "upto", "total", F.inline(asked))
         .withColumn("target", F.least(F.floor(total * F.col("p")), total - 1))
-        .where((F.col("target") < F.col("upto")) & (F.col("target") >= F.col("upto") - F.col("bn")))
-        .select("bucket", "p", "target", (F.col("upto") - F.col("bn")).alias("before"))
+        .where((F.col("target") < F.col("upto")) & (F.col("target") >= F.col("upto") - F.col("rn")))
+        .select("range", "p", "target", (F.col("upto") - F.col("rn")).alias("before"))
     )
     # One row per asked percentile, hence broadcast.
-    inside = hist.join(F.broadcast(wanted), "bucket")
+    inside = ranged.join(F.broadcast(wanted), "range")
     order = W.partitionBy("p").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     at = F.col("before") + F.sum("n").over(order)
     return (
@@ -155,17 +141,12 @@ def performance(logs: DataFrame, days: int, now: Column) -> DataFrame:
     The log is scanned once into a histogram over (latency, status); every figure comes
     from that. Averages and percentiles skip null latencies, the counts do not.
     """
-    hist = _histogram(last_days(logs, days, now), "latency_ms", "status")
+    hist = written(_histogram(last_days(logs, days, now), "latency_ms", "status"), "latencies")
     known, n = F.col("v").isNotNull(), F.col("n")
-    per_bucket = hist.groupBy("bucket").agg(
+    sums = hist.agg(
         F.sum(F.when(known, F.col("v") * n)).alias("ms"), F.sum(F.when(known, n)).alias("rows"),
-        F.sum(F.when(F.col("status") == "error", n).otherwise(0)).alias("errors"),
-        F.sum(F.when(F.col("status") == "success", n).otherwise(0)).alias("successes"),
-    )
-    sums = per_bucket.agg(
-        F.sum("ms").alias("ms"), F.sum("rows").alias("rows"),
-        F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"),
-        F.coalesce(F.sum("successes"), F.lit(0)).alias("success_count"),
+        F.coalesce(F.sum(F.when(F.col("status") == "error", n)), F.lit(0)).alias("error_count"),
+        F.coalesce(F.sum(F.when(F.col("status") == "success", n)), F.lit(0)).alias("success_count"),
     )
     points = _percentiles(hist, (0.5, 0.95)).agg(
         F.struct(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"),

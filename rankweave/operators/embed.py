@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import compose_text, tokens
-from rankweave.sources.tables import EMBEDDING_STORE, append_missing, read_or_empty
+from rankweave.sources.tables import EMBEDDING_STORE, one_per_key, read_or_empty
 
 
 class HashEmbedder:
@@ -74,6 +74,12 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding") -> Dat
     return df.withColumn(out, embedder.column(F.col(text_col)))
 
 
+def embed_text(spark: SparkSession, text: str, embedder) -> list[float]:
+    """The vector of one text."""
+    one = embed(spark.createDataFrame([(text,)], "text string"), "text", embedder)
+    return [float(x) for x in one.first()["embedding"]]
+
+
 def missing_pairs(cases: DataFrame, embeddings: DataFrame, embedding_type: str) -> DataFrame:
     """Cases that have no vector of this type yet."""
     have = embeddings.where(F.col("embedding_type") == embedding_type).select("case_id")
@@ -81,10 +87,11 @@ def missing_pairs(cases: DataFrame, embeddings: DataFrame, embedding_type: str)
 
 
 def embed_missing(cases: DataFrame, embeddings: DataFrame, embedding_type: str, embedder, now: Column) -> DataFrame:
-    """New embedding rows for cases lacking this type; only those are sent to the model."""
+    """New embedding rows for cases lacking this type; only those are sent to the model, each once."""
     todo = missing_pairs(cases, embeddings, embedding_type).select(
         "case_id", compose_text(embedding_type).alias("text")
     ).where("text IS NOT NULL")
+    todo = one_per_key(todo, ["case_id"])
     return embed(todo, "text", embedder).select(
         "case_id", F.lit(embedding_type).alias("embedding_type"), "embedding",
         F.lit(embedder.model_name).alias("model_used"), now.alias("created_date"),
@@ -95,4 +102,4 @@ def append_embeddings(cases: DataFrame, path: str, embedding_type: str, embedder
     """Run `embed_missing` against the stored vectors and append the result."""
     stored = read_or_empty(cases.sparkSession, path, EMBEDDING_STORE)
     fresh = embed_missing(cases, stored, embedding_type, embedder, now)
-    append_missing(fresh, stored, ["case_id", "embedding_type"], path, partition_by=["embedding_type"])
+    fresh.select(*EMBEDDING_STORE.names).write.mode("append").partitionBy("embedding_type").parquet(path)

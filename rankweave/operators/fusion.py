@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import rrf_score
 from rankweave.operators.keyword import KeywordIndex, keyword_scan, keyword_search, keyword_topk
-from rankweave.operators.quality import validate_params
+from rankweave.operators.embed import embed_text
+from rankweave.operators.quality import split_valid, validate_params
 from rankweave.operators.topk import topk_per_group
-from rankweave.operators.vectors import check_type, existing, knn_join, look_up, vector_topk
+from rankweave.operators.vectors import (
+    IvfIndex, check_type, existing, find_similar, ivf_search, knn_join, look_up, vector_topk,
+)
 from rankweave.schemas import CANDIDATES, CASE_COLS, EMBEDDING_TYPES, MISSING_RANK, RESULT_COLS, SEARCHED_FIELDS
-from rankweave.session import broadcast_if
+from rankweave.session import written
 
 # The offered weight presets, as (label, vector weight, keyword weight).
 WEIGHT_PRESETS = (
@@ -46,9 +50,13 @@ def fuse(vector: DataFrame, keyword: DataFrame, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def with_cases(hits: DataFrame, cases: DataFrame, rows: int) -> DataFrame:
-    """Attach case columns to a counted few hits by broadcasting the hits."""
-    return cases.select(*CASE_COLS).join(broadcast_if(hits, rows), "case_id")
+def with_cases(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """Attach case columns to the hits of a batch.
+
+    The hits are written first, so Spark knows their size: few are broadcast, many meet the
+    cases in a shuffle that a runtime filter on their ids thins out.
+    """
+    return cases.select(*CASE_COLS).join(written(hits, "hits"), "case_id")
 
 
 def hybrid_ranks(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], condition: str,
@@ -60,7 +68,8 @@ def hybrid_ranks(embeddings: DataFrame, cases: DataFrame, query: Sequence[float]
     of_type = embeddings.where(F.col("embedding_type") == embedding_type)
     near = vector_topk(of_type, query, candidates)
     if not fk_enforced:
-        near = look_up(cases.select("case_id"), near, candidates)
+        near = look_up(cases.select("case_id"), near, candidates).groupBy("case_id").agg(
+            F.min("vector_distance").alias("vector_distance"))
     if index is None:
         words = keyword_scan(cases, fields, condition, candidates)
     else:
@@ -84,36 +93,65 @@ def hybrid_search(embeddings: DataFrame, cases: DataFrame, query: Sequence[float
     return look_up(cases.select(*CASE_COLS), top, n).select(*HYBRID_COLS).orderBy(F.desc("hybrid_score"), "case_id")
 
 
-def hybrid_ranks_batch(index: KeywordIndex, embeddings: DataFrame, cases: DataFrame, requests: DataFrame,
+def find_similar_text(embeddings: DataFrame, cases: DataFrame, text: str, embedder, k: int = 5,
+                      embedding_type: str = "FullCase", **search) -> DataFrame:
+    """`find_similar` for a text, which the embedder turns into the question vector."""
+    validate_params(text=text)
+    return find_similar(embeddings, cases, embed_text(cases.sparkSession, text, embedder), k, embedding_type, **search)
+
+
+def hybrid_search_text(embeddings: DataFrame, cases: DataFrame, text: str, condition: str, embedder, n: int = 10,
+                       **search) -> DataFrame:
+    """`hybrid_search` for a text, which the embedder turns into the question vector."""
+    validate_params(text=text, keyword=condition, n=n)
+    vector = embed_text(cases.sparkSession, text, embedder)
+    return hybrid_search(embeddings, cases, vector, condition, n=n, query_text=text, **search)
+
+
+@dataclass(frozen=True)
+class BatchResult:
+    """Hits of the valid requests, and the rejected requests with their `reasons`."""
+
+    hits: DataFrame
+    rejected: DataFrame
+
+
+def hybrid_ranks_batch(index: KeywordIndex, embeddings: DataFrame | IvfIndex, cases: DataFrame, requests: DataFrame,
                        fields: Sequence[str] | None = None, candidates: int = CANDIDATES,
-                       fk_enforced: bool = False) -> DataFrame:
-    """Both rankings of every request (query_id, keyword_search, embedding_type, embedding)."""
+                       fk_enforced: bool = False, nprobe: int = 8) -> DataFrame:
+    """Both rankings of every request (query_id, keyword_search, embedding_type, embedding).
+
+    The vector side reads all vectors of the request's type, or of an IVF index the `nprobe`
+    nearest cells.
+    """
     keys = ["query_id"]
-    near = knn_join(requests, embeddings, candidates, by_type=True)
+    if isinstance(embeddings, IvfIndex):
+        near = ivf_search(embeddings, requests, candidates, nprobe, by_type=True)
+    else:
+        near = knn_join(requests, embeddings, candidates, by_type=True)
     if not fk_enforced:
-        near = existing(near.drop("vector_rank"), cases, requests.count() * candidates)
-        near = vector_rank(near, keys)
+        near = vector_rank(existing(written(near.drop("vector_rank"), "near"), cases), keys)
     return fuse(near, keyword_topk(index, requests, candidates, fields), keys)
 
 
-def hybrid_search_batch(index: KeywordIndex, embeddings: DataFrame, cases: DataFrame, requests: DataFrame,
-                        fields: Sequence[str] | None = None, candidates: int = CANDIDATES,
-                        fk_enforced: bool = False, missing_rank: int | None = MISSING_RANK) -> DataFrame:
-    """`hybrid_search` for every request row, with its own weights and top_n.
+def hybrid_search_batch(index: KeywordIndex, embeddings: DataFrame | IvfIndex, cases: DataFrame, requests: DataFrame,
+                        fields: Sequence[str] | None = None, candidates: int = CANDIDATES, fk_enforced: bool = False,
+                        missing_rank: int | None = MISSING_RANK, nprobe: int = 8) -> BatchResult:
+    """`hybrid_search` for every valid request row, with its own weights and top_n; adds query_id and rank.
 
-    Adds query_id and rank. `requests` is read several times: write or cache a costly one.
+    `requests` is read several times: write or cache a costly one.
     """
-    ranks = hybrid_ranks_batch(index, embeddings, cases, requests, fields, candidates, fk_enforced)
+    requests, rejected = split_valid(requests)
+    ranks = hybrid_ranks_batch(index, embeddings, cases, requests, fields, candidates, fk_enforced, nprobe)
     settings = requests.select("query_id", "top_n", "vector_weight", "keyword_weight", "rrf_k")
-    n = requests.count()
-    scored = ranks.join(broadcast_if(settings, n), "query_id").withColumn(
+    scored = ranks.join(settings, "query_id").withColumn(
         "hybrid_score",
         rrf_score(F.col("vector_rank"), F.col("keyword_rank"), F.col("vector_weight"),
                   F.col("keyword_weight"), F.col("rrf_k"), missing_rank),
     )
     top = topk_per_group(scored, ["query_id"], [F.desc("hybrid_score"), F.asc("case_id")], "top_n")
     hits = top.select("query_id", "rank", "case_id", "vector_distance", "keyword_score", "hybrid_score")
-    return with_cases(hits, cases, n * 2 * candidates).select("query_id", "rank", *HYBRID_COLS)
+    return BatchResult(with_cases(hits, cases).select("query_id", "rank", *HYBRID_COLS), rejected)
 
 
 def weight_sweep(ranks: DataFrame, presets: Sequence[tuple[str, float, float]] = WEIGHT_PRESETS, n: int = 10,

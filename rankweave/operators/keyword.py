@@ -1,21 +1,28 @@
 """Ranked keyword search: postings, phrases, prefixes, boolean conditions, BM25.
 
-A batch of questions works on postings, in one of two forms. `scan_index` derives them
-lazily from the case table, one row per word:
-
-    term, case_id, field, pos, field_lens
-
-`build_index` stores them grouped, with `tf` and `positions`, and bucketed by term, so that
-a search reads only the buckets of its terms. A single question without an index is
-answered by `keyword_scan`, inside each row.
+A batch of questions is scored where the words of a case lie. Questions are packed into
+blocks, cases into tiles, and the blocks meet the tiles in one join that Spark broadcasts
+while the table of questions is small. First the leaves of all questions are counted in each
+tile, which also gives the corpus statistics; then each counted tile is scored, and a task
+keeps the best hits of each question only. Texts are split into words once.
+
+A stored index (`build_index`) holds postings grouped by (case, field, term), partitioned by
+a hash of the term, with a table of field lengths per case and a vocabulary for prefixes. A
+single question without an index is answered by `keyword_scan`, inside each row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,10 +31,11 @@ from rankweave.functions.scoring import BM25_B, BM25_K1, bm25
 from rankweave.functions.text import STOP_WORDS, is_kept, kept_words, words
 from rankweave.operators.topk import topk_per_group
 from rankweave.schemas import CANDIDATES, INDEXED_FIELDS, SEARCHED_FIELDS
-from rankweave.session import join_small, spread, written
+from rankweave.session import written
 
 TERM_BUCKETS = 256
-CASE_SHARDS = 64
+# words of a tile of cases, questions of a block, hits packed together
+TILE_WORDS, BLOCK_QUESTIONS, PACK_HITS = 200_000, 2048, 200_000
 
 # One leaf or connector of a search condition: a quoted phrase or a bare word.
 CONDITION_PART = r'("[^"]*"\*?|[^\s"]+)'
@@ -35,17 +43,21 @@ CONDITION_PART = r'("[^"]*"\*?|[^\s"]+)'
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Postings plus per-field totals (field, n_cases, total_len).
+    """Either the case table itself (`cases`), or stored postings.
 
-    An index fed by a stream keeps superseded postings; `versions` (case_id, batch_id)
-    names the current ones.
+    Stored: `postings` (term_bucket, term, case_id, field, tf, positions), `lengths`
+    (case_id, lens in the order of `fields`) and `vocabulary` (term_bucket, term). An index
+    fed by a stream keeps superseded postings; `versions` (case_id, batch_id) names the
+    current ones.
     """
 
-    postings: DataFrame
-    totals: DataFrame
     fields: tuple[str, ...]
     stop_words: tuple[str, ...] = STOP_WORDS
-    buckets: int | None = None
+    cases: DataFrame | None = None
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
+    vocabulary: DataFrame | None = None
+    buckets: int = TERM_BUCKETS
     versions: DataFrame | None = None
 
 
@@ -53,99 +65,121 @@ def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def occurrences(cases: DataFrame, fields: Sequence[str],
-                stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """One row per indexed word: (case_id, field, term, pos, field_lens).
+def _split(cases: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(case_id, one array of all words for each field)."""
+    return cases.select("case_id", *[words(F.col(f)).alias(f"ws{i}") for i, f in enumerate(fields)])
 
-    Positions count stop words, lengths do not. `field_lens` holds the length of every
-    field, so a search over any subset of fields needs no join for case lengths.
-    """
-    with_words = cases.select(
-        "case_id", *[words(F.col(f)).alias(f) for f in fields]
-    )
-    lengths = F.create_map(*[
-        x for f in fields
-        for x in (F.lit(f), F.size(kept_words(f, stop_words)))
-    ])
-    per_field = with_words.select(
-        "case_id", lengths.alias("field_lens"),
-        *([F.lit(fields[0]).alias("field"), F.col(fields[0]).alias("ws")] if len(fields) == 1 else
-          [F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ws")) for f in fields]))]),
-    )
-    # The outer form keeps Spark from testing the word arrays for emptiness at the scan,
-    # which would break every text into words a second time.
-    return (
-        per_field.select("case_id", "field", "field_lens", F.posexplode_outer("ws").alias("pos", "term"))
-        .where(is_kept("term", stop_words))
-    )
 
+class _Tile:
+    """The words of a run of cases as codes; a stop word is -1."""
 
-def field_totals(cases: DataFrame, fields: Sequence[str],
-                 stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(field, n_cases, total_len) in one pass with map-side aggregation."""
-    with_words = cases.select(*[words(F.col(f)).alias(f) for f in fields])
-    sums = with_words.agg(
-        F.count(F.lit(1)).alias("n_cases"),
-        *[F.coalesce(F.sum(F.size(kept_words(f, stop_words))), F.lit(0)).alias(f) for f in fields],
-    )
-    return sums.select("n_cases", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col(f).alias("total_len")) for f in fields
-    ])))
+    def __init__(self, ids: np.ndarray, columns: list[pa.Array], stop_words: Sequence[str]):
+        self.ids, n = ids, len(ids)
+        sizes = np.stack([pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        flat = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.terms = flat.dictionary.to_pylist()
+        stop_words = set(stop_words)
+        stops = np.array([t in stop_words for t in self.terms], bool)
+        codes = np.where(stops[codes], -1, codes) if len(codes) else codes
+        # one segment for each (field, case), the words of a field standing together
+        self.codes = codes.astype(np.int32)
+        self.segment = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes.T.ravel())
+        self.lens = np.bincount(self.segment[self.codes >= 0], minlength=sizes.size).reshape(-1, n).T.astype(np.int32)
 
 
-def scan_index(cases: DataFrame, fields: Sequence[str] = SEARCHED_FIELDS,
-               stop_words: Sequence[str] = STOP_WORDS) -> KeywordIndex:
-    """Postings read straight from the case text, nothing stored."""
-    cases = spread(cases.select("case_id", *fields), "case_id")
-    postings = occurrences(cases, fields, stop_words)
-    return KeywordIndex(postings, field_totals(cases, fields, stop_words), tuple(fields), tuple(stop_words))
+def _tiles(batches: Iterator[pa.RecordBatch], fields: int, stop_words: Sequence[str]) -> Iterator[_Tile]:
+    for batch in batches:
+        total = sum(pc.list_value_length(batch.column(1 + f)).to_numpy(zero_copy_only=False) for f in range(fields))
+        ends, lo = np.cumsum(total), 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + TILE_WORDS, side="right")))
+            part = batch.slice(lo, hi - lo)
+            yield _Tile(part.column(0).to_numpy(zero_copy_only=False),
+                        [part.column(1 + f) for f in range(fields)], stop_words)
+            lo = hi
 
 
-def build_postings(cases: DataFrame, fields: Sequence[str] = INDEXED_FIELDS,
-                   stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS,
-                   shards: int = CASE_SHARDS) -> DataFrame:
-    """Grouped postings with their `term_bucket`.
+def _payloads(column: str, values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(values), np.int32)), pa.array(values, pa.binary())], names=["part", column])
 
-    One shuffle serves the grouping and the bucketed write. A common term may own a third
-    of all words, so each bucket is split by a hash of the case as well.
-    """
-    return (
-        occurrences(cases, fields, stop_words)
-        .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        .withColumn("shard", F.pmod(F.xxhash64("case_id"), F.lit(shards)).cast("int"))
-        .repartition("term_bucket", "shard")
-        .groupBy("term_bucket", "shard", "term", "case_id", "field")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"),
-             F.sort_array(F.collect_list("pos")).alias("positions"),
-             F.first("field_lens").alias("field_lens"))
-        .drop("shard")
+
+def scan_index(cases: DataFrame, fields: Sequence[str] = SEARCHED_FIELDS,
+               stop_words: Sequence[str] = STOP_WORDS) -> KeywordIndex:
+    """The case table as an index, nothing stored."""
+    return KeywordIndex(tuple(fields), tuple(stop_words), cases.select("case_id", *fields))
+
+
+POSTINGS = "term string, case_id long, field string, tf int, positions array<int>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], fields: Sequence[str], stop_words: Sequence[str]
+             ) -> Iterator[pa.RecordBatch]:
+    """Postings of each tile, one row per (case, field, term), grouped before anything moves."""
+    for tile in _tiles(batches, len(fields), stop_words):
+        kept = np.flatnonzero(tile.codes >= 0)
+        order = kept[np.lexsort((kept, tile.codes[kept], tile.segment[kept]))]
+        segment, code = tile.segment[order], tile.codes[order]
+        place = order - np.searchsorted(tile.segment, segment)      # segments stand in order
+        new = np.ones(len(order), bool)
+        new[1:] = (segment[1:] != segment[:-1]) | (code[1:] != code[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(order)))
+        offsets = np.append(first, len(order)).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))
+        n = len(tile.ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tile.terms, pa.string()).take(pa.array(code[first])), pa.array(tile.ids[segment[first] % n]),
+             pa.array(list(fields)).take(pa.array(segment[first] // n)), pa.array(counts.astype(np.int32)), places],
+            names=["term", "case_id", "field", "tf", "positions"])
+
+
+def build_postings(cases: DataFrame, fields: Sequence[str] = INDEXED_FIELDS, stop_words: Sequence[str] = STOP_WORDS,
+                   buckets: int = TERM_BUCKETS) -> DataFrame:
+    """(term_bucket, term, case_id, field, tf, positions); positions count stop words. Nothing shuffles."""
+    fields, stop_words = list(fields), list(stop_words)
+    grouped = _split(cases, fields).mapInArrow(lambda b: _grouped(b, fields, stop_words), POSTINGS)
+    return grouped.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+
+
+def case_lengths(cases: DataFrame, fields: Sequence[str], stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(case_id, lens): indexed words of each field."""
+    return _split(cases, fields).select("case_id", F.array(
+        *[F.size(kept_words(f"ws{i}", stop_words)) for i in range(len(fields))]).alias("lens"))
+
+
+def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """By term bucket. Spark sizes the tasks by what they hold, so a common term is split."""
+    (
+        postings.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "case_id")
+        .write.mode(mode).partitionBy("term_bucket").parquet(path)
     )
 
 
 def build_index(cases: DataFrame, path: str, fields: Sequence[str] = INDEXED_FIELDS,
-                stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS,
-                shards: int = CASE_SHARDS) -> KeywordIndex:
-    """Write postings (by term bucket, sorted by term) and totals below `path`."""
-    cases = spread(cases.select("case_id", *fields), "case_id")
-    (
-        build_postings(cases, fields, stop_words, buckets, shards)
-        .sortWithinPartitions("term_bucket", "term", "case_id")
-        .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
-    )
-    (
-        field_totals(cases, fields, stop_words)
-        .withColumn("buckets", F.lit(buckets))
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    )
-    return read_index(cases.sparkSession, path, fields, stop_words)
+                stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> KeywordIndex:
+    """Write postings, the length table, the vocabulary and the settings below `path`."""
+    spark = cases.sparkSession
+    write_postings(build_postings(cases, fields, stop_words, buckets), f"{path}/postings")
+    case_lengths(cases, fields, stop_words).write.mode("overwrite").parquet(f"{path}/lengths")
+    write_vocabulary(spark.read.parquet(f"{path}/postings"), path)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    return read_index(spark, path, fields, stop_words)
+
+
+def write_vocabulary(postings: DataFrame, path: str) -> None:
+    postings.select("term_bucket", "term").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def read_index(spark: SparkSession, path: str, fields: Sequence[str] = INDEXED_FIELDS,
                stop_words: Sequence[str] = STOP_WORDS) -> KeywordIndex:
-    totals = spark.read.parquet(f"{path}/totals")
-    buckets = totals.select("buckets").first()[0]
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), totals, tuple(fields),
-                        tuple(stop_words), buckets)
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}")
+
+    return KeywordIndex(tuple(fields), tuple(stop_words), postings=table("postings"), lengths=table("lengths"),
+                        vocabulary=table("vocabulary"), buckets=table("settings").first()["buckets"])
 
 
 def condition_leaves(requests: DataFrame) -> DataFrame:
@@ -179,6 +213,199 @@ def condition_leaves(requests: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Block:
+    """Some questions: leaves as (is_prefix, ((offset, word), ...)), and for each question its
+    id and the (group, negated, leaf) of its parts."""
+
+    leaves: list[tuple[bool, tuple[tuple[int, str], ...]]]
+    questions: list[tuple[int, list[tuple[int, bool, int]]]]
+
+
+def _pack_questions(batches: Iterator[pa.RecordBatch], stop_words: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """(part, payload, names): blocks of questions, and the names of their leaves by number."""
+    stops = set(stop_words)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK_QUESTIONS):
+            numbers: dict[tuple[str, bool], int] = {}
+            leaves, questions = [], []
+            for row in batch.slice(lo, BLOCK_QUESTIONS).to_pylist():
+                parts = []
+                for leaf in row["leaves"]:
+                    key = (leaf["leaf"], leaf["is_prefix"])
+                    if key not in numbers:
+                        numbers[key] = len(leaves)
+                        leaves.append((leaf["is_prefix"], tuple((i, w) for i, w in enumerate(leaf["ws"]) if w not in stops)))
+                    parts.append((leaf["group_no"], leaf["negated"], numbers[key]))
+                questions.append((row["query_id"], parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0], pa.int32()), pa.array([pickle.dumps(_Block(leaves, questions))], pa.binary()),
+                 pa.array([[name for name, _ in numbers]], pa.list_(pa.string()))], names=["part", "payload", "names"])
+
+
+def question_blocks(requests: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(block, part, payload, names) of (query_id, keyword_search), written so that Spark knows its size."""
+    real = condition_leaves(requests).where(f"exists(ws, w -> {is_kept('w', stop_words)})")
+    per_question = real.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("group_no", "leaf", "is_prefix", "negated", "ws"))).alias("leaves"))
+    stop_words = list(stop_words)
+    packed = per_question.mapInArrow(
+        lambda b: _pack_questions(b, stop_words), "part int, payload binary, names array<string>")
+    return written(packed.withColumn("block", F.monotonically_increasing_id()), "questions")
+
+
+class _Counter:
+    """Where the leaves of a block occur in a tile."""
+
+    def __init__(self, tile: _Tile):
+        self.tile = tile
+        self.order = np.argsort(tile.codes, kind="stable")
+        ordered = tile.codes[self.order]
+        self.first = np.searchsorted(ordered, np.arange(len(tile.terms) + 1))
+        self.code = {t: k for k, t in enumerate(tile.terms)}
+        self.sorted = sorted(self.code)
+
+    def places(self, word: str, is_prefix: bool) -> np.ndarray:
+        """Indexes of the words that equal `word`, or start with it."""
+        if not is_prefix:
+            k = self.code.get(word)
+            return self.order[self.first[k]:self.first[k + 1]] if k is not None else self.order[:0]
+        found = []
+        for term in self.sorted[bisect_left(self.sorted, word):]:
+            if not term.startswith(word):
+                break
+            k = self.code[term]
+            found.append(self.order[self.first[k]:self.first[k + 1]])
+        return np.sort(np.concatenate(found)) if found else self.order[:0]
+
+    def count(self, is_prefix: bool, terms: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, counts): the cases that hold a leaf. The words of a phrase stand at their offsets in one field."""
+        base, word = terms[0]
+        at = self.places(word, is_prefix)
+        for offset, other in terms[1:]:
+            if not len(at):
+                break
+            moved = at + (offset - base)
+            inside = moved < len(self.tile.codes)
+            at, moved = at[inside], moved[inside]
+            at = at[(self.tile.segment[moved] == self.tile.segment[at]) & np.isin(moved, self.places(other, is_prefix))]
+        return np.unique(self.tile.segment[at] % len(self.tile.ids), return_counts=True)
+
+
+MATCHES = "block long, payload binary, n long, len long, leaf array<int>, df array<long>"
+
+
+def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counted leaves of each (tile, block), with what they add to the statistics."""
+    last: tuple[bytes, _Counter] | None = None
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            data = batch.column(0)[row].as_py()
+            if last is None or last[0] != data:
+                last = data, _Counter(pickle.loads(data))
+            counter = last[1]
+            block: _Block = pickle.loads(batch.column(2)[row].as_py())
+            size = counter.tile.lens.sum(axis=1)
+            leaf, case, tf, df = [], [], [], []
+            for number, (is_prefix, terms) in enumerate(block.leaves):
+                rows, counts = counter.count(is_prefix, terms)
+                if len(rows):
+                    leaf.append(np.full(len(rows), number, np.int32))
+                    case.append(rows.astype(np.int32))
+                    tf.append(counts.astype(np.int32))
+                    df.append((number, len(rows)))
+            none = [np.zeros(0, np.int32)]
+            found = (counter.tile.ids, size, *(np.concatenate(x or none) for x in (leaf, case, tf)))
+            out.append((batch.column(1)[row].as_py(), pickle.dumps(found), len(size), int(size.sum()),
+                        [k for k, _ in df], [n for _, n in df]))
+        if out:
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                             names=["block", "payload", "n", "len", "leaf", "df"])
+
+
+def _scan_matches(index: KeywordIndex, blocks: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Counted tiles of the case table, and the statistics of each block."""
+    stop_words, n = list(index.stop_words), len(fields)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches, n, stop_words):
+            yield _payloads("tile", [pickle.dumps(tile)])
+
+    tiles = _split(index.cases, fields).mapInArrow(pack, "part int, tile binary")
+    pairs = tiles.join(blocks.select("part", "block", F.col("payload").alias("questions")), "part")
+    matches = written(pairs.select("tile", "block", "questions").mapInArrow(_count_tiles, MATCHES), "matches")
+    seen = matches.select("block", F.inline(F.arrays_zip("leaf", "df")))
+    sums = matches.groupBy("block").agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
+    return matches.select("block", "payload"), _statistics(seen.groupBy("block", "leaf").agg(F.sum("df").alias("df")), sums)
+
+
+def _statistics(freqs: DataFrame, sums: DataFrame) -> DataFrame:
+    """(block, n, len, leaf, df) from (block, leaf, df) and (block, n, len): one row per block."""
+    lists = freqs.groupBy("block").agg(F.collect_list(F.struct("leaf", "df")).alias("dfs"))
+    joined = sums.join(lists, "block", "left")
+    return joined.select("block", "n", "len", F.col("dfs.leaf").alias("leaf"), F.col("dfs.df").alias("df"))
+
+
+def _meeting(parts: list[tuple[int, bool, int]], found: dict[int, tuple[np.ndarray, np.ndarray]], rows: np.ndarray
+             ) -> np.ndarray:
+    """Which of the sorted `rows` meet a condition: any group with all its needs and no ban."""
+    groups = defaultdict(list)
+    for group, negated, leaf in parts:
+        groups[group].append((negated, leaf))
+    meets = np.zeros(len(rows), bool)
+    for members in groups.values():
+        if all(negated for negated, _ in members):
+            continue
+        good = np.ones(len(rows), bool)
+        for negated, leaf in members:
+            has = np.isin(rows, found[leaf][0]) if leaf in found else np.zeros(len(rows), bool)
+            good &= ~has if negated else has
+        meets |= good
+    return meets
+
+
+def _score_matches(batches: Iterator[pa.RecordBatch], limit: int | None, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, case_id, keyword_score), of each row's cases the best `limit` of each question."""
+    last: tuple[bytes, _Block] | None = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if last is None or last[0] != row["questions"]:
+                last = row["questions"], pickle.loads(row["questions"])
+            ids, dl, leaf, case, tf = pickle.loads(row["payload"])
+            freq = dict(zip(row["leaf"] or [], row["df"] or [], strict=True))
+            average = row["len"] / row["n"] if row["n"] else 0.0
+            found, order = {}, np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                df, n, length = freq[int(leaf[part[0]])], row["n"], dl[case[part]]
+                idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+                norm = k1 * ((1.0 - b) + b * length / average)
+                found[int(leaf[part[0]])] = case[part], idf * tf[part] * (k1 + 1.0) / (tf[part] + norm)
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for query, parts in last[1].questions:
+                counted = {k for _, negated, k in parts if not negated and k in found}
+                if not counted:
+                    continue
+                rows, where = np.unique(np.concatenate([found[k][0] for k in counted]), return_inverse=True)
+                score = np.bincount(where, np.concatenate([found[k][1] for k in counted]))
+                if any(negated for _, negated, _ in parts) or len({g for g, _, _ in parts}) < len(parts):
+                    meets = _meeting(parts, found, rows)
+                    rows, score = rows[meets], score[meets]
+                score, cases = np.round(score, 8), ids[rows]
+                if limit is not None and len(rows) > limit:
+                    best = np.lexsort((cases, -score))[:limit]
+                    cases, score = cases[best], score[best]
+                out.append((query, cases, score))
+            if out:
+                sizes = [len(c) for _, c, _ in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([q for q, _, _ in out], sizes), pa.int64()),
+                     pa.array(np.concatenate([c for _, c, _ in out]), pa.int64()),
+                     pa.array(np.concatenate([x for _, _, x in out]))], names=["query_id", "case_id", "keyword_score"])
+
+
 def _leaf_terms(leaves: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """Distinct (leaf, idx, term, is_prefix, n_terms); stop words keep their place only."""
     kept = F.expr("filter(transform(ws, (w, i) -> struct(i AS idx, w AS term)), "
@@ -189,154 +416,123 @@ def _leaf_terms(leaves: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     )
 
 
-def _matches(index: KeywordIndex, postings: DataFrame, terms: DataFrame, n_terms: int,
-             has_prefix: bool) -> DataFrame:
-    """Postings of the asked terms. Prefixes join on their first letters, then filter.
-
-    Few terms are broadcast, so the corpus stays where it is. Too many for that, and the
-    join is salted by case, which splits the common words.
-    """
-    if not has_prefix:
-        terms, on = terms.drop("is_prefix"), ["term"]
-        if index.buckets:
-            # The comparison marks this side as selective, which lets Spark prune the
-            # term buckets of the stored index at run time.
-            terms = terms.withColumn("term_bucket", term_bucket(F.col("term"), index.buckets)).where("n_terms > 0")
-            on = ["term_bucket", "term"]
-        return join_small(postings, terms, on, n_terms)
+def _spelled_out(index: KeywordIndex, terms: DataFrame) -> DataFrame:
+    """(leaf, n_terms, idx, term_bucket, term): prefixes become the words of the vocabulary they begin."""
+    vocabulary = index.vocabulary if index.vocabulary is not None else index.postings.select("term_bucket", "term").distinct()
 
     def head(n: int) -> Column:
         return F.substring("term", 1, n)
 
-    asked = terms.select(
-        "leaf", "n_terms", "idx", F.col("term").alias("asked"), "is_prefix",
-        F.when(~F.col("is_prefix"), F.concat(F.lit("="), "term"))
-        .when(F.length("term") >= 3, F.concat(F.lit("3"), head(3)))
-        .when(F.length("term") == 2, F.concat(F.lit("2"), head(2)))
-        .otherwise(F.concat(F.lit("1"), head(1))).alias("key"),
-    )
-    keyed = postings.withColumn("key", F.explode(F.array(
-        F.concat(F.lit("="), "term"), *[F.concat(F.lit(str(n)), head(n)) for n in (1, 2, 3)],
-    )))
-    return (
-        join_small(keyed, asked, ["key"], n_terms)
-        .where(~F.col("is_prefix") | F.col("term").startswith(F.col("asked")))
-        .drop("key", "asked", "is_prefix")
-    )
+    keyed = vocabulary.withColumn("key", F.explode(F.array(*[head(n) for n in (1, 2, 3)])))
+    asked = terms.where("is_prefix").select(
+        "leaf", "n_terms", "idx", F.col("term").alias("asked"), F.substring("term", 1, 3).alias("key")).distinct()
+    begun = keyed.join(asked, "key").where(F.col("term").startswith(F.col("asked"))).distinct()
+    plain = terms.where(~F.col("is_prefix")).withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
+    columns = ["leaf", "n_terms", "idx", "term_bucket", "term"]
+    return begun.select(*columns).distinct().unionByName(plain.select(*columns))
 
 
-def leaf_hits(index: KeywordIndex, terms: DataFrame, fields: Sequence[str], n_terms: int,
-              has_prefix: bool = False) -> DataFrame:
-    """(leaf, case_id, tf, dl): occurrences of each leaf in each case over `fields`.
+def leaf_hits(index: KeywordIndex, leaves: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(leaf, case_id, tf, dl): occurrences of each leaf in each case of a stored index.
 
-    A phrase occurs where all its words sit at their offsets of one start position.
-    Keys are (leaf, case), so even the most common word spreads over all tasks.
+    The asked words are written first: Spark broadcasts them while they are few, prunes the
+    term buckets by them, and otherwise splits the common words of the join by size. A phrase
+    occurs where all its words sit at their offsets of one start position.
     """
     postings = index.postings
     if set(fields) != set(index.fields):
         postings = postings.where(F.col("field").isin(*fields))
-    dl = reduce(lambda a, b: a + b, [F.coalesce(F.col("field_lens")[f], F.lit(0)) for f in fields])
-    matched = _matches(index, postings, terms, n_terms, has_prefix)
+    terms = written(_spelled_out(index, _leaf_terms(leaves, index.stop_words)), "terms")
+    # The comparison marks this side as selective, which lets Spark prune the term buckets.
+    matched = postings.join(terms.where("n_terms > 0"), ["term_bucket", "term"])
     if index.versions is not None:
-        matched = matched.join(index.versions, ["case_id", "batch_id"], "left_semi")
+        # only the versions of matched cases are looked at
+        ids = matched.select("case_id").distinct()
+        current = index.versions.join(ids, "case_id", "left_semi").groupBy("case_id").agg(
+            F.max(F.struct("version", "batch_id", "deleted")).alias("v"))
+        current = current.where("NOT v.deleted").select("case_id", "v.batch_id")
+        matched = matched.join(current, ["case_id", "batch_id"], "left_semi")
     single = F.col("n_terms") == 1
-    if "pos" in postings.columns:
-        tf, start = F.lit(1), F.when(~single, F.col("pos") - F.col("idx"))
-    else:
-        tf = F.col("tf")
-        start = F.explode(F.when(single, F.array(F.lit(None).cast("int"))).otherwise(
-            F.transform("positions", lambda p: p - F.col("idx"))))
-    rows = (
-        matched.select("leaf", "case_id", "field", "n_terms", dl.alias("dl"), tf.alias("tf"), start.alias("start"))
-        .repartition("leaf", "case_id")
-    )
+    start = F.explode(F.when(single, F.array(F.lit(None).cast("int"))).otherwise(
+        F.transform("positions", lambda p: p - F.col("idx"))))
+    rows = matched.select("leaf", "case_id", "field", "n_terms", "tf", start.alias("start")).repartition("leaf", "case_id")
     at_start = rows.groupBy("leaf", "case_id", "field", "start").agg(
-        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"),
-        F.max("n_terms").alias("n_terms"), F.max("dl").alias("dl"),
-    )
+        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
     full = F.when(F.col("n_terms") == 1, F.col("tf")).when(F.col("n") >= F.col("n_terms"), 1).otherwise(0)
-    return at_start.groupBy("leaf", "case_id").agg(F.sum(full).alias("tf"), F.max("dl").alias("dl"))
+    hits = at_start.groupBy("leaf", "case_id").agg(F.sum(full).alias("tf")).where("tf > 0")
+    return hits.join(_case_size(index, fields), "case_id")
+
+
+def _case_size(index: KeywordIndex, fields: Sequence[str]) -> DataFrame:
+    """(case_id, dl) of the current cases."""
+    dl = reduce(lambda a, b: a + b, [F.get("lens", F.lit(index.fields.index(f))) for f in fields])
+    return index.lengths.select("case_id", dl.alias("dl"))
+
+
+def _pack_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, case_id, dl, leaf, tf), sorted by block and case, as payloads of whole cases."""
+    def pack(rows: list[np.ndarray]) -> pa.RecordBatch:
+        block, case, dl, leaf, tf = rows
+        ids, first, where = np.unique(case, return_index=True, return_inverse=True)
+        found = (ids, dl[first], leaf.astype(np.int32), where.astype(np.int32), tf.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(block[:1]), pa.array([pickle.dumps(found)], pa.binary())],
+                                          names=["block", "payload"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        while len(rows[0]):
+            more = np.flatnonzero(rows[0] != rows[0][0])
+            end = int(more[0]) if len(more) else 0        # 0: the block may go on in the next batch
+            if not end and len(rows[0]) > PACK_HITS and rows[1][0] != rows[1][-1]:
+                end = int(np.argmax(rows[1] == rows[1][-1]))
+            if not end:
+                break
+            yield pack([x[:end] for x in rows])
+            rows = [x[end:] for x in rows]
+        held = rows
+    if held is not None and len(held[0]):
+        yield pack(held)
+
+
+def _index_matches(index: KeywordIndex, blocks: DataFrame, requests: DataFrame, fields: Sequence[str]
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Counted cases of a stored index, and the statistics of each block."""
+    leaves = condition_leaves(requests).where(f"exists(ws, w -> {is_kept('w', index.stop_words)})")
+    hits = written(leaf_hits(index, leaves, fields), "hits")
+    numbers = blocks.select("block", F.posexplode("names").alias("leaf_no", "leaf"))
+    rows = hits.join(numbers, "leaf").select(
+        "block", "case_id", F.col("dl").cast("long").alias("dl"), F.col("leaf_no").alias("leaf"), "tf")
+    packed = rows.repartition("case_id").sortWithinPartitions("block", "case_id").mapInArrow(
+        _pack_hits, "block long, payload binary")
+    freqs = hits.groupBy("leaf").agg(F.count(F.lit(1)).alias("df")).join(numbers, "leaf").select(
+        "block", F.col("leaf_no").alias("leaf"), "df")
+    total = _case_size(index, fields).agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("len")).alias("t")).scalar()
+    return packed, _statistics(freqs, blocks.select("block", total["n"].alias("n"), total["len"].alias("len")))
 
 
 def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Sequence[str] | None = None,
-                         k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, case_id, keyword_score) for every case meeting each request's condition.
+                         limit: int | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """(query_id, case_id, keyword_score) for the cases meeting each request's condition.
 
-    The score is the BM25 sum over the matched, non-negated leaves, rounded to eight
-    places before anything ranks by it. `requests` needs query_id and keyword_search.
+    The score is the BM25 sum over the matched, non-negated leaves, rounded to eight places
+    before anything ranks by it. `requests` needs query_id and keyword_search. With a `limit`
+    a task gives at most so many cases of a question and counted tile, the best ones.
     """
     fields = tuple(fields or index.fields)
-    # The leaves feed four joins; written once, the requests behind them run once.
-    leaves = written(condition_leaves(requests), "leaves")
-    terms = _leaf_terms(leaves, index.stop_words)
-    asked_for = leaves.groupBy("query_id").agg(
-        F.sum(F.size("ws")).alias("words"), F.count(F.lit(1)).alias("leaves"), F.bool_or("is_prefix").alias("prefix"),
-    ).agg(
-        F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"),
-        F.coalesce(F.max("leaves"), F.lit(0)).alias("most"),
-        F.coalesce(F.bool_or("prefix"), F.lit(False)).alias("has_prefix"),
-    ).first()
-    n_leaves = asked_for["leaves"]
-    hits = leaf_hits(index, terms, fields, asked_for["words"], asked_for["has_prefix"])
-
-    # `dl` takes part in the count so that both uses of `hits` read the same columns and
-    # Spark reuses one shuffle instead of matching the corpus twice.
-    found = (F.col("tf") > 0) & (F.col("dl") > 0)
-    freqs = hits.groupBy("leaf").agg(F.count_if(found).alias("df"))
-    totals = index.totals.where(F.col("field").isin(*fields)).agg(
-        F.struct(F.max("n_cases").cast("double").alias("n"), F.sum("total_len").cast("double").alias("len")).alias("t")
-    ).scalar()
-    avg_dl = F.try_divide(totals["len"], totals["n"])
-    scored = (
-        join_small(hits.where(found), freqs, ["leaf"], n_leaves)
-        .select("leaf", "case_id",
-                bm25(F.col("tf"), F.col("dl"), F.col("df"), totals["n"], avg_dl, k1, b).alias("leaf_score"))
-    )
-
-    asked, conditions = _conditions(leaves, index.stop_words)
-    per_case = join_small(scored, asked, ["leaf"], n_leaves).groupBy("query_id", "case_id")
-    score = F.round(F.sum(F.when(F.col("counts"), F.col("leaf_score"))), 8).alias("keyword_score")
-    if asked_for["most"] <= 63:
-        # One bit per leaf of a query: a plain integer aggregate.
-        hits = per_case.agg(score, F.bit_or(F.expr("shiftleft(1L, ord)")).alias("matched"))
-        meets = F.exists("groups", lambda g: (
-            (g["need_bits"] != 0) & (F.col("matched").bitwiseAND(g["need_bits"]) == g["need_bits"])
-            & (F.col("matched").bitwiseAND(g["ban_bits"]) == 0)
-        ))
+    requests = requests.select(F.col("query_id").cast("long").alias("query_id"), "keyword_search")
+    blocks = question_blocks(requests, index.stop_words)
+    if index.cases is not None:
+        matches, statistics = _scan_matches(index, blocks, fields)
     else:
-        hits = per_case.agg(score, F.collect_set("leaf").alias("matched"))
-        meets = F.exists("groups", lambda g: (
-            (F.size(g["need"]) > 0)
-            & F.forall(g["need"], lambda x: F.array_contains(F.col("matched"), x))
-            & ~F.arrays_overlap(g["ban"], F.col("matched"))
-        ))
-    return (
-        join_small(hits, conditions, ["query_id"], n_leaves).where(F.col("plain") | meets)
-        .select("query_id", "case_id", "keyword_score")
-    )
-
-
-def _conditions(leaves: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(query_id, leaf, counts, ord), the leaves of each query numbered from 0, and
-    (query_id, groups, plain), what each OR group needs and bans, as leaf sets and as bits.
-    A plain condition is an OR of single leaves, which any scored case meets."""
-    real = leaves.where(f"exists(ws, w -> {is_kept('w', stop_words)})")
-    asked = real.groupBy("query_id", "leaf").agg(F.max(~F.col("negated")).alias("counts")).withColumn(
-        "ord", F.row_number().over(W.partitionBy("query_id").orderBy("leaf")) - 1)
-    members = real.select("query_id", "group_no", "leaf", "negated").join(asked, ["query_id", "leaf"])
-
-    def side(negated: bool) -> list[Column]:
-        is_it = F.col("negated") if negated else ~F.col("negated")
-        name = "ban" if negated else "need"
-        bit = F.expr("shiftleft(1L, least(ord, 62))")
-        return [F.array_compact(F.collect_set(F.when(is_it, F.col("leaf")))).alias(name),
-                F.coalesce(F.bit_or(F.when(is_it, bit)), F.lit(0).cast("long")).alias(f"{name}_bits")]
-
-    groups = members.groupBy("query_id", "group_no").agg(*side(False), *side(True))
-    conditions = groups.groupBy("query_id").agg(
-        F.collect_list(F.struct("need", "ban", "need_bits", "ban_bits")).alias("groups"),
-        F.bool_and((F.size("need") == 1) & (F.size("ban") == 0)).alias("plain"))
-    return asked, conditions
+        matches, statistics = _index_matches(index, blocks, requests, fields)
+    asked = blocks.select("block", F.col("payload").alias("questions")).join(written(statistics, "statistics"), "block")
+    rows = matches.join(asked, "block").select("questions", "payload", "n", "len", "leaf", "df")
+    return rows.mapInArrow(lambda batches: _score_matches(batches, limit, k1, b),
+                           "query_id long, case_id long, keyword_score double")
 
 
 @dataclass(frozen=True)
@@ -403,9 +599,9 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
                  stop_words: Sequence[str] = STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(case_id, keyword_score) for one condition over the case text, without an index.
 
-    Leaf counts are taken inside each row, so no text is shuffled. The narrow counts
-    cross one exchange, which the corpus statistics and the scores both read: the text
-    is scanned and broken into words once.
+    Leaf counts are taken inside each row, so no text is shuffled. One exchange feeds both
+    the corpus statistics and the scores: the cases with a count go through it as narrow
+    rows, all others as one sum per task. The text is scanned and broken into words once.
     """
     leaves = parse_condition(cases.sparkSession, condition, stop_words)
     if not leaves:
@@ -413,10 +609,7 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
     names = sorted({leaf.name for leaf in leaves})
     by_name = {leaf.name: leaf for leaf in leaves}
     scored_names = sorted({leaf.name for leaf in leaves if not leaf.negated})
-
-    with_words = spread(cases.select("case_id", *fields), "case_id").select(
-        "case_id", *[words(F.col(f)).alias(f"ws{i}") for i, f in enumerate(fields)]
-    )
+    with_words = _split(cases, fields)
     ws_cols = [F.col(f"ws{i}") for i in range(len(fields))]
 
     def over_fields(fn) -> Column:
@@ -426,10 +619,13 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
         "case_id",
         reduce(lambda x, y: x + y, [F.size(kept_words(f"ws{i}", stop_words)) for i in range(len(fields))]).alias("dl"),
         *[over_fields(lambda ws, n=n: leaf_count(by_name[n], ws)).alias(f"tf{i}") for i, n in enumerate(names)],
-    ).repartition("case_id")
+    )
     tf = {n: F.col(f"tf{i}") for i, n in enumerate(names)}
-    stats = counts.agg(F.struct(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("dl").cast("double").alias("len"),
+    counted = reduce(lambda x, y: x | y, [tf[n] > 0 for n in names])
+    grouped = counts.groupBy(F.when(counted, F.col("case_id")).alias("case_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *[F.max(c).alias(f"tf{i}") for i, c in enumerate(tf.values())])
+    stats = grouped.agg(F.struct(
+        F.sum("n").cast("double").alias("n"), F.sum("dl").cast("double").alias("len"),
         *[F.count_if(tf[n] > 0).alias(f"df{i}") for i, n in enumerate(names)],
     ).alias("s")).scalar()
     s = F.col("s")
@@ -441,10 +637,9 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
     score = F.round(reduce(lambda x, y: x + y, parts, F.lit(0.0)), 8)
     # A hit is emitted as an array of one row. A where() would be pushed below the counts
     # and break every text into words twice.
-    hit = F.when(meets_condition(leaves, tf), F.array(F.struct(score.alias("keyword_score")))).otherwise(
-        F.array().cast("array<struct<keyword_score:double>>")
-    )
-    hits = counts.withColumn("s", stats).select("case_id", F.inline(hit))
+    hit = F.when(F.col("case_id").isNotNull() & meets_condition(leaves, tf), F.array(F.struct(score.alias("keyword_score")))
+                 ).otherwise(F.array().cast("array<struct<keyword_score:double>>"))
+    hits = grouped.withColumn("s", stats).select("case_id", F.inline(hit))
     if limit is None:
         return hits
     return hits.orderBy(F.desc("keyword_score"), "case_id").limit(limit)
@@ -456,10 +651,10 @@ def keyword_search(index: KeywordIndex, condition: str, limit: int | None = None
 
     The words are known here, so their term buckets are literal partition filters.
     """
-    spark = index.postings.sparkSession
+    spark = (index.cases if index.postings is None else index.postings).sparkSession
     leaves = parse_condition(spark, condition, index.stop_words)
     postings = index.postings
-    if index.buckets and leaves and not any(leaf.is_prefix for leaf in leaves):
+    if postings is not None and leaves and not any(leaf.is_prefix for leaf in leaves):
         asked = sorted({w for leaf in leaves for _, w in leaf.terms})
         wanted = spark.createDataFrame([(w,) for w in asked], "term string").select(
             term_bucket(F.col("term"), index.buckets)
@@ -468,7 +663,7 @@ def keyword_search(index: KeywordIndex, condition: str, limit: int | None = None
         postings = postings.where(F.col("term_bucket").isin(*buckets) & F.col("term").isin(*asked))
     request = spark.createDataFrame([(0, condition)], "query_id long, keyword_search string")
     hits = keyword_search_batch(
-        replace(index, postings=postings), request, fields
+        replace(index, postings=postings), request, fields, limit
     ).drop("query_id")
     if limit is None:
         return hits
@@ -478,7 +673,7 @@ def keyword_search(index: KeywordIndex, condition: str, limit: int | None = None
 def keyword_topk(index: KeywordIndex, requests: DataFrame, k: int = CANDIDATES,
                  fields: Sequence[str] | None = None) -> DataFrame:
     """The best `k` cases of each request with their rank."""
-    hits = keyword_search_batch(index, requests, fields)
+    hits = keyword_search_batch(index, requests, fields, k)
     return topk_per_group(hits, ["query_id"], [F.desc("keyword_score"), F.asc("case_id")], k, "keyword_rank")
 
 
@@ -507,3 +702,23 @@ def freetext_filter(cases: DataFrame, fields: Sequence[str], text: str,
         return cases.limit(0)
     wanted = F.array(*[F.lit(w) for w in asked])
     return cases.where(reduce(lambda a, b: a | b, [F.arrays_overlap(words(F.col(f)), wanted) for f in fields]))
+
+
+def contains_index(index: KeywordIndex, cases: DataFrame, condition: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """`contains_filter` by a stored index: only the postings of the asked words are read."""
+    return cases.join(keyword_search(index, condition, fields=fields).select("case_id"), "case_id", "left_semi")
+
+
+def freetext_index(index: KeywordIndex, cases: DataFrame, text: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """`freetext_filter` by a stored index."""
+    spark = cases.sparkSession
+    leaves = parse_condition(spark, text, index.stop_words) if text.strip() else []
+    asked = sorted({w for leaf in leaves for _, w in leaf.terms})
+    if not asked:
+        return cases.limit(0)
+    rows = spark.createDataFrame([(w,) for w in asked], "term string").withColumn(
+        "term_bucket", term_bucket(F.col("term"), index.buckets))
+    buckets = sorted({r["term_bucket"] for r in rows.collect()})
+    hits = index.postings.where(F.col("term_bucket").isin(*buckets) & F.col("term").isin(*asked)
+                                & F.col("field").isin(*(fields or index.fields)))
+    return cases.join(hits.select("case_id").distinct(), "case_id", "left_semi")

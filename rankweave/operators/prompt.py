@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import derive_keywords, squeeze_ends
+from rankweave.operators.embed import embed_text
 from rankweave.operators.fusion import hybrid_search, hybrid_search_batch
 from rankweave.operators.keyword import KeywordIndex
-from rankweave.schemas import MISSING_RANK
+from rankweave.operators.quality import validate_params
+from rankweave.schemas import MISSING_RANK, QUERY_LOG, QUERY_TYPES, STATUSES
 
 # The wording of the prompts and the model settings.
 SYSTEM_PROMPT = (
@@ -29,7 +32,7 @@ INSTRUCTION = (
     "suggested next steps for the clinician to consider."
 )
 BLOCK_LINES = (
-    ("  Age: ", "patient_age", None),
+    ("  Age: ", "patient_age", "Unknown"),
     ("  Gender: ", "gender", "Unknown"),
     ("  Chief Complaint: ", "chief_complaint", "N/A"),
     ("  Diagnosis: ", "diagnosis", "N/A"),
@@ -52,8 +55,7 @@ def case_block(rank: Column) -> Column:
     """The lines of one numbered case."""
     parts = [F.lit("Case "), rank.cast("string"), F.lit(":\r")]
     for label, name, default in BLOCK_LINES:
-        value = F.col(name).cast("string")
-        parts += [F.lit(label), value if default is None else F.coalesce(value, F.lit(default)), F.lit("\r")]
+        parts += [F.lit(label), F.coalesce(F.col(name).cast("string"), F.lit(default)), F.lit("\r")]
     return F.concat(*parts, F.lit("  Hybrid Score: "), plain_score(F.col("hybrid_score")), F.lit("\r\r"))
 
 
@@ -88,9 +90,9 @@ def chat_payload(system_prompt: Column, user_prompt: Column) -> Column:
 
 
 def generate(payloads: DataFrame, make_client: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
-    """(query_id, response, error): call a model for each payload.
+    """(query_id, response, error, latency_ms): call a model for each payload.
 
-    `make_client()` runs once per task and returns list[payload] -> list[response]. When a
+    The latency is that of the call the row was part of. `make_client()` runs once per task and returns list[payload] -> list[response]. When a
     batch fails its rows are tried one by one, so a bad row carries its own error. A retried
     task calls the model again; write the result before using it twice.
     """
@@ -98,23 +100,29 @@ def generate(payloads: DataFrame, make_client: Callable[[], Callable[[list[str]]
         client = make_client()
         for batch in batches:
             texts = batch["payload"].tolist()
+            began = time.perf_counter()
             try:
                 responses = list(client(texts))
                 if len(responses) != len(texts):
                     raise ValueError(f"{len(texts)} payloads gave {len(responses)} responses")
                 errors = [None] * len(texts)
+                spent = [time.perf_counter() - began] * len(texts)
             except Exception:
-                responses, errors = [], []
+                responses, errors, spent = [], [], []
                 for text in texts:
+                    began = time.perf_counter()
                     try:
                         responses.append(client([text])[0])
                         errors.append(None)
                     except Exception as e:
                         responses.append(None)
                         errors.append(str(e))
-            yield pd.DataFrame({"query_id": batch["query_id"], "response": responses, "error": errors})
+                    spent.append(time.perf_counter() - began)
+            yield pd.DataFrame({"query_id": batch["query_id"], "response": responses, "error": errors,
+                                "latency_ms": [round(1000 * s) for s in spent]})
 
-    return payloads.select("query_id", "payload").mapInPandas(call, "query_id long, response string, error string")
+    return payloads.select("query_id", "payload").mapInPandas(
+        call, "query_id long, response string, error string, latency_ms long")
 
 
 def extract_answer(response: Column) -> Column:
@@ -139,17 +147,44 @@ def conversation_requests(conversations: DataFrame, top_n: int = 5, embedding_ty
 
 @dataclass(frozen=True)
 class RagAnswer:
-    """Retrieved cases and the model's answer: two frames, as two result sets."""
+    """Retrieved cases and the model's answer, as two result sets; of a batch also the rejected requests."""
 
     cases: DataFrame
     summary: DataFrame
+    rejected: DataFrame | None = None
 
 
 def answers(prompts: DataFrame, make_client) -> DataFrame:
-    """(query_id, clinical_summary, error) of built prompts."""
+    """(query_id, clinical_summary, error, latency_ms) of built prompts."""
     payloads = prompts.select("query_id", chat_payload(F.col("system_prompt"), F.col("user_prompt")).alias("payload"))
     return generate(payloads, make_client).select(
-        "query_id", extract_answer(F.col("response")).alias("clinical_summary"), "error")
+        "query_id", extract_answer(F.col("response")).alias("clinical_summary"), "error", "latency_ms")
+
+
+def log_rows(requests: DataFrame, outcome: DataFrame, query_type: str, created_at: Column,
+             rejected: DataFrame | None = None) -> DataFrame:
+    """One query-log row per request: its settings, then how the call went.
+
+    `outcome` has query_id, error and latency_ms. A failed call has its error and no latency; a
+    rejected request is logged as an error with its reasons. `requests` may bring a user_id.
+    """
+    ended = outcome.select("query_id", "error", "latency_ms")
+    if rejected is not None:
+        ended = ended.join(rejected.select("query_id"), "query_id", "left_anti").unionByName(rejected.select(
+            "query_id", F.concat(F.lit("invalid: "), F.array_join("reasons", ", ")).alias("error"),
+            F.lit(None).cast("long").alias("latency_ms")))
+    rows = requests.join(ended, "query_id")
+    good = F.col("error").isNull()
+    made = {
+        "id": F.col("query_id"), "user_id": F.col("user_id") if "user_id" in requests.columns else F.lit(0),
+        "query_type": F.lit(query_type), "patient_description": F.col("query_text"),
+        "latency_ms": F.when(good, F.col("latency_ms")), "status": F.when(good, STATUSES[0]).otherwise(STATUSES[1]),
+        "error_message": F.col("error"), "created_at": created_at,
+    }
+    if query_type not in QUERY_TYPES:
+        raise ValueError(f"unknown query type: {query_type}")
+    return rows.select(*[made.get(f.name, F.col(f.name) if f.name in requests.columns else F.lit(None))
+                         .cast(f.dataType).alias(f.name) for f in QUERY_LOG.fields])
 
 
 def rag_search(embeddings: DataFrame, cases: DataFrame, text: str, query, condition: str, make_client, n: int = 5,
@@ -165,9 +200,18 @@ def rag_search(embeddings: DataFrame, cases: DataFrame, text: str, query, condit
     return RagAnswer(shown, answers(build_prompt(request, numbered, system), make_client).drop("query_id"))
 
 
+def rag_search_text(embeddings: DataFrame, cases: DataFrame, text: str, condition: str, make_client, embedder, n: int = 5,
+                    system: str = SYSTEM_NAME, **search) -> RagAnswer:
+    """`rag_search` for a text, which the embedder turns into the question vector."""
+    validate_params(text=text, keyword=condition, n=n)
+    vector = embed_text(cases.sparkSession, text, embedder)
+    return rag_search(embeddings, cases, text, vector, condition, make_client, n, system, **search)
+
+
 def rag_search_batch(index: KeywordIndex, embeddings: DataFrame, cases: DataFrame, requests: DataFrame, make_client,
                      system: str = SYSTEM_NAME, missing_rank: int | None = MISSING_RANK, **search) -> RagAnswer:
-    """`rag_search` for every request row."""
-    hits = hybrid_search_batch(index, embeddings, cases, requests, missing_rank=missing_rank, **search)
-    shown = hits.withColumn("hybrid_score", F.round("hybrid_score", 4))
-    return RagAnswer(shown, answers(build_prompt(requests, hits, system), make_client))
+    """`rag_search` for every valid request row."""
+    found = hybrid_search_batch(index, embeddings, cases, requests, missing_rank=missing_rank, **search)
+    shown = found.hits.withColumn("hybrid_score", F.round("hybrid_score", 4))
+    valid = requests.join(found.rejected.select("query_id"), "query_id", "left_anti")
+    return RagAnswer(shown, answers(build_prompt(valid, found.hits, system), make_client), found.rejected)

@@ -27,8 +27,8 @@ def validate_params(text: str | None, keyword: str | None = "-", n: int | None =
         raise ValueError("rrf_k must be at least 1")
 
 
-def request_errors() -> Column:
-    """Reasons why a request row is invalid; empty when it is fine."""
+def request_errors(columns: Sequence[str]) -> Column:
+    """Reasons why a request row is invalid; empty when it is fine. Only `columns` are checked."""
     def outside(col: str, low, high=None) -> Column:
         bad = F.col(col).isNull() | (F.col(col) < low)
         return bad if high is None else bad | (F.col(col) > high)
@@ -44,12 +44,15 @@ def request_errors() -> Column:
         (outside("keyword_weight", 0.0, 1.0), "keyword_weight"),
         (outside("rrf_k", 1), "rrf_k"),
     ]
+    checks = [(bad, reason) for bad, reason in checks if reason in columns]
+    if "embedding" in columns:
+        checks.append((~F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)), "embedding"))
     return F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for bad, reason in checks]))
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid requests, rejected requests with `reasons`)."""
-    checked = requests.withColumn("reasons", request_errors())
+    checked = requests.withColumn("reasons", request_errors(requests.columns))
     return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
 
 

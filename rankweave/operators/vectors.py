@@ -1,4 +1,14 @@
-"""Cosine nearest neighbours: exact scans, partitioned (IVF) search, LSH."""
+"""Cosine nearest neighbours: exact scans, partitioned (IVF) search, LSH.
+
+Batches of questions meet the corpus in blocks. Both sides are packed into rows of at most
+`BLOCK_BYTES` of vectors that share a label and a dimension, and joined on these two: Spark
+broadcasts the questions while their table is small and shuffles both sides otherwise, and
+splits a label that owns most rows. A task multiplies one block by the other and keeps k
+running hits for each question, so what is ranked in the end is k rows per question and task.
+
+A vector that is null, holds a null, has no length or is of another size than its partner
+never matches. `vector_faults` lists such rows.
+"""
 
 from __future__ import annotations
 
@@ -10,54 +20,107 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankweave.functions.scoring import similarity
 from rankweave.operators.topk import topk_per_group
 from rankweave.schemas import CASE_COLS, EMBEDDING_TYPES
-from rankweave.session import BROADCAST_ROWS, run_dir
+from rankweave.session import written
 
 # Distances are defined to this many decimals, so equal vectors tie exactly and the
 # case id decides, whichever block of a matrix product they were computed in.
 DISTANCE_DECIMALS = 12
-QUERY_CHUNK = 4096
-ROW_BLOCK = 2048
+BLOCK_BYTES = 256 << 10
 SCORED = "query_id long, case_id long, vector_distance double"
-
-
-@dataclass(frozen=True)
-class QueryBlock:
-    """Unit query vectors, and for each label of the corpus the queries that look there."""
-
-    ids: np.ndarray
-    unit: np.ndarray
-    by_label: dict | None = None
+PACKED = "label string, dim int, ids binary, vectors binary"
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    matrix = matrix.astype(np.float64)
     norms = np.sqrt((matrix * matrix).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
         return matrix / norms[:, None], norms > 0
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+def vector_faults(rows: DataFrame, dim: int, id_col: str = "case_id") -> DataFrame:
+    """(id, reason) of rows whose vector cannot be searched: null, wrong_dimension, null_element, zero."""
+    v = F.col("embedding")
+    reason = (
+        F.when(v.isNull(), "null").when(F.size(v) != dim, "wrong_dimension")
+        .when(F.exists(v, lambda x: x.isNull() | F.isnan(x)), "null_element")
+        .when(F.forall(v, lambda x: x == 0), "zero")
+    )
+    return rows.select(id_col, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def dimension(embeddings: DataFrame) -> int:
+    """The commonest size of the vectors, the smaller of two; 0 without any."""
+    sizes = embeddings.groupBy(F.size("embedding").alias("dim")).count().where("dim > 0")
+    first = sizes.orderBy(F.desc("count"), "dim").first()
+    return first["dim"] if first else 0
 
 
-def _of_size(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-    """Rows whose vector has `dim` elements.
+def _usable(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows whose vector has `dim` elements and a length.
 
     Checked here and not by a where(): on vectors that a model has just computed, Spark
-    would push the condition down and compute them twice. A null element turns the norm
-    into NaN, which scans skip.
+    would push the condition down and compute them twice.
     """
-    fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), dim), False)
-    return batch if pc.all(fits).as_py() else batch.filter(fits)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("embedding")
+            fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(at)), dim), False)
+            batch = batch.filter(fits)
+            if batch.num_rows:
+                flat = batch.column(at).flatten().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(_unit_rows(flat.reshape(-1, dim))[1]))
+            if batch.num_rows:
+                yield batch
+
+    return keep
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, embedding, label) as blocks of equal label and dimension."""
+    for batch in batches:
+        column, label = batch.column(1), batch.column(2).dictionary_encode()
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        start = np.cumsum(size) - size
+        code = pc.fill_null(label.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        good = (size > 0) & (code >= 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        out: list[tuple[str, int, bytes, bytes]] = []
+        for kind, dim in {(int(c), int(d)) for c, d in zip(code[good], size[good], strict=True)}:
+            rows = np.flatnonzero(good & (code == kind) & (size == dim))
+            step = max(1, BLOCK_BYTES // (dim * flat.itemsize))
+            for lo in range(0, len(rows), step):
+                part = rows[lo:lo + step]
+                matrix = flat[start[part][:, None] + np.arange(dim)]
+                usable = _unit_rows(matrix)[1]
+                if usable.any():
+                    out.append((label.dictionary[kind].as_py(), dim, ids[part][usable].tobytes(),
+                                matrix[usable].tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                         names=["label", "dim", "ids", "vectors"])
+
+
+def _unpack(ids: pa.Scalar, vectors: pa.Scalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids.as_buffer(), np.int64)
+    data = vectors.as_buffer()
+    kind = np.float32 if data.size == 4 * dim * len(numbers) else np.float64
+    return numbers, _unit_rows(np.frombuffer(data, kind).reshape(len(numbers), dim))[0]
+
+
+def blocks_of(rows: DataFrame, id_col: str, label: Column) -> DataFrame:
+    """`rows` packed into blocks by label and dimension; nothing shuffles."""
+    return rows.select(F.col(id_col).cast("long").alias("id"), "embedding", label.cast("string").alias("label")).mapInArrow(
+        _pack, PACKED)
 
 
 def _best(query: np.ndarray, dist: np.ndarray, case: np.ndarray, k: int):
@@ -70,64 +133,78 @@ def _best(query: np.ndarray, dist: np.ndarray, case: np.ndarray, k: int):
     return query[keep], dist[keep], case[keep]
 
 
-def _nearest(block: QueryBlock, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's scan: matrix products per batch, at most k running hits per query."""
-
+class _Running:
+    """The k best hits so far of the questions of one block."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int):
+        self.ids, self.unit, self.k = ids, unit, k
+        self.best = (np.array([], np.int64), np.array([]), np.array([], np.int64))
+        self.limit = np.full(len(ids), np.inf)
+
+    def add(self, cases: np.ndarray, unit: np.ndarray) -> None:
+        dist = np.round(1.0 - unit @ self.unit.T, DISTANCE_DECIMALS)
+        cut = self.limit
+        if len(cases) > self.k:
+            cut = np.minimum(cut, np.partition(dist, self.k - 1, axis=0)[self.k - 1])
+        row, query = np.nonzero(dist <= cut[None, :])
+        self.best = _best(np.r_[self.best[0], query], np.r_[self.best[1], dist[row, query]],
+                          np.r_[self.best[2], cases[row]], self.k)
+        full = np.bincount(self.best[0], minlength=len(self.limit)) >= self.k
+        worst = np.full(len(self.limit), -np.inf)
+        np.maximum.at(worst, self.best[0], self.best[1])
+        self.limit = np.where(full, worst, np.inf)
+
+    def rows(self) -> pa.RecordBatch:
+        query, dist, case = self.best
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[query], pa.int64()), pa.array(case, pa.int64()), pa.array(dist, pa.float64())],
+            names=["query_id", "case_id", "vector_distance"])
+
+
+def _nearest_pairs(k: int, held: int = 64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's scan over pairs of blocks, with running hits of at most `held` question blocks."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = (np.array([], np.int64), np.array([]), np.array([], np.int64))
-        limit = np.full(len(block.ids), np.inf)
+        running: dict[int, _Running] = {}
         for batch in batches:
-            batch = _of_size(batch, block.unit.shape[1])
-            if not batch.num_rows:
-                continue
-            cases = batch.column("case_id").to_numpy()
-            unit, usable = _unit_rows(_matrix(batch.column("embedding")))
-            if block.by_label is None:
-                groups = [(np.flatnonzero(usable), np.arange(len(block.ids)))]
-            else:
-                labels = batch.column("label").to_numpy(zero_copy_only=False)
-                groups = [
-                    (np.flatnonzero(usable & (labels == label)), block.by_label[label])
-                    for label in set(labels.tolist()) if label in block.by_label
-                ]
-            for rows, asking in groups:
-                for at in range(0, len(rows), ROW_BLOCK):
-                    part = rows[at:at + ROW_BLOCK]
-                    dist = np.round(1.0 - unit[part] @ block.unit[asking].T, DISTANCE_DECIMALS)
-                    cut = limit[asking]
-                    if len(part) > k:
-                        cut = np.minimum(cut, np.partition(dist, k - 1, axis=0)[k - 1])
-                    r, q = np.nonzero(dist <= cut[None, :])
-                    best = _best(
-                        np.r_[best[0], asking[q]], np.r_[best[1], dist[r, q]],
-                        np.r_[best[2], cases[part[r]]], k,
-                    )
-                    full = np.bincount(best[0], minlength=len(limit)) >= k
-                    worst = np.full(len(limit), -np.inf)
-                    np.maximum.at(worst, best[0], best[1])
-                    limit[full] = worst[full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block.ids[best[0]], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.float64())],
-            names=["query_id", "case_id", "vector_distance"],
-        )
+            dims, blocks, ids, vectors, q_ids, q_vectors = batch.columns
+            for i in range(batch.num_rows):
+                block, dim = blocks[i].as_py(), dims[i].as_py()
+                if block not in running:
+                    if len(running) >= held:
+                        yield running.pop(next(iter(running))).rows()
+                    running[block] = _Running(*_unpack(q_ids[i], q_vectors[i], dim), k)
+                running[block].add(*_unpack(ids[i], vectors[i], dim))
+        for one in running.values():
+            yield one.rows()
 
     return scan
 
 
-def _distances(unit_query: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every row's distance to one query, as narrow rows."""
+def _meet(tiles: DataFrame, blocks: DataFrame, k: int, rank_col: str) -> DataFrame:
+    """The k nearest of each question among the tiles of its labels."""
+    asked = blocks.select("label", "dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = tiles.join(asked, ["label", "dim"]).select("dim", "block", "ids", "vectors", "q_ids", "q_vectors")
+    return _ranked(pairs.mapInArrow(_nearest_pairs(k), SCORED), k, rank_col)
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Question blocks with a number, written so that Spark knows their size."""
+    return written(blocks.withColumn("block", F.monotonically_increasing_id()), "questions")
+
+
+def _one_block(query: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The scan of a single question, given as a unit vector."""
+    keep = _usable(len(query))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _of_size(batch, len(unit_query))
-            if not batch.num_rows:
-                continue
-            unit, usable = _unit_rows(_matrix(batch.column("embedding")))
-            dist = np.round(1.0 - unit[usable] @ unit_query, DISTANCE_DECIMALS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("case_id").filter(pa.array(usable)), pa.array(dist, pa.float64())],
-                names=["case_id", "vector_distance"],
-            )
+        running = _Running(np.zeros(1, np.int64), query[None, :], k)
+        for batch in keep(batches):
+            matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            step = max(1, BLOCK_BYTES // (8 * len(query)))
+            cases = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(matrix), step):
+                running.add(cases[lo:lo + step], _unit_rows(matrix[lo:lo + step])[0])
+        yield running.rows()
 
     return scan
 
@@ -155,20 +232,28 @@ def vector_topk(embeddings: DataFrame, query: Sequence[float], k: int) -> DataFr
 
     Each task keeps k rows, so what reaches the final sort is k rows per task.
     """
-    unit = _unit_query(query)
     rows = embeddings.select("case_id", "embedding")
-    block = QueryBlock(np.zeros(1, np.int64), unit[None, :])
     return (
-        rows.mapInArrow(_nearest(block, k), SCORED).drop("query_id")
+        rows.mapInArrow(_one_block(_unit_query(query), k), SCORED).drop("query_id")
         .orderBy("vector_distance", "case_id").limit(k)
     )
 
 
-def vector_distances(embeddings: DataFrame, query: Sequence[float]) -> DataFrame:
-    """(case_id, vector_distance) for every vector."""
-    unit = _unit_query(query)
-    rows = embeddings.select("case_id", "embedding")
-    return rows.mapInArrow(_distances(unit), "case_id long, vector_distance double")
+def nearest_existing(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    """(case_id, vector_distance): the k nearest vectors that have a case.
+
+    The m nearest of all are found and their few ids looked up; while fewer than k of them
+    exist and there are more vectors, m grows fourfold. Neither vectors nor distances shuffle.
+    """
+    m = 2 * k
+    while True:
+        near = written(vector_topk(embeddings, query, m), "near")
+        there = cases.select("case_id").join(F.broadcast(near), "case_id").groupBy("case_id").agg(
+            F.min("vector_distance").alias("vector_distance"))
+        there = written(there, "near")
+        if there.count() >= k or near.count() < m:
+            return there.orderBy("vector_distance", "case_id").limit(k)
+        m *= 4
 
 
 def find_similar(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], k: int = 5,
@@ -177,19 +262,12 @@ def find_similar(embeddings: DataFrame, cases: DataFrame, query: Sequence[float]
     """The k most similar cases with `similarity`.
 
     Vectors without a case do not count. Where a foreign key rules those out
-    (`fk_enforced`), each task keeps only k rows. Otherwise distances, as rows of two
-    numbers, meet the case ids first; the vectors themselves never shuffle.
+    (`fk_enforced`) the k nearest vectors are the answer and the plan is one lazy plan.
     """
     check_k(k)
     check_type(embedding_type, known_types)
     of_type = embeddings.where(F.col("embedding_type") == embedding_type)
-    if fk_enforced:
-        hits = vector_topk(of_type, query, k)
-    else:
-        hits = (
-            vector_distances(of_type, query).join(cases.select("case_id"), "case_id", "left_semi")
-            .orderBy("vector_distance", "case_id").limit(k)
-        )
+    hits = vector_topk(of_type, query, k) if fk_enforced else nearest_existing(of_type, cases, query, k)
     return (
         look_up(cases.select(*CASE_COLS), hits, k)
         .select(*CASE_COLS, similarity(F.col("vector_distance")).alias("similarity"))
@@ -197,81 +275,40 @@ def find_similar(embeddings: DataFrame, cases: DataFrame, query: Sequence[float]
     )
 
 
-def _collect_block(queries: DataFrame, with_type: bool) -> QueryBlock:
-    """Bring one bounded chunk of queries to the driver as a matrix."""
-    table = queries.select("query_id", "embedding", *(["embedding_type"] if with_type else [])).toArrow()
-    if not table.num_rows:
-        return QueryBlock(np.array([], np.int64), np.zeros((0, 0)), {} if with_type else None)
-    batch = table.combine_chunks().to_batches()[0]
-    unit, usable = _unit_rows(_matrix(batch.column("embedding")))
-    by_label = None
-    if with_type:
-        types = np.asarray(table.column("embedding_type").to_pylist(), dtype=object)[usable]
-        by_label = {t: np.flatnonzero(types == t) for t in set(types.tolist())}
-    return QueryBlock(table.column("query_id").to_numpy()[usable], unit[usable], by_label)
-
-
-def _scan_block(embeddings: DataFrame, block: QueryBlock, k: int, label: str | None) -> DataFrame:
-    if not len(block.ids):
-        return embeddings.sparkSession.createDataFrame([], SCORED)
-    rows = embeddings
-    if label is not None:
-        rows = rows.where(F.col(label).isin(list(block.by_label)))
-    columns = ["case_id", "embedding"] + ([F.col(label).alias("label")] if label else [])
-    return rows.select(*columns).mapInArrow(_nearest(block, k), SCORED)
-
-
 def knn_join(queries: DataFrame, embeddings: DataFrame, k: int, by_type: bool = False,
-             rank_col: str = "vector_rank", chunk: int = QUERY_CHUNK) -> DataFrame:
+             rank_col: str = "vector_rank") -> DataFrame:
     """(query_id, case_id, vector_distance, rank): the k nearest vectors of each query.
 
-    The corpus stays in place. Queries travel to it in chunks of bounded size, one pass
-    over the vectors per chunk; each task returns at most k rows per query. More than one
-    chunk means the chunks are written one after the other to the shared folder, so the
-    driver never holds more than one. `by_type` limits a query to its own embedding type.
+    `by_type` limits a query to its own embedding type. Queries listed by
+    `vector_faults(queries, dim, "query_id")` have no hits.
     """
-    spark = embeddings.sparkSession
-    n = queries.count()
-    label = "embedding_type" if by_type else None
-    if n <= chunk:
-        hits = _scan_block(embeddings, _collect_block(queries, by_type), k, label)
-        return _ranked(hits, k, rank_col)
-    parts = -(-n // chunk)
-    path = run_dir(spark, "knn")
-    for i in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        hits = _scan_block(embeddings, _collect_block(mine, by_type), k, label)
-        _ranked(hits, k, rank_col).write.parquet(f"{path}/chunk={i}")
-    return spark.read.parquet(path).drop("chunk")
+    label = F.col("embedding_type") if by_type else F.lit("")
+    asked = _numbered(blocks_of(queries, "query_id", label))
+    return _meet(blocks_of(embeddings, "case_id", label), asked, k, rank_col)
 
 
 def _ranked(hits: DataFrame, k: int, rank_col: str) -> DataFrame:
     return topk_per_group(hits, ["query_id"], [F.asc("vector_distance"), F.asc("case_id")], k, rank_col)
 
 
-def look_up(cases: DataFrame, hits: DataFrame, n: int) -> DataFrame:
-    """Join at most `n` hits of one question to the case table.
+def look_up(cases: DataFrame, hits: DataFrame, n: int, literal_ids: bool = False) -> DataFrame:
+    """Join the at most `n` hits of one question to the case table, whose rows stay in place.
 
-    The search runs here and its few narrow rows come to the driver, so that their ids reach
-    the scan as literal equalities: row groups without any of them are not read. Spark
-    pushes a longer IN list down only as a range, hence the ORs.
+    `literal_ids` runs the search at once and hands the found ids to the scan as literal
+    equalities, so that row groups without any of them are not read.
     """
-    rows = hits.limit(n).toArrow()
-    ids = rows.column("case_id").to_pylist()
-    if not ids:
-        return cases.join(hits.limit(0), "case_id")
-    if len(ids) <= 100:
-        cases = cases.where(reduce(lambda a, b: a | b, [F.col("case_id") == i for i in ids]))
-    found = cases.sparkSession.createDataFrame(rows, hits.schema)
-    return cases.join(F.broadcast(found), "case_id")
+    hits = hits.limit(n)
+    if literal_ids:
+        rows = hits.toArrow()
+        ids = rows.column("case_id").to_pylist()
+        hits = cases.sparkSession.createDataFrame(rows, hits.schema)
+        cases = cases.where(reduce(lambda a, b: a | b, [F.col("case_id") == i for i in ids], F.lit(False)))
+    return cases.join(F.broadcast(hits), "case_id")
 
 
-def existing(candidates: DataFrame, cases: DataFrame, rows: int) -> DataFrame:
-    """Candidates whose case exists. A counted few are broadcast to the case ids."""
-    ids = cases.select("case_id")
-    if rows <= BROADCAST_ROWS:
-        return ids.join(F.broadcast(candidates), "case_id")
-    return candidates.join(ids, "case_id", "left_semi")
+def existing(candidates: DataFrame, cases: DataFrame) -> DataFrame:
+    """Candidates whose case exists."""
+    return candidates.join(cases.select("case_id"), "case_id", "left_semi")
 
 
 # ---- partitioned index ----
@@ -279,87 +316,97 @@ def existing(candidates: DataFrame, cases: DataFrame, rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class IvfIndex:
+    """Vectors by embedding type and nearest centre, and the rows that could not be indexed."""
+
     vectors: DataFrame
     centroids: np.ndarray
+    faults: DataFrame
 
 
-def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7, per_cell: int = 1000) -> np.ndarray:
-    """Cosine k-means centres from about `per_cell` vectors for each centre.
-
-    More would move the centres little and scan everything once per iteration. Only the
-    training samples; every vector is indexed.
-    """
-    fraction = per_cell * nlist / max(1, embeddings.count())
-    sample = embeddings if fraction >= 1.0 else embeddings.sample(fraction, seed)
-    points = sample.select(array_to_vector("embedding").alias("features"))
+def train_centroids(embeddings: DataFrame, nlist: int, seed: int = 7) -> np.ndarray:
+    """Cosine k-means centres of all usable vectors."""
+    usable = embeddings.select("embedding").mapInArrow(_usable(dimension(embeddings)), embeddings.select("embedding").schema)
+    points = usable.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
-def _assign(unit_centroids: np.ndarray):
+def _assign(unit_centroids: np.ndarray, nprobe: int = 1):
+    """The nearest cell of each usable vector, or a row for each of its `nprobe` nearest."""
+    keep = _usable(unit_centroids.shape[1])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _of_size(batch, unit_centroids.shape[1])
-            if batch.num_rows:
-                unit, _ = _unit_rows(_matrix(batch.column("embedding")))
-                cell = np.argmax(np.nan_to_num(unit) @ unit_centroids.T, axis=1).astype(np.int32)
-                yield batch.append_column("cell", pa.array(cell))
+        for batch in keep(batches):
+            at = batch.schema.get_field_index("embedding")
+            flat = batch.column(at).flatten().to_numpy(zero_copy_only=False)
+            near = _unit_rows(flat.reshape(batch.num_rows, -1))[0] @ unit_centroids.T
+            cells = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
+            wide = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1])))
+            yield wide.append_column("cell", pa.array(cells.ravel().astype(np.int32)))
+
     return scan
 
 
-def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7, per_cell: int = 1000,
-              shards: int = 16) -> IvfIndex:
-    """Write vectors partitioned by embedding type and nearest centre.
+def _with_cells(rows: DataFrame, centroids: np.ndarray, nprobe: int = 1) -> DataFrame:
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
+    return rows.mapInArrow(_assign(_unit_rows(centroids)[0], nprobe), schema)
 
-    A dense cell may hold a third of all vectors, so each cell is written by up to
-    `shards` tasks.
-    """
+
+def _write_cells(embeddings: DataFrame, path: str, centroids: np.ndarray, mode: str) -> None:
+    """Partitioned by type and cell; Spark splits a dense cell over several tasks by its size."""
+    rows = embeddings.select("case_id", "embedding_type", F.col("embedding").cast("array<float>").alias("embedding"))
+    _with_cells(rows, centroids).hint("rebalance", "embedding_type", "cell").write.mode(mode).partitionBy(
+        "embedding_type", "cell").parquet(f"{path}/vectors")
+    vector_faults(rows, centroids.shape[1]).write.mode(mode).parquet(f"{path}/faults")
+
+
+def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7) -> IvfIndex:
+    """Train on all usable vectors and write them by embedding type and nearest centre."""
     spark = embeddings.sparkSession
-    centroids = train_centroids(embeddings, nlist, seed, per_cell)
-    unit, _ = _unit_rows(centroids)
-    rows = embeddings.select("case_id", "embedding_type", "embedding")
-    (
-        rows.mapInArrow(_assign(unit), "case_id long, embedding_type string, embedding array<float>, cell int")
-        .repartition("embedding_type", "cell", F.pmod(F.xxhash64("case_id"), F.lit(shards)))
-        .write.mode("overwrite").partitionBy("embedding_type", "cell").parquet(f"{path}/vectors")
-    )
+    centroids = train_centroids(embeddings, nlist, seed)
+    _write_cells(embeddings, path, centroids, "overwrite")
     spark.createDataFrame(
         [(i, [float(x) for x in row]) for i, row in enumerate(centroids)], "cell int, centroid array<double>"
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     return read_ivf(spark, path)
 
 
+def append_ivf(embeddings: DataFrame, path: str) -> IvfIndex:
+    """Add new vectors to a stored index; its centres stay."""
+    spark = embeddings.sparkSession
+    _write_cells(embeddings, path, read_ivf(spark, path).centroids, "append")
+    return read_ivf(spark, path)
+
+
+def delete_ivf(index: IvfIndex, deleted: DataFrame) -> IvfIndex:
+    """The index without the vectors of deleted cases (case_id)."""
+    return IvfIndex(index.vectors.join(deleted.select("case_id"), "case_id", "left_anti"), index.centroids, index.faults)
+
+
 def read_ivf(spark: SparkSession, path: str) -> IvfIndex:
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()     # nlist rows
     schema = "case_id long, embedding array<float>, embedding_type string, cell int"
-    return IvfIndex(spark.read.schema(schema).parquet(f"{path}/vectors"), np.array([r["centroid"] for r in rows]))
+    return IvfIndex(spark.read.schema(schema).parquet(f"{path}/vectors"), np.array([r["centroid"] for r in rows]),
+                    spark.read.schema("case_id long, reason string").parquet(f"{path}/faults"))
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, embedding_type: str | None = None,
+def ivf_search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, by_type: bool = False,
                rank_col: str = "vector_rank") -> DataFrame:
     """Approximate k nearest: each query looks into its `nprobe` nearest cells only.
 
-    Probing every cell gives the exact result. Cells no query asks for are not read.
+    Probing every cell gives the exact result. `by_type` limits a query to its own embedding
+    type. Cells no query asks for are not read.
     """
-    unit, _ = _unit_rows(index.centroids)
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_CHUNK))
-    vectors = index.vectors
-    if embedding_type is not None:
-        vectors = vectors.where(F.col("embedding_type") == embedding_type)
-    path = run_dir(vectors.sparkSession, "ivf") if parts > 1 else None
-    for i in range(parts):
-        mine = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        block = _collect_block(mine, False)
-        if len(block.ids):
-            nearest = np.argsort(-(block.unit @ unit.T), axis=1, kind="stable")[:, :nprobe]
-            cells = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
-            block = QueryBlock(block.ids, block.unit, cells)
-        hits = _ranked(_scan_block(vectors, block, k, "cell" if len(block.ids) else None), k, rank_col)
-        if path is None:
-            return hits
-        hits.write.parquet(f"{path}/chunk={i}")
-    return vectors.sparkSession.read.parquet(path).drop("chunk")
+    probing = _with_cells(queries, index.centroids, min(nprobe, len(index.centroids)))
+    label = F.col("cell").cast("string")
+    if by_type:
+        label = F.concat(label, F.lit(":"), "embedding_type")
+    asked = _numbered(blocks_of(probing, "query_id", label))
+    # At most one row per cell. The comparison marks them as selective, which lets Spark
+    # skip the folders of the other cells.
+    cells = asked.select(F.substring_index("label", ":", 1).cast("int").alias("cell")).distinct().where("cell >= 0")
+    vectors = index.vectors.join(F.broadcast(cells), "cell", "left_semi")
+    return _meet(blocks_of(vectors, "case_id", label), asked, k, rank_col)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -369,20 +416,56 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.try_divide(F.count("f"), F.count("t")).alias("recall"))
 
 
-def lsh_search(embeddings: DataFrame, query: Sequence[float], k: int, bucket_length: float = 0.5,
-               tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate k nearest by random projections of unit vectors.
+# ---- hashed index ----
 
-    On unit vectors the Euclidean order is the cosine order: d^2 / 2 is the cosine distance.
-    """
+
+def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables * bits, dim))
+
+
+def _keys(tables: int, bits: int, seed: int):
+    """(table, bucket, case_id) of each vector: the sides of `bits` random planes it lies on."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = flat.reshape(batch.num_rows, -1)
+            side = (rows @ _planes(rows.shape[1], tables, bits, seed).T > 0).reshape(batch.num_rows, tables, bits)
+            bucket = (side * (1 << np.arange(bits))).sum(axis=2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(bucket.ravel()),
+                 pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), tables))],
+                names=["hash_table", "bucket", "case_id"])
+
+    return scan
+
+
+@dataclass(frozen=True)
+class LshIndex:
+    vectors: DataFrame
+    hashes: DataFrame
+    dim: int
+    tables: int
+    bits: int
+    seed: int
+
+
+def build_lsh(embeddings: DataFrame, path: str, tables: int = 8, bits: int = 8, seed: int = 7) -> LshIndex:
+    """Hash every usable vector once per table and store the hashes by bucket, next to the vectors."""
+    dim = dimension(embeddings)
+    rows = embeddings.select(F.col("case_id").cast("long").alias("case_id"), "embedding")
+    rows.mapInArrow(_usable(dim), rows.schema).write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors = embeddings.sparkSession.read.parquet(f"{path}/vectors")
+    hashes = vectors.mapInArrow(_keys(tables, bits, seed), "hash_table int, bucket long, case_id long")
+    hashes.hint("rebalance", "hash_table", "bucket").sortWithinPartitions("hash_table", "bucket", "case_id").write.mode(
+        "overwrite").parquet(f"{path}/hashes")
+    return LshIndex(vectors, embeddings.sparkSession.read.parquet(f"{path}/hashes"), dim, tables, bits, seed)
+
+
+def lsh_search(index: LshIndex, query: Sequence[float], k: int) -> DataFrame:
+    """(case_id, vector_distance): the k nearest of the vectors that share a stored bucket with the question."""
     unit = _unit_query(query)
-    points = embeddings.where(F.size("embedding") == len(unit)).select("case_id", array_to_vector("embedding").alias("raw"))
-    points = Normalizer(inputCol="raw", outputCol="features").transform(points).select("case_id", "features")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(points)
-    near = model.approxNearestNeighbors(points, Vectors.dense(unit.tolist()), k, distCol="d")
-    return (
-        near.select("case_id", F.round(F.col("d") * F.col("d") / 2.0, 10).alias("vector_distance"))
-        .orderBy("vector_distance", "case_id").limit(k)
-    )
+    side = (_planes(index.dim, index.tables, index.bits, index.seed) @ unit > 0).reshape(index.tables, index.bits)
+    own = (side * (1 << np.arange(index.bits))).sum(axis=1).tolist()
+    mine = reduce(lambda a, b: a | b, [(F.col("hash_table") == t) & (F.col("bucket") == b) for t, b in enumerate(own)])
+    near = index.hashes.where(mine).select("case_id").distinct()
+    return vector_topk(index.vectors.join(near, "case_id", "left_semi"), query, k)

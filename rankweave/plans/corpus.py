@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 
 from rankweave.functions.text import compose_text
 from rankweave.operators import quality
-from rankweave.operators.embed import HashEmbedder, embed, embed_missing, missing_pairs
+from rankweave.operators.embed import HashEmbedder, append_embeddings, embed, embed_missing, missing_pairs
 from rankweave.operators.prompt import conversation_requests
 from rankweave.plans import sql
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import REQUESTS
 from rankweave.plans.tables import DIM, cases, conversations, embeddings, logs, now
-from rankweave.session import run_dir, spread
+from rankweave.schemas import DEFAULT_CONFIG
+from rankweave.session import run_dir
 from rankweave.sources import tables
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -141,7 +142,7 @@ SELECT case_id, dim::INT AS dim, round(value, 6) AS value FROM x WHERE value <>
 
 @query("hash_embed", _vector_sql(sql.hashed("v", "cases", "case_id", "treatment_plan")))
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(cases(spark, folder).select("case_id", "treatment_plan"), "case_id")
+    texts = cases(spark, folder).select("case_id", "treatment_plan")
     return _long(embed(texts, "treatment_plan", HashEmbedder(DIM)))
 
 
@@ -156,12 +157,32 @@ def embed_missing_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return missing_pairs(cases(spark, folder), embeddings(spark, folder), "3").select("case_id")
 
 
+UNSTORED = "NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = case_id AND label = 3)"
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The given vectors; those labelled 3 count as whole-case vectors."""
+    kind = F.when(F.col("embedding_type") == "3", "FullCase").otherwise(F.col("embedding_type"))
+    return embeddings(spark, folder).withColumn("embedding_type", kind)
+
+
 @query("embed_missing", _vector_sql(
-    f"todo AS (SELECT case_id, {FULL_TEXT} AS t FROM cases), " + sql.hashed("v", "todo", "case_id", "t")))
+    f"todo AS (SELECT case_id, {FULL_TEXT} AS t FROM cases WHERE {UNSTORED}), " + sql.hashed("v", "todo", "case_id", "t")))
 def embed_missing_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = spread(cases(spark, folder), "case_id")
-    stored = embeddings(spark, folder)
-    return _long(embed_missing(corpus, stored, "FullCase", HashEmbedder(DIM), now()))
+    return _long(embed_missing(cases(spark, folder), _stored(spark, folder), "FullCase", HashEmbedder(DIM), now()))
+
+
+@query("append_embeddings", _vector_sql(
+    f"todo AS (SELECT case_id, {FULL_TEXT} AS t FROM cases WHERE {UNSTORED}), " + sql.hashed("v", "todo", "case_id", "t")))
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    path = run_dir(spark, "vectors")
+    stored = _stored(spark, folder).select(
+        "case_id", "embedding", F.lit("given").alias("model_used"),
+        now().cast("timestamp").alias("created_date"), "embedding_type")
+    stored.write.partitionBy("embedding_type").parquet(path)
+    for _ in range(2):                                   # the second run finds nothing to do
+        append_embeddings(cases(spark, folder), path, "FullCase", HashEmbedder(DIM), now().cast("timestamp"))
+    return _long(spark.read.parquet(path).where("model_used <> 'given'"))
 
 
 @query("embedding_summary", """
@@ -262,3 +283,23 @@ def valid_requests(spark: SparkSession, folder: str) -> DataFrame:
 @query("rejected_requests", f"WITH {CHECKED} SELECT query_id, reasons FROM checked WHERE reasons <> ''")
 def rejected_requests(spark: SparkSession, folder: str) -> DataFrame:
     return quality.split_valid(_drafts(spark, folder))[1].select("query_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+SETTINGS_SQL = f"""{REQUESTS},
+open AS (SELECT query_id, CASE WHEN turn % 2 = 0 THEN 7 END AS top_n, CASE WHEN turn % 3 = 0 THEN 0.9::DOUBLE END AS vector_weight FROM requests)"""
+
+
+@query("requests_with_settings", f"""
+WITH {SETTINGS_SQL}
+SELECT query_id, coalesce(top_n, (SELECT (max(c_custkey) % 50 + 1)::INT FROM customer)) AS top_n, 'FullCase' AS embedding_type,
+       coalesce(vector_weight, 0.6::DOUBLE) AS vector_weight, 0.4::DOUBLE AS keyword_weight, 60 AS rrf_k FROM open""")
+def requests_with_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that leave settings open; one stored setting comes from the customer table, the rest are defaults."""
+    turns = conversation_requests(conversations(spark, folder))
+    requests = turns.select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("query_id"),
+        F.when(F.col("turn") % 2 == 0, 7).alias("top_n"), F.when(F.col("turn") % 3 == 0, 0.9).alias("vector_weight"))
+    defaults = spark.createDataFrame(list(DEFAULT_CONFIG.items()), "key string, value string")
+    stored = tables.read_table(spark, folder, "customer").agg(
+        (F.max("c_custkey") % 50 + 1).cast("string").alias("value")).select(F.lit("top_n").alias("key"), "value")
+    return tables.apply_settings(requests, tables.effective_config(defaults, stored))

@@ -17,7 +17,8 @@ from rankweave.plans.registry import query
 from rankweave.plans.tables import (
     DIM, TEXT_FIELDS, cases, conversations, embeddings, query_vector, vector_requests,
 )
-from rankweave.session import run_dir, spread, written
+from rankweave.schemas import INDEXED_FIELDS, SEARCHED_FIELDS
+from rankweave.session import run_dir, written
 
 CONDITION = '"re th" OR thtion OR onen'
 BOOLEAN = 'onen AND re AND NOT "the the" OR thtion AND er'
@@ -85,32 +86,59 @@ def knn_batch_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(hits, "vector_distance")
 
 
-def _ivf(spark: SparkSession, folder: str, nprobe: int) -> DataFrame:
+def _ivf_hits(spark: SparkSession, folder: str, nprobe: int) -> DataFrame:
     index = vectors.build_ivf(embeddings(spark, folder), run_dir(spark, "ivf-index"), 16)
-    hits = vectors.ivf_search(index, vector_requests(spark, folder), 10, nprobe)
-    return _rounded(hits, "vector_distance")
+    return vectors.ivf_search(index, vector_requests(spark, folder), 10, nprobe)
 
 
 @query("ivf_search_all_cells", _knn_sql(10, "true"))
 def ivf_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _ivf(spark, folder, 16)
+    return _rounded(_ivf_hits(spark, folder, 16), "vector_distance")
+
+
+@query("ivf_append_all_cells", _knn_sql(10, "true"))
+def ivf_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the vectors are indexed first and the others appended: as exact as a rebuild."""
+    path, rows = run_dir(spark, "ivf-index"), embeddings(spark, folder)
+    vectors.build_ivf(rows.where("case_id % 2 = 0"), path, 8)
+    index = vectors.append_ivf(rows.where("case_id % 2 <> 0"), path)
+    return _rounded(vectors.ivf_search(index, vector_requests(spark, folder), 10, 8), "vector_distance")
+
+
+def _true_distances(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    """The hits with `right`: whether a distance is that of the two vectors."""
+    v = written(embeddings(spark, folder).select("case_id", "embedding"), "vectors")
+    q = v.select(F.col("case_id").alias("query_id"), F.col("embedding").alias("asked"))
+    d = cosine_distance(F.col("embedding"), F.col("asked"))
+    return hits.join(v, "case_id").join(q, "query_id").withColumn("right", F.abs(d - F.col("vector_distance")) < 1e-9)
 
 
-@query("ivf_search")
+@query("ivf_search", """
+SELECT vec_id AS query_id, 10::BIGINT AS hits, true AS all_right, true AS finds_itself FROM embeddings""")
 def ivf_some(spark: SparkSession, folder: str) -> DataFrame:
-    return _ivf(spark, folder, 8)
+    """Half of the cells probed: ten hits each, with true distances, the vector itself among them."""
+    hits = _true_distances(spark, folder, _ivf_hits(spark, folder, 8))
+    return hits.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.bool_and("right").alias("all_right"),
+        F.bool_or(F.abs("vector_distance") < 1e-9).alias("finds_itself"))
 
 
-@query("ivf_recall")
+@query("ivf_recall", "SELECT true AS reaches_floor")
 def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the cells probed find at least 70 % of the true neighbours."""
     truth = vectors.knn_join(vector_requests(spark, folder), embeddings(spark, folder), 10)
-    return vectors.recall(_ivf(spark, folder, 8), truth)
+    found = vectors.recall(_ivf_hits(spark, folder, 8), truth)
+    return found.select((F.col("recall") >= 0.7).alias("reaches_floor"))
 
 
-@query("lsh_search")
+@query("lsh_search", "SELECT true AS all_right, true AS finds_itself, true AS at_most_ten")
 def lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors in the stored buckets of the question: true distances, the vector itself first."""
     q, _ = query_vector(spark, folder)
-    return vectors.lsh_search(embeddings(spark, folder), q, 10)
+    index = vectors.build_lsh(embeddings(spark, folder), run_dir(spark, "lsh"))
+    hits = _true_distances(spark, folder, vectors.lsh_search(index, q, 10).withColumn("query_id", F.lit(0).cast("long")))
+    return hits.agg(F.bool_and("right").alias("all_right"), F.bool_or(F.abs("vector_distance") < 1e-9).alias("finds_itself"),
+                    (F.count(F.lit(1)) <= 10).alias("at_most_ten"))
 
 
 # ---- keyword ----
@@ -154,14 +182,24 @@ def keyword_two_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("keyword_index_search", _kw_sql(CONDITION))
 def keyword_index_search(spark: SparkSession, folder: str) -> DataFrame:
-    index = keyword.build_index(
-        cases(spark, folder), run_dir(spark, "postings"), ("chief_complaint", "treatment_plan"), buckets=16, shards=4)
+    index = keyword.build_index(cases(spark, folder), run_dir(spark, "postings"), INDEXED_FIELDS, buckets=16)
     return keyword.keyword_search(index, CONDITION, fields=TEXT_FIELDS)
 
 
+@query("keyword_index_four_fields", _kw_sql('"re th" OR thtion AND NOT onen', SEARCHED_FIELDS))
+def keyword_index_four_fields(spark: SparkSession, folder: str) -> DataFrame:
+    index = keyword.build_index(cases(spark, folder), run_dir(spark, "postings"), INDEXED_FIELDS, buckets=16)
+    return keyword.keyword_search(index, '"re th" OR thtion AND NOT onen', fields=SEARCHED_FIELDS)
+
+
+@query("keyword_four_fields", _kw_sql('"re th" OR thtion AND NOT onen', SEARCHED_FIELDS))
+def keyword_four_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.keyword_scan(cases(spark, folder), SEARCHED_FIELDS, '"re th" OR thtion AND NOT onen')
+
+
 @query("keyword_index_prefix", _kw_sql("eri* OR onen", prefix=True))
 def keyword_index_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    index = keyword.build_index(cases(spark, folder), run_dir(spark, "postings"), TEXT_FIELDS, buckets=16, shards=4)
+    index = keyword.build_index(cases(spark, folder), run_dir(spark, "postings"), TEXT_FIELDS, buckets=16)
     return keyword.keyword_search(index, "eri* OR onen")
 
 
@@ -171,7 +209,7 @@ WITH t AS (SELECT doc_id AS case_id, unnest(ws) AS term, generate_subscripts(ws,
 SELECT term, case_id, count(*)::INT AS tf, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos
 FROM t WHERE term NOT IN ({sql.STOPS}) GROUP BY term, case_id""")
 def postings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = keyword.build_postings(spread(cases(spark, folder).select("case_id", *TEXT_FIELDS), "case_id"), TEXT_FIELDS)
+    rows = keyword.build_postings(cases(spark, folder), TEXT_FIELDS)
     return rows.select("term", "case_id", "tf", F.element_at("positions", 1).alias("first_pos"),
                        F.element_at("positions", -1).alias("last_pos"))
 
@@ -193,6 +231,25 @@ def freetext_filter(spark: SparkSession, folder: str) -> DataFrame:
     ).select("case_id", "diagnosis")
 
 
+@query("contains_index", f"""
+WITH {sql.CASES}, {sql.keyword(sql.one('"re th" OR onen AND er AND NOT ing'), SEARCHED_FIELDS)}
+SELECT c.case_id, c.chief_complaint, c.diagnosis FROM cases c WHERE c.case_id IN (SELECT case_id FROM kw)""")
+def contains_index(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = cases(spark, folder)
+    index = keyword.build_index(corpus, run_dir(spark, "postings"), SEARCHED_FIELDS, buckets=16)
+    return keyword.contains_index(index, corpus, '"re th" OR onen AND er AND NOT ing').select(
+        "case_id", "chief_complaint", "diagnosis")
+
+
+@query("freetext_index", f"""
+SELECT doc_id AS case_id, source AS diagnosis FROM documents
+WHERE list_has_any({sql.words('text')}, ['thtion', 'eriner', 'hehely'])""")
+def freetext_index(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = cases(spark, folder)
+    index = keyword.build_index(corpus, run_dir(spark, "postings"), SEARCHED_FIELDS, buckets=16)
+    return keyword.freetext_index(index, corpus, "the Thtion of an eriner, hehely").select("case_id", "diagnosis")
+
+
 # ---- conversation turns as a batch of requests ----
 
 REQUESTS = r"""turns AS (
@@ -210,7 +267,7 @@ def turn_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def case_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(cases(spark, folder).select("case_id", "treatment_plan"), "case_id")
+    texts = cases(spark, folder).select("case_id", "treatment_plan")
     return embed(texts, "treatment_plan", HashEmbedder(DIM)).select(
         "case_id", F.lit("FullCase").alias("embedding_type"), "embedding")
 
@@ -253,18 +310,65 @@ def hybrid_turns(spark: SparkSession, folder: str, requests: DataFrame | None =
     requests = requests if requests is not None else turn_requests(spark, folder)
     corpus = cases(spark, folder)
     return fusion.hybrid_search_batch(
-        keyword.scan_index(corpus, TEXT_FIELDS), case_vectors(spark, folder), corpus, requests, fk_enforced=True)
+        keyword.scan_index(corpus, TEXT_FIELDS), case_vectors(spark, folder), corpus, requests, fk_enforced=True).hits
+
 
+def _shown(hits: DataFrame) -> DataFrame:
+    return _rounded(hits, "vector_distance").select(
+        "query_id", "case_id", "rank", "vector_distance", "keyword_score",
+        F.round("hybrid_score", 10).alias("hybrid_score"), "patient_age", "gender", "diagnosis")
 
-@query("hybrid_batch", f"""
+
+HYBRID_BATCH_SQL = f"""
 WITH {HYBRID_BATCH}
 SELECT query_id, case_id, rank::INT AS rank, round(vector_distance, 8) AS vector_distance, keyword_score,
        round(hybrid_score, 10) AS hybrid_score, patient_age, gender, diagnosis
-FROM top JOIN cases USING (case_id)""")
+FROM top JOIN cases USING (case_id)"""
+
+
+@query("hybrid_batch", HYBRID_BATCH_SQL)
 def hybrid_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(hybrid_turns(spark, folder), "vector_distance").select(
-        "query_id", "case_id", "rank", "vector_distance", "keyword_score",
-        F.round("hybrid_score", 10).alias("hybrid_score"), "patient_age", "gender", "diagnosis")
+    return _shown(hybrid_turns(spark, folder))
+
+
+@query("hybrid_ivf_all_cells", HYBRID_BATCH_SQL)
+def hybrid_ivf(spark: SparkSession, folder: str) -> DataFrame:
+    """`hybrid_batch` with its vector side on an IVF index, all cells probed."""
+    corpus = cases(spark, folder)
+    index = vectors.build_ivf(case_vectors(spark, folder), run_dir(spark, "ivf-index"), 8)
+    return _shown(fusion.hybrid_search_batch(
+        keyword.scan_index(corpus, TEXT_FIELDS), index, corpus, turn_requests(spark, folder), fk_enforced=True, nprobe=8).hits)
+
+
+ORPHANS = HYBRID_BATCH.replace("vr AS (SELECT *, row_number()", "vc AS (SELECT *, row_number()").replace(
+    "QUALIFY vrank <= 50),\n" + KW_BATCH,
+    "QUALIFY vrank <= 50),\nvr AS (SELECT query_id, case_id, vector_distance, row_number() OVER (PARTITION BY query_id ORDER BY vector_distance, case_id) AS vrank\n"
+    "  FROM vc WHERE case_id IN (SELECT case_id FROM cases)),\n" + KW_BATCH).replace(
+    sql.hashed('dv', 'cases', 'case_id', 'treatment_plan'), "dv AS (SELECT vec_id * 2 AS case_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+
+
+@query("hybrid_batch_orphans", f"""
+WITH {ORPHANS}
+SELECT query_id, case_id, rank::INT AS rank, round(vector_distance, 8) AS vector_distance, keyword_score,
+       round(hybrid_score, 10) AS hybrid_score, patient_age, gender, diagnosis
+FROM top JOIN cases USING (case_id)""")
+def hybrid_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the vectors belong to no case."""
+    corpus = cases(spark, folder)
+    stored = embeddings(spark, folder).select(
+        (F.col("case_id") * 2).alias("case_id"), F.lit("FullCase").alias("embedding_type"), "embedding")
+    return _shown(fusion.hybrid_search_batch(
+        keyword.scan_index(corpus, TEXT_FIELDS), stored, corpus, turn_requests(spark, folder)).hits)
+
+
+@query("rejected_from_batch", f"""
+WITH {REQUESTS} SELECT query_id, 'top_n' AS reasons FROM requests WHERE turn * 40 > 100 OR turn * 40 < 1""")
+def rejected_from_batch(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = cases(spark, folder)
+    requests = turn_requests(spark, folder).withColumn("top_n", (F.col("turn") * 40).cast("int"))
+    found = fusion.hybrid_search_batch(
+        keyword.scan_index(corpus, TEXT_FIELDS), case_vectors(spark, folder), corpus, requests, fk_enforced=True)
+    return found.rejected.select("query_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 PROMPTS = f"""{HYBRID_BATCH},
@@ -300,9 +404,39 @@ SELECT query_id, '2 messages, ' || length({sql.user_prompt('query_text', "coales
        NULL::VARCHAR AS error
 FROM requests LEFT JOIN ctx USING (query_id)""")
 def rag_batch(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = cases(spark, folder)
+    found = prompt.rag_search_batch(keyword.scan_index(corpus, TEXT_FIELDS), case_vectors(spark, folder), corpus,
+                                    turn_requests(spark, folder), local_client, fk_enforced=True)
+    return found.summary.drop("latency_ms")
+
+
+def failing_client():
+    """A stand-in model that fails for every prompt with a 7 in it."""
+    answer = local_client()
+
+    def call(payloads: list[str]) -> list[str]:
+        if any("7" in json.loads(p)["messages"][-1]["content"].split("\r")[0] for p in payloads):
+            raise RuntimeError("no answer")
+        return answer(payloads)
+
+    return call
+
+
+@query("rag_logged", f"""
+WITH {REQUESTS}, ended AS (SELECT *, CASE WHEN turn > 4 THEN 'invalid: top_n' WHEN contains(query_text, '7') THEN 'no answer' END AS e FROM requests)
+SELECT query_id AS id, 'rag' AS query_type, query_text AS patient_description, keyword_search, (CASE WHEN turn > 4 THEN 500 ELSE 5 END)::INT AS top_n,
+       0.6::DOUBLE AS vector_weight, CASE WHEN e IS NULL THEN 'success' ELSE 'error' END AS status, e AS error_message, e IS NULL AS has_latency
+FROM ended""")
+def rag_logged(spark: SparkSession, folder: str) -> DataFrame:
+    """The query log of a batch of questions, some invalid, some failing in the model."""
+    corpus = cases(spark, folder)
     requests = turn_requests(spark, folder)
-    prompts = prompt.build_prompt(requests, hybrid_turns(spark, folder, requests))
-    return prompt.answers(prompts, local_client)
+    requests = requests.withColumn("top_n", F.when(F.col("turn") > 4, 500).otherwise(F.col("top_n")).cast("int"))
+    found = prompt.rag_search_batch(keyword.scan_index(corpus, TEXT_FIELDS), case_vectors(spark, folder), corpus,
+                                    requests, failing_client, fk_enforced=True)
+    log = prompt.log_rows(requests, found.summary, "rag", F.current_timestamp(), found.rejected)
+    return log.select("id", "query_type", "patient_description", "keyword_search", "top_n", "vector_weight", "status",
+                      "error_message", F.col("latency_ms").isNotNull().alias("has_latency"))
 
 
 # ---- hybrid, one question ----
@@ -441,4 +575,46 @@ WITH {NUMBERED}, ctx AS (SELECT string_agg({sql.case_block()}, '' ORDER BY rank)
 SELECT '2 messages, ' || length({sql.user_prompt(f"'{QUESTION}'", 'context')}) || ' characters' AS clinical_summary,
        NULL::VARCHAR AS error FROM ctx""")
 def rag_answer(spark: SparkSession, folder: str) -> DataFrame:
-    return _rag(spark, folder).summary
+    return _rag(spark, folder).summary.drop("latency_ms")
+
+
+# ---- a text as the question ----
+
+ASKED = f"""question AS (SELECT 0 AS qid, '{QUESTION}' AS t), {sql.hashed('qv', 'question', 'qid', 't')}"""
+TEXT_NEAR = f"""near AS (
+  SELECT vec_id AS case_id, {sql.distance('e.embedding', 'q.embedding')} AS vector_distance FROM embeddings e, qv q WHERE label = {QTYPE})"""
+
+
+@query("find_similar_text", f"""
+WITH {sql.CASES}, {ASKED}, {TEXT_NEAR}
+SELECT {RESULT}, round(1 - n.vector_distance, 8) AS similarity FROM near n JOIN cases c USING (case_id)
+ORDER BY n.vector_distance, c.case_id LIMIT 10""")
+def find_similar_text(spark: SparkSession, folder: str) -> DataFrame:
+    _, etype = query_vector(spark, folder)
+    hits = fusion.find_similar_text(embeddings(spark, folder), cases(spark, folder), QUESTION, HashEmbedder(DIM), 10, etype,
+                                    known_types=None)
+    return _rounded(hits, "similarity")
+
+
+TEXT_TOP = HYBRID_TOP.replace(NEAR, f"{ASKED}, {TEXT_NEAR}")
+
+
+@query("hybrid_text", f"""
+WITH {TEXT_TOP}
+SELECT {RESULT}, round(t.vector_distance, 8) AS vector_distance, t.keyword_score, round(t.hybrid_score, 10) AS hybrid_score
+FROM top t JOIN cases c USING (case_id)""")
+def hybrid_text(spark: SparkSession, folder: str) -> DataFrame:
+    _, etype = query_vector(spark, folder)
+    hits = fusion.hybrid_search_text(embeddings(spark, folder), cases(spark, folder), QUESTION, CONDITION, HashEmbedder(DIM),
+                                     10, embedding_type=etype, fields=TEXT_FIELDS, known_types=None)
+    return _rounded(hits, "vector_distance").withColumn("hybrid_score", F.round("hybrid_score", 10))
+
+
+@query("rag_text", f"""
+WITH {TEXT_TOP}
+SELECT t.case_id, c.severity, t.keyword_score, round(t.hybrid_score, 4) AS hybrid_score FROM top t JOIN cases c USING (case_id)""")
+def rag_text(spark: SparkSession, folder: str) -> DataFrame:
+    _, etype = query_vector(spark, folder)
+    found = prompt.rag_search_text(embeddings(spark, folder), cases(spark, folder), QUESTION, CONDITION, local_client,
+                                   HashEmbedder(DIM), 10, embedding_type=etype, fields=TEXT_FIELDS, known_types=None)
+    return found.cases.select("case_id", "severity", "keyword_score", "hybrid_score")

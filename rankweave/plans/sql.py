@@ -101,8 +101,7 @@ def rrf(vr: str, kr: str, wv: str, wk: str, k: str = "60") -> str:
 def case_block() -> str:
     parts = ["'Case '", "rank::VARCHAR", "':' || chr(13)"]
     for label, name, default in BLOCK_LINES:
-        value = f"{name}::VARCHAR"
-        parts += [f"'{label}'", value if default is None else f"coalesce({value}, '{default}')", "chr(13)"]
+        parts += [f"'{label}'", f"coalesce({name}::VARCHAR, '{default}')", "chr(13)"]
     score = r"regexp_replace(round(hybrid_score, 4)::DECIMAL(10,4)::VARCHAR, '\.?0+$', '')"
     return " || ".join([*parts, "'  Hybrid Score: '", score, "chr(13) || chr(13)"])
 

@@ -46,15 +46,6 @@ QUERY_LOG = T.StructType([
     T.StructField("created_at", T.TimestampType(), False),
 ])
 
-USERS = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("email", T.StringType(), False),
-    T.StructField("full_name", T.StringType(), True),
-    T.StructField("role", T.StringType(), False),
-    T.StructField("is_active", T.BooleanType(), False),
-    T.StructField("created_at", T.TimestampType(), False),
-])
-
 CONFIG = T.StructType([
     T.StructField("key", T.StringType(), False),
     T.StructField("value", T.StringType(), False),
@@ -62,17 +53,6 @@ CONFIG = T.StructType([
     T.StructField("updated_at", T.TimestampType(), False),
 ])
 
-REQUESTS = T.StructType([
-    T.StructField("query_id", T.LongType(), False),
-    T.StructField("query_text", T.StringType(), True),
-    T.StructField("keyword_search", T.StringType(), True),
-    T.StructField("top_n", T.IntegerType(), True),
-    T.StructField("embedding_type", T.StringType(), True),
-    T.StructField("vector_weight", T.DoubleType(), True),
-    T.StructField("keyword_weight", T.DoubleType(), True),
-    T.StructField("rrf_k", T.IntegerType(), True),
-])
-
 # Retrieval rows: every search returns a subset of these, in this order.
 RESULT_COLS = [
     ("case_id", "long"), ("patient_age", "int"), ("gender", "string"),
@@ -86,12 +66,10 @@ CASE_COLS = [name for name, _ in RESULT_COLS[:7]]
 EMBEDDING_TYPES = ("FullCase", "SymptomsOnly", "DiagnosisOnly", "TreatmentOnly", "OutcomeOnly")
 QUERY_TYPES = ("rag", "vector", "hybrid")
 STATUSES = ("success", "error")
-ROLES = ("admin", "clinician")
 INDEXED_FIELDS = ("chief_complaint", "symptoms", "medical_history", "diagnosis",
                   "treatment_plan", "outcome")
 SEARCHED_FIELDS = ("chief_complaint", "symptoms", "diagnosis", "treatment_plan")
 DEFAULT_CONFIG = {"top_n": "5", "embedding_type": "FullCase", "vector_weight": "0.6",
                   "keyword_weight": "0.4", "rrf_k": "60"}
-MODEL_NAME = "text-embedding-3-small"
 CANDIDATES = 50
 MISSING_RANK = 9999

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "rankweave", **conf: str) -> SparkSession:
@@ -66,9 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+_runs: list[str] = []
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _runs.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -78,49 +82,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A table of at most this many estimated bytes per core is small enough to be spread.
-SPREAD_BYTES = 128 << 20
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a small frame over all cores.
-
-    A small file may be a single split, which keeps one core busy with all of its text. A
-    large table has splits enough and is returned untouched, so no shuffle is added there.
-    The size is the optimizer's estimate, nothing runs for it. Hashing the hash leaves later
-    exchanges on the same keys in place: operators place theirs after the rows have become
-    narrow.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_BYTES * cores:
-        return df
-    return df.repartition(cores, F.xxhash64(*keys))
-
-
-# Sides joined by broadcast are counted first and must stay below this many narrow rows.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side known to have at most `rows` rows, if that is few enough.
-
-    Beyond the bound the join is left to Spark: a shuffle join whose skewed partitions
-    AQE splits.
-    """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, salt: str = "case_id",
-               shards: int = 64) -> DataFrame:
-    """Join a large side with one of at most `rows` rows, whichever key is hot.
+def clear_runs(spark: SparkSession) -> None:
+    """Delete every folder `run_dir` has named in this application.
 
-    Few rows are broadcast and the large side stays where it is. Otherwise both sides
-    shuffle on the key and a hash of `salt`, a column of the large side: the small side is
-    copied to every shard, so no key meets in one task.
+    For jobs that have consumed their results: frames that read such a folder end with it.
     """
-    if rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on)
-    shard = F.pmod(F.xxhash64(salt), F.lit(shards)).cast("int")
-    copies = small.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return big.withColumn("_shard", shard).join(copies, [*on, "_shard"]).drop("_shard")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _runs:
+        path = jvm.org.apache.hadoop.fs.Path(_runs.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -94,15 +94,25 @@ def read_query_log(spark: SparkSession, path: str, since: Column | None = None)
     return log
 
 
-def missing_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of `new` whose key is not in `existing`; one row per key."""
-    return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def one_per_key(df: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """One row per key: the greatest by `order_col`, then by the other columns in their order."""
+    rest = [c for c in df.columns if c not in keys and c != order_col]
+    rest = ([order_col] if order_col and order_col not in keys else []) + rest
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row"))
+    return best.select(*[c if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns])
+
+
+def missing_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """Rows of `new` whose key is not in `existing`; of a repeated key the greatest row, by `order_col` first."""
+    return one_per_key(new, keys, order_col).join(existing.select(*keys), list(keys), "left_anti")
 
 
 def append_missing(new: DataFrame, existing: DataFrame, keys: Sequence[str], path: str,
-                   partition_by: Sequence[str] = ()) -> None:
+                   partition_by: Sequence[str] = (), order_col: str | None = None) -> None:
     """Insert only what is not there yet; running it again adds nothing."""
-    missing_rows(new, existing, keys).write.mode("append").partitionBy(*partition_by).parquet(path)
+    missing_rows(new, existing, keys, order_col).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def seed_defaults(spark: SparkSession, path: str, schema: T.StructType, rows: DataFrame, key: str) -> None:
@@ -129,8 +139,10 @@ def upsert_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], orde
 
 
 def write_version(df: DataFrame, path: str) -> int:
-    """Write the next version of a small table. Earlier versions stay for running readers,
-    and of two writers of one version the second fails."""
+    """Write the next version of a small table. Earlier versions stay for running readers.
+
+    One writer at a time is required: of two that start together both may take the number.
+    """
     spark = df.sparkSession
     number = latest_version(spark, path) + 1
     df.write.parquet(f"{path}/version={number}")
@@ -166,6 +178,21 @@ def effective_config(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     return defaults.join(stored, "key", "left").select("key", F.coalesce("stored", "value").alias("value"))
 
 
+def apply_settings(requests: DataFrame, config: DataFrame) -> DataFrame:
+    """`requests` with the settings they leave open taken from (key, value) `config`.
+
+    The few settings reach every row as one scalar.
+    """
+    kinds = {"top_n": "int", "embedding_type": "string", "vector_weight": "double", "keyword_weight": "double", "rrf_k": "int"}
+    one = config.agg(F.struct(*[
+        F.max(F.when(F.col("key") == name, F.col("value"))).cast(kind).alias(name) for name, kind in kinds.items()
+    ]).alias("s")).scalar()
+    return requests.withColumns({
+        name: F.coalesce(F.col(name).cast(kind), one[name]) if name in requests.columns else one[name]
+        for name, kind in kinds.items()
+    })
+
+
 def config_updates(changes: dict, updated_by: int, now: Column, spark: SparkSession) -> DataFrame:
     """Update rows of one settings change; settings left at None stay out."""
     rows = [(k, str(v)) for k, v in changes.items() if v is not None]

@@ -6,14 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from rankweave.functions.text import STOP_WORDS, compose_text, kept_words, words
+from rankweave.functions.text import STOP_WORDS, compose_text
 from rankweave.operators.analytics import rate_violations
 from rankweave.operators.embed import embed
-from rankweave.operators.keyword import CASE_SHARDS, TERM_BUCKETS, KeywordIndex, build_postings
+from rankweave.operators.keyword import (
+    POSTINGS, TERM_BUCKETS, KeywordIndex, build_postings, case_lengths, write_postings, write_vocabulary,
+)
 from rankweave.schemas import INDEXED_FIELDS
-from rankweave.sources.tables import read_or_empty
+from rankweave.sources.tables import one_per_key, read_or_empty
 
 
 def stream_usage(logs: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
@@ -27,7 +30,7 @@ def stream_usage(logs: DataFrame, watermark: str = "1 hour", window: str = "1 da
 
 def stream_rate_violations(logs: DataFrame, limit: int = 10, window: str = "1 minute",
                            watermark: str = "10 minutes") -> DataFrame:
-    """`rate_violations` on a stream, in closed windows."""
+    """`rate_violations` on a stream; a window appears once it is closed, the last ones stay open."""
     return rate_violations(logs.withWatermark("created_at", watermark), limit, window)
 
 
@@ -40,95 +43,123 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequ
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
-def stream_append_log(logs: DataFrame, path: str, checkpoint: str, watermark: str = "1 day") -> DataStreamWriter:
-    """Append log rows once per id, by day; a repeat within the watermark is dropped."""
-    once = logs.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
-    return to_parquet(once.withColumn("event_date", F.to_date("created_at")), path, checkpoint, ["event_date"])
+def stream_append_log(logs: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Append log rows once per id, by day, however late they come.
+
+    A micro-batch writes its own folder batch_id=N and leaves out ids that earlier batches
+    have stored for the same days; a row that comes again carries the same time. Of repeats in
+    one batch the latest stays. A replayed batch overwrites its own folder.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = one_per_key(batch, ["id"], "created_at").withColumn("event_date", F.to_date("created_at"))
+        schema = rows.select("id", "event_date").schema.add("batch_id", T.IntegerType())
+        stored = read_or_empty(batch.sparkSession, path, schema).where(F.col("batch_id") < batch_id)
+        earlier = stored.join(rows.select("event_date").distinct(), "event_date", "left_semi").select("id")
+        rows.join(earlier, "id", "left_anti").write.mode("overwrite").partitionBy("event_date").parquet(
+            f"{path}/batch_id={batch_id}")
+
+    return logs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 # ---- incremental text index ----
 #
-# Each micro-batch writes its own folder batch_id=N of postings and of case versions and
-# touches no earlier one, so a batch costs what it brings, and a replayed batch overwrites
-# its own folder. Readers take, per case, the newest version.
+# Each micro-batch writes its own folder batch_id=N of postings, vocabulary and case versions
+# and touches no earlier one, so a batch costs what it brings, and a replayed batch overwrites
+# its own folder. Readers take, per case, the greatest version, whichever batch brought it.
 
 
 def write_index_batch(cases: DataFrame, batch_id: int, path: str, fields: Sequence[str], order_col: str,
                       stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS,
-                      shards: int = CASE_SHARDS) -> None:
-    """Index the cases of one micro-batch; of several versions of a case the newest counts."""
-    newest = cases.groupBy("case_id").agg(F.max(F.struct(order_col, *fields)).alias("c")).select("case_id", "c.*")
-    with_words = newest.select("case_id", *[words(F.col(f)).alias(f) for f in fields])
-    lengths = F.array(*[F.size(kept_words(f, stop_words)) for f in fields])
-    (
-        build_postings(newest, fields, stop_words, buckets, shards)
-        .sortWithinPartitions("term_bucket", "term", "case_id")
-        .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings/batch_id={batch_id}")
-    )
+                      deleted_col: str | None = None) -> None:
+    """Index the cases of one micro-batch; of several versions of a case the one greatest by `order_col` counts.
+
+    A row whose `deleted_col` is true takes its case out of the index.
+    """
+    gone = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
+    version = F.struct(F.col(order_col).alias("version"), gone.alias("deleted"), *fields)
+    newest = cases.groupBy("case_id").agg(F.max(version).alias("c")).select("case_id", "c.*")
+    live = newest.where("NOT deleted").select("case_id", *fields)
+    write_postings(build_postings(live, fields, stop_words, buckets), f"{path}/postings/batch_id={batch_id}")
+    postings = read_or_empty(cases.sparkSession, f"{path}/postings/batch_id={batch_id}", STORED_TERMS)
+    postings.distinct().write.mode("overwrite").parquet(f"{path}/vocabulary/batch_id={batch_id}")
     # The versions come last: they make the finished postings visible.
-    with_words.select("case_id", lengths.alias("lengths")).write.mode("overwrite").parquet(
+    lens = case_lengths(newest, fields, stop_words)
+    newest.select("case_id", "version", "deleted").join(lens, "case_id").write.mode("overwrite").parquet(
         f"{path}/versions/batch_id={batch_id}")
 
 
+STORED_TERMS = T.StructType([T.StructField("term_bucket", T.IntegerType()), T.StructField("term", T.StringType())])
+STREAMED_POSTINGS = POSTINGS + ", term_bucket int, batch_id long"
+
+
 def stream_index(cases: DataFrame, path: str, checkpoint: str, fields: Sequence[str] = INDEXED_FIELDS,
                  order_col: str = "updated_date", stop_words: Sequence[str] = STOP_WORDS,
-                 buckets: int = TERM_BUCKETS, shards: int = CASE_SHARDS) -> DataStreamWriter:
-    """Keep the text index up to date with a stream of new and changed cases."""
+                 buckets: int = TERM_BUCKETS, deleted_col: str | None = None) -> DataStreamWriter:
+    """Keep the text index up to date with a stream of new, changed and deleted cases."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_index_batch(batch, batch_id, path, fields, order_col, stop_words, buckets, shards)
+        write_index_batch(batch, batch_id, path, fields, order_col, stop_words, buckets, deleted_col)
 
     return cases.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def _current(versions: DataFrame) -> DataFrame:
+    """(case_id, batch_id, lens) of the cases that are there now."""
+    newest = versions.groupBy("case_id").agg(F.max(F.struct("version", "batch_id", "deleted", "lens")).alias("v"))
+    return newest.where("NOT v.deleted").select("case_id", "v.batch_id", "v.lens")
+
+
 def read_stream_index(spark: SparkSession, path: str, fields: Sequence[str] = INDEXED_FIELDS,
                       stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> KeywordIndex:
-    """The index as of now. Versions are checked only for postings that match a search."""
-    newest = spark.read.parquet(f"{path}/versions").groupBy("case_id").agg(
-        F.max(F.struct("batch_id", "lengths")).alias("v")).select("case_id", "v.batch_id", "v.lengths")
-    sums = newest.agg(
-        F.count(F.lit(1)).alias("n_cases"),
-        *[F.coalesce(F.sum(F.col("lengths")[i]), F.lit(0)).alias(f"len{i}") for i in range(len(fields))],
-    )
-    totals = sums.select("n_cases", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col(f"len{i}").alias("total_len")) for i, f in enumerate(fields)
-    ])))
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), totals, tuple(fields), tuple(stop_words),
-                        buckets, newest.select("case_id", "batch_id"))
+    """The index as of now. A search looks only at the versions of the cases it has matched."""
+    versions = spark.read.parquet(f"{path}/versions")
+    postings = spark.read.schema(STREAMED_POSTINGS).parquet(f"{path}/postings")
+    vocabulary = read_or_empty(spark, f"{path}/vocabulary", STORED_TERMS).distinct()
+    return KeywordIndex(tuple(fields), tuple(stop_words), postings=postings,
+                        lengths=_current(versions).select("case_id", "lens"), vocabulary=vocabulary, buckets=buckets,
+                        versions=versions)
 
 
 def compact_index(spark: SparkSession, path: str, target: str, fields: Sequence[str] = INDEXED_FIELDS,
-                  stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS,
-                  shards: int = CASE_SHARDS) -> None:
-    """Rewrite a streamed index without superseded postings, as `read_index` reads it."""
+                  stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> None:
+    """Rewrite a streamed index without superseded postings and deleted cases, as `read_index` reads it."""
     index = read_stream_index(spark, path, fields, stop_words, buckets)
-    (
-        index.postings.join(index.versions, ["case_id", "batch_id"], "left_semi").drop("batch_id")
-        .repartition("term_bucket", F.pmod(F.xxhash64("case_id"), F.lit(shards)))
-        .sortWithinPartitions("term_bucket", "term", "case_id")
-        .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{target}/postings")
-    )
-    index.totals.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
+    current = _current(index.versions)
+    kept = index.postings.join(current.select("case_id", "batch_id"), ["case_id", "batch_id"], "left_semi")
+    write_postings(kept.drop("batch_id"), f"{target}/postings")
+    current.select("case_id", "lens").write.mode("overwrite").parquet(f"{target}/lengths")
+    write_vocabulary(spark.read.schema(POSTINGS + ", term_bucket int").parquet(f"{target}/postings"), target)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{target}/settings")
 
 
 # ---- incremental embedding ----
 
-STREAMED_VECTORS = (
-    "case_id long, embedding_type string, embedding array<float>, model_used string, "
-    "created_date timestamp, batch_id int"
-)
+KEY_BUCKETS = 64
 
 
 def stream_embeddings(cases: DataFrame, path: str, checkpoint: str, embedding_type: str, embedder,
                       now: Column) -> DataStreamWriter:
-    """Embed cases that have no vector of this type yet; one folder per micro-batch."""
+    """Embed cases that have no vector of this type yet; one folder per micro-batch.
+
+    The keys of stored vectors are kept beside them by a hash of the case id, so a batch reads
+    the buckets of its own ids only. Of rows that repeat a case id the greatest is embedded.
+    """
+    def bucket(case_id: str) -> Column:
+        return F.pmod(F.xxhash64(case_id), F.lit(KEY_BUCKETS)).cast("int")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = read_or_empty(batch.sparkSession, path, batch.sparkSession.createDataFrame([], STREAMED_VECTORS).schema)
+        spark = batch.sparkSession
+        keys = spark.createDataFrame([], "case_id long, embedding_type string, batch_id int, bucket int").schema
+        rows = one_per_key(batch, ["case_id"]).withColumn("bucket", bucket("case_id"))
+        stored = read_or_empty(spark, f"{path}/_keys", keys)
         have = stored.where((F.col("batch_id") < batch_id) & (F.col("embedding_type") == embedding_type))
-        todo = batch.dropDuplicates(["case_id"]).join(have.select("case_id"), "case_id", "left_anti")
+        todo = rows.join(have.select("bucket", "case_id"), ["bucket", "case_id"], "left_anti")
         texts = todo.select("case_id", compose_text(embedding_type).alias("text")).where("text IS NOT NULL")
+        folder = f"{path}/batch_id={batch_id}"
         embed(texts, "text", embedder).select(
             "case_id", F.lit(embedding_type).alias("embedding_type"), "embedding",
             F.lit(embedder.model_name).alias("model_used"), now.alias("created_date"),
-        ).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        ).write.mode("overwrite").parquet(folder)
+        spark.read.parquet(folder).select("case_id", "embedding_type", bucket("case_id").alias("bucket")).write.mode(
+            "overwrite").partitionBy("bucket").parquet(f"{path}/_keys/batch_id={batch_id}")
 
     return cases.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import rrf_score
 from rankweave.operators import fusion
+from rankweave.operators.embed import HashEmbedder, embed
 from rankweave.operators.keyword import scan_index
+from rankweave.operators.vectors import build_ivf
 from rankweave.schemas import RESULT_COLS, SEARCHED_FIELDS
 from tests.conftest import rows_of
 from tests.test_vectors import HAND, SCHEMA
@@ -41,10 +43,10 @@ CONDITION = '"chest pain" OR "shortness of breath"'
 
 
 def test_hybrid_by_hand(vectors, cases):
-    # Vector ranks without the orphan 99: 17, 31, 45, 24, 32. Keyword ranks: 31 (both phrases), 17.
+    # Vector ranks without the orphan 99: 12, 31, 45, 26, 32. Keyword ranks: 31 (both phrases), 12.
     hits = fusion.hybrid_search(vectors, cases, [1, 0, 0, 0], CONDITION, 5)
-    want = {17: 0.6 / 61 + 0.4 / 62, 31: 0.6 / 62 + 0.4 / 61, 45: 0.6 / 63 + 0.4 / 10059,
-            24: 0.6 / 64 + 0.4 / 10059, 32: 0.6 / 65 + 0.4 / 10059}
+    want = {12: 0.6 / 61 + 0.4 / 62, 31: 0.6 / 62 + 0.4 / 61, 45: 0.6 / 63 + 0.4 / 10059,
+            26: 0.6 / 64 + 0.4 / 10059, 32: 0.6 / 65 + 0.4 / 10059}
     got = [(r.case_id, r.hybrid_score) for r in hits.collect()]
     assert [c for c, _ in got] == sorted(want, key=lambda c: (-want[c], c))
     for c, s in got:
@@ -54,17 +56,17 @@ def test_hybrid_by_hand(vectors, cases):
 
 def test_fused_ids_are_the_union(vectors, cases):
     ranks = fusion.hybrid_ranks(vectors, cases, [0, 0, 1, 0], "headache OR rest", "SymptomsOnly")
-    assert sorted(r.case_id for r in ranks.collect()) == [17, 24, 31, 45]
+    assert sorted(r.case_id for r in ranks.collect()) == [12, 26, 31, 45]
 
 
 def test_empty_vector_side(vectors, cases):
     hits = fusion.hybrid_search(vectors, cases, [1, 0, 0, 0], "headache", 5, "DiagnosisOnly").collect()
-    assert [(r.case_id, r.vector_distance) for r in hits] == [(24, None)]
+    assert [(r.case_id, r.vector_distance) for r in hits] == [(26, None)]
 
 
 def test_stop_words_only(vectors, cases):
     hits = fusion.hybrid_search(vectors, cases, [1, 0, 0, 0], "of the", 2).collect()
-    assert [r.case_id for r in hits] == [17, 31] and all(r.keyword_score is None for r in hits)
+    assert [r.case_id for r in hits] == [12, 31] and all(r.keyword_score is None for r in hits)
 
 
 @pytest.mark.parametrize("bad", [{"condition": " "}, {"n": 0}, {"n": 101}, {"rrf_k": 0}, {"query_text": " "}])
@@ -81,7 +83,7 @@ def test_batch_equals_single(spark, vectors, cases):
          (9, "rest", 2, "SymptomsOnly", 0.5, 0.5, 60, [0.0, 0.0, 1.0, 0.0])],
         "query_id long, keyword_search string, top_n int, embedding_type string, vector_weight double, "
         "keyword_weight double, rrf_k int, embedding array<float>")
-    batch = fusion.hybrid_search_batch(scan_index(cases, SEARCHED_FIELDS), vectors, cases, requests)
+    batch = fusion.hybrid_search_batch(scan_index(cases, SEARCHED_FIELDS), vectors, cases, requests).hits
     got = rows_of(batch.select("query_id", "rank", "case_id", F.round("hybrid_score", 12)), "query_id", "rank")
     want = []
     for r in requests.collect():
@@ -91,6 +93,40 @@ def test_batch_equals_single(spark, vectors, cases):
     assert got == want
 
 
+def test_batch_rejects_bad_requests(spark, vectors, cases):
+    good = [1.0, 0.0, 0.0, 0.0]
+    rows = [(1, "chest", 3, good), (2, "chest", None, good), (3, "chest", 100_000, good), (4, "chest", 3, None),
+            (5, "chest", 3, [0.0] * 4)]
+    requests = spark.createDataFrame(rows, "query_id long, keyword_search string, top_n int, embedding array<float>").selectExpr(
+        "*", "'FullCase' AS embedding_type", "0.6D AS vector_weight", "0.4D AS keyword_weight", "60 AS rrf_k")
+    found = fusion.hybrid_search_batch(scan_index(cases, SEARCHED_FIELDS), vectors, cases, requests)
+    assert {r.query_id for r in found.hits.collect()} == {1}
+    assert {r.query_id: r.reasons for r in found.rejected.collect()} == {2: ["top_n"], 3: ["top_n"], 4: ["embedding"], 5: ["embedding"]}
+
+
+def test_batch_on_an_ivf_index(spark, vectors, cases, tmp_path):
+    requests = spark.createDataFrame([(7, CONDITION, 3, "FullCase", 0.6, 0.4, 60, [1.0, 0.0, 0.0, 0.0])],
+        "query_id long, keyword_search string, top_n int, embedding_type string, vector_weight double, "
+        "keyword_weight double, rrf_k int, embedding array<float>")
+    words = scan_index(cases, SEARCHED_FIELDS)
+    exact = fusion.hybrid_search_batch(words, vectors, cases, requests).hits
+    index = build_ivf(vectors, str(tmp_path), 2)
+    found = fusion.hybrid_search_batch(words, index, cases, requests, nprobe=2).hits
+    assert rows_of(found, "rank") == rows_of(exact, "rank") and exact.count() == 3
+
+
+def test_search_by_text(spark, cases):
+    texts = cases.select("case_id", F.lit("FullCase").alias("embedding_type"), "symptoms")
+    stored = embed(texts, "symptoms", HashEmbedder(16))
+    near = fusion.find_similar_text(stored, cases, "vomiting", HashEmbedder(16), 1).first()
+    assert near.case_id == 26 and near.similarity == pytest.approx(1.0)
+    top = fusion.hybrid_search_text(stored, cases, "vomiting at night", "headache", HashEmbedder(16), 1).first()
+    assert top.case_id == 26
+    for bad in (" ", None):
+        with pytest.raises(ValueError):
+            fusion.find_similar_text(stored, cases, bad, HashEmbedder(16))
+
+
 def test_weight_sweep_and_comparison(spark):
     ranks = spark.createDataFrame(
         [(1, 0.1, 1, None, None), (2, 0.2, 2, 5.0, 1), (3, None, None, 4.0, 2)],

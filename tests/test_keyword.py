@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from rankweave.functions.text import STOP_WORDS
 from rankweave.operators import keyword as K
@@ -120,16 +119,38 @@ def test_batch_equals_brute_force(spark, table, corpus):
         close(got.get(q, {}), py_search(corpus, condition))
 
 
-def test_batch_without_broadcasts(spark, table, corpus, monkeypatch):
-    monkeypatch.setattr("rankweave.session.BROADCAST_ROWS", -1)
+def test_batch_without_broadcasts_and_in_small_pieces(spark, table, corpus, monkeypatch):
+    monkeypatch.setattr(K, "TILE_WORDS", 50)
+    monkeypatch.setattr(K, "BLOCK_QUESTIONS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        requests = spark.createDataFrame(list(enumerate(CONDITIONS)), "query_id long, keyword_search string")
+        got = {}
+        for q, case, score in rows_of(K.keyword_search_batch(K.scan_index(table, FIELDS), requests)):
+            got.setdefault(q, {})[case] = score
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for q, condition in enumerate(CONDITIONS):
+        close(got.get(q, {}), py_search(corpus, condition))
+
+
+@pytest.mark.parametrize("hits", [200_000, 7])
+def test_stored_batch_equals_brute_force(spark, stored, corpus, hits, monkeypatch):
+    monkeypatch.setattr(K, "PACK_HITS", hits)
     requests = spark.createDataFrame(list(enumerate(CONDITIONS)), "query_id long, keyword_search string")
     got = {}
-    for q, case, score in rows_of(K.keyword_search_batch(K.scan_index(table, FIELDS), requests)):
+    for q, case, score in rows_of(K.keyword_search_batch(stored, requests)):
         got.setdefault(q, {})[case] = score
     for q, condition in enumerate(CONDITIONS):
         close(got.get(q, {}), py_search(corpus, condition))
 
 
+def test_no_requests(spark, table, stored):
+    none = spark.createDataFrame([], "query_id long, keyword_search string")
+    assert K.keyword_topk(K.scan_index(table, FIELDS), none, 3).collect() == []
+    assert K.keyword_topk(stored, none, 3).collect() == []
+
+
 def test_many_leaves(spark, table, corpus):
     condition = " OR ".join(f"w{i}" for i in range(80)) + " OR chest AND pain"
     requests = spark.createDataFrame([(1, condition)], "query_id long, keyword_search string")
@@ -139,7 +160,7 @@ def test_many_leaves(spark, table, corpus):
 
 @pytest.fixture(scope="module")
 def stored(table, tmp_path_factory):
-    return K.build_index(table, str(tmp_path_factory.mktemp("index")), FIELDS, buckets=8, shards=3)
+    return K.build_index(table, str(tmp_path_factory.mktemp("index")), FIELDS, buckets=8)
 
 
 @pytest.mark.parametrize("condition", ["chest pain", '"shortness of breath"', "he* AND NOT cough"])
@@ -148,9 +169,19 @@ def test_stored_index(stored, corpus, condition, fields):
     close(dict(rows_of(K.keyword_search(stored, condition, fields=fields))), py_search(corpus, condition, fields))
 
 
-def test_stored_index_prunes_buckets(stored):
-    hits = K.keyword_search(stored, "chest")
-    assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", plan_of(hits))
+def test_stored_index_prunes_buckets(stored, table):
+    assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", plan_of(K.freetext_index(stored, table, "chest")))
+
+
+@pytest.mark.parametrize("condition", ["chest pain", '"shortness of breath" AND NOT pain', "he* AND NOT cough"])
+def test_filters_by_index_equal_filters_by_scan(stored, table, condition):
+    assert rows_of(K.contains_index(stored, table, condition), "case_id") == rows_of(
+        K.contains_filter(table, FIELDS, condition), "case_id")
+    plain = condition.replace("*", "")
+    for fields in (FIELDS, ("title",)):
+        assert rows_of(K.freetext_index(stored, table, plain, fields), "case_id") == rows_of(
+            K.freetext_filter(table, fields, plain), "case_id")
+    assert K.freetext_index(stored, table, "of the").count() == 0
 
 
 def test_limit_breaks_ties_by_id(table):
@@ -164,8 +195,7 @@ def test_scan_reads_the_text_once(table):
     assert "ReusedExchange" in plan_of(hits) or "ReusedExchange" in hits._jdf.queryExecution().toString()
 
 
-def test_single_question_shuffles_no_text(table, monkeypatch):
-    monkeypatch.setattr("rankweave.session.SPREAD_BYTES", 0)
+def test_single_question_shuffles_no_text(table):
     plan = plan_of(K.keyword_scan(table, FIELDS, "chest"))
     for line in plan.splitlines():
         if "Exchange hashpartitioning" in line:
@@ -184,7 +214,7 @@ def test_leaves_split_the_same_in_both_forms(spark):
 def test_contains_and_freetext(cases):
     fields = ["chief_complaint", "symptoms"]
     got = K.contains_filter(cases, fields, '"chest pain" OR "shortness of breath"')
-    assert sorted(r.case_id for r in got.collect()) == [17, 31]
+    assert sorted(r.case_id for r in got.collect()) == [12, 31]
     assert got.columns == cases.columns
     free = K.freetext_filter(cases, fields, "the patient cannot breathe, dyspnee")
     assert sorted(r.case_id for r in free.collect()) == [31, 32]
@@ -210,6 +240,6 @@ def test_result_does_not_depend_on_partitions(spark, table):
 
 def test_postings(spark, cases):
     rows = K.build_postings(cases, ("symptoms",)).where("term = 'chest'").select("case_id", "tf", "positions")
-    assert rows_of(rows, "case_id") == [(17, 1, [0]), (31, 1, [3]), (45, 1, [4])]
-    lens = K.build_postings(cases, ("symptoms",)).where("case_id = 45").select(F.col("field_lens")["symptoms"]).first()[0]
-    assert lens == 2
+    assert rows_of(rows, "case_id") == [(12, 1, [0]), (31, 1, [3]), (45, 1, [4])]
+    assert rows_of(K.case_lengths(cases, ("symptoms", "outcome")).where("case_id = 45")) == [(45, [2, 0])]
+    assert "Exchange" not in plan_of(K.build_postings(cases, ("symptoms",)))

@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rankweave.operators import analytics, keyword, quality, vectors
-from rankweave.session import join_small, shared_dir, spread
+from rankweave.session import clear_runs, run_dir, shared_dir
 from rankweave.sources.tables import upsert_latest
 from tests.conftest import plan_of, rows_of
 from tests.test_vectors import HAND, SCHEMA
@@ -26,15 +27,12 @@ def scans(plan):
 
 def test_hit_ids_reach_the_case_scan(stored):
     cases, rows = stored
-    plan = plan_of(vectors.find_similar(rows, cases, [1, 0, 0, 0], 3))
-    assert any("EqualTo(case_id,17)" in line for line in scans(plan))
-
-
-def test_many_hits_skip_the_literal_filter(spark):
-    cases = spark.range(500).withColumnRenamed("id", "case_id")
-    hits = spark.range(300).select(F.col("id").alias("case_id"), F.lit(0.5).alias("vector_distance"))
-    assert vectors.look_up(cases, hits, 300).count() == 300
-    assert vectors.look_up(cases, hits.limit(0), 5).count() == 0
+    hits = vectors.vector_topk(rows.where("embedding_type = 'FullCase'"), [1, 0, 0, 0], 3)
+    plan = plan_of(vectors.look_up(cases, hits, 3, literal_ids=True))
+    assert any("EqualTo(case_id,12)" in line for line in scans(plan))
+    lazy = vectors.look_up(cases, hits, 3)
+    assert "BroadcastHashJoin" in plan_of(lazy) and rows_of(lazy, "case_id") == rows_of(
+        vectors.look_up(cases, hits, 3, literal_ids=True), "case_id")
 
 
 def test_type_filter_reaches_the_vector_scan(stored):
@@ -56,9 +54,17 @@ def test_filters_move_nothing(stored):
 
 
 def test_batch_search_prunes_term_buckets_at_run_time(spark, cases, tmp_path):
-    index = keyword.build_index(cases, str(tmp_path), ("symptoms",), buckets=8, shards=2)
+    index = keyword.build_index(cases, str(tmp_path), ("symptoms",), buckets=8)
     requests = spark.createDataFrame([(1, "chest"), (2, "wheezing")], "query_id long, keyword_search string")
-    assert "dynamicpruning" in plan_of(keyword.keyword_search_batch(index, requests))
+    assert "dynamicpruning" in plan_of(keyword.leaf_hits(index, keyword.condition_leaves(requests), ("symptoms",)))
+
+
+def test_batch_search_cuts_before_its_only_shuffle(spark, cases):
+    requests = spark.createDataFrame([(1, "chest pain"), (2, "wheezing")], "query_id long, keyword_search string")
+    plan = plan_of(keyword.keyword_topk(keyword.scan_index(cases, ("symptoms",)), requests, 3))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "query_id" in exchanges[0] and "case_id" not in exchanges[0].split("), ")[0]
+    assert "WindowGroupLimit" in plan
 
 
 def test_counts_are_partial_before_the_shuffle(spark):
@@ -77,17 +83,6 @@ def test_overview_scans_the_log_once(spark, tmp_path, cases):
     assert len(scans(plan)) == 1
 
 
-@pytest.mark.parametrize("rows", [10, 10**9])
-def test_join_small_with_a_hot_key(spark, rows):
-    big = spark.range(3000).select(F.col("id").alias("case_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    small = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    joined = join_small(big, small, ["k"], rows, shards=5)
-    assert joined.columns == ["k", "case_id", "v"]
-    want = big.join(small, "k")
-    assert rows_of(joined, "case_id") == rows_of(want, "case_id")
-    assert ("_shard" in plan_of(joined)) == (rows > 10)
-
-
 class FakeSession:
     """Just what `shared_dir` asks for."""
 
@@ -103,8 +98,10 @@ def test_shared_dir():
         shared_dir(FakeSession(None, "yarn"))
 
 
-def test_only_small_tables_are_spread(spark, stored, monkeypatch):
-    cases, _ = stored
-    assert "Exchange" in plan_of(spread(cases, "case_id"))
-    monkeypatch.setattr("rankweave.session.SPREAD_BYTES", 1)
-    assert "Exchange" not in plan_of(spread(cases, "case_id"))
+def test_run_folders_can_be_cleared(spark):
+    path = run_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clear_runs(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)

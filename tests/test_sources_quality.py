@@ -57,10 +57,10 @@ def test_query_log(spark, tmp_path):
 
 def test_settings_change(spark):
     base = spark.createDataFrame([(k, v, None, T0) for k, v in DEFAULT_CONFIG.items()], CONFIG)
-    change = S.config_updates({"top_n": 8, "vector_weight": 0.7, "keyword_weight": 0.3, "rrf_k": None}, 1,
+    change = S.config_updates({"top_n": 12, "vector_weight": 0.55, "keyword_weight": 0.45, "rrf_k": None}, 1,
                               F.lit(T0 + dt.timedelta(days=1)), spark)
     got = {r.key: r.value for r in S.upsert_latest(base, change, ["key"], "updated_at", "value").collect()}
-    assert got == {"top_n": "8", "embedding_type": "FullCase", "vector_weight": "0.7", "keyword_weight": "0.3", "rrf_k": "60"}
+    assert got == {"top_n": "12", "embedding_type": "FullCase", "vector_weight": "0.55", "keyword_weight": "0.45", "rrf_k": "60"}
 
 
 def test_versions(spark, tmp_path):
@@ -68,10 +68,10 @@ def test_versions(spark, tmp_path):
     assert S.latest_version(spark, path) == -1
     S.write_version(spark.createDataFrame([(k, v, None, T0) for k, v in DEFAULT_CONFIG.items()], CONFIG), path)
     before = S.read_version(spark, path)
-    change = S.config_updates({"top_n": 8}, 1, F.lit(T0 + dt.timedelta(days=1)), spark)
+    change = S.config_updates({"top_n": 11}, 1, F.lit(T0 + dt.timedelta(days=1)), spark)
     after = S.update_table(path, change, ["key"], "updated_at", "value")
     assert S.latest_version(spark, path) == 1
-    assert after.where("key = 'top_n'").first().value == "8" and after.count() == 5
+    assert after.where("key = 'top_n'").first().value == "11" and after.count() == 5
     assert before.where("key = 'top_n'").first().value == "5"
 
 
@@ -82,6 +82,21 @@ def test_effective_config(spark):
     assert got["top_n"] == "9" and got["rrf_k"] == "60" and "other" not in got
 
 
+def test_settings_reach_the_requests(spark):
+    requests = spark.createDataFrame([(1, 3, None), (2, None, 0.9)], "query_id long, top_n int, vector_weight double")
+    config = spark.createDataFrame(list(DEFAULT_CONFIG.items()), "key string, value string")
+    got = S.apply_settings(requests, config)
+    assert rows_of(got, "query_id") == [(1, 3, 0.6, "FullCase", 0.4, 60), (2, 5, 0.9, "FullCase", 0.4, 60)]
+
+
+def test_a_repeated_key_keeps_its_greatest_row(spark):
+    rows = [(1, "a", 5), (1, "b", 2), (1, "c", 5), (2, "z", None)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "key long, value string, at int").repartition(parts)
+        none = spark.createDataFrame([], df.schema)
+        assert rows_of(S.missing_rows(df, none, ["key"], "at"), "key") == [(1, "c", 5), (2, "z", None)]
+
+
 def test_hot_key_upsert(spark):
     base = spark.createDataFrame([(0, "old", T0)], "key long, value string, at timestamp")
     updates = spark.range(3000).select(
@@ -131,13 +146,13 @@ def test_append_embeddings_twice_adds_nothing(spark, cases, tmp_path):
 
 
 def test_only_missing_cases_reach_the_model(spark, cases):
-    have = spark.createDataFrame([(17, "FullCase"), (24, "SymptomsOnly")], "case_id long, embedding_type string")
-    assert sorted(r.case_id for r in E.missing_pairs(cases, have, "FullCase").collect()) == [24, 31, 32, 45]
+    have = spark.createDataFrame([(12, "FullCase"), (26, "SymptomsOnly")], "case_id long, embedding_type string")
+    assert sorted(r.case_id for r in E.missing_pairs(cases, have, "FullCase").collect()) == [26, 31, 32, 45]
 
 
 @pytest.fixture(scope="module")
 def hand(spark):
-    return spark.createDataFrame(HAND + [(17, "Wrong", [1.0])], SCHEMA)
+    return spark.createDataFrame(HAND + [(12, "Wrong", [1.0])], SCHEMA)
 
 
 def test_validation(hand, cases):
@@ -147,8 +162,8 @@ def test_validation(hand, cases):
     assert Q.wrong_dimension(hand, 4).count() == 3
     assert tuple(Q.null_counts(hand, ["embedding", "case_id"]).first()) == (1, 0)
     assert Q.find_duplicates(hand.union(hand), ["case_id", "embedding_type"]).count() == len(HAND) + 1
-    gone = cases.where("case_id = 17")
-    assert Q.cascade_delete(hand, gone, "case_id").where("case_id = 17").count() == 0
+    gone = cases.where("case_id = 12")
+    assert Q.cascade_delete(hand, gone, "case_id").where("case_id = 12").count() == 0
 
 
 def test_summaries(hand, cases, spark, tmp_path):
@@ -164,9 +179,9 @@ def test_summaries(hand, cases, spark, tmp_path):
 
 
 def test_split_valid(spark):
-    fine = (1, "58 year old male", "pain", 5, "FullCase", 0.6, 0.4, 60)
+    fine = (1, "47 year old male", "pain", 5, "FullCase", 0.6, 0.4, 60)
     bad = [(2, " " * 12, "pain", 5, "FullCase", 0.6, 0.4, 60), (3, "123456789", "pain", 5, "FullCase", 0.6, 0.4, 60),
-           (4, "58 year old male", "ab", 0, "FullCase", 0.6, 0.4, 60), (5, "58 year old male", "pain", 101, "FullCase", 1.1, -0.1, 0),
+           (4, "47 year old male", "ab", 0, "FullCase", 0.6, 0.4, 60), (5, "47 year old male", "pain", 101, "FullCase", 1.1, -0.1, 0),
            (6, None, None, None, "FullCase", None, None, None)]
     columns = ("query_id long, query_text string, keyword_search string, top_n int, embedding_type string, "
                "vector_weight double, keyword_weight double, rrf_k int")

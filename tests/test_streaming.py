@@ -66,11 +66,44 @@ def test_log_is_appended_once_per_id(spark, log_dir):
     assert sorted(ids) == list(range(21))
 
 
+def test_late_log_rows_arrive(spark, tmp_path):
+    out, ck = str(tmp_path / "log"), str(tmp_path / "ck")
+    for rows in ([(2, 1, "rag", 5, DAY + dt.timedelta(days=9))], [(1, 1, "rag", 5, DAY), (2, 1, "rag", 5, DAY + dt.timedelta(days=9))], []):
+        if rows:
+            feed(spark, rows, LOG, tmp_path / "in")
+        run(jobs.stream_append_log(stream(spark, tmp_path), out, ck))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
 CASE = "case_id long, body string, updated_date long"
 
 
+def test_an_old_version_that_comes_late_changes_nothing(spark, tmp_path):
+    for number, row in enumerate([(1, "new text", 9), (1, "stale text", 2)]):
+        jobs.write_index_batch(spark.createDataFrame([row], CASE), number, str(tmp_path), ["body"], "updated_date", buckets=4)
+    index = jobs.read_stream_index(spark, str(tmp_path), ["body"], buckets=4)
+    assert keyword_search(index, "new").count() == 1 and keyword_search(index, "stale").count() == 0
+
+
+def test_deleted_cases_leave_the_index(spark, tmp_path):
+    schema = CASE + ", gone boolean"
+    batches = [[(1, "chest pain", 1, False), (2, "pain", 1, None)], [(1, "chest pain", 2, True), (3, "pain pain", 2, False)]]
+    for number, rows in enumerate(batches):
+        jobs.write_index_batch(spark.createDataFrame(rows, schema), number, str(tmp_path / "ix"), ["body"], "updated_date",
+                               buckets=4, deleted_col="gone")
+    index = jobs.read_stream_index(spark, str(tmp_path / "ix"), ["body"], buckets=4)
+    state = spark.createDataFrame([(2, "pain"), (3, "pain pain")], "case_id long, body string")
+    want = rows_of(keyword_scan(state, ["body"], "pain OR chest"), "case_id")
+    assert rows_of(keyword_search(index, "pain OR chest"), "case_id") == want
+    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), ["body"], buckets=4)
+    assert rows_of(keyword_search(read_index(spark, str(tmp_path / "flat"), ["body"]), "pain OR chest"), "case_id") == want
+    only = spark.createDataFrame([(2, "pain", 3, True), (3, "pain", 3, True)], schema)
+    jobs.write_index_batch(only, 2, str(tmp_path / "ix"), ["body"], "updated_date", buckets=4, deleted_col="gone")
+    assert keyword_search(jobs.read_stream_index(spark, str(tmp_path / "ix"), ["body"], buckets=4), "pain").count() == 0
+
+
 def index_now(spark, folder):
-    run(jobs.stream_index(stream(spark, folder, CASE), str(folder / "ix"), str(folder / "ck"), ["body"], buckets=4, shards=2))
+    run(jobs.stream_index(stream(spark, folder, CASE), str(folder / "ix"), str(folder / "ck"), ["body"], buckets=4))
     return jobs.read_stream_index(spark, str(folder / "ix"), ["body"], buckets=4)
 
 
@@ -84,7 +117,7 @@ def test_index_follows_changes(spark, tmp_path):
     state = spark.createDataFrame([(1, "cured"), (2, "head pain"), (3, "cough"), (4, "pain pain")], "case_id long, body string")
     for question in ("pain", "cured OR cough", '"head pain"', "chest", "pa*"):
         assert rows_of(keyword_search(second, question), "case_id") == rows_of(keyword_scan(state, ["body"], question), "case_id")
-    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), ["body"], buckets=4, shards=2)
+    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), ["body"], buckets=4)
     flat = read_index(spark, str(tmp_path / "flat"), ["body"])
     assert rows_of(keyword_search(flat, "pain"), "case_id") == rows_of(keyword_search(second, "pain"), "case_id")
     assert flat.postings.where("term = 'chest'").count() == 0
@@ -93,7 +126,7 @@ def test_index_follows_changes(spark, tmp_path):
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     batch = spark.createDataFrame([(1, "chest pain", 1), (2, "pain", 1)], CASE)
     for _ in range(2):
-        jobs.write_index_batch(batch, 0, str(tmp_path), ["body"], "updated_date", buckets=4, shards=2)
+        jobs.write_index_batch(batch, 0, str(tmp_path), ["body"], "updated_date", buckets=4)
     assert spark.read.parquet(str(tmp_path / "postings")).count() == 3
     index = jobs.read_stream_index(spark, str(tmp_path), ["body"], buckets=4)
     assert keyword_search(index, "pain").count() == 2

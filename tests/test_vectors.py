@@ -8,11 +8,11 @@ from tests.conftest import plan_of, rows_of
 
 R = 2 ** -0.5
 HAND = [
-    (17, "FullCase", [1.0, 0.0, 0.0, 0.0]), (24, "FullCase", [0.0, 1.0, 0.0, 0.0]),
+    (12, "FullCase", [1.0, 0.0, 0.0, 0.0]), (26, "FullCase", [0.0, 1.0, 0.0, 0.0]),
     (31, "FullCase", [R, R, 0.0, 0.0]), (32, "FullCase", [-1.0, 0.0, 0.0, 0.0]),
     (45, "FullCase", [5.0, 5.0, 0.0, 0.0]), (99, "FullCase", [0.9, 0.1, 0.0, 0.0]),
-    (17, "SymptomsOnly", [0.0, 0.0, 1.0, 0.0]),
-    (24, "OutcomeOnly", [0.0, 0.0, 0.0, 0.0]), (31, "OutcomeOnly", [1.0, 0.0]), (32, "OutcomeOnly", None),
+    (12, "SymptomsOnly", [0.0, 0.0, 1.0, 0.0]),
+    (26, "OutcomeOnly", [0.0, 0.0, 0.0, 0.0]), (31, "OutcomeOnly", [1.0, 0.0]), (32, "OutcomeOnly", None),
     (45, "OutcomeOnly", [1.0, None, 0.0, 0.0]),
 ]
 SCHEMA = "case_id long, embedding_type string, embedding array<float>"
@@ -48,16 +48,16 @@ def test_distance_column(spark):
 
 def test_find_similar_joins_before_it_cuts(hand, cases):
     got = rows_of(V.find_similar(hand, cases, [1, 0, 0, 0], 3).select("case_id", F.round("similarity", 6)))
-    assert got == [(17, 1.0), (31, round(R, 6)), (45, round(R, 6))]
+    assert got == [(12, 1.0), (31, round(R, 6)), (45, round(R, 6))]
 
 
 def test_find_similar_with_foreign_key_cuts_first(hand, cases):
     got = rows_of(V.find_similar(hand, cases, [1, 0, 0, 0], 3, fk_enforced=True).select("case_id"))
-    assert [c for (c,) in got] == [17, 31]
+    assert [c for (c,) in got] == [12, 31]
 
 
 def test_type_filter(hand, cases):
-    assert [r.case_id for r in V.find_similar(hand, cases, [0, 0, 1, 0], 5, "SymptomsOnly").collect()] == [17]
+    assert [r.case_id for r in V.find_similar(hand, cases, [0, 0, 1, 0], 5, "SymptomsOnly").collect()] == [12]
     assert V.find_similar(hand, cases, [0, 0, 1, 0], 5, "DiagnosisOnly").count() == 0
     with pytest.raises(ValueError):
         V.find_similar(hand, cases, [0, 0, 1, 0], 5, "Other")
@@ -93,41 +93,108 @@ def knn_truth(v, k, same_type):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4096, 70])
+@pytest.mark.parametrize("size", [256 << 10, 2000])
 @pytest.mark.parametrize("by_type", [False, True])
-def test_knn_join(many, chunk, by_type):
+def test_knn_join(many, size, by_type, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_BYTES", size)
     df, v = many
-    hits = V.knn_join(df.withColumnRenamed("case_id", "query_id"), df, 4, by_type, chunk=chunk)
+    hits = V.knn_join(df.withColumnRenamed("case_id", "query_id"), df, 4, by_type)
     got = {}
     for q, c, _, r in rows_of(hits.select("query_id", "case_id", "vector_distance", "vector_rank"), "query_id", "vector_rank"):
         got.setdefault(q, []).append(c)
     assert got == knn_truth(v, 4, by_type)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_blocks_meet_with_and_without_a_broadcast(spark, many, threshold):
+    df, v = many
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        hits = V.knn_join(df.withColumnRenamed("case_id", "query_id"), df, 3)
+        assert ("BroadcastHashJoin" in plan_of(hits)) == (threshold != "-1")
+        got = {}
+        for q, c, r in rows_of(hits.select("query_id", "case_id", "vector_rank"), "query_id", "vector_rank"):
+            got.setdefault(q, []).append(c)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == knn_truth(v, 3, False)
+
+
+def test_questions_of_another_size_have_no_hits(spark, hand):
+    asked = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0] * 6), (3, None), (4, [0.0] * 4), (5, [1.0, 0.0, 0.0, 0.0]), (6, [1.0, None, 0.0, 0.0])],
+        "query_id long, embedding array<float>")
+    hits = V.knn_join(asked, hand.where("embedding_type = 'FullCase'"), 2)
+    assert rows_of(hits.select("query_id", "case_id", "vector_rank"), "query_id", "vector_rank") == [(5, 12, 1), (5, 99, 2)]
+    faults = rows_of(V.vector_faults(asked, 4, "query_id"), "query_id")
+    assert faults == [(1, "wrong_dimension"), (2, "wrong_dimension"), (3, "null"), (4, "zero"), (6, "null_element")]
+
+
 def test_ivf_over_all_cells_is_exact(spark, many, tmp_path):
     df, v = many
-    index = V.build_ivf(df, str(tmp_path), 6, shards=2)
-    queries = df.withColumnRenamed("case_id", "query_id").select("query_id", "embedding")
+    index = V.build_ivf(df, str(tmp_path), 6)
+    queries = df.withColumnRenamed("case_id", "query_id")
+    for by_type in (False, True):
+        truth = V.knn_join(queries, df, 5, by_type)
+        exact = V.ivf_search(index, queries, 5, 6, by_type)
+        assert rows_of(exact.select("query_id", "vector_rank", "case_id"), "query_id", "vector_rank") == rows_of(
+            truth.select("query_id", "vector_rank", "case_id"), "query_id", "vector_rank")
     truth = V.knn_join(queries, df, 5)
-    exact = V.ivf_search(index, queries, 5, 6)
-    assert rows_of(exact.select("query_id", "vector_rank", "case_id"), "query_id", "vector_rank") == rows_of(
-        truth.select("query_id", "vector_rank", "case_id"), "query_id", "vector_rank")
     assert V.recall(V.ivf_search(index, queries, 5, 3), truth).first()[0] > 0.7
+    assert index.vectors.count() == 300 and index.faults.count() == 0
+
+
+def test_ivf_grows_and_shrinks(spark, many, tmp_path):
+    df, _ = many
+    V.build_ivf(df.where("case_id < 150"), str(tmp_path), 4)
+    index = V.append_ivf(df.where("case_id >= 150"), str(tmp_path))
+    queries = df.withColumnRenamed("case_id", "query_id")
+    assert rows_of(V.ivf_search(index, queries, 3, 4), "query_id", "vector_rank") == rows_of(
+        V.knn_join(queries, df, 3), "query_id", "vector_rank")
+    left = V.delete_ivf(index, df.where("case_id < 100"))
+    assert V.ivf_search(left, queries, 3, 4).where("case_id < 100").count() == 0
+
+
+def test_ivf_survives_bad_vectors(spark, many, tmp_path):
+    df, _ = many
+    bad = spark.createDataFrame([(900, "FullCase", None), (901, "FullCase", [1.0, 2.0]), (902, "FullCase", [0.0] * 8),
+                                 (903, "FullCase", [None] + [1.0] * 7)], SCHEMA)
+    index = V.build_ivf(df.unionByName(bad), str(tmp_path), 4)
     assert index.vectors.count() == 300
+    assert rows_of(index.faults, "case_id") == [
+        (900, "null"), (901, "wrong_dimension"), (902, "zero"), (903, "null_element")]
 
 
 def test_ivf_reads_only_probed_cells(spark, many, tmp_path):
     df, v = many
-    index = V.build_ivf(df, str(tmp_path), 6, shards=2)
+    index = V.build_ivf(df, str(tmp_path), 6)
     one = df.where("case_id = 0").withColumnRenamed("case_id", "query_id")
-    plan = plan_of(V.ivf_search(index, one, 5, 1, "FullCase"))
-    assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    plan = plan_of(V.ivf_search(index, one, 5, 1))
+    assert "dynamicpruning" in plan
 
 
-def test_lsh_finds_the_copies(many):
+def test_lsh_finds_the_copies(many, tmp_path):
     df, v = many
-    got = V.lsh_search(df, v[0].tolist(), 20).collect()
-    assert all(r.vector_distance < 1e-6 for r in got)
+    index = V.build_lsh(df, str(tmp_path), tables=4, bits=6)
+    got = V.lsh_search(index, v[0].tolist(), 20)
+    assert len(got.collect()) == 20 and all(r.vector_distance < 1e-6 for r in got.collect())
+    assert "bucket" in plan_of(got).split("PushedFilters")[1]
+
+
+def test_many_orphans_before_the_cases(spark):
+    """The nearest vectors have no case: the search widens until enough do."""
+    rows = [(i, "FullCase", [1.0, i / 1000.0]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    cases = spark.range(150, 200).withColumnRenamed("id", "case_id")
+    got = V.nearest_existing(vectors, cases, [1.0, 0.0], 3)
+    assert [r.case_id for r in got.collect()] == [150, 151, 152]
+    assert V.nearest_existing(vectors, cases.limit(0), [1.0, 0.0], 3).count() == 0
+
+
+def test_find_similar_moves_no_distances(hand, cases):
+    plan = plan_of(V.find_similar(hand, cases, [1, 0, 0, 0], 3))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 def test_single_search_sorts_k_rows_per_task(many):
