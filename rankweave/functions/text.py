@@ -50,7 +50,9 @@ def compose_text(embedding_type: str) -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case without accents. ASCII text has none, and is not looked through for them."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def words(text: Column) -> Column:

@@ -27,6 +27,7 @@ WEIGHT_PRESETS = (
     ("Hybrid 50/50", 0.5, 0.5),
     ("Keyword 80/20", 0.2, 0.8),
 )
+MAX_CANDIDATES = 10_000
 HYBRID_COLS = [c for c in CASE_COLS] + ["vector_distance", "keyword_score", "hybrid_score"]
 
 
@@ -59,11 +60,18 @@ def with_cases(hits: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.select(*CASE_COLS).join(written(hits, "hits"), "case_id")
 
 
+def check_candidates(candidates: int) -> None:
+    """A ranking is numbered in one task, so it stays short."""
+    if not 1 <= candidates <= MAX_CANDIDATES:
+        raise ValueError(f"candidates must be between 1 and {MAX_CANDIDATES}")
+
+
 def hybrid_ranks(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], condition: str,
                  embedding_type: str = "FullCase", fields: Sequence[str] = SEARCHED_FIELDS,
                  index: KeywordIndex | None = None, candidates: int = CANDIDATES,
                  fk_enforced: bool = False, known_types: Sequence[str] | None = EMBEDDING_TYPES) -> DataFrame:
     """Both rankings of one question, at most 2 x `candidates` rows."""
+    check_candidates(candidates)
     check_type(embedding_type, known_types)
     of_type = embeddings.where(F.col("embedding_type") == embedding_type)
     near = vector_topk(of_type, query, candidates)
@@ -124,6 +132,7 @@ def hybrid_ranks_batch(index: KeywordIndex, embeddings: DataFrame | IvfIndex, ca
     The vector side reads all vectors of the request's type, or of an IVF index the `nprobe`
     nearest cells.
     """
+    check_candidates(candidates)
     keys = ["query_id"]
     if isinstance(embeddings, IvfIndex):
         near = ivf_search(embeddings, requests, candidates, nprobe, by_type=True)

@@ -115,10 +115,19 @@ def scan_index(cases: DataFrame, fields: Sequence[str] = SEARCHED_FIELDS,
 POSTINGS = "term string, case_id long, field string, tf int, positions array<int>"
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], fields: Sequence[str], stop_words: Sequence[str]
+def _grouped(batches: Iterator[pa.RecordBatch], fields: Sequence[str], stop_words: Sequence[str], lengths: bool
              ) -> Iterator[pa.RecordBatch]:
-    """Postings of each tile, one row per (case, field, term), grouped before anything moves."""
+    """Postings of each tile, one row per (case, field, term), grouped before anything moves.
+
+    With `lengths` a row without a term for each case, whose positions are the field lengths.
+    """
     for tile in _tiles(batches, len(fields), stop_words):
+        if lengths:
+            none = pa.nulls(len(tile.ids), pa.string())
+            lens = pa.ListArray.from_arrays(pa.array(np.arange(0, tile.lens.size + 1, len(fields), np.int32)),
+                                            pa.array(tile.lens.ravel()))
+            yield pa.RecordBatch.from_arrays([none, pa.array(tile.ids), none, pa.array(np.zeros(len(tile.ids), np.int32)), lens],
+                                             names=["term", "case_id", "field", "tf", "positions"])
         kept = np.flatnonzero(tile.codes >= 0)
         order = kept[np.lexsort((kept, tile.codes[kept], tile.segment[kept]))]
         segment, code = tile.segment[order], tile.codes[order]
@@ -137,17 +146,20 @@ def _grouped(batches: Iterator[pa.RecordBatch], fields: Sequence[str], stop_word
 
 
 def build_postings(cases: DataFrame, fields: Sequence[str] = INDEXED_FIELDS, stop_words: Sequence[str] = STOP_WORDS,
-                   buckets: int = TERM_BUCKETS) -> DataFrame:
-    """(term_bucket, term, case_id, field, tf, positions); positions count stop words. Nothing shuffles."""
+                   buckets: int = TERM_BUCKETS, lengths: bool = False) -> DataFrame:
+    """(term_bucket, term, case_id, field, tf, positions); positions count stop words. Nothing shuffles.
+
+    With `lengths` also one row per case in bucket -1, whose positions are the lengths of its fields.
+    """
     fields, stop_words = list(fields), list(stop_words)
-    grouped = _split(cases, fields).mapInArrow(lambda b: _grouped(b, fields, stop_words), POSTINGS)
-    return grouped.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+    grouped = _split(cases, fields).mapInArrow(lambda b: _grouped(b, fields, stop_words, lengths), POSTINGS)
+    bucket = F.when(F.col("term").isNull(), -1).otherwise(term_bucket(F.col("term"), buckets))
+    return grouped.withColumn("term_bucket", bucket)
 
 
-def case_lengths(cases: DataFrame, fields: Sequence[str], stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(case_id, lens): indexed words of each field."""
-    return _split(cases, fields).select("case_id", F.array(
-        *[F.size(kept_words(f"ws{i}", stop_words)) for i in range(len(fields))]).alias("lens"))
+def case_lengths(postings: DataFrame) -> DataFrame:
+    """(case_id, lens): indexed words of each field, from postings with lengths."""
+    return postings.where("term_bucket = -1").select("case_id", F.col("positions").alias("lens"))
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -160,17 +172,16 @@ def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def build_index(cases: DataFrame, path: str, fields: Sequence[str] = INDEXED_FIELDS,
                 stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> KeywordIndex:
-    """Write postings, the length table, the vocabulary and the settings below `path`."""
+    """Write postings with the length rows, the vocabulary and the settings below `path`."""
     spark = cases.sparkSession
-    write_postings(build_postings(cases, fields, stop_words, buckets), f"{path}/postings")
-    case_lengths(cases, fields, stop_words).write.mode("overwrite").parquet(f"{path}/lengths")
+    write_postings(build_postings(cases, fields, stop_words, buckets, lengths=True), f"{path}/postings")
     write_vocabulary(spark.read.parquet(f"{path}/postings"), path)
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
     return read_index(spark, path, fields, stop_words)
 
 
 def write_vocabulary(postings: DataFrame, path: str) -> None:
-    postings.select("term_bucket", "term").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
+    postings.where("term_bucket >= 0").select("term_bucket", "term").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def read_index(spark: SparkSession, path: str, fields: Sequence[str] = INDEXED_FIELDS,
@@ -178,8 +189,10 @@ def read_index(spark: SparkSession, path: str, fields: Sequence[str] = INDEXED_F
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    return KeywordIndex(tuple(fields), tuple(stop_words), postings=table("postings"), lengths=table("lengths"),
-                        vocabulary=table("vocabulary"), buckets=table("settings").first()["buckets"])
+    postings = table("postings")
+    return KeywordIndex(tuple(fields), tuple(stop_words), postings=postings.where("term_bucket >= 0"),
+                        lengths=case_lengths(postings), vocabulary=table("vocabulary"),
+                        buckets=table("settings").first()["buckets"])
 
 
 def condition_leaves(requests: DataFrame) -> DataFrame:
@@ -221,6 +234,24 @@ class _Block:
     leaves: list[tuple[bool, tuple[tuple[int, str], ...]]]
     questions: list[tuple[int, list[tuple[int, bool, int]]]]
 
+    def words(self) -> dict[str, int]:
+        """The leaves that are one whole word, by that word; of two such leaves the first."""
+        out: dict[str, int] = {}
+        for k, (is_prefix, terms) in enumerate(self.leaves):
+            if not is_prefix and len(terms) == 1:
+                out.setdefault(terms[0][1], k)
+        return out
+
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """(question, leaf) of the questions that are an OR of single leaves, which any of them meets."""
+        pairs = sorted({(q, leaf) for q, (_, parts) in enumerate(self.questions) if _is_plain(parts) for _, _, leaf in parts})
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+
+def _is_plain(parts: list[tuple[int, bool, int]]) -> bool:
+    return not any(negated for _, negated, _ in parts) and len({g for g, _, _ in parts}) == len(parts)
+
 
 def _pack_questions(batches: Iterator[pa.RecordBatch], stop_words: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """(part, payload, names): blocks of questions, and the names of their leaves by number."""
@@ -278,6 +309,15 @@ class _Counter:
             found.append(self.order[self.first[k]:self.first[k + 1]])
         return np.sort(np.concatenate(found)) if found else self.order[:0]
 
+    def count_words(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaves, rows, counts) of all leaves that are one whole word, in one pass."""
+        asked = np.array([words.get(t, -1) for t in self.tile.terms] + [-1], np.int64)
+        leaf = asked[self.tile.codes]                    # a stop word, code -1, reads the last entry
+        at = np.flatnonzero(leaf >= 0)
+        n = len(self.tile.ids)
+        keys, counts = np.unique(leaf[at] * n + self.tile.segment[at] % n, return_counts=True)
+        return keys // n, keys % n, counts
+
     def count(self, is_prefix: bool, terms: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
         """(rows, counts): the cases that hold a leaf. The words of a phrase stand at their offsets in one field."""
         base, word = terms[0]
@@ -307,18 +347,16 @@ def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = last[1]
             block: _Block = pickle.loads(batch.column(2)[row].as_py())
             size = counter.tile.lens.sum(axis=1)
-            leaf, case, tf, df = [], [], [], []
+            words = block.words()
+            counted = [counter.count_words(words)]
             for number, (is_prefix, terms) in enumerate(block.leaves):
-                rows, counts = counter.count(is_prefix, terms)
-                if len(rows):
-                    leaf.append(np.full(len(rows), number, np.int32))
-                    case.append(rows.astype(np.int32))
-                    tf.append(counts.astype(np.int32))
-                    df.append((number, len(rows)))
-            none = [np.zeros(0, np.int32)]
-            found = (counter.tile.ids, size, *(np.concatenate(x or none) for x in (leaf, case, tf)))
-            out.append((batch.column(1)[row].as_py(), pickle.dumps(found), len(size), int(size.sum()),
-                        [k for k, _ in df], [n for _, n in df]))
+                if words.get(terms[0][1]) != number:
+                    rows, counts = counter.count(is_prefix, terms)
+                    counted.append((np.full(len(rows), number), rows, counts))
+            leaf, case, tf = (np.concatenate(x).astype(np.int32) for x in zip(*counted, strict=True))
+            numbers, df = np.unique(leaf, return_counts=True)
+            out.append((batch.column(1)[row].as_py(), pickle.dumps((counter.tile.ids, size, leaf, case, tf)), len(size),
+                        int(size.sum()), numbers.tolist(), df.tolist()))
         if out:
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -368,42 +406,68 @@ def _meeting(parts: list[tuple[int, bool, int]], found: dict[int, tuple[np.ndarr
 
 def _score_matches(batches: Iterator[pa.RecordBatch], limit: int | None, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """(query_id, case_id, keyword_score), of each row's cases the best `limit` of each question."""
-    last: tuple[bytes, _Block] | None = None
+    last: tuple[bytes, _Block, tuple[np.ndarray, np.ndarray]] | None = None
     for batch in batches:
         for row in batch.to_pylist():
             if last is None or last[0] != row["questions"]:
-                last = row["questions"], pickle.loads(row["questions"])
+                block = pickle.loads(row["questions"])
+                last = row["questions"], block, block.plain()
+            block, plain = last[1:]
             ids, dl, leaf, case, tf = pickle.loads(row["payload"])
-            freq = dict(zip(row["leaf"] or [], row["df"] or [], strict=True))
-            average = row["len"] / row["n"] if row["n"] else 0.0
-            found, order = {}, np.argsort(leaf, kind="stable")
-            cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                df, n, length = freq[int(leaf[part[0]])], row["n"], dl[case[part]]
-                idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
-                norm = k1 * ((1.0 - b) + b * length / average)
-                found[int(leaf[part[0]])] = case[part], idf * tf[part] * (k1 + 1.0) / (tf[part] + norm)
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for query, parts in last[1].questions:
+            order = np.argsort(leaf, kind="stable")
+            leaf, case, tf = leaf[order], case[order], tf[order]
+            freq = np.ones(len(block.leaves))
+            freq[row["leaf"] or []] = row["df"] or []
+            df, average = freq[leaf], row["len"] / row["n"] if row["n"] else 1.0
+            idf = np.log(1.0 + (row["n"] - df + 0.5) / (df + 0.5))
+            score = idf * tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl[case] / average))
+            first = np.searchsorted(leaf, np.arange(len(block.leaves) + 1))
+            yield from _plain_hits(block, plain, first, case, score, ids, limit)
+            found = {k: (case[first[k]:first[k + 1]], score[first[k]:first[k + 1]]) for k in np.unique(leaf).tolist()}
+            for query, parts in block.questions:
                 counted = {k for _, negated, k in parts if not negated and k in found}
-                if not counted:
+                if not counted or _is_plain(parts):
                     continue
                 rows, where = np.unique(np.concatenate([found[k][0] for k in counted]), return_inverse=True)
-                score = np.bincount(where, np.concatenate([found[k][1] for k in counted]))
-                if any(negated for _, negated, _ in parts) or len({g for g, _, _ in parts}) < len(parts):
-                    meets = _meeting(parts, found, rows)
-                    rows, score = rows[meets], score[meets]
-                score, cases = np.round(score, 8), ids[rows]
-                if limit is not None and len(rows) > limit:
-                    best = np.lexsort((cases, -score))[:limit]
-                    cases, score = cases[best], score[best]
-                out.append((query, cases, score))
-            if out:
-                sizes = [len(c) for _, c, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q for q, _, _ in out], sizes), pa.int64()),
-                     pa.array(np.concatenate([c for _, c, _ in out]), pa.int64()),
-                     pa.array(np.concatenate([x for _, _, x in out]))], names=["query_id", "case_id", "keyword_score"])
+                sums = np.bincount(where, np.concatenate([found[k][1] for k in counted]))
+                meets = _meeting(parts, found, rows)
+                yield _hits(np.full(meets.sum(), query), ids[rows[meets]], sums[meets], limit)
+
+
+def _hits(query: np.ndarray, cases: np.ndarray, score: np.ndarray, limit: int | None) -> pa.RecordBatch:
+    """The rows of each question, of which the best `limit` stay."""
+    score = np.round(score, 8)
+    if limit is not None:
+        order = np.lexsort((cases, -score, query))
+        query, cases, score = query[order], cases[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = query[1:] != query[:-1]
+        start = np.flatnonzero(new)
+        place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+        query, cases, score = query[place < limit], cases[place < limit], score[place < limit]
+    return pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(cases.astype(np.int64)), pa.array(score)],
+                                      names=["query_id", "case_id", "keyword_score"])
+
+
+def _plain_hits(block: _Block, plain: tuple[np.ndarray, np.ndarray], first: np.ndarray, case: np.ndarray,
+                score: np.ndarray, ids: np.ndarray, limit: int | None, cells: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Hits of the plain questions, some at a time, as a table of questions by cases."""
+    question, leaf = plain
+    number = np.array([q for q, _ in block.questions], np.int64)
+    n, step = len(ids), max(1, cells // max(1, len(ids)))
+    for lo in range(0, len(number), step):
+        mine = slice(*np.searchsorted(question, [lo, lo + step]))
+        sizes = first[leaf[mine] + 1] - first[leaf[mine]]
+        at = np.repeat(first[leaf[mine]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        if not len(at):
+            continue
+        rows = min(step, len(number) - lo)
+        table = np.bincount(np.repeat(question[mine] - lo, sizes) * n + case[at], score[at], rows * n).reshape(rows, n)
+        least = 0.0
+        if limit is not None and n > limit:              # a case scored as low as the last hit may still tie with it
+            least = np.round(np.partition(table, n - limit, axis=1)[:, n - limit, None], 8) - 1e-8
+        q, c = np.nonzero((table > 0) & (table >= least))
+        yield _hits(number[lo + q], ids[c], table[q, c], limit)
 
 
 def _leaf_terms(leaves: DataFrame, stop_words: Sequence[str]) -> DataFrame:

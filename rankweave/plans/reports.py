@@ -226,7 +226,7 @@ def stream_index_search(spark: SparkSession, folder: str) -> DataFrame:
 @query("compact_index", _kw_sql(CONDITION))
 def compact_index(spark: SparkSession, folder: str) -> DataFrame:
     target = run_dir(spark, "compact-index")
-    jobs.compact_index(spark, _streamed(spark, folder), target, TEXT_FIELDS, buckets=16)
+    jobs.compact_index(spark, _streamed(spark, folder), target, buckets=16)
     return keyword.keyword_search(keyword.read_index(spark, target, TEXT_FIELDS), CONDITION)
 
 

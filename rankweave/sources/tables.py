@@ -57,10 +57,16 @@ def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
 
 
 def load_embeddings_csv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """Precomputed vectors: case_id, embedding_type, vector as a JSON array."""
+    """Precomputed vectors: case_id, embedding_type, vector as a JSON array.
+
+    A vector that cannot be read is null and keeps its text in `_corrupt`.
+    """
     rows = spark.read.schema("case_id long, embedding_type string, vector string").option("header", header).option(
         "escape", '"').csv(path)
-    return rows.select("case_id", "embedding_type", F.from_json("vector", "array<float>").alias("embedding"))
+    parsed = rows.withColumn("embedding", F.from_json("vector", "array<float>"))
+    bad = F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull())
+    return parsed.select("case_id", "embedding_type", F.when(~bad, F.col("embedding")).alias("embedding"),
+                         F.when(bad, F.col("vector")).alias("_corrupt"))
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, partition_by: Sequence[str] = ()) -> None:

@@ -16,6 +16,7 @@ from rankweave.operators.keyword import (
     POSTINGS, TERM_BUCKETS, KeywordIndex, build_postings, case_lengths, write_postings, write_vocabulary,
 )
 from rankweave.schemas import INDEXED_FIELDS
+from rankweave.session import written
 from rankweave.sources.tables import one_per_key, read_or_empty
 
 
@@ -78,13 +79,16 @@ def write_index_batch(cases: DataFrame, batch_id: int, path: str, fields: Sequen
     gone = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
     version = F.struct(F.col(order_col).alias("version"), gone.alias("deleted"), *fields)
     newest = cases.groupBy("case_id").agg(F.max(version).alias("c")).select("case_id", "c.*")
+    newest = written(newest, "newest")
     live = newest.where("NOT deleted").select("case_id", *fields)
-    write_postings(build_postings(live, fields, stop_words, buckets), f"{path}/postings/batch_id={batch_id}")
-    postings = read_or_empty(cases.sparkSession, f"{path}/postings/batch_id={batch_id}", STORED_TERMS)
-    postings.distinct().write.mode("overwrite").parquet(f"{path}/vocabulary/batch_id={batch_id}")
+    folder = f"{path}/postings/batch_id={batch_id}"
+    write_postings(build_postings(live, fields, stop_words, buckets, lengths=True), folder)
+    spark = cases.sparkSession
+    terms = read_or_empty(spark, folder, STORED_TERMS).where("term_bucket >= 0")
+    terms.distinct().write.mode("overwrite").parquet(f"{path}/vocabulary/batch_id={batch_id}")
     # The versions come last: they make the finished postings visible.
-    lens = case_lengths(newest, fields, stop_words)
-    newest.select("case_id", "version", "deleted").join(lens, "case_id").write.mode("overwrite").parquet(
+    lens = case_lengths(spark.read.schema(POSTINGS + ", term_bucket int").parquet(folder))
+    newest.select("case_id", "version", "deleted").join(lens, "case_id", "left").write.mode("overwrite").parquet(
         f"{path}/versions/batch_id={batch_id}")
 
 
@@ -112,21 +116,19 @@ def read_stream_index(spark: SparkSession, path: str, fields: Sequence[str] = IN
                       stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> KeywordIndex:
     """The index as of now. A search looks only at the versions of the cases it has matched."""
     versions = spark.read.parquet(f"{path}/versions")
-    postings = spark.read.schema(STREAMED_POSTINGS).parquet(f"{path}/postings")
+    postings = spark.read.schema(STREAMED_POSTINGS).parquet(f"{path}/postings").where("term_bucket >= 0")
     vocabulary = read_or_empty(spark, f"{path}/vocabulary", STORED_TERMS).distinct()
     return KeywordIndex(tuple(fields), tuple(stop_words), postings=postings,
                         lengths=_current(versions).select("case_id", "lens"), vocabulary=vocabulary, buckets=buckets,
                         versions=versions)
 
 
-def compact_index(spark: SparkSession, path: str, target: str, fields: Sequence[str] = INDEXED_FIELDS,
-                  stop_words: Sequence[str] = STOP_WORDS, buckets: int = TERM_BUCKETS) -> None:
+def compact_index(spark: SparkSession, path: str, target: str, buckets: int = TERM_BUCKETS) -> None:
     """Rewrite a streamed index without superseded postings and deleted cases, as `read_index` reads it."""
-    index = read_stream_index(spark, path, fields, stop_words, buckets)
-    current = _current(index.versions)
-    kept = index.postings.join(current.select("case_id", "batch_id"), ["case_id", "batch_id"], "left_semi")
+    current = _current(spark.read.parquet(f"{path}/versions"))
+    postings = spark.read.schema(STREAMED_POSTINGS).parquet(f"{path}/postings")
+    kept = postings.join(current.select("case_id", "batch_id"), ["case_id", "batch_id"], "left_semi")
     write_postings(kept.drop("batch_id"), f"{target}/postings")
-    current.select("case_id", "lens").write.mode("overwrite").parquet(f"{target}/lengths")
     write_vocabulary(spark.read.schema(POSTINGS + ", term_bucket int").parquet(f"{target}/postings"), target)
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{target}/settings")
 

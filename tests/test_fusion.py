@@ -76,6 +76,12 @@ def test_guards(vectors, cases, bad):
         fusion.hybrid_search(vectors, cases, [1, 0, 0, 0], **args)
 
 
+def test_candidates_are_bounded(vectors, cases):
+    for bad in (0, 10_001):
+        with pytest.raises(ValueError):
+            fusion.hybrid_ranks(vectors, cases, [1, 0, 0, 0], "chest", candidates=bad)
+
+
 def test_batch_equals_single(spark, vectors, cases):
     requests = spark.createDataFrame(
         [(7, CONDITION, 3, "FullCase", 0.6, 0.4, 60, [1.0, 0.0, 0.0, 0.0]),

@@ -241,5 +241,6 @@ def test_result_does_not_depend_on_partitions(spark, table):
 def test_postings(spark, cases):
     rows = K.build_postings(cases, ("symptoms",)).where("term = 'chest'").select("case_id", "tf", "positions")
     assert rows_of(rows, "case_id") == [(12, 1, [0]), (31, 1, [3]), (45, 1, [4])]
-    assert rows_of(K.case_lengths(cases, ("symptoms", "outcome")).where("case_id = 45")) == [(45, [2, 0])]
+    lens = K.case_lengths(K.build_postings(cases, ("symptoms", "outcome"), lengths=True))
+    assert rows_of(lens.where("case_id = 45")) == [(45, [2, 0])] and lens.count() == 5
     assert "Exchange" not in plan_of(K.build_postings(cases, ("symptoms",)))

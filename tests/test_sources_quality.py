@@ -29,8 +29,9 @@ def test_csv_without_header_and_with_bad_rows(spark, tmp_path):
 
 
 def test_embeddings_csv(spark, tmp_path):
-    (tmp_path / "e.csv").write_text('1,FullCase,"[0.5, -1.0]"\n')
-    assert rows_of(S.load_embeddings_csv(spark, str(tmp_path / "e.csv"))) == [(1, "FullCase", [0.5, -1.0])]
+    (tmp_path / "e.csv").write_text('1,FullCase,"[0.5, -1.0]"\n2,FullCase,"[0.5, x]"\n3,FullCase,nothing\n')
+    assert rows_of(S.load_embeddings_csv(spark, str(tmp_path / "e.csv")), "case_id") == [
+        (1, "FullCase", [0.5, -1.0], None), (2, "FullCase", None, "[0.5, x]"), (3, "FullCase", None, "nothing")]
 
 
 def test_ensure_table_keeps_what_is_there(spark, tmp_path):

@@ -95,7 +95,7 @@ def test_deleted_cases_leave_the_index(spark, tmp_path):
     state = spark.createDataFrame([(2, "pain"), (3, "pain pain")], "case_id long, body string")
     want = rows_of(keyword_scan(state, ["body"], "pain OR chest"), "case_id")
     assert rows_of(keyword_search(index, "pain OR chest"), "case_id") == want
-    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), ["body"], buckets=4)
+    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), buckets=4)
     assert rows_of(keyword_search(read_index(spark, str(tmp_path / "flat"), ["body"]), "pain OR chest"), "case_id") == want
     only = spark.createDataFrame([(2, "pain", 3, True), (3, "pain", 3, True)], schema)
     jobs.write_index_batch(only, 2, str(tmp_path / "ix"), ["body"], "updated_date", buckets=4, deleted_col="gone")
@@ -117,7 +117,7 @@ def test_index_follows_changes(spark, tmp_path):
     state = spark.createDataFrame([(1, "cured"), (2, "head pain"), (3, "cough"), (4, "pain pain")], "case_id long, body string")
     for question in ("pain", "cured OR cough", '"head pain"', "chest", "pa*"):
         assert rows_of(keyword_search(second, question), "case_id") == rows_of(keyword_scan(state, ["body"], question), "case_id")
-    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), ["body"], buckets=4)
+    jobs.compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "flat"), buckets=4)
     flat = read_index(spark, str(tmp_path / "flat"), ["body"])
     assert rows_of(keyword_search(flat, "pain"), "case_id") == rows_of(keyword_search(second, "pain"), "case_id")
     assert flat.postings.where("term = 'chest'").count() == 0
@@ -127,7 +127,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     batch = spark.createDataFrame([(1, "chest pain", 1), (2, "pain", 1)], CASE)
     for _ in range(2):
         jobs.write_index_batch(batch, 0, str(tmp_path), ["body"], "updated_date", buckets=4)
-    assert spark.read.parquet(str(tmp_path / "postings")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "postings")).where("term_bucket >= 0").count() == 3
     index = jobs.read_stream_index(spark, str(tmp_path), ["body"], buckets=4)
     assert keyword_search(index, "pain").count() == 2
 
