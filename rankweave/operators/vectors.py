@@ -361,8 +361,12 @@ def _write_cells(embeddings: DataFrame, path: str, centroids: np.ndarray, mode:
 
 
 def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7) -> IvfIndex:
-    """Train on all usable vectors and write them by embedding type and nearest centre."""
+    """Train on all usable vectors and write them by embedding type and nearest centre.
+
+    The vectors are written first: a model may have to compute them, and they are read often.
+    """
     spark = embeddings.sparkSession
+    embeddings = written(embeddings.select("case_id", "embedding_type", "embedding"), "vectors")
     centroids = train_centroids(embeddings, nlist, seed)
     _write_cells(embeddings, path, centroids, "overwrite")
     spark.createDataFrame(
@@ -374,6 +378,7 @@ def build_ivf(embeddings: DataFrame, path: str, nlist: int, seed: int = 7) -> Iv
 def append_ivf(embeddings: DataFrame, path: str) -> IvfIndex:
     """Add new vectors to a stored index; its centres stay."""
     spark = embeddings.sparkSession
+    embeddings = written(embeddings.select("case_id", "embedding_type", "embedding"), "vectors")
     _write_cells(embeddings, path, read_ivf(spark, path).centroids, "append")
     return read_ivf(spark, path)
 
