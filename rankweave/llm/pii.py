@@ -2,7 +2,8 @@
 
 All of it is column functions over the row's own text; nothing is shuffled. A regex gives the
 matches and, by splitting, the lengths of what stands between them, and their running sum is
-the place of each match in characters, ends exclusive. Quantifiers are possessive and a match
+the place of each match in characters, ends exclusive. Running sums are taken by doubling, so
+a text with very many matches costs little more than its length. Quantifiers are possessive and a match
 begins only where no character of its first class precedes it or where the last match ended,
 which leaves the leftmost non-overlapping matches as they are and makes every scan linear.
 
@@ -24,9 +25,6 @@ THRESHOLD = 0.5
 NEAR = 48
 LIFT = 0.2
 
-_SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
-
-
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -92,29 +90,52 @@ KINDS = (
 )
 
 
-def places(text: Column, regex: str) -> Column:
-    """All matches with their places: array of (start, end, hit)."""
-    between, hits = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    steps = F.zip_with(between, hits, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def step(state: Column, one: Column) -> Column:
-        start = state["at"] + one["gap"]
-        end = start + F.coalesce(F.length(one["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), one["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(one["hit"].isNull(), state["spans"])
-                        .otherwise(F.concat(state["spans"], F.array(span))).alias("spans"))
+def running(values: Column, kind: str, both: Callable[[Column, Column], Column], reach: int = 1 << 30) -> Column:
+    """Each element joined to all before it by the associative `both`, in doubling steps of at most `reach`.
 
-    none = F.from_json(F.lit("[]"), _SPANS)
-    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    A text of n matches costs n log n, where a fold that appends to an array would cost n squared.
+    """
+    def doubled(line: Column, step: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(None).cast(kind), step), line)
+        return F.zip_with(F.slice(moved, F.lit(1), F.size(line)), line,
+                          lambda a, b: F.when(a.isNull(), b).otherwise(both(a, b)))
+
+    steps = F.array(*(F.lit(1 << k) for k in range(reach.bit_length())))
+    return _let(values, lambda line: F.aggregate(F.filter(steps, lambda s: s < F.size(line)), line, doubled))
+
+
+def places(text: Column, regex: str) -> Column:
+    """All matches with their places: array of (start, end, hit, near), `near` the `NEAR` characters before."""
+    def last(line: Column) -> Column:
+        return F.substring(line, -NEAR, NEAR)
+
+    def spans(found: Column) -> Column:
+        hits = found["hits"]
+        gaps = F.slice(found["gaps"], F.lit(1), F.size(hits))
+        earlier = F.slice(F.concat(F.array(F.lit("")), hits), F.lit(1), F.size(hits))
+        ends = running(F.zip_with(gaps, hits, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("bigint")),
+                       "bigint", lambda a, b: a + b)
+        near = running(F.zip_with(earlier, gaps, lambda hit, gap: last(F.concat(hit, gap))),
+                       "string", lambda a, b: last(F.concat(a, b)), NEAR)
+        at = F.zip_with(ends, hits, lambda end, hit: F.struct(
+            (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
+        return F.zip_with(at, near, lambda s, before: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), before.alias("near")))
+
+    pieces = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"))
+    return _let(pieces, spans)
 
 
 def _scored(text: Column, kind: Kind) -> Column:
     found = F.filter(places(text, kind.regex), lambda s: kind.passes(s["hit"]))
 
     def score(span: Column) -> Column:
-        first = F.greatest(span["start"] - NEAR, F.lit(0)).cast("int")
-        before = F.lower(F.substr(text, first + 1, (span["start"] - first).cast("int")))
-        lift = F.when(before.rlike(kind.context), LIFT).otherwise(0.0)
+        lift = F.when(F.lower(span["near"]).rlike(kind.context), LIFT).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"), span["end"].alias("end"),
                         (F.lit(kind.score) + lift).alias("score"))
 

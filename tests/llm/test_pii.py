@@ -70,3 +70,15 @@ def test_lines_plan_and_empty(spark, table):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert personal_data(table([])).collect() == []
     assert [k.name for k in KINDS if k.base] == list(BASE)
+
+
+def test_very_many_matches(table):
+    """A text of 40,000 matches takes seconds, and its last place is right."""
+    row = personal_data(table([(1, "ü mail a@b.cc and " * 40_000)])).select("email").first()
+    assert len(row.email) == 40_000 and (row.email[-1].start, row.email[-1].end) == (39_999 * 18 + 7, 39_999 * 18 + 13)
+
+
+def test_context_reaches_over_earlier_matches(table):
+    text = "ssn 123-45-6789, 223-45-6789, 323-45-6789, 423-45-6789, 523-45-6789"
+    near = [m.start() for m in re.finditer("[0-9]{3}-", text) if "ssn" in text[max(0, m.start() - 48):m.start()]]
+    assert [s.start for s in personal_data(table([(1, text)])).first().ssn] == near and len(near) == 4
