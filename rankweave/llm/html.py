@@ -9,8 +9,9 @@ region is the smallest container that holds most of the clustered text; an `arti
 around it is taken whole, any other container loses the link lists outside its clusters.
 
 Character references are decoded. White space inside a line becomes one space, lines are
-trimmed and joined in page order by one space, nothing is shortened. A null or empty page, and
-a page without text, has an empty text.
+trimmed and joined in page order by one space, nothing is shortened.
+Time grows in proportion to the page, however deep or broken its markup is. A null or empty
+page, and a page without text, has an empty text.
 """
 
 from __future__ import annotations
@@ -72,15 +73,20 @@ def _left_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 class _Reader(HTMLParser):
-    """Lines as (text, tags, link characters, containers from the page down)."""
+    """Lines as (text, tags, link characters, innermost container).
+
+    Containers are numbered in the order they open, so those inside one have the numbers that
+    follow its own; `parent` names the next one out.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.kind: list[str] = ["page"]
+        self.parent: list[int] = [0]
         self.open: list[tuple[str, bool, int]] = []       # tag, left out, its container or -1
         self.counts: Counter[str] = Counter()
-        self.path: tuple[int, ...] = (0,)
+        self.box = 0
         self.text: list[str] = []
         self.tags = self.linked = self.skipped = self.links = self.whole = 0
 
@@ -92,7 +98,7 @@ class _Reader(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.path))
+            self.lines.append((text, self.tags, self.linked, self.box))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -110,7 +116,8 @@ class _Reader(HTMLParser):
         if tag in _BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "pre"):
             here = len(self.kind)
             self.kind.append(tag)
-            self.path += (here,)
+            self.parent.append(self.box)
+            self.box = here
         if out:
             self.cut()
         self.open.append((tag, out, here))
@@ -124,7 +131,7 @@ class _Reader(HTMLParser):
         if tag in _BLOCK or out:
             self.cut()
         if here >= 0:
-            self.path = self.path[:-1]
+            self.box = self.parent[here]
         self.counts[tag] -= 1
         self.skipped -= out
         self.links -= tag == "a"
@@ -158,6 +165,17 @@ class _Reader(HTMLParser):
                 self.linked += len(data)
 
 
+def _closable(page: str) -> str:
+    """The page without openings that nothing after them closes, for whose end the parser would look each time.
+
+    An open comment or marked section hides nothing, a `<` after the last `>` is text.
+    """
+    for opening, closing, instead in (("<![", "]", ""), ("<!--", "-->", ""), ("<", ">", "&lt;")):
+        past = page.rfind(closing) + len(closing) if closing in page else 0
+        page = page[:past] + page[past:].replace(opening, instead)
+    return page
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """The ratios under a Gaussian, ends extended by their own value."""
     reach = int(np.ceil(3 * sigma))
@@ -167,6 +185,7 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def main_text(html: str) -> str:
     """The main text of one page."""
+    html = _closable(html)
     reader = _Reader()
     try:
         reader.read(html)
@@ -180,19 +199,22 @@ def main_text(html: str) -> str:
     smooth = smoothed(ratio)
     content = smooth >= min(smooth.std(), smooth.max())  # clusters are the runs of content lines
     size = np.array([len(text) for text, _, _, _ in lines]) * content
-    held: Counter[int] = Counter()
-    for k in np.flatnonzero(content).tolist():
-        for box in lines[k][3]:
-            held[box] += int(size[k])
-    # boxes are numbered from the page down, so the last that holds enough is the smallest
-    box = max(b for b, n in held.items() if n >= MOST * size.sum())
-    path = next(lines[k][3] for k in np.flatnonzero(content).tolist() if box in lines[k][3])
-    around = [b for b in path[:path.index(box) + 1] if reader.kind[b] in _WHOLE]
-    if around:
-        return " ".join(text for text, _, _, boxes in lines if around[-1] in boxes)
-    return " ".join(text for k, (text, _, linked, boxes) in enumerate(lines)
-                    if box in boxes and (content[k] or linked < LINKED * len(text)))
-
+    held, last = [0] * len(reader.kind), list(range(len(reader.kind)))
+    for (_, _, _, at), n in zip(lines, size.tolist(), strict=True):
+        held[at] += n
+    for at in range(len(held) - 1, 0, -1):               # what a container holds, its parent holds too
+        out = reader.parent[at]
+        held[out] += held[at]
+        last[out] = max(last[out], last[at])
+    # containers are numbered from the page down, so the last that holds enough is the smallest
+    box = max(at for at, n in enumerate(held) if n >= MOST * size.sum())
+    whole = box
+    while whole and reader.kind[whole] not in _WHOLE:
+        whole = reader.parent[whole]
+    if whole:
+        return " ".join(text for text, _, _, at in lines if whole <= at <= last[whole])
+    return " ".join(text for k, (text, _, linked, at) in enumerate(lines)
+                    if box <= at <= last[box] and (content[k] or linked < LINKED * len(text)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import html as H
 import os
 import re
+import time
 
 import pytest
 
@@ -60,3 +61,18 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want[r.page_id] = " ".join(H.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", article))).split())
     assert {r.page_id: r.text for r in extracted(pages).collect()} == want
+
+
+@pytest.mark.parametrize("page", ["<!--" * 100_000, "<a" * 100_000, "</" * 100_000, "<![CDATA[" * 30_000 + ">",
+                                  "<div>" * 60_000, "<b><div>w" * 20_000, "<title>" + "</titl" * 50_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one</p><!-- <p>two</p>", "one two"), ("<p>one</p> 1 < 2", "one 1 < 2"),
+    ("<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000, "deep"), ("<p>a</p><![CDATA[<p>b</p>", "a CDATA[ b")])
+def test_unclosed_and_deep(page, text):
+    assert main_text(page) == text
