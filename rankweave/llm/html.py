@@ -4,9 +4,10 @@ The standard library's parser is read as a stream of events. Block tags cut the
 lines; each line knows its text, its tags, its link text and the containers it lies in. What
 is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by
 its tag, role, class or id is left out with all it holds. The text-to-tag ratios of the other
-lines are smoothed by a Gaussian and cut by a threshold into clusters of content. The content
-region is the smallest container that holds most of the clustered text; an `article` or `main`
-around it is taken whole, any other container loses the link lists outside its clusters.
+lines are smoothed by a Gaussian and cut by a threshold into clusters of content. An `article`
+or `main` around most of the clustered text is taken whole. Without one the content region is
+the smallest container of all clustered lines that are not lists of links; it loses only the
+link lists outside its clusters and those that smoothing alone brought into one.
 
 Character references are decoded. White space inside a line becomes one space, lines are
 trimmed and joined in page order by one space, nothing is shortened.
@@ -199,13 +200,21 @@ def main_text(html: str) -> str:
     smooth = smoothed(ratio)
     content = smooth >= min(smooth.std(), smooth.max())  # clusters are the runs of content lines
     size = np.array([len(text) for text, _, _, _ in lines]) * content
-    held, last = [0] * len(reader.kind), list(range(len(reader.kind)))
-    for (_, _, _, at), n in zip(lines, size.tolist(), strict=True):
-        held[at] += n
+    linked = np.array([n >= LINKED * len(text) for text, _, n, _ in lines])
+    own = content & ~linked
+    held, last, chars, links, mine = ([0] * len(reader.kind) for _ in range(5))
+    for k, (text, _, n, at) in enumerate(lines):
+        last[at] = at
+        held[at] += int(size[k])
+        chars[at] += len(text)
+        links[at] += n
+        mine[at] += int(own[k])
     for at in range(len(held) - 1, 0, -1):               # what a container holds, its parent holds too
         out = reader.parent[at]
-        held[out] += held[at]
+        last[at] = max(last[at], at)
         last[out] = max(last[out], last[at])
+        for sums in (held, chars, links, mine):
+            sums[out] += sums[at]
     # containers are numbered from the page down, so the last that holds enough is the smallest
     box = max(at for at, n in enumerate(held) if n >= MOST * size.sum())
     whole = box
@@ -213,8 +222,11 @@ def main_text(html: str) -> str:
         whole = reader.parent[whole]
     if whole:
         return " ".join(text for text, _, _, at in lines if whole <= at <= last[whole])
-    return " ".join(text for k, (text, _, linked, at) in enumerate(lines)
-                    if box <= at <= last[box] and (content[k] or linked < LINKED * len(text)))
+    region = max(at for at, n in enumerate(mine) if n == mine[0]) if mine[0] else box
+    return " ".join(
+        text for k, (text, _, _, at) in enumerate(lines)
+        if region <= at <= last[region] and (not linked[k] or content[k] and (
+            box <= at <= last[box] or links[at] < LINKED * chars[at])))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,3 +76,17 @@ def test_hostile_pages_take_time_in_proportion(page):
     ("<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000, "deep"), ("<p>a</p><![CDATA[<p>b</p>", "a CDATA[ b")])
 def test_unclosed_and_deep(page, text):
     assert main_text(page) == text
+
+
+QUOTE = "A quotation that is by far the longest part of its page, and so draws the vote of the ratios. " * 6
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div id=content><p>{LONG}</p><blockquote>{QUOTE}</blockquote><p>{LONG}</p></div>", f"{LONG} {QUOTE.strip()} {LONG}"),
+    (f"<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><p>{LONG}</p><div>{QUOTE}</div>"
+     f"<table><tr><td>{LONG}</td></tr></table></div>", f"{LONG} {QUOTE.strip()} {LONG}"),
+    (f"<div><p>{LONG}</p></div><div><section>{QUOTE}</section></div>", f"{LONG} {QUOTE.strip()}"),
+    (f"<div><p>{LONG}</p><p><a href=x>The whole study</a></p><figure>{QUOTE}</figure></div>",
+     f"{LONG} The whole study {QUOTE.strip()}")])
+def test_without_article_no_clustered_line_is_lost(page, text):
+    assert main_text(page) == text
