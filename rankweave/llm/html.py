@@ -3,7 +3,10 @@
 The standard library's parser is read as a stream of events. Block tags cut the page into
 lines; each line knows its text, its tags, its link text and the containers it lies in. What
 is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by
-its tag, role, class or id is left out with all it holds. The text-to-tag ratios of the other
+its tag, role, class or id is left out with all it holds. A class or id names such a part by
+its whole or its last word before words of layout (`sidebar`, `cookie-notice`, `comments-area`).
+It is not followed for what holds the article or most of the clustered text, nor where nothing
+would be left of the page. The text-to-tag ratios of the other
 lines are smoothed by a Gaussian and cut by a threshold into clusters of content. An `article`
 or `main` around most of the clustered text is taken whole. Without one the content region is
 the smallest container of all clustered lines that are not lists of links; it loses only the
@@ -48,6 +51,13 @@ _NAMES = frozenset(
     "cookie cookies consent copyright disqus disclaimer footer form gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices overlay pager pagination popup promo promotion related recommended respond "
     "search share sharing sidebar signup sponsor sponsored social subscribe toolbar topbar widget widgets".split())
+# what readers wrote is no article, however long it is
+_READERS = frozenset("comment comments commentlist disqus respond".split())
+# words of layout that may follow a name, and words of state that make it say something else
+_LAYOUT = frozenset(
+    "area bar block body bottom box buttons col column container content group holder inner items left link links list "
+    "outer panel posts primary region right row secondary section slot tertiary top unit wrap wrapper zone".split())
+_STATE = frozenset("has have is no not with without".split())
 _WHOLE = frozenset(("article", "main"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -65,31 +75,53 @@ def _left_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return False
     if tag == "header" and not inside:
         return True
-    if attrs.get("role", "").strip().lower() in _ROLES:
-        return True
+    return attrs.get("role", "").strip().lower() in _ROLES
+
+
+def _named(tag: str, attrs: dict[str, str], inside: bool) -> str:
+    """The name by which a class or id says that an element is no part of an article, or nothing."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    names = {n.rstrip("0123456789") for n in _SPLIT.split(_WORDY.sub("-", names).lower())}
-    named = not names.isdisjoint(_NAMES)
-    return named and not (inside and tag in ("header", "h1", "h2", "h3"))
+    if names == " " or tag in ("html", "body", "article", "main") or inside and tag in ("header", "h1", "h2", "h3"):
+        return ""
+    for name in names.split():
+        parts = [n.rstrip("0123456789") for n in _SPLIT.split(_WORDY.sub("-", name).lower())]
+        parts = [n for n in parts if n]
+        while len(parts) > 1 and parts[-1] in _LAYOUT:
+            parts.pop()
+        if parts and parts[-1] in _NAMES and parts[0] not in _STATE:
+            return parts[-1]
+    return ""
+
+
+_Line = tuple[str, int, int, int]
 
 
 class _Reader(HTMLParser):
-    """Lines as (text, tags, link characters, innermost container).
+    """Lines as (text, tags by part, link characters, innermost container, part).
 
     Containers are numbered in the order they open, so those inside one have the numbers that
-    follow its own; `parent` names the next one out.
+    follow its own; `parent` names the next one out. So are the parts, the elements whose names
+    say that they are left out; what is in none of them is in part 0.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.by_name = by_name
+        self.lines: list[tuple[str, dict[int, int], int, int, int]] = []
+        self.part = 0
+        self.around: list[int] = [0]                      # of each part: the next one out
+        self.readers: list[bool] = [False]                # whether readers wrote it
+        self.within: list[bool] = [False]                 # whether it lies in an article or main
+        self.holds: list[set[str]] = [set()]              # which of article and main it holds
+        self.outside: set[str] = set()                    # which of them have text that is in no part
         self.kind: list[str] = ["page"]
         self.parent: list[int] = [0]
-        self.open: list[tuple[str, bool, int]] = []       # tag, left out, its container or -1
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, its container or -1, part around it
         self.counts: Counter[str] = Counter()
         self.box = 0
         self.text: list[str] = []
-        self.tags = self.linked = self.skipped = self.links = self.whole = 0
+        self.tags: dict[int, int] = {}
+        self.linked = self.skipped = self.links = 0
 
     def read(self, page: str) -> None:
         self.feed(page)
@@ -99,8 +131,10 @@ class _Reader(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.box))
-            self.tags = 0
+            self.lines.append((text, self.tags, self.linked, self.box, self.part))
+            self.tags = {}
+            if not self.part:
+                self.outside.update(t for t in _WHOLE if self.counts[t])
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -109,42 +143,58 @@ class _Reader(HTMLParser):
                 self.leave()
         if tag in _BLOCK:
             self.cut()
-        self.tags += not self.skipped
+        self.count()
         if tag in _VOID:
             return
-        out = _left_out(tag, {k: v or "" for k, v in attrs}, self.whole > 0)
+        inside, values = any(self.counts[t] for t in _WHOLE), {k: v or "" for k, v in attrs}
+        out, part = _left_out(tag, values, inside), self.part
+        name = _named(tag, values, inside) if self.by_name and not out and not self.skipped else ""
+        if tag in _WHOLE and not self.skipped:
+            at = part
+            while at and tag not in self.holds[at]:
+                self.holds[at].add(tag)
+                at = self.around[at]
         here = -1
         if tag in _BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "pre"):
             here = len(self.kind)
             self.kind.append(tag)
             self.parent.append(self.box)
             self.box = here
-        if out:
+        if out or name:
             self.cut()
-        self.open.append((tag, out, here))
+        if name:
+            self.part = len(self.around)
+            self.around.append(part)
+            self.readers.append(name in _READERS)
+            self.within.append(inside)
+            self.holds.append(set())
+        self.open.append((tag, out, here, part))
         self.counts[tag] += 1
         self.skipped += out
         self.links += tag == "a"
-        self.whole += tag in _WHOLE
+
+    def count(self) -> None:
+        if not self.skipped:
+            self.tags[self.part] = self.tags.get(self.part, 0) + 1
 
     def leave(self) -> None:
-        tag, out, here = self.open.pop()
-        if tag in _BLOCK or out:
+        tag, out, here, part = self.open.pop()
+        if tag in _BLOCK or out or part != self.part:
             self.cut()
+        self.part = part
         if here >= 0:
             self.box = self.parent[here]
         self.counts[tag] -= 1
         self.skipped -= out
         self.links -= tag == "a"
-        self.whole -= tag in _WHOLE
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += not self.skipped
+        self.count()
         if not self.counts[tag]:
             if tag in _BLOCK:
                 self.cut()
             return
-        if tag not in _BLOCK and any(t in _BLOCK for t, _, _ in self.open[-8:][::-1][:self._above(tag)]):
+        if tag not in _BLOCK and any(t in _BLOCK for t, *_ in self.open[-8:][::-1][:self._above(tag)]):
             return                                       # an inline end tag does not close blocks
         while True:
             last = self.open[-1][0]
@@ -154,11 +204,44 @@ class _Reader(HTMLParser):
 
     def _above(self, tag: str) -> int:
         """How many of the last open elements stand above the nearest `tag`, up to 8."""
-        for k, (other, _, _) in enumerate(reversed(self.open[-8:])):
+        for k, (other, *_) in enumerate(reversed(self.open[-8:])):
             if other == tag:
                 return k
         return 8
 
+    def without(self, out: list[bool]) -> list[_Line]:
+        """(text, tags, link characters, container) of the lines in no part that is `out`."""
+        found, tags = [], 0
+        for text, counts, linked, at, part in self.lines:
+            tags += sum(n for p, n in counts.items() if not out[p])
+            if not out[part]:
+                found.append((text, tags, linked, at))
+                tags = 0
+        return found
+
+    def kept(self) -> list[_Line]:
+        """The lines that are left when the parts are taken out that are foreign indeed.
+
+        A part stays that holds the `main`, the article, or most of the clustered text. Where an
+        article has text elsewhere, an article in a part is a teaser or a comment.
+        """
+        out = [False] * len(self.around)
+        lines = self.without(out)
+        if len(out) == 1 or not lines:
+            return lines
+        size = [0] * len(out)
+        for (text, *_, part), content in zip(self.lines, clustered(lines), strict=True):
+            size[part] += len(text) * bool(content)
+        for part in range(len(out) - 1, 0, -1):
+            size[self.around[part]] += size[part]
+        for part in range(1, len(out)):
+            holds, readers = self.holds[part], self.readers[part]
+            stays = "main" in holds or (
+                "article" in holds and not (self.outside if readers else "article" in self.outside)) or (
+                not readers and size[part] >= MOST * size[0] and (self.within[part] or "article" not in self.outside))
+            out[part] = out[self.around[part]] or not stays
+        return self.without(out)
+
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.text.append(data)
@@ -184,21 +267,33 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), weights / weights.sum(), mode="valid")
 
 
-def main_text(html: str) -> str:
-    """The main text of one page."""
-    html = _closable(html)
-    reader = _Reader()
+def clustered(lines: list[_Line]) -> np.ndarray:
+    """Whether each line is in a cluster; clusters are the runs of such lines."""
+    smooth = smoothed(np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines]))
+    return smooth >= min(smooth.std(), smooth.max())
+
+
+def _read(html: str, by_name: bool) -> _Reader:
+    reader = _Reader(by_name)
     try:
         reader.read(html)
     except AssertionError:                               # a marked section the parser has no name for
-        reader = _Reader()
+        reader = _Reader(by_name)
         reader.read(html.replace("<![", "<! ["))
-    lines = reader.lines
+    return reader
+
+
+def main_text(html: str) -> str:
+    """The main text of one page."""
+    html = _closable(html)
+    reader = _read(html, True)
+    lines = reader.kept()
+    if not lines and reader.lines:                       # the names took all there is
+        reader = _read(html, False)
+        lines = reader.kept()
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
-    smooth = smoothed(ratio)
-    content = smooth >= min(smooth.std(), smooth.max())  # clusters are the runs of content lines
+    content = clustered(lines)
     size = np.array([len(text) for text, _, _, _ in lines]) * content
     linked = np.array([n >= LINKED * len(text) for text, _, n, _ in lines])
     own = content & ~linked

@@ -90,3 +90,27 @@ QUOTE = "A quotation that is by far the longest part of its page, and so draws t
      f"{LONG} The whole study {QUOTE.strip()}")])
 def test_without_article_no_clustered_line_is_lost(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content-sidebar-wrap'><main><p>{LONG}</p></main><div class=sidebar>Links</div></div>", LONG),
+    (f"<div id=page class='no-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='post has-comments'><p>{LONG}</p><p>End.</p></div>", f"{LONG} End."),
+    (f"<section class='social-issues'><article><p>{LONG}</p></article></section>", LONG),
+    (f"<article><p>{LONG}</p><div class='search-results-table'>A 1</div><p class='notice-period'>Two weeks.</p></article>",
+     f"{LONG} A 1 Two weeks."),
+    (f"<div class=header><div class=widget><p>{LONG}</p></div></div>", LONG),
+    (f"<div class=comments><p>{LONG}</p></div>", LONG),
+    (f"<div class=layout-sidebar><article><p>{LONG}</p></article></div><p>Contact</p>", LONG)])
+def test_a_name_does_not_take_the_article_away(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("part", [
+    f"<div class='comments-area'><article class=comment><p>{QUOTE}</p></article></div>",
+    f"<div class='sidebar-left'><p>{LONG}</p></div>", f"<div id=relatedPosts><article><p>{LONG}</p></article></div>",
+    f"<section class='site-footer__inner'>{LONG}</section>", f"<div class='ad-slot2'>{LONG}</div>"])
+def test_foreign_parts_stay_out(part):
+    assert main_text(f"<main><article><p>{LONG}</p></article>{part}</main>") == LONG
+    assert main_text(f"<article><p>{LONG}</p></article>{part}") == LONG
+    assert main_text(f"<div><p>{LONG} {LONG}</p><p>{LONG}</p></div>" + part.replace("article", "div")) == " ".join([LONG] * 3)
