@@ -8,8 +8,9 @@ for each source and length. The documents of a length are then taken in the orde
 hash, so a rerun takes the same ones.
 
 The program runs once for each source over its lengths, whose number grows with the longest
-document, not with the rows. It reaches `REACH` words: longer remainders are first shortened
-by the longest documents that fit.
+document, not with the rows. It reaches `REACH` words or, where that is more, `LONGEST` times
+the longest document; longer remainders are first shortened by the longest documents. Where
+few documents are left, all their sums are tried, however long they are.
 
 A null or empty text has size 0 and is never taken. A null source is a source of its own,
 last in order. Rows that repeat an id are documents of their own.
@@ -31,6 +32,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 REACH = 1 << 16
+#: times the longest document that the program reaches at least
+LONGEST = 4
+#: items of which all sums are tried
+FEW = 18
 #: parts into which the documents of one source and length are ranked
 PARTS = 1024
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -72,8 +77,6 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     Item k of a length with c copies is split into 1, 2, 4, ... copies. `first[s]` is the
     item that first reached the sum s, so walking back from the best sum gives the choice.
     """
-    first = np.full(budget + 1, -1, np.int64)
-    first[0] = 0
     items = []
     for k in np.flatnonzero((lengths <= budget) & (counts > 0)).tolist():
         left, step = min(int(counts[k]), budget // int(lengths[k])), 1
@@ -82,13 +85,25 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
             items.append((k, many, many * int(lengths[k])))
             left -= many
             step *= 2
+    taken = np.zeros(len(lengths), np.int64)
+    if len(items) <= FEW:
+        sums, sets = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for number, (_, _, size) in enumerate(items):
+            fits = sums <= budget - size
+            sums, at = np.unique(np.concatenate([sums, sums[fits] + size]), return_index=True)
+            sets = np.concatenate([sets, sets[fits] | 1 << number])[at]
+        for number, (k, many, _) in enumerate(items):
+            taken[k] += many * (int(sets[-1]) >> number & 1)
+        return taken
+    first = np.full(budget + 1, -1, np.int32)
+    first[0] = 0
     for number, (_, _, size) in enumerate(items, 1):
         if size <= budget:
             new = np.flatnonzero((first[size:] < 0) & (first[:budget + 1 - size] >= 0))
             first[new + size] = number
         if first[budget] >= 0:
             break
-    taken, at = np.zeros(len(lengths), np.int64), int(np.flatnonzero(first >= 0)[-1])
+    at = int(np.flatnonzero(first >= 0)[-1])
     while at:
         k, many, size = items[first[at] - 1]
         taken[k] += many
@@ -111,14 +126,21 @@ def plan(lengths: np.ndarray, counts: np.ndarray, target: float, repeats: int =
         part = np.floor(counts * share).astype(np.int64)
         budget -= int((part * lengths).sum())
         left = counts - part
+        fit = (left > 0) & (lengths > 0) & (lengths <= budget)
+        reach = max(reach, LONGEST * int(lengths[fit].max(initial=0)))
+        items = np.where(fit, np.ceil(np.log2(np.maximum(left, 0) + 1)), 0)
+        few = items.sum()
         for k in np.argsort(-lengths).tolist():
-            if budget <= reach:
+            if budget <= reach or few <= FEW:
                 break
+            if not fit[k]:
+                continue
+            few -= items[k]
             more = min(int(left[k]), max(0, (budget - reach // 2) // int(lengths[k])))
             part[k] += more
             left[k] -= more
             budget -= more * int(lengths[k])
-        part += knapsack(lengths, left, min(budget, reach))
+        part += knapsack(lengths, left, budget)
         taken += part
     return taken
 

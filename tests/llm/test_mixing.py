@@ -88,3 +88,20 @@ def test_empty(table):
     assert mixed(table([])).collect() == []
     assert mix(table([])).collect() == []
     assert [r.taken for r in mixed(table([(1, ""), (2, None)])).collect()] == [0, 0]
+
+
+def test_documents_longer_than_the_reach_are_taken():
+    assert plan(np.array([90_000, 200_000]), np.array([1, 1]), 100_000.0).tolist() == [1, 0]
+    draw = np.random.default_rng(5)
+    for _ in range(40):                                  # few documents: as good as trying all
+        lengths = np.unique(draw.integers(1, 400_000, 5))
+        counts = np.ones(len(lengths), np.int64)
+        target = int(draw.uniform(0, 1) * lengths.sum())
+        got = int((plan(lengths, counts, float(target)) * lengths).sum())
+        assert got == max(s for t in product(*[range(2)] * len(lengths)) if (s := int(np.dot(t, lengths))) <= target)
+    for _ in range(5):                                   # many: next to the target
+        lengths = np.unique(draw.integers(70_000, 300_000, 60))
+        counts = draw.integers(1, 4, len(lengths))
+        target = float(draw.uniform(0.1, 1.9) * (lengths * counts).sum())
+        times = plan(lengths, counts, target)
+        assert (times <= 2 * counts).all() and -1 <= target - int((times * lengths).sum()) <= 20
