@@ -30,7 +30,7 @@ from rankweave.llm.words import ALNUM, LOWER
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Licenses by name: label, SPDX identifiers, names as regexes over lower-cased text, a word each name holds.
-# `~` stands for any run of blanks, hyphens and commas, also across a line break.
+# `~` stands for any run of blanks, hyphens and commas, also across line breaks and the comment leaders after them.
 _NAMED = (
     ("mit", "mit|x11|mit-0", "mit~licen[cs]e|expat~licen[cs]e|x11~licen[cs]e", "licen"),
     ("apache-1", "apache-1.0|apache-1.1", "apache~(software~)?licen[cs]e~(version~|v)?1(\\.[01])?(?!\\d)", "apache"),
@@ -114,7 +114,9 @@ class Rule:
 
 
 def _blank(regex: str) -> str:
-    return regex.replace("~?", "[\\s,-]{0,9}").replace("~", "[\\s,-]{1,9}")
+    # possessive, and no name goes on with a character of a run, so a run is read once
+    run = r"(?:\n[ \t]*+(?:[*#]++|//++)|[\s,-])"
+    return regex.replace("~?", f"{run}*+").replace("~", f"{run}++")
 
 
 def _rules() -> list[Rule]:
@@ -132,7 +134,7 @@ def _rules() -> list[Rule]:
         held = tuple(words.split("|"))
         if identifiers:
             one = "|".join(re.escape(x) for x in identifiers.split("|"))
-            out.append(Rule(label, f"spdx-license-identifier:\\s{{0,9}}(?:{one})(?![\\w.-]*\\w)", ("spdx",), 4, 1.0))
+            out.append(Rule(label, f"spdx-license-identifier:\\s*+(?:{one})(?![\\w.-]*\\w)", ("spdx",), 4, 1.0))
             out.append(Rule(label, f"(?:spdx|opensource)\\.org/licenses/(?:{one})(?![\\w.-]*\\w)", ("/licenses/",), 3, 0.95))
         out.append(Rule(label, _blank(f"{lead}(?:{regex})"), held, 2, 0.9))
         out.append(Rule(label, _blank(f"(?<!\\w)(?:{regex})"), held, 1, 0.7))

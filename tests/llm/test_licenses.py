@@ -1,6 +1,7 @@
 """License phrases and signature rules."""
 
 import re
+import time
 
 import pytest
 
@@ -61,3 +62,23 @@ def test_rows(table):
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert 0 <= r.score <= 1 and set(filter(None, mine.split(","))) <= set(r.labels.split(","))
     assert licenses(table([])).collect() == []
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Apache License,\n                Version 2.0", {"apache-2"}),
+    ("GNU General Public\n            License\n\n            version 3", {"gpl-3"}),
+    (" * the Apache License,\n * Version 2.0", {"apache-2"}), ("# GNU General Public\r\n#   License, version 2", {"gpl-2"}),
+    ("// Mozilla Public\n    //License\n    // Version 2", {"mpl-2"}), ("spdx-license-identifier:" + " " * 30 + "mit", {"mit"}),
+    ("creative commons attribution" + " " * 40 + "sharealike", {"cc-by-sa"}), ("mit * license", set()), ("mit/license", set())])
+def test_a_gap_may_be_of_any_length(text, labels):
+    found = detections(text.translate(LOW))
+    assert {d.label for d in found} == labels
+    assert not labels or text.translate(LOW).endswith(text.translate(LOW)[found[-1].start:found[-1].end])
+
+
+@pytest.mark.parametrize("text", ["apache" + " " * 500_000, "gnu general public " * 30_000, "licensed under" + "\n * " * 200_000,
+                                  ("apache" + " \n" * 500) * 300])
+def test_long_gaps_take_time_in_proportion(text):
+    start = time.perf_counter()
+    detections(text)
+    assert time.perf_counter() - start < 10
