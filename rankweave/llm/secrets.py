@@ -1,8 +1,8 @@
 """Secrets by pattern, and by novelty under a primed zstandard dictionary.
 
 Base kinds are patterns: an assignment to a sensitive name, an access key, a long hex run.
-The method adds `novel` spans: a string of at least `SHORTEST` token characters with a digit
-that stands within `NEAR` characters after a sensitive word. Its novelty is the number of
+The method adds `novel` spans: a string of at least `SHORTEST` token characters that
+stands within `NEAR` characters of a sensitive word, before or after it. Its novelty is the number of
 bytes it adds to the compressed text around it, by its length, where the compressor already
 knows a dictionary of identifiers. Ordinary words, identifiers and repeats cost little; what
 does not compress is reported. A novel span never overlaps a base span or another novel one.
@@ -13,6 +13,7 @@ Places are in characters, ends exclusive. A null text counts as empty.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,27 +72,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVEL) -> list[tuple[str, int, int]]:
-    """Incompressible strings after a sensitive word that no base span touches."""
-    out, past, k, reach = [], 0, 0, 0
-    for word in _SENSITIVE.finditer(text):
-        at = max(word.end(), past)
-        stop = min(word.end() + NEAR, len(text))
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings near a sensitive word in order; one that holds such a word is cut there."""
+    words = [word.span() for word in _SENSITIVE.finditer(text)]
+    after, past = [], 0
+    for _, at in words:
+        stop = min(at + NEAR, len(text))
+        at = max(at, past)
         while at < stop:
             token = _TOKEN.search(text, at, min(stop + SHORTEST, len(text)))
             if not token or token.start() >= stop:
                 break
-            start, end = token.start(), token.end()
+            end = token.end()
             while end < len(text) and _PART.match(text, end):
                 end += 1
+            after.append((token.start(), end))
             at = past = end
-            while k < len(base) and base[k][1] < end:
-                reach = max(reach, base[k][2])
-                k += 1
-            if reach > start or not any(c.isdigit() for c in text[start:end]):
-                continue
-            if novelty(text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND]) >= least:
-                out.append(("novel", start, end))
+    starts, ends, before = [a for a, _ in words], [b for _, b in after], []
+    for token in _TOKEN.finditer(text) if words else ():
+        k = bisect_left(starts, token.start())
+        if k == len(starts):
+            break
+        start, end = token.start(), min(token.end(), starts[k])
+        j = bisect_right(ends, start)
+        if end - start >= SHORTEST and starts[k] - end < NEAR and (j == len(after) or after[j][0] >= end):
+            before.append((start, end))
+    return sorted(after + before)
+
+
+def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVEL) -> list[tuple[str, int, int]]:
+    """Incompressible strings near a sensitive word that no base span touches."""
+    out, k, reach = [], 0, 0
+    for start, end in candidates(text):
+        while k < len(base) and base[k][1] < end:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= start and novelty(text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND]) >= least:
+            out.append(("novel", start, end))
     return out
 
 
