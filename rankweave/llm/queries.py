@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, exact, html, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from rankweave.llm import (
+    centroids, decontaminate, exact, html, licenses, mixing, pii, quality, secrets, simhash, spelling, tokens, toxicity,
+)
 from rankweave.plans.registry import Query, with_package
 from rankweave.session import written
 from rankweave.sources.tables import read_table
@@ -149,3 +152,57 @@ FROM rows WINDOW same AS (PARTITION BY line)
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_duplicates(read_table(spark, folder, "documents"), keep="max")
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = written(spelling.count_words(read_table(spark, folder, "documents")), "words")
+    return spelling.variants(words)
+
+
+def _next_centroids(n: int) -> str:
+    """The assignment to centroids `n`, and the centroids that follow from it."""
+    return f"""
+d{n} AS (SELECT r, c, list_sum(list_transform(list_zip(p.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM kept p, c{n} k),
+a{n} AS (SELECT r, min(d) AS d, arg_min(c, {{'d': d, 'c': c}}) AS c FROM d{n} GROUP BY r),
+m{n} AS (SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n
+    FROM a{n} JOIN kept USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i),
+u{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{n} GROUP BY c),
+c{n + 1} AS (SELECT k.c, coalesce(u.v, k.v) AS v FROM c{n} k LEFT JOIN u{n} u USING (c))"""
+
+
+OP12_SQL = f"""
+WITH given AS (
+    SELECT vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM given),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+        SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 16)),
+{",".join(_next_centroids(n) for n in range(4))}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+    CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 USING (c)
+"""
+
+
+@query("op12_centroids", OP12_SQL)
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    points = centroids.integer_vectors(read_table(spark, folder, "embeddings"), dim=64, scale=64)
+    found, last = centroids.clustered(points, clusters=16, rounds=3, seed=1)
+    digests = [sha256(",".join(map(str, c.tolist())).encode()).hexdigest() for c in last]
+    digest = F.get(F.array(*map(F.lit, digests)), F.col("cluster")) if digests else F.lit("")
+    return centroids.with_inertia(found).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+@query("op13_tokens")
+def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_counts(read_table(spark, folder, "documents"), vocabulary, limit=1024).withColumnRenamed("id", "doc_id")
