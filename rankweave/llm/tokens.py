@@ -3,7 +3,7 @@
 Which strings of the vocabulary encode alone as one token is proved once, on the driver: the
 merges are applied to each of them, and those that end as one piece become a table. Tasks
 split texts into pre-tokens, look each one up in that table and count 1 where it is there.
-Only the rest is merged, and what was merged is remembered while the memory lasts.
+Only the rest is merged. A task remembers what it has merged lately, a bounded number of strings.
 
 The vocabulary is a `tokenizers` file of byte-level BPE; its size, fixed by that file, bounds
 what is broadcast. Pre-tokens are cut by the pattern such files imply. Code points that this
@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +35,10 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: code points of a text looked at together
 PIECE = 1 << 18
+#: letters of a pre-token that is merged by looking through all its pairs each time
+SHORT = 64
 #: pre-tokens whose merged length a task remembers
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 @cache
@@ -64,6 +65,26 @@ class Vocabulary:
 
 def merged_length(letters: str, merges: dict[tuple[str, str], int]) -> int:
     """How many pieces are left after all merges, lowest rank first, leftmost first."""
+    if len(letters) > SHORT:
+        return _merged_by_heap(letters, merges)
+    parts, get, never = list(letters), merges.get, len(merges)
+    ranks = [get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+    while ranks:
+        least = min(ranks)
+        if least == never:
+            break
+        i = ranks.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = get((parts[i], parts[i + 1]), never)
+        if i:
+            ranks[i - 1] = get((parts[i - 1], parts[i]), never)
+    return len(parts)
+
+
+def _merged_by_heap(letters: str, merges: dict[tuple[str, str], int]) -> int:
+    """The same in n log n."""
     n = len(letters)
     parts: list[str | None] = list(letters)
     if n < 2:
@@ -109,20 +130,6 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(merges, whole, specials, source)
 
 
-@cache
-def unknown_letters() -> re.Pattern:
-    """Code points that the Unicode tables of this Python do not assign."""
-    ranges, first = [], None
-    for c in range(0x80, sys.maxunicode + 2):
-        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if unknown and first is None:
-            first = c
-        elif not unknown and first is not None:
-            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return re.compile(f"[{''.join(ranges)}]")
-
-
 class Counter:
     """Counts the tokens of texts in one task."""
 
@@ -131,7 +138,7 @@ class Counter:
         self.findall = regex.compile(PATTERN).findall
         self.border = regex.compile(r"\S(?=\s)")
         self.special = re.compile("|".join(map(re.escape, vocabulary.specials))) if vocabulary.specials else None
-        self.unknown = unknown_letters()
+        self.seen: set[str] = set()                      # code points that Unicode here knows
         self.to_letters = {b: c for b, c in enumerate(byte_letters())}
         to_byte = {c: b for b, c in enumerate(byte_letters())}
         # the table by the text it stands for; strings that are no whole UTF-8 are no pre-tokens
@@ -141,11 +148,15 @@ class Counter:
                 self.known[bytes(to_byte[c] for c in letters).decode("utf-8")] = 1
             except (KeyError, UnicodeDecodeError):
                 continue
-        self.proved = len(self.known)
+        self.proved = dict(self.known)
         self.library = None
 
     def pre_tokens(self, piece: str) -> list[str]:
-        if piece.isascii() or not self.unknown.search(piece):
+        if piece.isascii():
+            return self.findall(piece)
+        new = {c for c in set(piece) - self.seen if unicodedata.category(c) != "Cn"}
+        self.seen |= new
+        if self.seen.issuperset(piece):
             return self.findall(piece)
         if self.library is None:
             from tokenizers import Tokenizer
@@ -156,7 +167,10 @@ class Counter:
     def merged(self, pre_token: str) -> int:
         letters = pre_token.encode("utf-8").decode("latin-1").translate(self.to_letters)
         n = self.vocabulary.length(letters)
-        if len(self.known) < self.proved + REMEMBERED and len(pre_token) < 256:
+        if len(self.known) >= len(self.proved) + REMEMBERED:      # start again: what is common comes back at once
+            self.known.clear()
+            self.known.update(self.proved)
+        if len(pre_token) < 256:
             self.known[pre_token] = n
         return n
 
