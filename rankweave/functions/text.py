@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accent folding (same table in the SQL checks) and the English stop list.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folding() -> tuple[str, str]:
+    """(from, to) of a translation of lower-cased text that takes accents off.
+
+    By canonical decomposition: a lower-case Latin, Greek or Cyrillic letter that decomposes into
+    a letter and combining marks becomes that letter, and combining marks by themselves are
+    deleted. Final sigma counts as sigma. Letters without a decomposition (such as o with a
+    stroke) stay.
+    """
+    letters = [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]
+    marks = [*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30)]
+    pairs = [("ς", "σ")]
+    for c in map(chr, letters):
+        base, *rest = unicodedata.normalize("NFD", c)
+        if rest and c == c.lower() and base.isalpha() and all(unicodedata.combining(m) for m in rest):
+            pairs.append((c, base))
+    alone = [c for c in map(chr, marks) if unicodedata.combining(c)]
+    return "".join(c for c, _ in pairs) + "".join(alone), "".join(base for _, base in pairs)
+
+
+FOLD_FROM, FOLD_TO = _folding()
+# The English stop list.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is",
     "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there",
@@ -50,7 +70,7 @@ def compose_text(embedding_type: str) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents. ASCII text has none, and is not looked through for them."""
+    """Lower case without accents (`_folding`). ASCII text has none, and is not looked through for them."""
     low = F.lower(text)
     return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 

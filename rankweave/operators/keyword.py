@@ -13,10 +13,10 @@ single question without an index is answered by `keyword_scan`, inside each row.
 
 from __future__ import annotations
 
+import json
 import pickle
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import BM25_B, BM25_K1, bm25
-from rankweave.functions.text import STOP_WORDS, is_kept, kept_words, words
+from rankweave.functions.text import STOP_WORDS, WORD_BREAK, folded, kept_words, words
+from rankweave.operators.conditions import (
+    Leaf, counting, flat, leaf_count, leaf_terms, make_leaf, met, near_places, parse_condition, parsed, pruned,
+)
 from rankweave.operators.topk import topk_per_group
 from rankweave.schemas import CANDIDATES, INDEXED_FIELDS, SEARCHED_FIELDS
 from rankweave.session import written
@@ -37,9 +39,6 @@ TERM_BUCKETS = 256
 # words of a tile of cases, questions of a block, hits packed together
 TILE_WORDS, BLOCK_QUESTIONS, PACK_HITS = 200_000, 2048, 200_000
 
-# One leaf or connector of a search condition: a quoted phrase or a bare word.
-CONDITION_PART = r'("[^"]*"\*?|[^\s"]+)'
-
 
 @dataclass(frozen=True)
 class KeywordIndex:
@@ -195,92 +194,52 @@ def read_index(spark: SparkSession, path: str, fields: Sequence[str] = INDEXED_F
                         buckets=table("settings").first()["buckets"])
 
 
-def condition_leaves(requests: DataFrame) -> DataFrame:
-    """Split search conditions: (query_id, group_no, negated, leaf, ws, is_prefix).
-
-    AND binds closer than OR, and adjacent leaves without a connector mean OR, so the
-    condition is an OR of `group_no` groups whose leaves are ANDed. Leaves have no
-    parentheses. A trailing `*` makes a prefix.
-    """
-    parts = requests.select(
-        "query_id",
-        F.posexplode(F.regexp_extract_all("keyword_search", F.lit(CONDITION_PART), F.lit(1))).alias("i", "part"),
-    )
-    order = W.partitionBy("query_id").orderBy("i")
-    word = F.upper("part")
-    is_connector = word.isin("AND", "OR", "NOT")
-    negated = F.coalesce(F.lag("word").over(order) == "NOT", F.lit(False))
-    connector = F.when(F.col("negated"), F.lag("word", 2).over(order)).otherwise(F.lag("word", 1).over(order))
-    opens_group = F.when(F.col("is_leaf") & ~F.col("anded"), 1).otherwise(0)
-    return (
-        parts.select("query_id", "i", "part", word.alias("word"), (~is_connector).alias("is_leaf"))
-        .withColumn("negated", negated)
-        .withColumn("anded", F.coalesce(connector == "AND", F.lit(False)))
-        .withColumn("group_no", F.sum(opens_group).over(order))
-        .where("is_leaf")
-        .select(
-            "query_id", "group_no", "negated", words(F.col("part")).alias("ws"),
-            F.regexp_like(F.col("part"), F.lit(r'\*"?$')).alias("is_prefix"),
-        )
-        .withColumn("leaf", F.concat(F.array_join("ws", " "), F.when(F.col("is_prefix"), "*").otherwise("")))
-    )
-
-
 @dataclass(frozen=True)
 class _Block:
-    """Some questions: leaves as (is_prefix, ((offset, word), ...)), and for each question its
-    id and the (group, negated, leaf) of its parts."""
+    """Some questions, (id, tree over the numbers of leaves), and the leaves."""
 
-    leaves: list[tuple[bool, tuple[tuple[int, str], ...]]]
-    questions: list[tuple[int, list[tuple[int, bool, int]]]]
+    leaves: list[Leaf]
+    questions: list[tuple[int, list]]
 
     def words(self) -> dict[str, int]:
-        """The leaves that are one whole word, by that word; of two such leaves the first."""
-        out: dict[str, int] = {}
-        for k, (is_prefix, terms) in enumerate(self.leaves):
-            if not is_prefix and len(terms) == 1:
-                out.setdefault(terms[0][1], k)
-        return out
+        """The leaves that are one whole word, by that word; of several such leaves the last."""
+        return {leaf.word: k for k, leaf in enumerate(self.leaves) if leaf.word is not None}
 
     def plain(self) -> tuple[np.ndarray, np.ndarray]:
         """(question, leaf) of the questions that are an OR of single leaves, which any of them meets."""
-        pairs = sorted({(q, leaf) for q, (_, parts) in enumerate(self.questions) if _is_plain(parts) for _, _, leaf in parts})
+        pairs = sorted({(q, leaf) for q, (_, tree) in enumerate(self.questions) for leaf in flat(tree) or ()})
         found = np.array(pairs, np.int64).reshape(-1, 2)
         return found[:, 0], found[:, 1]
 
 
-def _is_plain(parts: list[tuple[int, bool, int]]) -> bool:
-    return not any(negated for _, negated, _ in parts) and len({g for g, _, _ in parts}) == len(parts)
-
-
 def _pack_questions(batches: Iterator[pa.RecordBatch], stop_words: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """(part, payload, names): blocks of questions, and the names of their leaves by number."""
-    stops = set(stop_words)
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK_QUESTIONS):
-            numbers: dict[tuple[str, bool], int] = {}
+            numbers: dict[str, int] = {}
             leaves, questions = [], []
             for row in batch.slice(lo, BLOCK_QUESTIONS).to_pylist():
-                parts = []
-                for leaf in row["leaves"]:
-                    key = (leaf["leaf"], leaf["is_prefix"])
-                    if key not in numbers:
-                        numbers[key] = len(leaves)
-                        leaves.append((leaf["is_prefix"], tuple((i, w) for i, w in enumerate(leaf["ws"]) if w not in stops)))
-                    parts.append((leaf["group_no"], leaf["negated"], numbers[key]))
-                questions.append((row["query_id"], parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int32()), pa.array([pickle.dumps(_Block(leaves, questions))], pa.binary()),
-                 pa.array([[name for name, _ in numbers]], pa.list_(pa.string()))], names=["part", "payload", "names"])
+                own = {}
+                for i, raw in enumerate(row["leaves"]):
+                    leaf = make_leaf([(t["ws"], t["is_prefix"]) for t in raw["terms"]], raw["reach"], stop_words)
+                    if leaf is None:
+                        continue
+                    if leaf.name not in numbers:
+                        numbers[leaf.name] = len(leaves)
+                        leaves.append(leaf)
+                    own[i] = numbers[leaf.name]
+                if tree := pruned(json.loads(row["tree"]), own):
+                    questions.append((row["query_id"], tree))
+            if questions:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0], pa.int32()), pa.array([pickle.dumps(_Block(leaves, questions))], pa.binary()),
+                     pa.array([list(numbers)], pa.list_(pa.string()))], names=["part", "payload", "names"])
 
 
 def question_blocks(requests: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(block, part, payload, names) of (query_id, keyword_search), written so that Spark knows its size."""
-    real = condition_leaves(requests).where(f"exists(ws, w -> {is_kept('w', stop_words)})")
-    per_question = real.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("group_no", "leaf", "is_prefix", "negated", "ws"))).alias("leaves"))
-    stop_words = list(stop_words)
-    packed = per_question.mapInArrow(
+    stop_words = tuple(stop_words)
+    packed = parsed(requests).mapInArrow(
         lambda b: _pack_questions(b, stop_words), "part int, payload binary, names array<string>")
     return written(packed.withColumn("block", F.monotonically_increasing_id()), "questions")
 
@@ -318,17 +277,23 @@ class _Counter:
         keys, counts = np.unique(leaf[at] * n + self.tile.segment[at] % n, return_counts=True)
         return keys // n, keys % n, counts
 
-    def count(self, is_prefix: bool, terms: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, counts): the cases that hold a leaf. The words of a phrase stand at their offsets in one field."""
-        base, word = terms[0]
-        at = self.places(word, is_prefix)
-        for offset, other in terms[1:]:
+    def starts(self, term) -> np.ndarray:
+        """Where a term starts: its words stand at their offsets in one field."""
+        at = self.places(term.words[0][1], term.is_prefix)
+        for offset, other in term.words[1:]:
             if not len(at):
                 break
-            moved = at + (offset - base)
+            moved = at + (offset - term.base)
             inside = moved < len(self.tile.codes)
             at, moved = at[inside], moved[inside]
-            at = at[(self.tile.segment[moved] == self.tile.segment[at]) & np.isin(moved, self.places(other, is_prefix))]
+            at = at[(self.tile.segment[moved] == self.tile.segment[at]) & np.isin(moved, self.places(other, term.is_prefix))]
+        return at
+
+    def count(self, leaf: Leaf) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, counts): the cases that hold a leaf."""
+        found = [self.starts(term) for term in leaf.terms]
+        at = found[0] if leaf.reach is None else near_places(
+            found, [term.width for term in leaf.terms], leaf.window, self.tile.segment)
         return np.unique(self.tile.segment[at] % len(self.tile.ids), return_counts=True)
 
 
@@ -349,9 +314,9 @@ def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = counter.tile.lens.sum(axis=1)
             words = block.words()
             counted = [counter.count_words(words)]
-            for number, (is_prefix, terms) in enumerate(block.leaves):
-                if words.get(terms[0][1]) != number:
-                    rows, counts = counter.count(is_prefix, terms)
+            for number, one in enumerate(block.leaves):
+                if words.get(one.word) != number:
+                    rows, counts = counter.count(one)
                     counted.append((np.full(len(rows), number), rows, counts))
             leaf, case, tf = (np.concatenate(x).astype(np.int32) for x in zip(*counted, strict=True))
             numbers, df = np.unique(leaf, return_counts=True)
@@ -386,24 +351,6 @@ def _statistics(freqs: DataFrame, sums: DataFrame) -> DataFrame:
     return joined.select("block", "n", "len", F.col("dfs.leaf").alias("leaf"), F.col("dfs.df").alias("df"))
 
 
-def _meeting(parts: list[tuple[int, bool, int]], found: dict[int, tuple[np.ndarray, np.ndarray]], rows: np.ndarray
-             ) -> np.ndarray:
-    """Which of the sorted `rows` meet a condition: any group with all its needs and no ban."""
-    groups = defaultdict(list)
-    for group, negated, leaf in parts:
-        groups[group].append((negated, leaf))
-    meets = np.zeros(len(rows), bool)
-    for members in groups.values():
-        if all(negated for negated, _ in members):
-            continue
-        good = np.ones(len(rows), bool)
-        for negated, leaf in members:
-            has = np.isin(rows, found[leaf][0]) if leaf in found else np.zeros(len(rows), bool)
-            good &= ~has if negated else has
-        meets |= good
-    return meets
-
-
 def _score_matches(batches: Iterator[pa.RecordBatch], limit: int | None, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """(query_id, case_id, keyword_score), of each row's cases the best `limit` of each question."""
     last: tuple[bytes, _Block, tuple[np.ndarray, np.ndarray]] | None = None
@@ -424,13 +371,14 @@ def _score_matches(batches: Iterator[pa.RecordBatch], limit: int | None, k1: flo
             first = np.searchsorted(leaf, np.arange(len(block.leaves) + 1))
             yield from _plain_hits(block, plain, first, case, score, ids, limit)
             found = {k: (case[first[k]:first[k + 1]], score[first[k]:first[k + 1]]) for k in np.unique(leaf).tolist()}
-            for query, parts in block.questions:
-                counted = {k for _, negated, k in parts if not negated and k in found}
-                if not counted or _is_plain(parts):
+            for query, tree in block.questions:
+                counted = sorted(k for k in counting(tree) if k in found)
+                if not counted or flat(tree) is not None:
                     continue
                 rows, where = np.unique(np.concatenate([found[k][0] for k in counted]), return_inverse=True)
                 sums = np.bincount(where, np.concatenate([found[k][1] for k in counted]))
-                meets = _meeting(parts, found, rows)
+                none = np.zeros(len(rows), bool)
+                meets = met(tree, lambda k, rows=rows, none=none: np.isin(rows, found[k][0]) if k in found else none, none)
                 yield _hits(np.full(meets.sum(), query), ids[rows[meets]], sums[meets], limit)
 
 
@@ -470,43 +418,23 @@ def _plain_hits(block: _Block, plain: tuple[np.ndarray, np.ndarray], first: np.n
         yield _hits(number[lo + q], ids[c], table[q, c], limit)
 
 
-def _leaf_terms(leaves: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """Distinct (leaf, idx, term, is_prefix, n_terms); stop words keep their place only."""
-    kept = F.expr("filter(transform(ws, (w, i) -> struct(i AS idx, w AS term)), "
-                  f"x -> {is_kept('x.term', stop_words)})")
-    return (
-        leaves.select("leaf", "is_prefix", "ws").distinct()
-        .select("leaf", "is_prefix", F.size(kept).alias("n_terms"), F.inline(kept))
-    )
-
-
 def _spelled_out(index: KeywordIndex, terms: DataFrame) -> DataFrame:
-    """(leaf, n_terms, idx, term_bucket, term): prefixes become the words of the vocabulary they begin."""
+    """`terms` with term_bucket; prefixes become the words of the vocabulary they begin."""
     vocabulary = index.vocabulary if index.vocabulary is not None else index.postings.select("term_bucket", "term").distinct()
 
     def head(n: int) -> Column:
         return F.substring("term", 1, n)
 
+    columns = ["leaf", "sub", "idx", "n_terms", "window", "widths", "term_bucket", "term"]
     keyed = vocabulary.withColumn("key", F.explode(F.array(*[head(n) for n in (1, 2, 3)])))
-    asked = terms.where("is_prefix").select(
-        "leaf", "n_terms", "idx", F.col("term").alias("asked"), F.substring("term", 1, 3).alias("key")).distinct()
-    begun = keyed.join(asked, "key").where(F.col("term").startswith(F.col("asked"))).distinct()
+    asked = terms.where("is_prefix").withColumn("key", F.substring("term", 1, 3)).withColumnRenamed("term", "asked")
+    begun = keyed.join(asked, "key").where(F.col("term").startswith(F.col("asked"))).select(*columns).distinct()
     plain = terms.where(~F.col("is_prefix")).withColumn("term_bucket", term_bucket(F.col("term"), index.buckets))
-    columns = ["leaf", "n_terms", "idx", "term_bucket", "term"]
-    return begun.select(*columns).distinct().unionByName(plain.select(*columns))
+    return begun.unionByName(plain.select(*columns))
 
 
-def leaf_hits(index: KeywordIndex, leaves: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(leaf, case_id, tf, dl): occurrences of each leaf in each case of a stored index.
-
-    The asked words are written first: Spark broadcasts them while they are few, prunes the
-    term buckets by them, and otherwise splits the common words of the join by size. A phrase
-    occurs where all its words sit at their offsets of one start position.
-    """
-    postings = index.postings
-    if set(fields) != set(index.fields):
-        postings = postings.where(F.col("field").isin(*fields))
-    terms = written(_spelled_out(index, _leaf_terms(leaves, index.stop_words)), "terms")
+def _matched(index: KeywordIndex, postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Current postings of the asked words, with what their leaves ask for."""
     # The comparison marks this side as selective, which lets Spark prune the term buckets.
     matched = postings.join(terms.where("n_terms > 0"), ["term_bucket", "term"])
     if index.versions is not None:
@@ -516,6 +444,22 @@ def leaf_hits(index: KeywordIndex, leaves: DataFrame, fields: Sequence[str]) ->
             F.max(F.struct("version", "batch_id", "deleted")).alias("v"))
         current = current.where("NOT v.deleted").select("case_id", "v.batch_id")
         matched = matched.join(current, ["case_id", "batch_id"], "left_semi")
+    return matched
+
+
+def leaf_hits(index: KeywordIndex, requests: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(leaf, case_id, tf, dl): occurrences of each leaf of the requests in each case of a stored index.
+
+    The asked words are written first: Spark broadcasts them while they are few, prunes the
+    term buckets by them, and otherwise splits the common words of the join by size. A phrase
+    occurs where all its words sit at their offsets of one start position; a NEAR where the
+    starts of its terms, gathered for each case and field, lie within its window.
+    """
+    postings = index.postings
+    if set(fields) != set(index.fields):
+        postings = postings.where(F.col("field").isin(*fields))
+    terms = written(_spelled_out(index, leaf_terms(requests, index.stop_words)), "terms")
+    matched = _matched(index, postings, terms.where("window IS NULL"))
     single = F.col("n_terms") == 1
     start = F.explode(F.when(single, F.array(F.lit(None).cast("int"))).otherwise(
         F.transform("positions", lambda p: p - F.col("idx"))))
@@ -524,9 +468,35 @@ def leaf_hits(index: KeywordIndex, leaves: DataFrame, fields: Sequence[str]) ->
         F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
     full = F.when(F.col("n_terms") == 1, F.col("tf")).when(F.col("n") >= F.col("n_terms"), 1).otherwise(0)
     hits = at_start.groupBy("leaf", "case_id").agg(F.sum(full).alias("tf")).where("tf > 0")
+    near = terms.where("window IS NOT NULL")
+    if not near.isEmpty():
+        hits = hits.unionByName(_near_hits(_matched(index, postings, near)))
     return hits.join(_case_size(index, fields), "case_id")
 
 
+def _near_hits(matched: DataFrame) -> DataFrame:
+    """(leaf, case_id, tf) of NEAR leaves."""
+    by_case = ["leaf", "case_id", "field"]
+    start = F.explode(F.transform("positions", lambda p: p - F.col("idx"))).alias("start")
+    rows = matched.select(*by_case, "sub", "n_terms", "window", "widths", start).repartition("leaf", "case_id")
+    whole = rows.groupBy(*by_case, "sub", "start", "window", "widths").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms")).where("n >= n_terms")
+    gathered = whole.groupBy(*by_case, "window", "widths").agg(F.sort_array(F.collect_list(F.struct("sub", "start"))).alias("p"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for window, widths, sub, start in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                sub, start = np.array(sub), np.array(start, np.int64)
+                counts.append(len(near_places([start[sub == k] for k in range(len(widths))], widths, window)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
+                                             names=["leaf", "case_id", "tf"])
+
+    counted = gathered.select("leaf", "case_id", "window", "widths", F.col("p.sub").alias("sub"), F.col("p.start").alias("start"))
+    per_field = counted.mapInArrow(scan, "leaf string, case_id long, tf long")
+    return per_field.groupBy("leaf", "case_id").agg(F.sum("tf").alias("tf")).where("tf > 0")
+
+
 def _case_size(index: KeywordIndex, fields: Sequence[str]) -> DataFrame:
     """(case_id, dl) of the current cases."""
     dl = reduce(lambda a, b: a + b, [F.get("lens", F.lit(index.fields.index(f))) for f in fields])
@@ -564,8 +534,7 @@ def _pack_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _index_matches(index: KeywordIndex, blocks: DataFrame, requests: DataFrame, fields: Sequence[str]
                    ) -> tuple[DataFrame, DataFrame]:
     """Counted cases of a stored index, and the statistics of each block."""
-    leaves = condition_leaves(requests).where(f"exists(ws, w -> {is_kept('w', index.stop_words)})")
-    hits = written(leaf_hits(index, leaves, fields), "hits")
+    hits = written(leaf_hits(index, requests, fields), "hits")
     numbers = blocks.select("block", F.posexplode("names").alias("leaf_no", "leaf"))
     rows = hits.join(numbers, "leaf").select(
         "block", "case_id", F.col("dl").cast("long").alias("dl"), F.col("leaf_no").alias("leaf"), "tf")
@@ -599,64 +568,28 @@ def keyword_search_batch(index: KeywordIndex, requests: DataFrame, fields: Seque
                            "query_id long, case_id long, keyword_score double")
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """One leaf of a single condition; `terms` are (offset, word) without stop words."""
-
-    group_no: int
-    negated: bool
-    is_prefix: bool
-    name: str
-    terms: tuple[tuple[int, str], ...]
-
-
-def parse_condition(spark: SparkSession, condition: str, stop_words: Sequence[str] = STOP_WORDS) -> list[Leaf]:
-    """The leaves of one condition, split by the same expressions as a batch."""
-    if not condition or not condition.strip():
-        raise ValueError("keyword search text must not be blank")
-    part = F.regexp_extract_all(F.lit(condition), F.lit(CONDITION_PART), F.lit(1))
-    analyzed = F.transform(part, lambda p: F.struct(p.alias("part"), words(p).alias("ws")))
-    parts = spark.range(1).select(analyzed.alias("parts")).first()["parts"]
-    leaves, group, before = [], 0, []
-    for part, ws in parts:
-        before.append(part.upper())
-        if before[-1] in ("AND", "OR", "NOT"):
-            continue
-        negated = before[-2:-1] == ["NOT"]
-        group += (before[-3:-2] if negated else before[-2:-1]) != ["AND"]
-        is_prefix = part.rstrip('"').endswith("*")
-        terms = tuple((i, w) for i, w in enumerate(ws) if w not in stop_words)
-        leaves.append(Leaf(group, negated, is_prefix, " ".join(ws) + "*" * is_prefix, terms))
-    return [leaf for leaf in leaves if leaf.terms]
-
+def _near_counter(leaf: Leaf, stop_words: Sequence[str]) -> Callable[..., Column]:
+    """A column function: how often a NEAR occurs in the arrays of words of a row's fields."""
+    def count(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        tile = _Tile(np.arange(n), list(columns), stop_words)
+        out = np.zeros(n, np.int64)
+        rows, counts = _Counter(tile).count(leaf)
+        out[rows] = counts
+        return pa.array(out)
 
-def leaf_count(leaf: Leaf, ws: Column) -> Column:
-    """How often a leaf occurs in one word array."""
-    base = leaf.terms[0][0]
+    return F.arrow_udf(count, "long")
 
-    def starts_here(w: Column, i: Column) -> Column:
-        def same(x: Column, term: str) -> Column:
-            return x.startswith(term) if leaf.is_prefix else x == term
 
-        checks = [same(w, leaf.terms[0][1])]
-        checks += [F.coalesce(same(F.get(ws, i + (at - base)), term), F.lit(False)) for at, term in leaf.terms[1:]]
-        return reduce(lambda a, b: a & b, checks)
+def leaf_counts(leaves: Sequence[Leaf], folded_texts: Sequence[Column], word_arrays: Sequence[Column],
+                stop_words: Sequence[str]) -> list[Column]:
+    """How often each leaf occurs in the fields of a row, all taken together."""
+    def one(leaf: Leaf) -> Column:
+        if leaf.reach is not None:
+            return _near_counter(leaf, stop_words)(*word_arrays)
+        return reduce(lambda a, b: a + b, [leaf_count(leaf, f, stop_words).cast("long") for f in folded_texts])
 
-    return F.size(F.filter(ws, starts_here))
-
-
-def meets_condition(leaves: Sequence[Leaf], tf: dict[str, Column]) -> Column:
-    """Whether leaf counts satisfy the condition: any group with all its needs and no ban."""
-    groups = {}
-    for leaf in leaves:
-        groups.setdefault(leaf.group_no, []).append(leaf)
-    result = F.lit(False)
-    for members in groups.values():
-        if all(m.negated for m in members):
-            continue
-        checks = [(tf[m.name] == 0) if m.negated else (tf[m.name] > 0) for m in members]
-        result = result | reduce(lambda a, b: a & b, checks)
-    return result
+    return [one(leaf) for leaf in leaves]
 
 
 def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit: int | None = None,
@@ -667,41 +600,33 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
     the corpus statistics and the scores: the cases with a count go through it as narrow
     rows, all others as one sum per task. The text is scanned and broken into words once.
     """
-    leaves = parse_condition(cases.sparkSession, condition, stop_words)
+    tree, leaves = parse_condition(cases.sparkSession, condition, stop_words)
     if not leaves:
         return cases.select("case_id", F.lit(0.0).alias("keyword_score")).limit(0)
-    names = sorted({leaf.name for leaf in leaves})
-    by_name = {leaf.name: leaf for leaf in leaves}
-    scored_names = sorted({leaf.name for leaf in leaves if not leaf.negated})
-    with_words = _split(cases, fields)
-    ws_cols = [F.col(f"ws{i}") for i in range(len(fields))]
-
-    def over_fields(fn) -> Column:
-        return reduce(lambda x, y: x + y, [fn(ws) for ws in ws_cols])
-
-    counts = with_words.select(
+    scored = sorted(counting(tree))
+    texts = cases.select("case_id", *[folded(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
+    broken = texts.select("*", *[F.array_remove(F.split(f"f{i}", WORD_BREAK), "").alias(f"ws{i}") for i in range(len(fields))])
+    tfs = leaf_counts(leaves, [F.col(f"f{i}") for i in range(len(fields))], [F.col(f"ws{i}") for i in range(len(fields))], stop_words)
+    counts = broken.select(
         "case_id",
         reduce(lambda x, y: x + y, [F.size(kept_words(f"ws{i}", stop_words)) for i in range(len(fields))]).alias("dl"),
-        *[over_fields(lambda ws, n=n: leaf_count(by_name[n], ws)).alias(f"tf{i}") for i, n in enumerate(names)],
+        *[c.alias(f"tf{i}") for i, c in enumerate(tfs)],
     )
-    tf = {n: F.col(f"tf{i}") for i, n in enumerate(names)}
-    counted = reduce(lambda x, y: x | y, [tf[n] > 0 for n in names])
+    tf = [F.col(f"tf{i}") for i in range(len(leaves))]
+    counted = reduce(lambda x, y: x | y, [c > 0 for c in tf])
     grouped = counts.groupBy(F.when(counted, F.col("case_id")).alias("case_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *[F.max(c).alias(f"tf{i}") for i, c in enumerate(tf.values())])
+        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *[F.max(c).alias(f"tf{i}") for i, c in enumerate(tf)])
     stats = grouped.agg(F.struct(
         F.sum("n").cast("double").alias("n"), F.sum("dl").cast("double").alias("len"),
-        *[F.count_if(tf[n] > 0).alias(f"df{i}") for i, n in enumerate(names)],
+        *[F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)],
     ).alias("s")).scalar()
     s = F.col("s")
     avg_dl = F.try_divide(s["len"], s["n"])
-    parts = [
-        F.when(tf[n] > 0, bm25(tf[n], F.col("dl"), s[f"df{names.index(n)}"], s["n"], avg_dl, k1, b)).otherwise(0.0)
-        for n in scored_names
-    ]
+    parts = [F.when(tf[i] > 0, bm25(tf[i], F.col("dl"), s[f"df{i}"], s["n"], avg_dl, k1, b)).otherwise(0.0) for i in scored]
     score = F.round(reduce(lambda x, y: x + y, parts, F.lit(0.0)), 8)
     # A hit is emitted as an array of one row. A where() would be pushed below the counts
     # and break every text into words twice.
-    hit = F.when(F.col("case_id").isNotNull() & meets_condition(leaves, tf), F.array(F.struct(score.alias("keyword_score")))
+    hit = F.when(F.col("case_id").isNotNull() & met(tree, lambda i: tf[i] > 0, F.lit(False)), F.array(F.struct(score.alias("keyword_score")))
                  ).otherwise(F.array().cast("array<struct<keyword_score:double>>"))
     hits = grouped.withColumn("s", stats).select("case_id", F.inline(hit))
     if limit is None:
@@ -709,6 +634,28 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
     return hits.orderBy(F.desc("keyword_score"), "case_id").limit(limit)
 
 
+def _buckets(spark: SparkSession, asked: Sequence[str], buckets: int) -> list[int]:
+    """The term buckets of some words, by the expression that wrote them."""
+    found = spark.sql("SELECT 1").select(F.transform(F.array(*map(F.lit, asked)), lambda w: term_bucket(w, buckets)))
+    return sorted(set(found.first()[0]))
+
+
+def _narrowed(index: KeywordIndex, leaves: Sequence[Leaf]) -> KeywordIndex:
+    """The index behind literal filters: the buckets and words of the leaves, the heads of prefixes."""
+    asked = {(w, term.is_prefix) for leaf in leaves for term in leaf.terms for _, w in term.words}
+    exact = sorted(w for w, is_prefix in asked if not is_prefix)
+    heads = [F.col("term").startswith(w) for w, is_prefix in sorted(asked) if is_prefix]
+    postings = index.postings
+    if heads:
+        wanted = reduce(lambda a, b: a | b, heads)
+        vocabulary = index.vocabulary.where(wanted) if index.vocabulary is not None else None
+        return replace(index, postings=postings.where(F.col("term").isin(*exact) | wanted), vocabulary=vocabulary)
+    if not exact:
+        return index
+    at = F.col("term_bucket").isin(*_buckets(postings.sparkSession, exact, index.buckets))
+    return replace(index, postings=postings.where(at & F.col("term").isin(*exact)))
+
+
 def keyword_search(index: KeywordIndex, condition: str, limit: int | None = None,
                    fields: Sequence[str] | None = None) -> DataFrame:
     """(case_id, keyword_score) for one condition over a stored index.
@@ -716,19 +663,11 @@ def keyword_search(index: KeywordIndex, condition: str, limit: int | None = None
     The words are known here, so their term buckets are literal partition filters.
     """
     spark = (index.cases if index.postings is None else index.postings).sparkSession
-    leaves = parse_condition(spark, condition, index.stop_words)
-    postings = index.postings
-    if postings is not None and leaves and not any(leaf.is_prefix for leaf in leaves):
-        asked = sorted({w for leaf in leaves for _, w in leaf.terms})
-        wanted = spark.createDataFrame([(w,) for w in asked], "term string").select(
-            term_bucket(F.col("term"), index.buckets)
-        )
-        buckets = sorted({r[0] for r in wanted.collect()})
-        postings = postings.where(F.col("term_bucket").isin(*buckets) & F.col("term").isin(*asked))
+    _, leaves = parse_condition(spark, condition, index.stop_words)
+    if index.postings is not None:
+        index = _narrowed(index, leaves)
     request = spark.createDataFrame([(0, condition)], "query_id long, keyword_search string")
-    hits = keyword_search_batch(
-        replace(index, postings=postings), request, fields, limit
-    ).drop("query_id")
+    hits = keyword_search_batch(index, request, fields, limit).drop("query_id")
     if limit is None:
         return hits
     return hits.orderBy(F.desc("keyword_score"), "case_id").limit(limit)
@@ -744,24 +683,24 @@ def keyword_topk(index: KeywordIndex, requests: DataFrame, k: int = CANDIDATES,
 def contains_filter(cases: DataFrame, fields: Sequence[str], condition: str,
                     stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Cases whose `fields` meet a search condition: a row filter, nothing shuffles."""
-    leaves = parse_condition(cases.sparkSession, condition, stop_words)
+    tree, leaves = parse_condition(cases.sparkSession, condition, stop_words)
+    if not leaves:
+        return cases.limit(0)
+    texts = [folded(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    tf = leaf_counts(leaves, texts, [words(F.col(f)) for f in fields], stop_words)
+    return cases.where(met(tree, lambda i: tf[i] > 0, F.lit(False)))
 
-    def holds(row: Column) -> Column:
-        tf = {
-            leaf.name: reduce(lambda a, b: a + b, [leaf_count(leaf, row[f]) for f in fields]) for leaf in leaves
-        }
-        return meets_condition(leaves, tf)
 
-    # The words are bound to a lambda variable, so each text is split once per row.
-    split = F.struct(*[words(F.col(f)).alias(f) for f in fields])
-    return cases.where(F.exists(F.array(split), holds))
+def _free_words(spark: SparkSession, text: str, stop_words: Sequence[str]) -> list[str]:
+    """The indexed words of a free text."""
+    found = spark.sql("SELECT 1").select(words(F.lit(text))).first()[0]
+    return sorted({w for w in found if w not in stop_words})
 
 
 def freetext_filter(cases: DataFrame, fields: Sequence[str], text: str,
                     stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Cases holding any indexed word of a free text: a row filter, nothing shuffles."""
-    leaves = parse_condition(cases.sparkSession, text, stop_words) if text.strip() else []
-    asked = sorted({w for leaf in leaves for _, w in leaf.terms})
+    asked = _free_words(cases.sparkSession, text, stop_words)
     if not asked:
         return cases.limit(0)
     wanted = F.array(*[F.lit(w) for w in asked])
@@ -776,13 +715,10 @@ def contains_index(index: KeywordIndex, cases: DataFrame, condition: str, fields
 def freetext_index(index: KeywordIndex, cases: DataFrame, text: str, fields: Sequence[str] | None = None) -> DataFrame:
     """`freetext_filter` by a stored index."""
     spark = cases.sparkSession
-    leaves = parse_condition(spark, text, index.stop_words) if text.strip() else []
-    asked = sorted({w for leaf in leaves for _, w in leaf.terms})
+    asked = _free_words(spark, text, index.stop_words)
     if not asked:
         return cases.limit(0)
-    rows = spark.createDataFrame([(w,) for w in asked], "term string").withColumn(
-        "term_bucket", term_bucket(F.col("term"), index.buckets))
-    buckets = sorted({r["term_bucket"] for r in rows.collect()})
+    buckets = _buckets(spark, asked, index.buckets)
     hits = index.postings.where(F.col("term_bucket").isin(*buckets) & F.col("term").isin(*asked)
                                 & F.col("field").isin(*(fields or index.fields)))
     return cases.join(hits.select("case_id").distinct(), "case_id", "left_semi")

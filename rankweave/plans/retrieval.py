@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.functions.scoring import cosine_distance, similarity
-from rankweave.functions.text import display_score
+from rankweave.functions.scoring import BM25_B, BM25_K1, cosine_distance, similarity
+from rankweave.functions.text import FOLD_FROM, FOLD_TO, display_score
 from rankweave.operators import fusion, keyword, prompt, vectors
 from rankweave.operators.embed import HashEmbedder, embed
 from rankweave.operators.topk import topk_per_group
@@ -170,6 +170,90 @@ def keyword_boolean(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.keyword_scan(cases(spark, folder), TEXT_FIELDS, BOOLEAN)
 
 
+NESTED = '(thtion OR onen) AND NOT ("re th" AND (er OR ing))'
+NEAR_CONDITION = "NEAR(re, er, 5) OR thtion AND NEAR((re, th, er), 9)"
+
+
+def _leaf_sql(condition: str, score: str, having: str) -> str:
+    """Scores of the leaves of a flat `condition`, summed where `score` and kept where `having` holds."""
+    return f"""
+WITH {sql.CASES}, {sql.keyword(sql.one(condition))}
+SELECT case_id, round(sum(s) FILTER ({score}), 8) AS keyword_score FROM pairs GROUP BY case_id HAVING {having}"""
+
+
+NESTED_SQL = _leaf_sql(
+    'thtion OR onen OR "re th" OR er OR ing', "leaf IN ('thtion', 'onen')",
+    "bool_or(leaf IN ('thtion', 'onen')) AND NOT (bool_or(leaf = 're th') AND bool_or(leaf IN ('er', 'ing')))")
+
+
+def _near_leaf_sql(name: str, terms: tuple[str, ...], n: int) -> str:
+    """CTE `name`(case_id, s): the BM25 part of a NEAR of single words, from their places."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    others = " AND ".join(
+        f"(a.term = '{t}' OR EXISTS (SELECT 1 FROM occ b WHERE b.case_id = a.case_id AND b.field = a.field AND b.term = '{t}' "
+        f"AND b.pos > a.pos AND b.pos < a.pos + {n + len(terms)}))" for t in terms)
+    return f"""{name}_h AS (SELECT case_id, count(*) AS tf FROM occ a WHERE term IN ({listed}) AND {others} GROUP BY case_id),
+{name}_d AS (SELECT count(*) AS df FROM {name}_h),
+{name} AS (SELECT case_id, ln(1.0::DOUBLE + (tot.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {BM25_K1 + 1.0}::DOUBLE
+   / (tf + {BM25_K1}::DOUBLE * ({1.0 - BM25_B}::DOUBLE + {BM25_B}::DOUBLE * dl / (tot.len / tot.n))) AS s
+  FROM {name}_h JOIN dl USING (case_id), {name}_d, tot)"""
+
+
+NEAR_SQL = f"""
+WITH {sql.CASES}, {sql.keyword(sql.one('thtion'))},
+{_near_leaf_sql('two', ('re', 'er'), 5)}, {_near_leaf_sql('three', ('re', 'th', 'er'), 9)}
+SELECT case_id, round(coalesce(two.s, 0) + coalesce(p.s, 0) + coalesce(three.s, 0), 8) AS keyword_score
+FROM cases LEFT JOIN two USING (case_id) LEFT JOIN three USING (case_id) LEFT JOIN pairs p USING (case_id)
+WHERE two.s IS NOT NULL OR p.s IS NOT NULL AND three.s IS NOT NULL"""
+
+
+def _index(spark: SparkSession, folder: str) -> keyword.KeywordIndex:
+    return keyword.build_index(cases(spark, folder), run_dir(spark, "postings"), TEXT_FIELDS, buckets=16)
+
+
+@query("keyword_nested", NESTED_SQL)
+def keyword_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.keyword_scan(cases(spark, folder), TEXT_FIELDS, NESTED)
+
+
+@query("keyword_index_nested", NESTED_SQL)
+def keyword_index_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.keyword_search(_index(spark, folder), NESTED)
+
+
+@query("keyword_near", NEAR_SQL)
+def keyword_near(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.keyword_scan(cases(spark, folder), TEXT_FIELDS, NEAR_CONDITION)
+
+
+@query("keyword_index_near", NEAR_SQL)
+def keyword_index_near(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.keyword_search(_index(spark, folder), NEAR_CONDITION)
+
+
+@query("contains_nested", f"""
+WITH kw AS ({NESTED_SQL}) SELECT doc_id AS case_id, source AS diagnosis FROM documents WHERE doc_id IN (SELECT case_id FROM kw)""")
+def contains_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword.contains_filter(cases(spark, folder), TEXT_FIELDS, NESTED).select("case_id", "diagnosis")
+
+
+# Vowels of the documents, by language, in letters that carry accents in three scripts.
+ACCENTED = {"en": ("aeiou", "ạệịộữ"), "es": ("aeiou", "άέίόύ"), "fr": ("aeiou", "ǎẽïőů"), "de": ("eiu", "ёйў")}
+ACCENT_CONDITION = "thtion OR qυε OR quevi OR уnd OR dёr"
+
+
+@query("keyword_accents", _kw_sql(ACCENT_CONDITION).replace(sql.CASES, "cases AS (SELECT doc_id AS case_id, CASE lang " + " ".join(
+    f"WHEN '{lang}' THEN translate(text, '{a}', '{b}')" for lang, (a, b) in ACCENTED.items()) + " ELSE text END AS treatment_plan FROM documents)")
+       .replace("translate(lower(", "strip_accents(lower(").replace(f", '{FOLD_FROM}', '{FOLD_TO}')", ")"))
+def keyword_accents(spark: SparkSession, folder: str) -> DataFrame:
+    """Accented Vietnamese, Greek, Latin and Cyrillic letters are found by plain ones."""
+    text = F.col("treatment_plan")
+    for lang, (a, b) in ACCENTED.items():
+        text = F.when(F.col("gender") == lang, F.translate("treatment_plan", a, b)).otherwise(text)
+    rows = cases(spark, folder).select("case_id", text.alias("treatment_plan"))
+    return keyword.keyword_scan(rows, TEXT_FIELDS, ACCENT_CONDITION)
+
+
 @query("keyword_prefix", _kw_sql("eri* OR onen", prefix=True))
 def keyword_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.keyword_scan(cases(spark, folder), TEXT_FIELDS, "eri* OR onen")

@@ -17,51 +17,98 @@ def py_words(text):
     return [w for w in re.split(r"[^0-9a-z]+", (text or "").lower()) if w]
 
 
-def py_search(corpus, condition, fields=FIELDS):
-    """{case_id: score} by direct counting."""
-    parts = re.findall(r'"[^"]*"\*?|[^\s"]+', condition)
-    leaves, group, ops = [], 0, []
-    for p in parts:
+def py_leaf(text):
+    """(is_prefix, words) of one term."""
+    return text.rstrip('"').endswith("*"), tuple(py_words(text))
+
+
+def py_starts(term, ws):
+    """Places where the first indexed word of a term stands, and the words it spans."""
+    prefix, words = term
+    need = [(i, w) for i, w in enumerate(words) if w not in STOP_WORDS]
+    base = need[0][0]
+    ok = [
+        p for p in range(len(ws))
+        if all(0 <= p + i - base < len(ws) and ws[p + i - base] not in STOP_WORDS
+               and (ws[p + i - base].startswith(w) if prefix else ws[p + i - base] == w) for i, w in need)]
+    return ok, need[-1][0] - base + 1
+
+
+def py_count(leaf, ws):
+    if leaf[0] != "near":
+        return len(py_starts(leaf, ws)[0])
+    found = [py_starts(t, ws) for t in leaf[1]]
+    reach = leaf[2] + sum(width for _, width in found)
+    opened = {
+        p for k, (starts, _) in enumerate(found) for p in starts
+        if all(any(p < q and q + width <= p + reach for q in other) for u, (other, width) in enumerate(found) if u != k)}
+    return len(opened)
+
+
+def py_tree(tree):
+    """Conditions of the tests as trees by hand: ("or"|"and", ...), ("not", x), a text, or ("near", terms, n)."""
+    if isinstance(tree, str):
+        return py_leaf(tree)
+    if tree[0] == "near":
+        return ("near", tuple(py_leaf(t) for t in tree[1]), tree[2])
+    return (tree[0], *map(py_tree, tree[1:]))
+
+
+def py_flat(condition):
+    """A condition without parentheses as a tree."""
+    groups, ops = [], []
+    for p in re.findall(r'"[^"]*"\*?|[^\s"]+', condition):
         ops.append(p.upper())
         if ops[-1] in ("AND", "OR", "NOT"):
             continue
         neg = len(ops) > 1 and ops[-2] == "NOT"
         before = ops[-3:-2] if neg else ops[-2:-1]
-        group += before != ["AND"]
-        leaves.append((group, neg, p.rstrip('"').endswith("*"), tuple(py_words(p))))
-    leaves = [leaf for leaf in leaves if any(w not in STOP_WORDS for w in leaf[3])]
-
-    def count(leaf, ws):
-        _, _, prefix, words = leaf
-        need = [(i, w) for i, w in enumerate(words) if w not in STOP_WORDS]
-        n = 0
-        for start in range(-len(words), len(ws)):
-            ok = all(
-                0 <= start + i < len(ws) and (ws[start + i].startswith(w) if prefix else ws[start + i] == w)
-                and ws[start + i] not in STOP_WORDS for i, w in need)
-            n += ok
-        return n
-
-    key = {leaf: (leaf[2], leaf[3]) for leaf in leaves}
-    tf = {k: {} for k in key.values()}
+        if any(w not in STOP_WORDS for w in py_words(p)):
+            part = ("not", py_leaf(p)) if neg else py_leaf(p)
+            if before == ["AND"] and groups:
+                groups[-1].append(part)
+            else:
+                groups.append([part])
+        elif before != ["AND"]:
+            groups.append([])
+    return ("or", *[("and", *g) for g in groups if g])
+
+
+def py_search(corpus, condition, fields=FIELDS):
+    """{case_id: score} by direct counting; `condition` is a flat text or a tree."""
+    tree = py_flat(condition) if isinstance(condition, str) else py_tree(condition)
+
+    def leaves(t, below=False):
+        if t[0] in ("or", "and"):
+            return [x for part in t[1:] for x in leaves(part, below)]
+        if t[0] == "not":
+            return leaves(t[1], True)
+        return [(t, below)]
+
+    def holds(t, case):
+        if t[0] == "or":
+            return any(holds(p, case) for p in t[1:])
+        if t[0] == "and":
+            return any(p[0] != "not" for p in t[1:]) and all(holds(p, case) for p in t[1:])
+        if t[0] == "not":
+            return not holds(t[1], case)
+        return case in tf[t]
+
+    every = leaves(tree)
+    tf = {leaf: {} for leaf, _ in every}
     dl = {}
     for case, texts in corpus.items():
         dl[case] = sum(w not in STOP_WORDS for f in fields for w in py_words(texts[f]))
-        for leaf, k in key.items():
-            n = sum(count(leaf, py_words(texts[f])) for f in fields)
+        for leaf in tf:
+            n = sum(py_count(leaf, py_words(texts[f])) for f in fields)
             if n:
-                tf[k][case] = n
+                tf[leaf][case] = n
     avg = sum(dl.values()) / len(corpus)
     out = {}
     for case in corpus:
-        groups = {}
-        for leaf in leaves:
-            groups.setdefault(leaf[0], []).append(leaf)
-        good = any(
-            any(not m[1] for m in ms) and all((case in tf[key[m]]) != m[1] for m in ms) for ms in groups.values())
-        if good:
+        if holds(tree, case):
             score = 0.0
-            for k in {key[leaf] for leaf in leaves if not leaf[1]}:
+            for k in {leaf for leaf, below in every if not below}:
                 if case in tf[k]:
                     df, t = len(tf[k]), tf[k][case]
                     idf = math.log(1 + (len(corpus) - df + 0.5) / (df + 0.5))
@@ -105,6 +152,62 @@ def close(got, want):
         assert got[case] == pytest.approx(score, abs=2e-8)
 
 
+# (condition, the same as a tree by hand)
+NESTED = [
+    ("(chest OR head) AND heart", ("or", ("and", ("or", "chest", "head"), "heart"))),
+    ("chest AND (heart OR (pain AND NOT cough))", ("and", "chest", ("or", "heart", ("and", "pain", ("not", "cough"))))),
+    ("chest AND NOT (pain OR heart)", ("and", "chest", ("not", ("or", "pain", "heart")))),
+    ("((chest))", "chest"),
+    ("(chest pain) AND (head heart)", ("and", ("or", "chest", "pain"), ("or", "head", "heart"))),
+    ("(chest AND pain", ("and", "chest", "pain")),
+    ("chest) AND pain", ("and", "chest", "pain")),
+    ("() chest", "chest"),
+    ("(the) AND chest", "chest"),
+    ("(NOT chest) AND pain", ("and", ("or", ("and", ("not", "chest"))), "pain")),
+    ('NOT (chest) OR "chest pain"', '"chest pain"'),
+    ("chest AND NOT (NOT pain)", ("and", "chest", ("not", ("or", ("and", ("not", "pain")))))),
+    ("NEAR(chest, pain, 2)", ("near", ("chest", "pain"), 2)),
+    ("near((chest, pain, heart), 4) OR cough", ("or", ("near", ("chest", "pain", "heart"), 4), "cough")),
+    ("NEAR(chest, heart, 0)", ("near", ("chest", "heart"), 0)),
+    ('NEAR(short*, "of breath", 3) AND NOT cough', ("and", ("near", ("short*", "of breath"), 3), ("not", "cough"))),
+    ('NEAR("chest of pain", heart, 5)', ("near", ("chest of pain", "heart"), 5)),
+    ("NEAR(he*, heart, 6)", ("near", ("he*", "heart"), 6)),
+    ("NEAR(chest, the, 3)", "chest"),
+    ("NEAR(chest, chest, 3)", "chest"),
+    ("NEAR((chest, head))", ("near", ("chest", "head"), 1 << 30)),
+    ("NEAR((chest, head), MAX)", ("near", ("chest", "head"), 1 << 30)),
+    ("NEAR(chest, missing, 9) OR NEAR(head, cough, 1", ("or", ("near", ("chest", "missing"), 9), ("near", ("head", "cough"), 1))),
+    ("pain AND (NEAR(chest, heart, 3) OR head) AND NOT (cough AND on)", ("and", "pain", ("or", ("near", ("chest", "heart"), 3), "head"), ("not", "cough"))),
+    ("near chest", ("or", "near", "chest")),
+]
+
+
+@pytest.mark.parametrize("condition,tree", NESTED)
+def test_nested_and_near_scan(table, corpus, condition, tree):
+    close(dict(rows_of(K.keyword_scan(table, FIELDS, condition))), py_search(corpus, tree))
+
+
+@pytest.mark.parametrize("form", ["scan", "stored"])
+def test_nested_and_near_in_a_batch(spark, table, corpus, stored, form):
+    index = stored if form == "stored" else K.scan_index(table, FIELDS)
+    requests = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(NESTED)], "query_id long, keyword_search string")
+    got = {}
+    for q, case, score in rows_of(K.keyword_search_batch(index, requests)):
+        got.setdefault(q, {})[case] = score
+    for q, (_, tree) in enumerate(NESTED):
+        close(got.get(q, {}), py_search(corpus, tree))
+
+
+def test_a_prefix_finds_no_stop_word(table, corpus):
+    close(dict(rows_of(K.keyword_scan(table, FIELDS, "th* OR o* OR cough"))), py_search(corpus, "th* OR o* OR cough"))
+
+
+def test_near_filters(stored, table):
+    condition = '(NEAR(chest, heart, 3) OR "chest pain") AND NOT (cough OR head)'
+    want = rows_of(K.contains_filter(table, FIELDS, condition), "case_id")
+    assert want and rows_of(K.contains_index(stored, table, condition), "case_id") == want
+
+
 @pytest.mark.parametrize("condition", CONDITIONS)
 def test_scan_equals_brute_force(table, corpus, condition):
     close(dict(rows_of(K.keyword_scan(table, FIELDS, condition))), py_search(corpus, condition))
@@ -202,15 +305,6 @@ def test_single_question_shuffles_no_text(table):
             assert "title" not in line and "body" not in line
 
 
-def test_leaves_split_the_same_in_both_forms(spark):
-    for condition in CONDITIONS:
-        request = spark.createDataFrame([(0, condition)], "query_id long, keyword_search string")
-        batch = [(r.group_no, r.negated, r.is_prefix, r.leaf) for r in K.condition_leaves(request).collect()
-                 if any(w not in STOP_WORDS for w in r.ws)]
-        single = [(x.group_no, x.negated, x.is_prefix, x.name) for x in K.parse_condition(spark, condition)]
-        assert sorted(batch) == sorted(single)
-
-
 def test_contains_and_freetext(cases):
     fields = ["chief_complaint", "symptoms"]
     got = K.contains_filter(cases, fields, '"chest pain" OR "shortness of breath"')

@@ -56,7 +56,7 @@ def test_filters_move_nothing(stored):
 def test_batch_search_prunes_term_buckets_at_run_time(spark, cases, tmp_path):
     index = keyword.build_index(cases, str(tmp_path), ("symptoms",), buckets=8)
     requests = spark.createDataFrame([(1, "chest"), (2, "wheezing")], "query_id long, keyword_search string")
-    assert "dynamicpruning" in plan_of(keyword.leaf_hits(index, keyword.condition_leaves(requests), ("symptoms",)))
+    assert "dynamicpruning" in plan_of(keyword.leaf_hits(index, requests, ("symptoms",)))
 
 
 def test_batch_search_cuts_before_its_only_shuffle(spark, cases):

@@ -58,3 +58,11 @@ def test_display_columns(spark):
         "user_id long, user_email string, patient_description string, keyword_search string")
     got = df.select(display_user(), display_text(6)).collect()
     assert [tuple(r) for r in got] == [("a@x", "abcde…"), ("user #2", "kw"), ("user #3", "")]
+
+
+def test_accents_of_three_scripts(spark):
+    given = {"Việt Nam đường": "viet nam đuong", "ΆΈΉΊΌΎΏ Ὀδυσσεύς ΟΔΟΣ": "αεηιουω οδυσσευσ οδοσ", "Ёлка й Ў": "елка и у",
+             "İstanbul Şişli Ǎ ő ů ř": "istanbul sisli a o u r", "e\u0301 o\u0308\u0323": "e o", "ß ø æ ł 漢字 が": "ß ø æ ł 漢字 が",
+             "plain ASCII": "plain ascii"}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r[0]: r[1] for r in df.select("t", T.folded(F.col("t"))).collect()} == given
