@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import BM25_B, BM25_K1, cosine_distance, similarity
 from rankweave.functions.text import FOLD_FROM, FOLD_TO, display_score
-from rankweave.operators import fusion, keyword, prompt, vectors
+from rankweave.operators import fusion, keyword, packed, prompt, vectors
 from rankweave.operators.embed import HashEmbedder, embed
 from rankweave.operators.topk import topk_per_group
 from rankweave.plans import sql
@@ -298,6 +298,34 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
                        F.element_at("positions", -1).alias("last_pos"))
 
 
+POSTINGS_SQL = f"""
+WITH t AS (SELECT doc_id AS case_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos
+           FROM (SELECT doc_id, {sql.words('text')} AS ws FROM documents))
+SELECT term, case_id, count(*)::INT AS tf, sum(pos)::BIGINT AS all_pos, max(pos)::INT AS last_pos
+FROM t WHERE term NOT IN ({sql.STOPS}) GROUP BY term, case_id"""
+
+
+def _packed(spark: SparkSession, folder: str) -> packed.PackedIndex:
+    return packed.build_packed(cases(spark, folder), run_dir(spark, "packed"), TEXT_FIELDS, buckets=16)
+
+
+@query("postings_packed", POSTINGS_SQL)
+def postings_packed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = packed.unpacked(_packed(spark, folder))
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("term", "case_id", "tf", total.alias("all_pos"), F.element_at("positions", -1).alias("last_pos"))
+
+
+@query("keyword_index_topk", _kw_sql(CONDITION) + " ORDER BY keyword_score DESC, case_id LIMIT 50")
+def keyword_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return packed.search_topk(_packed(spark, folder), CONDITION, 50).hits
+
+
+@query("keyword_index_topk_nested", NESTED_SQL + " ORDER BY keyword_score DESC, case_id LIMIT 20")
+def keyword_index_topk_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return packed.search_topk(_packed(spark, folder), NESTED, 20).hits
+
+
 @query("contains_filter", f"""
 WITH {sql.CASES}, {sql.keyword(sql.one('"re th" OR onen AND er AND NOT ing'))}
 SELECT c.case_id, c.chief_complaint, c.diagnosis FROM cases c WHERE c.case_id IN (SELECT case_id FROM kw)""")

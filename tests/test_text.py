@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import (
-    compose_text, derive_keywords, display_text, display_user, latency_label, tokens, words,
+    compose_text, derive_keywords, display_text, display_user, folded, latency_label, tokens, words,
 )
 
 
@@ -65,4 +65,4 @@ def test_accents_of_three_scripts(spark):
              "İstanbul Şişli Ǎ ő ů ř": "istanbul sisli a o u r", "e\u0301 o\u0308\u0323": "e o", "ß ø æ ł 漢字 が": "ß ø æ ł 漢字 が",
              "plain ASCII": "plain ascii"}
     df = spark.createDataFrame([(k,) for k in given], "t string")
-    assert {r[0]: r[1] for r in df.select("t", T.folded(F.col("t"))).collect()} == given
+    assert {r[0]: r[1] for r in df.select("t", folded(F.col("t"))).collect()} == given
