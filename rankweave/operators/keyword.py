@@ -624,9 +624,10 @@ def keyword_scan(cases: DataFrame, fields: Sequence[str], condition: str, limit:
     avg_dl = F.try_divide(s["len"], s["n"])
     parts = [F.when(tf[i] > 0, bm25(tf[i], F.col("dl"), s[f"df{i}"], s["n"], avg_dl, k1, b)).otherwise(0.0) for i in scored]
     score = F.round(reduce(lambda x, y: x + y, parts, F.lit(0.0)), 8)
-    # A hit is emitted as an array of one row. A where() would be pushed below the counts
+    # `n` is asked for on this side too, or it would be pruned here and the two sides could not
+    # share one exchange. A hit is emitted as an array of one row. A where() would be pushed below the counts
     # and break every text into words twice.
-    hit = F.when(F.col("case_id").isNotNull() & met(tree, lambda i: tf[i] > 0, F.lit(False)), F.array(F.struct(score.alias("keyword_score")))
+    hit = F.when(F.col("case_id").isNotNull() & (F.col("n") > 0) & met(tree, lambda i: tf[i] > 0, F.lit(False)), F.array(F.struct(score.alias("keyword_score")))
                  ).otherwise(F.array().cast("array<struct<keyword_score:double>>"))
     hits = grouped.withColumn("s", stats).select("case_id", F.inline(hit))
     if limit is None:
