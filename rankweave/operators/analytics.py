@@ -190,3 +190,61 @@ def rate_violations(logs: DataFrame, limit: int = 10, window: str = "1 minute")
         .where(F.col("n") > limit)
         .select("user_id", F.col("w.start").alias("window_start"), "n")
     )
+
+
+def sliding_violations(logs: DataFrame, limit: int = 10, window: str = "1 minute") -> DataFrame:
+    """(id, user_id, created_at) of the calls that have more than `limit` calls of their user within the window that ends with them.
+
+    Calls are ordered by (created_at, id). A call is one too many when the call `limit` places
+    before it is no older than the window, so no frame is summed.
+    """
+    order = W.partitionBy("user_id").orderBy("created_at", "id")
+    rows = logs.withColumn("before", F.lag("created_at", limit).over(order))
+    return rows.where(F.col("before") >= F.col("created_at") - F.expr(f"INTERVAL {window}")).select("id", "user_id", "created_at")
+
+
+# ---- stored sketches of latencies ----
+
+#: size of a latency sketch; merged ones answer a rank within this share of all rows
+SKETCH_K, SKETCH_ERROR = 1600, 0.01
+
+
+def latency_sketches(logs: DataFrame) -> DataFrame:
+    """A row per day and query type: counts, latency sum and a mergeable KLL sketch of the latencies.
+
+    Sketches are built where the rows lie and merged after the shuffle, however hot a day is.
+    """
+    known = F.col("latency_ms").isNotNull()
+    return logs.groupBy(F.to_date("created_at").alias("event_date"), "query_type").agg(
+        F.kll_sketch_agg_bigint(F.col("latency_ms").cast("long"), SKETCH_K).alias("sketch"),
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("n_latency"), F.sum("latency_ms").alias("ms"),
+        F.count_if(F.col("status") == "error").alias("error_count"))
+
+
+def write_sketches(logs: DataFrame, path: str) -> None:
+    """Store the sketches of whole days; a day that is written again replaces itself and no other."""
+    rows = written(latency_sketches(logs), "sketches")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+
+
+def sketch_report(sketches: DataFrame, ps: Sequence[float], since: Column | None = None, until: Column | None = None,
+                  by: Sequence[str] = ()) -> DataFrame:
+    """(*by, p, value, n, error_count, avg_latency_ms) from stored sketches only, the log is not read.
+
+    A value's rank lies within SKETCH_ERROR of the asked one. Days are taken from `since` to
+    `until`, both included. Groups without a latency have no row.
+    """
+    if since is not None:
+        sketches = sketches.where(F.col("event_date") >= since)
+    if until is not None:
+        sketches = sketches.where(F.col("event_date") <= until)
+    merged = sketches.where("n_latency > 0").groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    counts = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("error_count").alias("error_count"),
+                                       F.round(F.try_divide(F.sum("ms"), F.sum("n_latency")), 1).alias("avg_latency_ms"))
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(p))).alias("value"))
+                      for p in ps])
+    points = merged.where(F.kll_sketch_get_n_bigint("sketch") > 0).select(*by, F.inline(asked))
+    if by:
+        return points.join(counts, list(by)).select(*by, "p", "value", "n", "error_count", "avg_latency_ms")
+    total = counts.select(F.struct("*").alias("t")).scalar()
+    return points.withColumn("t", total).select("p", "value", "t.n", "t.error_count", "t.avg_latency_ms")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.schemas import EMBEDDING_TYPES
+from rankweave.session import written
 
 # Request limits.
 MIN_TEXT, MIN_KEYWORD, MIN_TOP, MAX_TOP = 10, 3, 1, 100
@@ -80,6 +81,36 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return child.join(deleted.select(key), key, "left_anti")
 
 
+def cascade_rewrite(spark: SparkSession, path: str, deleted: DataFrame, key: str, partition: str) -> list:
+    """Take the rows of deleted parents out of a stored table; the values of the rewritten partitions.
+
+    Only partitions that hold such a row are read whole and written again, by dynamic partition
+    overwrite; a partition left without rows is removed. Files of all others stay as they are.
+    Readers of a rewritten partition should start after the rewrite; one writer at a time.
+    """
+    table = spark.read.parquet(path)
+    gone = deleted.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder")
+    hit = table.select(key, partition, folder).join(gone, key, "left_semi").select(partition, "folder").distinct()
+    folders = {r[0]: r[1] for r in hit.collect()}                                              # a row per partition
+    touched = sorted(folders, key=lambda v: (v is None, str(v)))
+    if not touched:
+        return []
+    named = [v for v in touched if v is not None]
+    inside = F.col(partition).isin(*named) if named else F.lit(False)
+    if None in touched:
+        inside = inside | F.col(partition).isNull()
+    # written elsewhere first: a table cannot be overwritten while it is read
+    left = written(table.where(inside).join(gone, key, "left_anti"), "rewritten")
+    full = {r[0] for r in left.select(partition).distinct().collect()}
+    left.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        partition).parquet(path)
+    for value in set(touched) - full:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folders[value]))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return touched
+
+
 def enum_violations(df: DataFrame, col: str, allowed: Sequence[str] = EMBEDDING_TYPES) -> DataFrame:
     """(value, n) of values outside the enum."""
     return df.where(~F.col(col).isin(*allowed) | F.col(col).isNull()).groupBy(F.col(col).alias("value")).agg(

@@ -242,18 +242,19 @@ def vector_topk(embeddings: DataFrame, query: Sequence[float], k: int) -> DataFr
 def nearest_existing(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     """(case_id, vector_distance): the k nearest vectors that have a case.
 
-    The m nearest of all are found and their few ids looked up; while fewer than k of them
-    exist and there are more vectors, m grows fourfold. Neither vectors nor distances shuffle.
+    The 4k nearest of all are found and their few ids looked up. Where fewer than k of them exist,
+    vectors without a case are many: they are left out once by a semi-join on ids, and the k
+    nearest of the rest are the answer. No distance shuffles.
     """
-    m = 2 * k
-    while True:
-        near = written(vector_topk(embeddings, query, m), "near")
-        there = cases.select("case_id").join(F.broadcast(near), "case_id").groupBy("case_id").agg(
-            F.min("vector_distance").alias("vector_distance"))
-        there = written(there, "near")
-        if there.count() >= k or near.count() < m:
-            return there.orderBy("vector_distance", "case_id").limit(k)
-        m *= 4
+    m = 4 * k
+    near = written(vector_topk(embeddings, query, m), "near")
+    there = written(look_up(cases.select("case_id"), near, m).groupBy("case_id").agg(
+        F.min("vector_distance").alias("vector_distance")), "near")
+    if there.count() < k and near.count() == m:
+        real = embeddings.join(cases.select("case_id").distinct(), "case_id", "left_semi")
+        # a case may have several vectors, of which the nearest counts
+        there = vector_topk(real, query, m).groupBy("case_id").agg(F.min("vector_distance").alias("vector_distance"))
+    return there.orderBy("vector_distance", "case_id").limit(k)
 
 
 def find_similar(embeddings: DataFrame, cases: DataFrame, query: Sequence[float], k: int = 5,

@@ -231,6 +231,19 @@ def orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
                                  "user_id", "o_custkey")
 
 
+@query("cascade_rewrite", """
+SELECT vec_id AS case_id, label::VARCHAR AS embedding_type FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label IN (0, 3) AND vec_id % 2 = 0)
+  AND label <> 5""")
+def cascade_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Two types lose half of their rows, one all of them; the stored table is read again."""
+    path, rows = run_dir(spark, "stored-vectors"), embeddings(spark, folder)
+    rows.write.partitionBy("embedding_type").parquet(path)
+    gone = rows.where("embedding_type IN ('0', '3') AND case_id % 2 = 0 OR embedding_type = '5'").select("case_id")
+    quality.cascade_rewrite(spark, path, gone, "case_id", "embedding_type")
+    schema = "case_id long, embedding_type string"
+    return spark.read.schema(schema).parquet(path).select("case_id", "embedding_type")
+
+
 @query("cascade_delete", """
 SELECT vec_id AS case_id, label::VARCHAR AS embedding_type FROM embeddings
 WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")

@@ -158,6 +158,37 @@ def rate_violations_minute(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.rate_violations(logs(spark, folder), 1)
 
 
+SLIDING_SQL = """
+SELECT event_id AS id, user_id, ts AS created_at FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts
+  RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 3"""
+
+
+@query("rate_sliding", SLIDING_SQL)
+def rate_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    return analytics.sliding_violations(logs(spark, folder), 3, "2 days")
+
+
+@query("latency_sketch_report", f"""
+WITH {sql.LOGS} SELECT p::DOUBLE AS p, count(*) AS n, count(*) FILTER (status = 'error') AS error_count,
+  round(avg(latency_ms), 1) AS avg_latency_ms, true AS within_bound
+FROM logs, (VALUES (0.5), (0.95), (0.99)) AS t(p) WHERE created_at::DATE >= DATE '2024-01-10' GROUP BY p""")
+def latency_sketch_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of the last days from stored sketches; whether their rank in the log is within the bound."""
+    rows, path = logs(spark, folder), run_dir(spark, "sketches")
+    analytics.write_sketches(rows, path)
+    since = F.lit("2024-01-10").cast("date")
+    report = analytics.sketch_report(spark.read.parquet(path), (0.5, 0.95, 0.99), since=since)
+    asked = {r["p"]: r["value"] for r in report.collect()}                                     # three rows
+    recent = rows.where((F.to_date("created_at") >= since) & F.col("latency_ms").isNotNull())
+    ranks = recent.agg(F.array(*[F.struct(
+        F.lit(p).alias("p"), F.avg((F.col("latency_ms") < v).cast("double")).alias("below"),
+        F.avg((F.col("latency_ms") <= v).cast("double")).alias("upto")) for p, v in asked.items()]).alias("r"))
+    bound = F.lit(analytics.SKETCH_ERROR)
+    checked = ranks.select(F.inline("r")).select("p", (
+        (F.col("below") <= F.col("p") + bound) & (F.col("upto") >= F.col("p") - bound)).alias("within_bound"))
+    return report.drop("value").join(checked, "p")
+
+
 # ---- streams: the given files arrive as a stream, the job runs until it has read them ----
 
 
@@ -198,6 +229,13 @@ def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("stream_rate_sliding", SLIDING_SQL)
+def stream_rate_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """Told at the breach: equal to the batch, the last calls included."""
+    stream = jobs.stream_sliding_violations(_log_stream(spark, folder), 3, 2 * 86400)
+    return _run_to_parquet(spark, stream, "sliding")
+
+
 @query("stream_append_log", """
 SELECT event_id AS id, user_id, event_type AS query_type, round(value * 100)::BIGINT AS latency_ms, ts::DATE AS event_date FROM events""")
 def stream_append(spark: SparkSession, folder: str) -> DataFrame:

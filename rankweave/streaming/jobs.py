@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankweave.functions.text import STOP_WORDS, compose_text
 from rankweave.operators.analytics import rate_violations
@@ -35,6 +38,52 @@ def stream_rate_violations(logs: DataFrame, limit: int = 10, window: str = "1 mi
     return rate_violations(logs.withWatermark("created_at", watermark), limit, window)
 
 
+SLIDING_STATE = "times array<long>, ids array<long>, told array<boolean>"
+
+
+def stream_sliding_violations(logs: DataFrame, limit: int = 10, window_seconds: int = 60, watermark: str = "10 minutes"
+                              ) -> DataFrame:
+    """(id, user_id, created_at): `sliding_violations` on a stream, each call told once, as soon as it is one too many.
+
+    The state of a user holds the calls that a call within the watermark can still meet, by
+    event time; a timer drops them. A late call is counted for the calls after it, which may
+    make those one too many: they are told then. Nothing waits for the watermark, so the last
+    calls of a stream are judged as well. Calls behind the watermark are left out.
+    """
+    span = window_seconds * 1_000_000
+
+    def micros(column) -> np.ndarray:
+        return column.astype("datetime64[us]").astype("int64").to_numpy()
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ids, told = (np.array(x, kind) for x, kind in zip(
+            state.get if state.exists else ([], [], []), (np.int64, np.int64, bool), strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                times, ids = np.r_[times, micros(batch["created_at"])], np.r_[ids, batch["id"].to_numpy(np.int64)]
+                told = np.r_[told, np.zeros(len(batch), bool)]
+            order = np.lexsort((ids, times))
+            times, ids, told = times[order], ids[order], told[order]
+            breach = np.zeros(len(times), bool)
+            breach[limit:] = times[limit:] - times[:len(times) - limit] <= span
+            new = breach & ~told
+            told |= breach
+            if new.any():
+                yield pd.DataFrame({"id": ids[new], "user_id": key[0], "created_at": times[new].astype("datetime64[us]")})
+        behind = state.getCurrentWatermarkMs() * 1000
+        kept = times >= behind - span
+        if kept.any():
+            state.update((times[kept].tolist(), ids[kept].tolist(), told[kept].tolist()))
+            state.setTimeoutTimestamp(max(int(times[kept].min() + span) // 1000, behind // 1000) + 1)
+        elif state.exists:
+            state.remove()
+
+    user = logs.schema["user_id"].dataType.simpleString()
+    rows = logs.withWatermark("created_at", watermark).select("user_id", "id", "created_at")
+    return rows.groupBy("user_id").applyInPandasWithState(
+        judge, f"id long, user_id {user}, created_at timestamp_ntz", SLIDING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataStreamWriter:
     """An append sink that takes what is there and stops; drop the trigger to keep running."""
     writer = (
@@ -54,8 +103,10 @@ def stream_append_log(logs: DataFrame, path: str, checkpoint: str) -> DataStream
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = one_per_key(batch, ["id"], "created_at").withColumn("event_date", F.to_date("created_at"))
         schema = rows.select("id", "event_date").schema.add("batch_id", T.IntegerType())
+        rows = written(rows, "log-batch")
+        days = [r[0] for r in rows.select("event_date").distinct().collect()]                  # a row per day
         stored = read_or_empty(batch.sparkSession, path, schema).where(F.col("batch_id") < batch_id)
-        earlier = stored.join(rows.select("event_date").distinct(), "event_date", "left_semi").select("id")
+        earlier = stored.where(F.col("event_date").isin(*days)).select("id")
         rows.join(earlier, "id", "left_anti").write.mode("overwrite").partitionBy("event_date").parquet(
             f"{path}/batch_id={batch_id}")
 
@@ -142,8 +193,8 @@ def stream_embeddings(cases: DataFrame, path: str, checkpoint: str, embedding_ty
                       now: Column) -> DataStreamWriter:
     """Embed cases that have no vector of this type yet; one folder per micro-batch.
 
-    The keys of stored vectors are kept beside them by a hash of the case id, so a batch reads
-    the buckets of its own ids only. Of rows that repeat a case id the greatest is embedded.
+    The keys of stored vectors are kept beside them by a hash of the case id; a batch reads the
+    buckets of its own ids only, named as literals. Of rows that repeat a case id the greatest is embedded.
     """
     def bucket(case_id: str) -> Column:
         return F.pmod(F.xxhash64(case_id), F.lit(KEY_BUCKETS)).cast("int")
@@ -153,7 +204,10 @@ def stream_embeddings(cases: DataFrame, path: str, checkpoint: str, embedding_ty
         keys = spark.createDataFrame([], "case_id long, embedding_type string, batch_id int, bucket int").schema
         rows = one_per_key(batch, ["case_id"]).withColumn("bucket", bucket("case_id"))
         stored = read_or_empty(spark, f"{path}/_keys", keys)
-        have = stored.where((F.col("batch_id") < batch_id) & (F.col("embedding_type") == embedding_type))
+        rows = written(rows, "case-batch")
+        own = [r[0] for r in rows.select("bucket").distinct().collect()]                       # at most KEY_BUCKETS
+        have = stored.where((F.col("batch_id") < batch_id) & (F.col("embedding_type") == embedding_type)
+                            & F.col("bucket").isin(*own))
         todo = rows.join(have.select("bucket", "case_id"), ["bucket", "case_id"], "left_anti")
         texts = todo.select("case_id", compose_text(embedding_type).alias("text")).where("text IS NOT NULL")
         folder = f"{path}/batch_id={batch_id}"

@@ -174,3 +174,27 @@ def test_no_task_orders_all_distinct_values(spark):
     found = A._percentiles(A._histogram(df, "x"), (0.5,))
     plan = plan_of(found)
     assert "Window" in plan and "BroadcastHashJoin" in plan     # ranges are picked before values are numbered
+
+
+def test_sketch_report_reads_merged_days(spark, tmp_path):
+    """Ranks within the bound over merged days; a day written again replaces itself only."""
+    rng = random.Random(12)
+    rows = [(i, i % 5, rng.choice(["rag", "vector"]), None if i % 50 == 0 else int(rng.lognormvariate(5, 1)),
+             "error" if i % 9 == 0 else "success", dt.datetime(2024, 5, 1 + i % 6, i % 24)) for i in range(6000)]
+    logs = spark.createDataFrame(rows, "id long, user_id long, query_type string, latency_ms long, status string, created_at timestamp")
+    path = str(tmp_path / "sketches")
+    A.write_sketches(logs, path)
+    A.write_sketches(logs.where("to_date(created_at) = DATE '2024-05-03'"), path)
+    since, until = F.lit("2024-05-02").cast("date"), F.lit("2024-05-05").cast("date")
+    inside = [r for r in rows if 2 <= r[5].day <= 5]
+    for by in ((), ("query_type",)):
+        got = A.sketch_report(spark.read.parquet(path), (0.0, 0.5, 0.95, 1.0), since, until, by).collect()
+        assert len(got) == 4 * (2 if by else 1)
+        for row in got:
+            mine = [r for r in inside if not by or r[2] == row["query_type"]]
+            values = sorted(r[3] for r in mine if r[3] is not None)
+            assert row["n"] == len(mine) and row["error_count"] == sum(r[4] == "error" for r in mine)
+            assert row["avg_latency_ms"] == pytest.approx(sum(values) / len(values), abs=0.051)
+            below, upto = (sum(v < row["value"] for v in values), sum(v <= row["value"] for v in values))
+            assert below / len(values) <= row["p"] + A.SKETCH_ERROR and upto / len(values) >= row["p"] - A.SKETCH_ERROR
+    assert A.sketch_report(spark.read.parquet(path).limit(0), (0.5,)).collect() == []

@@ -195,3 +195,26 @@ def test_split_valid(spark):
 
 def test_schemas_are_explicit():
     assert len(CASES) == 14 and len(QUERY_LOG) == 13 and len(EMBEDDINGS) == 6
+
+
+def test_cascade_rewrite_touches_affected_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(i, f"t{i % 4}" if i % 9 else None) for i in range(80)] + [(None, "t1"), (500, "a b/c")]
+    spark.createDataFrame(rows, "case_id long, kind string").write.partitionBy("kind").parquet(path)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "store").rglob("*.parquet")}
+
+    def stored():
+        return sorted((tuple(r) for r in spark.read.schema("case_id long, kind string").parquet(path).collect()), key=repr)
+
+    before = files()
+    assert Q.cascade_rewrite(spark, path, spark.createDataFrame([(9999,), (None,)], "case_id long"), "case_id", "kind") == []
+    assert files() == before
+    ids = [i for i, kind in rows if kind == "t2"] + [5, 9, 500]
+    gone = spark.createDataFrame([(i,) for i in ids] * 2, "case_id long")
+    assert Q.cascade_rewrite(spark, path, gone, "case_id", "kind") == ["a b/c", "t1", "t2", None]
+    assert stored() == sorted((r for r in rows if r[0] not in ids), key=repr)
+    kept = {f for f in before if f.startswith(("kind=t0", "kind=t3"))}
+    assert kept and kept <= files() and not any(f.startswith(("kind=t2", "kind=a")) for f in files())
+    assert not any(f in files() for f in before - kept)

@@ -1,13 +1,15 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.operators.analytics import rate_violations
+from rankweave.operators.analytics import rate_violations, sliding_violations
 from rankweave.operators.embed import HashEmbedder
 from rankweave.operators.keyword import keyword_scan, keyword_search, read_index
+from rankweave.sources.tables import read_or_empty as jobs_read
 from rankweave.streaming import jobs
-from tests.conftest import rows_of
+from tests.conftest import plan_of, rows_of
 
 LOG = "id long, user_id long, query_type string, latency_ms long, created_at timestamp"
 DAY = dt.datetime(2024, 5, 1)
@@ -139,3 +141,48 @@ def test_embeddings_only_for_new_cases(spark, tmp_path):
         feed(spark, rows, schema, tmp_path / "in")
         run(jobs.stream_embeddings(stream(spark, tmp_path, schema), out, ck, "SymptomsOnly", HashEmbedder(8), F.lit(DAY)))
     assert sorted(r.case_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_sliding_violations_equal_batch(spark, tmp_path):
+    """Several micro-batches, rows out of order and late within the watermark, equal times, the last rows included."""
+    rng = random.Random(6)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    start, every = DAY, []
+    for batch in range(4):
+        rows = [(100 * batch + i, rng.randrange(3), "rag", 1, start + dt.timedelta(seconds=300 * batch + rng.randrange(-240, 240)))
+                for i in range(60)]
+        every += rows
+        feed(spark, rows, LOG, tmp_path / "in")
+        run(jobs.to_parquet(jobs.stream_sliding_violations(stream(spark, tmp_path), 4, 60, "10 minutes"), out, ck))
+    got = spark.read.parquet(out)
+    want = sliding_violations(spark.createDataFrame(every, LOG), 4, "1 minute")
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect()) and want.count() > 10
+    by_user = {}
+    for ident, user, _, _, at in sorted(every, key=lambda r: (r[4], r[0])):
+        by_user.setdefault(user, []).append((at, ident))
+    plain = {ident for calls in by_user.values() for i, (at, ident) in enumerate(calls)
+             if sum(at - dt.timedelta(minutes=1) <= t for t, _ in calls[:i + 1]) > 4}
+    assert {r["id"] for r in want.collect()} == plain
+
+
+def test_sliding_state_is_dropped(spark, tmp_path):
+    """Calls behind the watermark are forgotten and never told again; a call far later starts anew."""
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    burst = [(i, 1, "rag", 1, DAY + dt.timedelta(seconds=i)) for i in range(6)]
+    for rows in (burst, [(50, 2, "rag", 1, DAY + dt.timedelta(days=1))], [(60, 1, "rag", 1, DAY + dt.timedelta(days=1, minutes=1))],
+                 [(70, 1, "rag", 1, DAY + dt.timedelta(seconds=7))]):
+        feed(spark, rows, LOG, tmp_path / "in")
+        run(jobs.to_parquet(jobs.stream_sliding_violations(stream(spark, tmp_path), 4, 60, "10 minutes"), out, ck))
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [4, 5]
+
+
+def test_micro_batches_read_their_own_days_and_buckets(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jobs, "read_or_empty", lambda s, path, schema: seen.append(df := jobs_read(s, path, schema)) or df)
+    out, ck = str(tmp_path / "log"), str(tmp_path / "ck")
+    for day in range(3):
+        feed(spark, [(day, 1, "rag", 1, DAY + dt.timedelta(days=day)), (0, 1, "rag", 1, DAY)], LOG, tmp_path / "in")
+        run(jobs.stream_append_log(stream(spark, tmp_path), out, ck))
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2] and seen
+    plan = plan_of(seen[-1].where(F.col("event_date").isin(DAY.date())).select("id"))
+    assert "event_date" in plan.split("PartitionFilters")[1].split("]")[0]
