@@ -4,7 +4,8 @@ Alternating star contraction: the large-star step hangs every larger neighbour o
 the smallest node around it, the small-star step does so for the smaller ones. The edges
 shrink to stars around the smallest node of each component, in a number of rounds that grows
 with the logarithm of the size. A node with very many neighbours is reduced by a minimum
-that is taken where its edges lie; the join that follows is one Spark splits by itself.
+that is taken where its edges lie. Both sides of the join that follows are written first: they
+come straight from a shuffle then, which lets Spark split the edges of such a node.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from rankweave.session import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     hung = both.where("v > u").join(least, "u")
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """`edges` point from the larger node u to the smaller node v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     seen = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges

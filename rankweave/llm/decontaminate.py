@@ -118,11 +118,12 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows, text_at: int, kee
 
 
 def _fresh(taken: list[str], *names: str) -> list[str]:
-    """The names, with underscores where a column already has them."""
-    out = []
+    """The names, with underscores where a column has them in any case, as Spark tells names apart."""
+    used, out = {t.lower() for t in taken}, []
     for name in names:
-        while name in taken:
+        while name.lower() in used:
             name += "_"
+        used.add(name.lower())
         out.append(name)
     return out
 
@@ -145,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     id_type = items.schema["id"].dataType
     fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()),
               T.StructField(names[2], SPANS), T.StructField(names[3], T.ArrayType(id_type))]
-    text_name = _fresh(keep, "scanned_text")[0]
+    text_name = _fresh([*keep, *names], "scanned_text")[0]
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text_name))
     for part in range(parts):
         block = mine.where(F.col("part") == part).select("id", "text").toArrow()

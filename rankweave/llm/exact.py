@@ -68,7 +68,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The row of `docs` that stays of each text, all columns as they were."""
     key, digest = "row_key", "row_sha256"
-    while {key, digest} & set(docs.columns):
+    while {key, digest} & {c.lower() for c in docs.columns}:
         key, digest = key + "_", digest + "_"
     as_key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
     winners = runs(docs, id_col, text_col, keep).select(

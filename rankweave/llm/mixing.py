@@ -191,10 +191,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(_WORD)), F.lit(0)).cast("long")
     same = (docs[id_col].eqNullSafe(found["id"]) & docs[source_col].cast("string").eqNullSafe(found["source"])
             & (size == found["size"]))
-    added = []
-    for name in ("size", *values):
+    used, added = {c.lower() for c in docs.columns}, []
+    for name in ("size", *values):                       # Spark tells names apart without their case
         new = name
-        while new in docs.columns or new in [a for a, _ in added]:
+        while new in used:
             new += "_"
+        used.add(new)
         added.append((new, found[name]))
     return docs.join(found, same).select(*(docs[c] for c in docs.columns), *(c.alias(n) for n, c in added))

@@ -75,3 +75,11 @@ def test_empty_sides_and_clashing_names(spark, table):
     assert without_contaminated(docs, empty).count() == len(ODD)
     one = spark.createDataFrame([("a", "some words")], "item_id string, text string")
     assert contamination(table([]), one).collect() == []
+
+
+def test_names_that_differ_in_case_only(spark, table):
+    docs = table([(1, "one two three four five six seven eight nine ten"), (2, "clean text")], "SPANS", "Items", "N_hit", "Scanned_Text")
+    bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    kept = without_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+    assert without_spans(docs, bench).columns == docs.columns

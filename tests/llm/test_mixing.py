@@ -105,3 +105,10 @@ def test_documents_longer_than_the_reach_are_taken():
         target = float(draw.uniform(0.1, 1.9) * (lengths * counts).sum())
         times = plan(lengths, counts, target)
         assert (times <= 2 * counts).all() and -1 <= target - int((times * lengths).sum()) <= 20
+
+
+def test_names_that_differ_in_case_only(table):
+    docs = table([(i, "word " * (1 + i % 7), f"s{i % 3}") for i in range(60)], "Size", "TARGET", "Copies_")
+    found = mix(docs)
+    assert found.columns[:len(docs.columns)] == docs.columns and found.count() > 0
+    assert len({c.lower() for c in found.columns}) == len(found.columns)

@@ -85,3 +85,32 @@ def test_a_chain_and_a_star(spark):
 def test_empty(table):
     assert near_duplicates(table([])).collect() == []
     assert one_of_each(table([])).collect() == []
+
+
+def test_the_edges_of_a_hot_node_are_split(spark, tmp_path):
+    """One node owns all edges: the join that hangs them is dealt over several tasks."""
+    from rankweave.llm import components as C
+    from tests.conftest import plan_of
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.files.maxPartitionBytes": "64k",
+            "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(1, 60_001, 1, 16).selectExpr("id AS u", "0L AS v")
+        hung = C._large_star(edges)
+        assert hung.count() == 60_000
+        hung.write.format("noop").mode("overwrite").save()
+        both = C.written(edges.selectExpr("v AS u", "u AS v").unionByName(edges), "both")
+        least = C.written(both.groupBy("u").agg({"v": "min"}).toDF("u", "m"), "least")
+        joined = both.join(least, "u")
+        joined.collect()
+        assert "skew=true" in plan_of(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert C.components(edges).where("v = 0").count() == 60_000
