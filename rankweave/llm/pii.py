@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
-#: characters before a span in which a context word counts
+#: characters on either side of a span in which a context word counts
 NEAR = 48
 LIFT = 0.2
 
@@ -110,22 +110,32 @@ def running(values: Column, kind: str, both: Callable[[Column, Column], Column],
 
 
 def places(text: Column, regex: str) -> Column:
-    """All matches with their places: array of (start, end, hit, near), `near` the `NEAR` characters before."""
+    """All matches with their places: array of (start, end, hit, before, after), the last two `NEAR` characters."""
     def last(line: Column) -> Column:
         return F.substring(line, -NEAR, NEAR)
 
+    def first(line: Column) -> Column:
+        return F.substring(line, 1, NEAR)
+
     def spans(found: Column) -> Column:
         hits = found["hits"]
         gaps = F.slice(found["gaps"], F.lit(1), F.size(hits))
         earlier = F.slice(F.concat(F.array(F.lit("")), hits), F.lit(1), F.size(hits))
         ends = running(F.zip_with(gaps, hits, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("bigint")),
                        "bigint", lambda a, b: a + b)
-        near = running(F.zip_with(earlier, gaps, lambda hit, gap: last(F.concat(hit, gap))),
-                       "string", lambda a, b: last(F.concat(a, b)), NEAR)
+        before = running(F.zip_with(earlier, gaps, lambda hit, gap: last(F.concat(hit, gap))),
+                         "string", lambda a, b: last(F.concat(a, b)), NEAR)
+        later = F.slice(F.concat(hits, F.array(F.lit(""))), F.lit(2), F.size(hits))
+        behind = F.slice(found["gaps"], F.lit(2), F.size(hits))
+        # the same running form from the end of the text
+        after = F.reverse(running(F.reverse(F.zip_with(behind, later, lambda gap, hit: first(F.concat(gap, hit)))),
+                                  "string", lambda a, b: first(F.concat(b, a)), NEAR))
         at = F.zip_with(ends, hits, lambda end, hit: F.struct(
             (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
-        return F.zip_with(at, near, lambda s, before: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), before.alias("near")))
+        near = F.zip_with(before, after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        return F.zip_with(at, near, lambda s, n: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"),
+            n["before"].alias("before"), n["after"].alias("after")))
 
     pieces = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"))
     return _let(pieces, spans)
@@ -135,7 +145,8 @@ def _scored(text: Column, kind: Kind) -> Column:
     found = F.filter(places(text, kind.regex), lambda s: kind.passes(s["hit"]))
 
     def score(span: Column) -> Column:
-        lift = F.when(F.lower(span["near"]).rlike(kind.context), LIFT).otherwise(0.0)
+        context = F.lower(span["before"]).rlike(kind.context) | F.lower(span["after"]).rlike(kind.context)
+        lift = F.when(context, LIFT).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"), span["end"].alias("end"),
                         (F.lit(kind.score) + lift).alias("score"))
 

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from rankweave.llm.exact import deduplicated, exact_duplicates
+from rankweave.llm.exact import deduplicated, exact_duplicates, runs, sorted_runs
 from tests.conftest import plan_of
 from tests.llm.conftest import ODD
 
@@ -50,8 +50,25 @@ def test_empty(table):
 
 
 def test_neighbours_are_compared_in_sorted_ranges(spark, table):
-    from rankweave.llm.exact import runs
-
     df = runs(table([(k, f"text {k % 5}") for k in range(50)]))
     plan = plan_of(df)
     assert "rangepartitioning" in plan and "SortAggregate" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_stand_together_before_any_digest(table):
+    """Each text is one run in the sorted ranges, found by full comparison."""
+    rows = [(k, f"text {k % 7}") for k in range(500)]
+    got = {r.line: (r.keep_id, r.n) for r in sorted_runs(table(rows)).collect()}
+    assert len(sorted_runs(table(rows)).collect()) == 7
+    assert got == {f"text {k}": (k, sum(i % 7 == k for i in range(500))) for k in range(7)}
+
+
+def test_only_hot_texts_are_cut(table):
+    """A text over the bound gets as many salts as it holds bounds, others one run."""
+    rows = [(k, "the hot text") for k in range(3000)] + [(k, f"text {k}") for k in range(3000, 3100)] * 2
+    found = sorted_runs(table(rows), hot=3000).collect()
+    cut = [r for r in found if r.line == "the hot text"]
+    assert len(cut) == 12 and sum(r.n for r in cut) == 3000
+    assert sorted(r.n for r in found if r.line != "the hot text") == [2] * 100
+    sizes = {r.keep_id: r.group_size for r in runs(table(rows), hot=3000).collect()}
+    assert sizes[0] == 3000 and len(sizes) == 101

@@ -52,7 +52,9 @@ def test_base_kinds(table):
 @pytest.mark.parametrize("text, kind, found", [
     ("IBAN DE89 3704 0044 0532 0130 00 ok", "iban", [(5, 32)]), ("GB82WEST12345698765432", "iban", [(0, 22)]),
     ("DE89 3704 0044 0532 0130 01", "iban", []), ("AB12", "iban", []),
-    ("his SSN is 123-45-6789.", "ssn", [(11, 22)]), ("part 123-45-6789", "ssn", []), ("ssn 000-45-6789", "ssn", [])])
+    ("his SSN is 123-45-6789.", "ssn", [(11, 22)]), ("part 123-45-6789", "ssn", []),
+    ("123-45-6789 (SSN)", "ssn", [(0, 11)]), ("123-45-6789 is my social security number", "ssn", [(0, 11)]),
+    ("123-45-6789" + " word" * 12 + " ssn", "ssn", []), ("ssn 000-45-6789", "ssn", [])])
 def test_method_kinds(table, text, kind, found):
     row = personal_data(table([(1, text)])).first()
     assert [(s.start, s.end) for s in row[kind]] == found
@@ -82,3 +84,9 @@ def test_context_reaches_over_earlier_matches(table):
     text = "ssn 123-45-6789, 223-45-6789, 323-45-6789, 423-45-6789, 523-45-6789"
     near = [m.start() for m in re.finditer("[0-9]{3}-", text) if "ssn" in text[max(0, m.start() - 48):m.start()]]
     assert [s.start for s in personal_data(table([(1, text)])).first().ssn] == near and len(near) == 4
+
+
+def test_context_reaches_back_over_later_matches(table):
+    text = "123-45-6789, 223-45-6789, 323-45-6789, 423-45-6789, 523-45-6789 ssn"
+    near = [m.start() for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", text) if "ssn" in text[m.end():m.end() + 48]]
+    assert [s.start for s in personal_data(table([(1, text)])).first().ssn] == near and 1 < len(near) < 5
