@@ -3,16 +3,22 @@
 Base kinds are patterns: an assignment to a sensitive name, an access key, a long hex run.
 The method adds `novel` spans: a string of at least `SHORTEST` token characters that
 stands within `NEAR` characters of a sensitive word, before or after it. Its novelty is the number of
-bytes it adds to the compressed text around it, by its length, where the compressor already
-knows a dictionary of identifiers. Ordinary words, identifiers and repeats cost little; what
-does not compress is reported. A novel span never overlaps a base span or another novel one.
+bytes it adds to the compressed text around it, where the compressor already knows a dictionary
+of identifiers, as a share of what random strings of the same length and alphabet add to source
+code (all but the cheapest tenth of them). Words of the dictionary, identifiers made of them and
+repeats cost little; what costs as much as a random string is reported. Numbers (card numbers, dates, strings without a letter) are not
+candidates. A novel span never overlaps a base span or another novel one.
 
 Places are in characters, ends exclusive. A null text counts as empty.
 """
 
 from __future__ import annotations
 
+import importlib
+import inspect
+import random
 import re
+import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +34,10 @@ SHORTEST = 16
 NEAR = 40
 #: characters on either side that the compressor sees
 AROUND = 256
-#: added bytes per byte of the candidate
-NOVEL = 0.55
+#: added bytes as a share of what a random string adds
+NOVEL = 1.0
+#: random strings that tell what one of a length and alphabet adds, and the greatest length tried
+TRIALS, LONGEST_TRIAL = 40, 64
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,25 +47,69 @@ _SENSITIVE = re.compile(r"(?ai)pass(?:word|wd|phrase)|secret|token|api[_ -]?key|
                         r"|access[_ -]?key|client[_ -]?id|auth(?:orization)?\b")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _PART = re.compile(r"[A-Za-z0-9+/_=-]")
+_LETTER = re.compile(r"[A-Za-z]")
 
-# The dictionary: every verb joined to every noun, in the usual ways of writing identifiers.
+# The dictionary: names of the standard library with the words they are made of, then every verb joined
+# to every noun in the usual ways of writing identifiers. All workers need the same version of Python.
+_MODULES = ("builtins os socket ast typing logging argparse subprocess unittest asyncio pathlib http.client email.message "
+            "json collections threading urllib.request datetime decimal inspect itertools functools hashlib hmac csv "
+            "configparser tarfile zipfile xml.dom.minidom xml.sax.handler").split()
 _VERBS = "get set is has add new make load save read write open close find send parse build create delete update".split()
 _NOUNS = ("user name value index count list file path data key type node item table config client server request "
           "response session message token password secret buffer string number error result event state").split()
+_CLASSES = ("0123456789abcdef", string.digits, string.ascii_lowercase, string.ascii_uppercase, "+/_=-")
+_LEVEL = 19
+
+
+def _identifiers() -> set[str]:
+    names = set()
+    for module in map(importlib.import_module, _MODULES):
+        for name, value in vars(module).items():
+            names |= {name} | (set(vars(value)) if inspect.isclass(value) else set())
+    return names
 
 
 @lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
-    words = [f"{v}_{n} {v}{n.title()} {n.upper()}_{v.upper()} " for n in _NOUNS for v in _VERBS]
-    primer = zstandard.ZstdCompressionDict("".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_checksum=False)
+    names = _identifiers()
+    parts = {form for name in names for part in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", name)
+             for form in (part.lower(), part.title(), part.upper())}
+    joined = [f"{v}_{n} {v}{n.title()} {n.upper()}_{v.upper()}" for n in _NOUNS for v in _VERBS]
+    primer = zstandard.ZstdCompressionDict(" ".join([*sorted(parts), *sorted(names), *joined, ""]).encode(),
+                                           dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer.precompute_compress(level=_LEVEL)
+    return zstandard.ZstdCompressor(level=_LEVEL, dict_data=primer, write_content_size=False, write_checksum=False)
+
+
+def _added(around: bytes, mine: bytes) -> int:
+    size = _compressor().compress
+    return len(size(around + mine)) - len(size(around))
+
+
+def alphabet(candidate: str) -> str:
+    """The characters that a random string of the candidate's kind would be drawn from."""
+    chars = set(candidate)
+    if chars <= set(_CLASSES[0]):
+        return _CLASSES[0]
+    return "".join(c for c in _CLASSES[1:4] if chars & set(c)) + "".join(c for c in _CLASSES[4] if c in chars)
+
+
+@lru_cache(maxsize=4096)
+def random_cost(letters: str, length: int) -> float:
+    """Bytes that all but a tenth of the random strings of this length and alphabet add to source code, by length."""
+    draw, code = random.Random(f"{letters}:{length}"), inspect.getsource(random.Random)
+    costs = []
+    for _ in range(TRIALS):
+        at = draw.randrange(len(code) - 2 * AROUND)
+        mine = "".join(draw.choices(letters, k=length))
+        costs.append(_added(code[at:at + 2 * AROUND].encode(), mine.encode()) / length)
+    return sorted(costs)[TRIALS // 10]
 
 
 def novelty(before: str, candidate: str, after: str) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, per byte of its own."""
-    around, size = (before + after).encode(), _compressor().compress
-    mine = candidate.encode()
-    return (len(size(around + mine)) - len(size(around))) / len(mine)
+    """Compressed bytes that the candidate adds to its surroundings, as a share of a random string's."""
+    added = _added((before + after).encode(), candidate.encode()) / len(candidate)
+    return added / random_cost(alphabet(candidate), min(len(candidate), LONGEST_TRIAL))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,7 +159,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], least: float = NOVE
         while k < len(base) and base[k][1] < end:
             reach = max(reach, base[k][2])
             k += 1
-        if reach <= start and novelty(text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND]) >= least:
+        if reach <= start and _LETTER.search(text, start, end) and novelty(text[max(0, start - AROUND):start], text[start:end], text[end:end + AROUND]) >= least:
             out.append(("novel", start, end))
     return out
 

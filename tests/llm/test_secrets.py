@@ -1,10 +1,16 @@
 """Secrets against plain regexes, and novelty on hand-made strings."""
 
+import inspect
+import random
 import re
+import string
 
+import numpy
+import pandas
+import pyarrow
 import pytest
 
-from rankweave.llm.secrets import KINDS, novelty, secrets, spans
+from rankweave.llm.secrets import KINDS, novel_spans, novelty, secrets, spans
 from tests.llm.conftest import ODD
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -56,3 +62,36 @@ def test_rows(table):
     ("9f8A7sd6F5as8d7f6A5s8df7" + " word" * 20 + " secret", []), ("get_user_name_get_user_name_get_user_name is the token", [])])
 def test_novel_on_both_sides_and_without_digits(text, found):
     assert [text[a:b] for _, a, b in spans(text)] == found
+
+
+def planted(words, noun):
+    """Each word in a comment between lines of a source file."""
+    draw, code = random.Random(3), [line for line in inspect.getsource(random).split("\n") if line.strip()]
+    for word in words:
+        k = draw.randrange(len(code) - 8)
+        yield word, "\n".join(code[k:k + 4] + [f"# {noun} {word}"] + code[k + 4:k + 8])
+
+
+def share_found(words, noun="bearer"):
+    rows = list(planted(words, noun))
+    found = sum(any(text[a:b] == word for _, a, b in novel_spans(text, [])) for word, text in rows) / len(rows)
+    return found
+
+
+@pytest.mark.parametrize("length", [20, 24, 31, 40])
+@pytest.mark.parametrize("letters", [string.ascii_letters + string.digits, string.ascii_letters,
+                                     string.ascii_lowercase + string.digits, "0123456789abcdef"])
+def test_planted_secrets_are_found(letters, length):
+    """Nine tenths of random strings reach the bound in code of its own; elsewhere somewhat fewer."""
+    draw = random.Random(length)
+    assert share_found(["".join(draw.choices(letters, k=length)) for _ in range(100)]) >= 0.75
+
+
+def test_identifiers_of_other_libraries_are_seldom_taken_for_secrets():
+    names = {n for m in (numpy, pandas, pandas.DataFrame, pyarrow, pyarrow.Table) for n in dir(m)}
+    assert share_found(sorted(n for n in names if len(n) >= 16 and not n.startswith("__")), "token") <= 0.2
+
+
+@pytest.mark.parametrize("number", ["4111111111111111", "4111-1111-1111-1111", "20240131235959123456", "2024-01-31/2024-02-29"])
+def test_numbers_are_no_secrets(number):
+    assert novel_spans(f"the token is {number} here", []) == []
