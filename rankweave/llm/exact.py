@@ -7,7 +7,7 @@ grow with the texts. Equal texts then stand next to each other in one range and
 in full: a row opens a run where its whole text differs from the row before, and each run
 gives its winner and its length.
 
-A text whose copies hold more than `HOT` bytes would make one range too large. Bytes are
+A text whose copies weigh more than `HOT` bytes would make one range too large. Bytes are
 counted by hash beforehand, and such a text ends its splitter with a salt of the id, one salt
 for each `HOT` bytes. Its few runs are put together by their SHA-256; the run of any other
 text is whole already.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from rankweave.session import written
 
-#: bytes of one text's copies from which they are cut into several ranges
-HOT = 8 << 20
+#: bytes of one text's copies from which they are cut into several ranges, and what a row weighs beside its text
+HOT, ROW = 1 << 20, 256
 #: characters of a text in a splitter
 PREFIX = 32
 
@@ -42,7 +42,7 @@ def normalised(text: Column | str) -> Column:
 
 
 def hot_texts(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(whole, salts) of the hashes whose copies hold more than `hot` bytes together.
+    """(whole, salts) of the hashes whose copies weigh more than `hot` bytes together.
 
     At most one row for each `hot` bytes of the corpus.
     """
@@ -58,7 +58,7 @@ def sorted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("line"))
     rows = rows.withColumn("whole", F.xxhash64("line"))
     # written first, so that Spark broadcasts it only where it is small
-    salted = written(hot_texts(rows.select("whole", F.octet_length("line").alias("size")), hot), "hot-texts")
+    salted = written(hot_texts(rows.select("whole", (F.octet_length("line") + ROW).alias("size")), hot), "hot-texts")
     salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
     rows = rows.join(salted, "whole", "left").select(
         "id", "line", F.substring("line", 1, PREFIX).alias("head"), "whole", salt.alias("salt"))

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from rankweave.llm.exact import deduplicated, exact_duplicates, runs, sorted_runs
+from rankweave.llm.exact import ROW, deduplicated, exact_duplicates, runs, sorted_runs
 from tests.conftest import plan_of
 from tests.llm.conftest import ODD
 
@@ -66,9 +66,15 @@ def test_copies_stand_together_before_any_digest(table):
 def test_only_hot_texts_are_cut(table):
     """A text over the bound gets as many salts as it holds bounds, others one run."""
     rows = [(k, "the hot text") for k in range(3000)] + [(k, f"text {k}") for k in range(3000, 3100)] * 2
-    found = sorted_runs(table(rows), hot=3000).collect()
+    hot = 250 * (len("the hot text") + ROW)
+    found = sorted_runs(table(rows), hot=hot).collect()
     cut = [r for r in found if r.line == "the hot text"]
     assert len(cut) == 12 and sum(r.n for r in cut) == 3000
     assert sorted(r.n for r in found if r.line != "the hot text") == [2] * 100
-    sizes = {r.keep_id: r.group_size for r in runs(table(rows), hot=3000).collect()}
+    sizes = {r.keep_id: r.group_size for r in runs(table(rows), hot=hot).collect()}
     assert sizes[0] == 3000 and len(sizes) == 101
+
+
+def test_many_empty_texts_are_cut_too(table):
+    found = sorted_runs(table([(k, None if k % 2 else "") for k in range(2000)]), hot=100 * ROW).collect()
+    assert len(found) == 20 and sum(r.n for r in found) == 2000
