@@ -54,7 +54,7 @@ def test_run_is_the_stages(spark, tmp_path):
     tables(spark, tmp_path)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_empty_tables(spark, tmp_path):
@@ -63,6 +63,7 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     for name, fn in queries.QUERIES.items():
         assert fn(spark, str(tmp_path)).collect() == [], name
