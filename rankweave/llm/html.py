@@ -6,11 +6,13 @@ is a menu, header, footer, sidebar, notice, advert, form, script, style or reade
 its tag, role, class or id is left out with all it holds. A class or id names such a part by
 its whole or its last word before words of layout (`sidebar`, `cookie-notice`, `comments-area`).
 It is not followed for what holds the article or most of the clustered text, nor where nothing
-would be left of the page. The text-to-tag ratios of the other
-lines are smoothed by a Gaussian and cut by a threshold into clusters of content. An `article`
-or `main` around most of the clustered text is taken whole. Without one the content region is
-the smallest container of all clustered lines that are not lists of links; it loses only the
-link lists outside its clusters and those that smoothing alone brought into one.
+would be left of the page; a form is such a part too, so a page inside one form keeps its text.
+The text-to-tag ratios of the other
+lines are smoothed by a Gaussian and cut by a threshold into clusters of content. The content
+region is the `article` or `main` around most of the clustered text, or without one the
+smallest container of all clustered lines that are not lists of links. An article loses the runs
+of link lines that lie for the most part outside the clusters, and the lists of links that
+smoothing alone brought into one; another region loses single link lines of that kind too.
 
 Character references are decoded. White space inside a line becomes one space, lines are
 trimmed and joined in page order by one space, nothing is shortened.
@@ -21,7 +23,7 @@ page, and a page without text, has an empty text.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,7 +45,7 @@ _BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead title tr ul".split())
 _OUT = frozenset(
-    "aside button datalist dialog footer form head iframe input label legend menu nav noscript object option script "
+    "aside button datalist dialog footer head iframe input label legend menu nav noscript object option script "
     "select style svg template textarea title canvas audio video math".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 _NAMES = frozenset(
@@ -61,6 +63,8 @@ _STATE = frozenset("has have is no not with without".split())
 _WHOLE = frozenset(("article", "main"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+# controls that are left out, but for those in the middle of a sentence
+_CONTROLS = frozenset(("button", "label"))
 # a tag that cannot stand inside an open one of its kind closes it
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
@@ -118,6 +122,8 @@ class _Reader(HTMLParser):
         self.parent: list[int] = [0]
         self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, its container or -1, part around it
         self.counts: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where in `open` each tag stands
+        self.blocks: list[int] = []                       # where in `open` the blocks stand
         self.box = 0
         self.text: list[str] = []
         self.tags: dict[int, int] = {}
@@ -147,8 +153,11 @@ class _Reader(HTMLParser):
         if tag in _VOID:
             return
         inside, values = any(self.counts[t] for t in _WHOLE), {k: v or "" for k, v in attrs}
-        out, part = _left_out(tag, values, inside), self.part
-        name = _named(tag, values, inside) if self.by_name and not out and not self.skipped else ""
+        amid = tag in _CONTROLS and any(not t.isspace() for t in self.text)
+        out, part = not amid and _left_out(tag, values, inside), self.part
+        name = ""
+        if not out and not self.skipped:
+            name = "form" if tag == "form" else _named(tag, values, inside) if self.by_name else ""
         if tag in _WHOLE and not self.skipped:
             at = part
             while at and tag not in self.holds[at]:
@@ -168,6 +177,9 @@ class _Reader(HTMLParser):
             self.readers.append(name in _READERS)
             self.within.append(inside)
             self.holds.append(set())
+        self.places[tag].append(len(self.open))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append((tag, out, here, part))
         self.counts[tag] += 1
         self.skipped += out
@@ -179,6 +191,9 @@ class _Reader(HTMLParser):
 
     def leave(self) -> None:
         tag, out, here, part = self.open.pop()
+        self.places[tag].pop()
+        if tag in _BLOCK:
+            self.blocks.pop()
         if tag in _BLOCK or out or part != self.part:
             self.cut()
         self.part = part
@@ -194,7 +209,7 @@ class _Reader(HTMLParser):
             if tag in _BLOCK:
                 self.cut()
             return
-        if tag not in _BLOCK and any(t in _BLOCK for t, *_ in self.open[-8:][::-1][:self._above(tag)]):
+        if tag not in _BLOCK and self.blocks and self.blocks[-1] > self.places[tag][-1]:
             return                                       # an inline end tag does not close blocks
         while True:
             last = self.open[-1][0]
@@ -202,13 +217,6 @@ class _Reader(HTMLParser):
             if last == tag:
                 return
 
-    def _above(self, tag: str) -> int:
-        """How many of the last open elements stand above the nearest `tag`, up to 8."""
-        for k, (other, *_) in enumerate(reversed(self.open[-8:])):
-            if other == tag:
-                return k
-        return 8
-
     def without(self, out: list[bool]) -> list[_Line]:
         """(text, tags, link characters, container) of the lines in no part that is `out`."""
         found, tags = [], 0
@@ -273,6 +281,24 @@ def clustered(lines: list[_Line]) -> np.ndarray:
     return smooth >= min(smooth.std(), smooth.max())
 
 
+def link_lists(lines: list[_Line], linked: np.ndarray, content: np.ndarray, dense: list[bool]) -> np.ndarray:
+    """Whether each line is in a list of links that is no content.
+
+    Link lines of one container that follow each other are a list. It is left out where most of
+    its lines are outside the clusters, or where its container is `dense`, so that smoothing
+    alone brought them in. A link line of its own is none.
+    """
+    out = np.zeros(len(lines), bool)
+    start = 0
+    for k in range(1, len(lines) + 1):
+        if k < len(lines) and linked[k] and linked[start] and lines[k][3] == lines[start][3]:
+            continue
+        if linked[start] and k - start > 1:
+            out[start:k] = dense[lines[start][3]] or 2 * content[start:k].sum() < k - start
+        start = k
+    return out
+
+
 def _read(html: str, by_name: bool) -> _Reader:
     reader = _Reader(by_name)
     try:
@@ -316,7 +342,9 @@ def main_text(html: str) -> str:
     while whole and reader.kind[whole] not in _WHOLE:
         whole = reader.parent[whole]
     if whole:
-        return " ".join(text for text, _, _, at in lines if whole <= at <= last[whole])
+        dense = [links[at] >= LINKED * chars[at] and at != whole for at in range(len(held))]
+        lists = link_lists(lines, linked, content, dense)
+        return " ".join(text for k, (text, _, _, at) in enumerate(lines) if whole <= at <= last[whole] and not lists[k])
     region = max(at for at, n in enumerate(mine) if n == mine[0]) if mine[0] else box
     return " ".join(
         text for k, (text, _, _, at) in enumerate(lines)

@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+from rankweave.llm import html
 from rankweave.llm.html import extracted, main_text, smoothed
 
 FOLDER = "/root/testdata/sf0.001"
@@ -114,3 +115,36 @@ def test_foreign_parts_stay_out(part):
     assert main_text(f"<main><article><p>{LONG}</p></article>{part}</main>") == LONG
     assert main_text(f"<article><p>{LONG}</p></article>{part}") == LONG
     assert main_text(f"<div><p>{LONG} {LONG}</p><p>{LONG}</p></div>" + part.replace("article", "div")) == " ".join([LONG] * 3)
+
+
+MENU = "<p><a href=1>Politics</a></p><p><a href=2>Sport today</a></p><p><a href=3>Weather</a></p><p><a href=4>Travel</a></p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>{LONG}</p><p>{LONG}</p>{MENU}{MENU}</article>", f"{LONG} {LONG}"),
+    (f"<article><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><p><a href=1>The whole study</a></p><p>{LONG}</p></article>", f"{LONG} The whole study {LONG}"),
+    (f"<article><p>{LONG}</p><ul><li>See <a href=1>one</a> of these places</li><li>Or two</li></ul></article>",
+     f"{LONG} See one of these places Or two"),
+    (f"<article><p><a href=1>{LONG}</a></p><p><a href=2>{LONG}</a></p></article>", f"{LONG} {LONG}")])
+def test_clusters_decide_about_links_in_an_article(page, text):
+    assert main_text(page) == text
+
+
+def test_other_clusters_give_other_articles(monkeypatch):
+    page = f"<article><p>{LONG}</p><p>{LONG}</p>{MENU}{MENU}</article>"
+    assert main_text(page) == f"{LONG} {LONG}"
+    monkeypatch.setattr(html, "clustered", lambda lines: html.np.ones(len(lines), bool))
+    assert main_text(page).count("Weather") == 2
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<form action=x><header>Site</header><article><p>{LONG}</p></article><footer>End</footer></form>", LONG),
+    (f"<form><div><p>{LONG}</p><p>{LONG}</p></div><input><label>Mail</label><button>Send</button></form>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p><form><p>Write to us.</p></form></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><p>Press <button>Start</button> and wait.</p><button>Share</button></article>",
+     f"{LONG} Press Start and wait."),
+    (f"<article><p>{LONG}</p><p>" + "<b><i>" * 6 + "deep</i>er" + "</b></i>" * 6 + " end</p></article>", f"{LONG} deeper end"),
+    (f"<article><p>{LONG}</p><span><div>" + "<i>" * 9 + "wo</span>rd</div></article>", f"{LONG} word")])
+def test_forms_and_deep_inline_markup(page, text):
+    assert main_text(page) == text
