@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import BM25_B, BM25_K1, cosine_distance, similarity
 from rankweave.functions.text import FOLD_FROM, FOLD_TO, display_score
-from rankweave.operators import fusion, keyword, packed, prompt, vector_index, vectors
+from rankweave.operators import fusion, keyword, packed, prompt, sql_functions, vector_index, vectors
 from rankweave.operators.embed import HashEmbedder, embed
 from rankweave.operators.topk import topk_per_group
 from rankweave.plans import sql
@@ -610,6 +610,40 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("hybrid_score", F.round("hybrid_score", 10))
 
 
+# ---- the same searches, called from SQL text ----
+
+
+def _from_sql(spark: SparkSession, folder: str, text: str, indexed: bool = True) -> DataFrame:
+    """Rows of a SQL text over the registered functions, with :question, :kind and :condition."""
+    q, etype = query_vector(spark, folder)
+    sql_functions.register(spark, cases(spark, folder), embeddings(spark, folder), _index(spark, folder) if indexed else None)
+    used = {"question": [float(x) for x in q], "kind": etype, "condition": CONDITION, "boolean": BOOLEAN}
+    return spark.sql(text, args={k: v for k, v in used.items() if f":{k}" in text})
+
+
+@query("sql_find_similar", f"""
+WITH {sql.CASES}, {NEAR}
+SELECT {RESULT}, round(1 - n.vector_distance, 8) AS similarity FROM near n JOIN cases c USING (case_id)
+ORDER BY n.vector_distance, c.case_id LIMIT 10""")
+def sql_find_similar(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_from_sql(spark, folder, "SELECT * FROM find_similar(:question, 10, :kind)", False), "similarity")
+
+
+@query("sql_keyword", _kw_sql(BOOLEAN) + " ORDER BY keyword_score DESC, case_id LIMIT 50")
+def sql_keyword(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_sql(spark, folder, "SELECT * FROM keyword_hits(:boolean, 50)")
+
+
+@query("sql_hybrid", f"""
+WITH {HYBRID_TOP}
+SELECT {RESULT}, round(t.vector_distance, 8) AS vector_distance, t.keyword_score, round(t.hybrid_score, 10) AS hybrid_score
+FROM top t JOIN cases c USING (case_id)""")
+def sql_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_sql(spark, folder, """
+SELECT * EXCEPT (vector_distance, hybrid_score), round(vector_distance, 8) AS vector_distance,
+  round(hybrid_score, 10) AS hybrid_score FROM hybrid_search(:question, :condition, 10, :kind)""")
+
+
 @query("hybrid_result_rows", f"""
 WITH {HYBRID_TOP}
 SELECT {RESULT}, NULL::DOUBLE AS similarity, round(t.vector_distance, 8) AS vector_distance, t.keyword_score,
