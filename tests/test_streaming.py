@@ -8,6 +8,7 @@ from rankweave.operators.analytics import rate_violations, sliding_violations
 from rankweave.operators.embed import HashEmbedder
 from rankweave.operators.keyword import keyword_scan, keyword_search, read_index
 from rankweave.sources.tables import read_or_empty as jobs_read
+from rankweave.sources.tables import read_table_stream
 from rankweave.streaming import jobs
 from tests.conftest import plan_of, rows_of
 
@@ -186,3 +187,13 @@ def test_micro_batches_read_their_own_days_and_buckets(spark, tmp_path, monkeypa
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2] and seen
     plan = plan_of(seen[-1].where(F.col("event_date").isin(DAY.date())).select("id"))
     assert "event_date" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_that_are_a_file_or_a_folder(spark, tmp_path, files):
+    table = tmp_path / "documents.parquet"
+    spark.range(30).repartition(files).write.parquet(str(tmp_path / "parts" if files == 1 else table))
+    if files == 1:
+        next((tmp_path / "parts").glob("part-*.parquet")).rename(table)
+    run(jobs.to_parquet(read_table_stream(spark, str(tmp_path), "documents"), str(tmp_path / "out"), str(tmp_path / "ck")))
+    assert sorted(r["id"] for r in spark.read.schema("id long").parquet(str(tmp_path / "out")).collect()) == list(range(30))
