@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,27 @@ def test_single_search_sorts_k_rows_per_task(many):
 def test_batch_limits_before_the_shuffle(many):
     df, _ = many
     assert "WindowGroupLimit" in plan_of(V.knn_join(df.withColumnRenamed("case_id", "query_id"), df, 4))
+
+
+def test_a_task_gives_k_hits_however_many_blocks_of_questions_it_meets():
+    rng = np.random.default_rng(5)
+    blocks = [(b, rng.normal(size=(3, 4)).astype(np.float32)) for b in range(100)]
+    tiles = [(np.arange(20 * i, 20 * i + 20), rng.normal(size=(20, 4)).astype(np.float32)) for i in range(5)]
+    rows = [(4, b, ids.tobytes(), v.tobytes(), (np.arange(3) + 3 * b).tobytes(), q.tobytes()) for ids, v in tiles for b, q in blocks]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                       names=["dim", "block", "ids", "vectors", "q_ids", "q_vectors"])
+    found = pa.Table.from_batches(V._nearest_pairs(2)(iter([batch])))
+    assert found.num_rows == 300 * 2
+    got = {}
+    for q, c in zip(found["query_id"].to_pylist(), found["case_id"].to_pylist(), strict=True):
+        got.setdefault(q, []).append(c)
+    every = np.concatenate([v for _, v in tiles])
+    for b, asked in blocks:
+        for i, one in enumerate(asked):
+            assert got[3 * b + i] == [c for _, c in brute(every, one, 2)]
+
+
+def test_questions_go_to_every_share(spark):
+    rows = V.for_shares(spark.range(3).withColumnRenamed("id", "block"))
+    assert rows_of(rows, "block", "share") == [(b, s) for b in range(3) for s in range(V.SHARES)]
