@@ -1,9 +1,12 @@
 """Keyword search against a plain Python account of its rules."""
 
 import math
+import pickle
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankweave.functions.text import STOP_WORDS
@@ -338,3 +341,26 @@ def test_postings(spark, cases):
     lens = K.case_lengths(K.build_postings(cases, ("symptoms", "outcome"), lengths=True))
     assert rows_of(lens.where("case_id = 45")) == [(45, [2, 0])] and lens.count() == 5
     assert "Exchange" not in plan_of(K.build_postings(cases, ("symptoms",)))
+
+
+def test_a_task_keeps_the_best_hits_of_each_question():
+    rng = np.random.default_rng(6)
+    block = K._Block([], [(7, []), (9, []), (7, [])])
+    rows = [(q, c, float(s)) for c in range(400) for q, s in enumerate(rng.integers(1, 60, 3) / 10) if (c + q) % 3]
+    top = K._Top(block, 5)
+    for lo in range(0, len(rows), 50):
+        top.add(*(np.array(x) for x in zip(*rows[lo:lo + 50], strict=True)))
+        top.trim()
+    want = [(block.questions[q][0], c, s) for q in range(3)
+            for _, c, s in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]]
+    assert [tuple(r.values()) for r in top.rows().to_pylist()] == want
+
+
+def test_statistics_are_one_row_for_each_block_of_a_task():
+    tiles = [K._Tile(np.arange(2 * i, 2 * i + 2), [pa.array([["chest", "the", "pain"], ["pain"]])], ["the"]) for i in range(4)]
+    block = K._Block([K.make_leaf([(["pain"], False)], None, ["the"])], [(1, [])])
+    rows = [(pickle.dumps(t), b, pickle.dumps(block)) for t in tiles for b in (3, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)],
+                                       names=["tile", "block", "questions"])
+    found = [r for b in K._count_tiles(iter([batch])) for r in b.to_pylist()]
+    assert found == [{"block": b, "n": 8, "len": 12, "leaf": [0], "df": [8]} for b in (3, 4)]
