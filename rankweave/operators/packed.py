@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from rankweave.session import written
 #: cases of a page; pages scored in the first rounds of a search, after them all that reach the bar
 PAGE_CASES = 512
 ROUNDS = (16, 256)
+#: bytes of blocks that are unpacked together
+UNPACKED_BYTES = 1 << 20
 
 BLOCKS = "term string, page long, n int, tfs array<int>, dls array<int>, cases binary, places binary"
 PAGES = "page long, n int, len long, ids binary, lens binary"
@@ -232,29 +235,45 @@ def unpacked(index: PackedIndex) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for bucket, term, page, cases, places, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                number, tf = _cases(cases)
-                ids = page + np.cumsum(decode(ids))
-                spots, owner = _spots(places, tf), np.repeat(np.arange(len(tf)), tf)
-                for f, field in enumerate(fields):
-                    mine = spots % len(fields) == f
-                    for k, found in zip(*_runs(owner[mine], spots[mine] // len(fields)), strict=True):
-                        out.append((bucket, term, int(ids[number[k]]), field, len(found), found.tolist()))
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["term_bucket", "term", "case_id", "field", "tf", "positions"])
-
-    rows = index.blocks.join(index.pages.select("page", "ids"), "page").select("term_bucket", "term", "page", "cases", "places", "ids")
+            size = np.add(*(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in (4, 5)))
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(size) // UNPACKED_BYTES)) + 1):
+                if len(part):
+                    yield _postings(batch.slice(part[0], len(part)), fields)
+
+    rows = index.blocks.join(index.pages.select("page", "ids"), "page").select("term_bucket", "term", "page", "n", "cases", "places", "ids")
     return rows.mapInArrow(scan, "term_bucket int, term string, case_id long, field string, tf int, positions array<int>")
 
 
-def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[list, list]:
-    if not len(owner):
-        return [], []
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    return owner[first].tolist(), np.split(values, first[1:])
+def _resumed(steps: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of runs that begin at `first`, from differences: the opposite of `_restart`."""
+    running = np.cumsum(steps)
+    return running - np.repeat(running[first] - steps[first], sizes)
+
+
+def _postings(blocks: pa.RecordBatch, fields: Sequence[str]) -> pa.RecordBatch:
+    """The postings of some blocks (term_bucket, term, page, n, cases, places, ids), all decoded together."""
+    n = blocks.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, block = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    numbers = decode(b"".join(blocks.column(4).to_pylist()))             # of each block n steps, then n counts
+    step = np.arange(len(block)) + first[block]
+    tf = numbers[step + n[block]]
+    case = _resumed(numbers[step], first, n)
+    page, sample, which = np.unique(blocks.column(2).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    ids = [start + np.cumsum(decode(blocks.column(6)[int(k)].as_py())) for start, k in zip(page, sample, strict=True)]
+    base = np.cumsum([0, *map(len, ids)])
+    case = np.concatenate(ids)[base[which[block]] + case]
+    spots = _resumed(decode(b"".join(blocks.column(5).to_pylist())), np.cumsum(tf) - tf, tf)
+    owner = np.repeat(np.arange(len(tf)), tf) * len(fields) + spots % len(fields)
+    order = np.argsort(owner, kind="stable")
+    owner, spots = owner[order], (spots // len(fields))[order]
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    mine, field = np.divmod(owner[cuts], len(fields))
+    cuts = np.r_[cuts, len(owner)]
+    of = pa.array(block[mine])
+    return pa.RecordBatch.from_arrays(
+        [blocks.column(0).take(of), blocks.column(1).take(of), pa.array(case[mine]), pa.array(fields, pa.string()).take(pa.array(field)),
+         pa.array(np.diff(cuts).astype(np.int32)), _lists(spots, cuts)],
+        names=["term_bucket", "term", "case_id", "field", "tf", "positions"])
 
 
 # ---- search ----

@@ -92,3 +92,21 @@ def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "case_id long, body string")
     index = P.build_packed(none, str(tmp_path / "packed"), ("body",), buckets=4)
     assert P.search_topk(index, "chest").hits.collect() == [] and P.unpacked(index).collect() == []
+
+
+def test_blocks_are_unpacked_together(corpus, index, monkeypatch):
+    """Case ids are decoded once for each page, not once for each block."""
+    rows = index.blocks.join(index.pages.select("page", "ids"), "page").select(
+        "term_bucket", "term", "page", "n", "cases", "places", "ids").toArrow().combine_chunks().to_batches()
+    calls = []
+    monkeypatch.setattr(P, "decode", lambda data, decode=P.decode: calls.append(1) or decode(data))
+    found = [r for b in rows for r in P._postings(b, FIELDS).to_pylist()]
+    assert len(calls) == sum(2 + len(set(b["page"].to_pylist())) for b in rows) < sum(b.num_rows for b in rows)
+    plain = K.build_postings(corpus, FIELDS, buckets=4).select("term_bucket", "term", "case_id", "field", "tf", "positions")
+    assert sorted(map(str, (tuple(r.values()) for r in found))) == sorted(map(str, rows_of(plain)))
+
+
+def test_a_question_without_an_id_keeps_its_hits(spark, corpus):
+    asked = spark.createDataFrame([(None, "chest"), (1, "cough")], "query_id long, keyword_search string")
+    ids = {r["query_id"] for r in K.keyword_topk(K.scan_index(corpus, FIELDS), asked, 3).collect()}
+    assert ids == {None, 1}
