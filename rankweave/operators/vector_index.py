@@ -6,9 +6,12 @@ to the cell's centre less the cell's radius. A question first meets its nearest
 hold k vectors, which bounds its k-th distance, and then only cells that may hold a nearer one.
 
 `pq_search` reads byte codes. A vector is cut into parts, each part is stored as the number of
-the nearest of 256 centres of that part. A block of questions becomes a table of distances from
-each of its parts to each centre, and a vector's distance is a sum of looked-up numbers. The
-best `rerank` candidates of each question are measured again by the stored vectors.
+the nearest of 256 centres of that part. The centres that the codes of a block name are looked up
+once, and their products with a block of questions give all distances by code of the two. The
+best `rerank` candidates of each question are measured again by the stored vectors. Where every
+vector is a candidate, a table of all pairs would follow. Then the vectors lie beside the codes: a
+vector is as far from its centres as its code is wrong, so a distance by code bounds the true one
+from both sides. A task measures what may be among the k nearest of those it has met, and keeps k.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from pyspark.sql import types as T
 from rankweave.functions.scoring import cosine_distance
 from rankweave.operators.topk import topk_per_group
 from rankweave.operators.vectors import (
-    BLOCK_BYTES, DISTANCE_DECIMALS, SCORED, IvfIndex, _best, _meet, _numbered, _ranked, _unit_rows, _unpack, _usable, blocks_of,
-    dimension,
+    BLOCK_BYTES, DISTANCE_DECIMALS, SCORED, IvfIndex, _meet, _numbered, _ranked, _Running, _running_hits, _unit_rows, _unpack,
+    _usable, blocks_of, dimension, for_shares, share_of,
 )
 from rankweave.session import written
 
 #: added to bounds, for rounding
 SLACK = 1e-9
+#: added to distances that bound others: roots of numbers near zero lose half their digits
+BOUND_SLACK = 1e-6
+#: pairs measured at once
+PAIRS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -132,14 +139,25 @@ def knn_pruned(index: IvfIndex, queries: DataFrame, k: int, rank_col: str = "vec
 # ---- product quantisation ----
 
 
+CODED = "case_id long, embedding array<float>, code binary"
+
+
 @dataclass(frozen=True)
 class PqIndex:
-    """`codes` (case_id, code), the stored `vectors` (case_id, embedding) and codebooks [part, centre, component]."""
+    """`coded` (case_id, embedding, code), the stored vectors beside their codes, and codebooks [part, centre, component]."""
 
-    codes: DataFrame
-    vectors: DataFrame
+    coded: DataFrame
     books: np.ndarray
 
+    @property
+    def codes(self) -> DataFrame:
+        """(case_id, code); the vectors are not read."""
+        return self.coded.select("case_id", "code")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.coded.select("case_id", "embedding")
+
 
 def _kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = points[rng.permutation(len(points))[:k]]
@@ -165,8 +183,7 @@ def build_pq(embeddings: DataFrame, path: str, parts: int = 32, sample: int = 20
     if dim % parts:
         raise ValueError(f"{parts} parts do not divide {dim} components")
     rows = embeddings.select(F.col("case_id").cast("long").alias("case_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows.mapInArrow(_usable(dim), rows.schema).write.mode("overwrite").parquet(f"{path}/vectors")
-    vectors = spark.read.parquet(f"{path}/vectors")
+    vectors = written(rows.mapInArrow(_usable(dim), rows.schema), "vectors")
     picked = vectors.orderBy(F.xxhash64("case_id", F.lit(seed)), "case_id").limit(sample).select("embedding").toArrow()
     flat = picked.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     unit, rng = _unit_rows(flat.reshape(-1, dim))[0], np.random.default_rng(seed)
@@ -180,88 +197,97 @@ def build_pq(embeddings: DataFrame, path: str, parts: int = 32, sample: int = 20
                 codes = _nearest(own, books).astype(np.uint8)
                 cuts = np.arange(0, codes.size + 1, parts, dtype=np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(cuts), pa.py_buffer(codes.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["case_id", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=["case_id", "embedding", "code"])
 
-    vectors.mapInArrow(code, "case_id long, code binary").write.mode("overwrite").parquet(f"{path}/codes")
+    vectors.mapInArrow(code, CODED).write.mode("overwrite").parquet(f"{path}/coded")
     spark.createDataFrame([(p, books[p].ravel().tolist()) for p in range(parts)], "part int, centres array<double>").coalesce(
         1).write.mode("overwrite").parquet(f"{path}/books")
     return read_pq(spark, path)
 
 
 def read_pq(spark: SparkSession, path: str) -> PqIndex:
-    vectors = spark.read.schema("case_id long, embedding array<float>").parquet(f"{path}/vectors")
+    coded = spark.read.schema(CODED).parquet(f"{path}/coded")
     rows = spark.read.parquet(f"{path}/books").orderBy("part").collect()                       # a row per part
-    dim = dimension(vectors)
+    dim = dimension(coded)
     books = np.array([r["centres"] for r in rows]).reshape(len(rows), -1, dim // len(rows))
-    return PqIndex(spark.read.schema("case_id long, code binary").parquet(f"{path}/codes"), vectors, books)
-
-
-CODED = "part int, cases binary, codes binary"
+    return PqIndex(coded, books)
 
 
-def _code_blocks(codes: DataFrame, parts: int) -> DataFrame:
-    step = max(1, BLOCK_BYTES // parts)
+def _code_blocks(coded: DataFrame, dim: int) -> DataFrame:
+    """(ids, codes) of the rows (case_id, code), (ids, codes, vectors) of the rows (case_id, code, embedding), by blocks."""
+    step, columns = max(1, BLOCK_BYTES // (4 * dim)), len(coded.columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             for lo in range(0, batch.num_rows, step):
                 piece = batch.slice(lo, step)
-                data = b"".join(piece.column(1).to_pylist())
-                ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([ids], pa.binary()), pa.array([data], pa.binary())],
-                                                 names=["part", "cases", "codes"])
+                block = [piece.column(0).to_numpy().tobytes(), b"".join(piece.column(1).to_pylist()),
+                         *(c.flatten().to_numpy().tobytes() for c in piece.columns[2:])]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in block], names=["ids", "codes", "vectors"][:columns])
 
-    return codes.mapInArrow(pack, CODED)
+    return coded.mapInArrow(pack, ", ".join(f"{name} binary" for name in ["ids", "codes", "vectors"][:columns]))
 
 
-def _looked_up(books: np.ndarray, n: int, rows: int = 32):
-    """The n nearest by code of each question of a block, over all blocks of codes a task reads."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            for block, cases, codes, q_ids, q_vectors, dim in zip(*batch.columns, strict=True):
-                ids, unit = _unpack(q_ids, q_vectors, dim.as_py())
-                table = np.einsum("qpw,pcw->pcq", unit.reshape(len(ids), len(books), -1), books)   # inner products
-                case = np.frombuffer(cases.as_buffer(), np.int64)
-                code = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(case), -1)
-                near = np.zeros((len(case), len(ids)))
-                for p in range(len(books)):
-                    near += table[p][code[:, p]]
-                size = (np.stack([(books[p] ** 2).sum(1)[code[:, p]] for p in range(len(books))]).sum(axis=0))
-                far = size[:, None] - 2 * near
-                cut = np.partition(far, min(n, len(case)) - 1, axis=0)[min(n, len(case)) - 1]
-                row, query = np.nonzero(far <= cut[None, :])
-                held = best.get(block.as_py(), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
-                best[block.as_py()] = _best(np.r_[held[0], ids[query]], np.r_[held[1], far[row, query]], np.r_[held[2], case[row]], n)
-                if len(best) > rows:
-                    yield _pairs(best.pop(next(iter(best))))
-        for one in best.values():
-            yield _pairs(one)
-
-    return scan
-
-
-def _pairs(found: tuple) -> pa.RecordBatch:
-    query, far, case = found
-    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(case), pa.array(far)], names=["query_id", "case_id", "vector_distance"])
-
-
-def pq_search(index: PqIndex, queries: DataFrame, k: int, rerank: int = 100, rank_col: str = "vector_rank",
-              groups: int = 8) -> DataFrame:
-    """(query_id, case_id, vector_distance, rank): the k nearest of the `rerank` nearest by code, true distances.
+def _decoded(ids: pa.Scalar, codes: pa.Scalar, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(case ids, the vectors that their codes stand for)."""
+    cases = np.frombuffer(ids.as_buffer(), np.int64)
+    code = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(cases), -1)
+    return cases, books[np.arange(len(books)), code].reshape(len(cases), -1)
+
+
+def _looked_up(books: np.ndarray, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The n nearest by code of each question of a block, over all blocks of codes a task reads.
 
-    Questions of another dimension than the index have no hits.
+    The distance is half the squared one. One more component holds what it takes from the vector's own length.
+    """
+    def start(ids: np.ndarray, unit: np.ndarray) -> _Running:
+        return _Running(ids, np.column_stack([unit, np.ones(len(unit))]), n)
+
+    def meet(running: _Running, _: int, ids: pa.Scalar, codes: pa.Scalar) -> None:
+        cases, near = _decoded(ids, codes, books)
+        running.add(cases, np.column_stack([near, -(near * near).sum(axis=1) / 2]))
+
+    return _running_hits(n, start, meet)
+
+
+def _meet_coded(running: _Running, dim: int, ids: pa.Scalar, codes: pa.Scalar, vectors: pa.Scalar, books: np.ndarray) -> None:
+    """Add the vectors of a block that the codes do not rule out, by their true distances."""
+    cases, near = _decoded(ids, codes, books)
+    unit = _unpack(ids, vectors, dim)[1]
+    wrong = np.sqrt(((unit - near) ** 2).sum(axis=1))
+    far = np.sqrt(np.maximum(1.0 + (near * near).sum(axis=1) - 2.0 * running.unit @ near.T, 0.0))
+    reach = np.sqrt(2.0 * np.maximum(running.limit, 0.0))
+    if len(cases) > running.k:
+        reach = np.minimum(reach, np.partition(far + wrong, running.k - 1, axis=1)[:, running.k - 1])
+    query, row = np.nonzero(far - wrong <= reach[:, None] + BOUND_SLACK)
+    for lo in range(0, len(query), PAIRS):
+        q, r = query[lo:lo + PAIRS], row[lo:lo + PAIRS]
+        running.take(q, cases[r], np.einsum("ij,ij->i", running.unit[q], unit[r]))
+
+
+def _measured(books: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest by true distance of each question of a block, measured where the codes do not rule them out."""
+    return _running_hits(k, lambda ids, unit: _Running(ids, unit, k),
+                         lambda running, dim, *block: _meet_coded(running, dim, *block, books))
+
+
+def pq_search(index: PqIndex, queries: DataFrame, k: int, rerank: int = 100, rank_col: str = "vector_rank") -> DataFrame:
+    """(query_id, case_id, vector_distance, rank): the k nearest of the `rerank` nearest by code, true distances.
 
-    Blocks of questions are numbered and met with `groups` shares of the code blocks, so that
-    the work spreads over tasks however few blocks of questions there are.
+    Questions of another dimension than the index have no hits. With as many candidates as vectors the
+    search is exact, and tasks keep k hits for each question and share; else they keep `rerank`.
     """
     dim = index.books.shape[0] * index.books.shape[2]
-    asked = _numbered(blocks_of(queries, "query_id", F.lit(""))).where(F.col("dim") == dim).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    codes = _code_blocks(index.codes, len(index.books)).withColumn("share", F.pmod(F.xxhash64("cases"), F.lit(groups)).cast("int"))
-    pairs = codes.join(asked.select("share", "block", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "share")
-    found = pairs.select("block", "cases", "codes", "q_ids", "q_vectors", "dim").mapInArrow(_looked_up(index.books, rerank), SCORED)
-    kept = written(topk_per_group(found, ["query_id"], [F.asc("vector_distance"), F.asc("case_id")], rerank, rank_col).select(
+    every = rerank >= index.codes.count()
+    asked = _numbered(blocks_of(queries, "query_id", F.lit(""))).where(F.col("dim") == dim)
+    asked = for_shares(asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    tiles = _code_blocks(index.coded.select("case_id", "code", "embedding") if every else index.codes, dim)
+    pairs = asked.join(tiles.select("*", share_of("ids")), "share").select(
+        "dim", "block", *tiles.columns, "q_ids", "q_vectors")
+    n = k if every else rerank
+    found = pairs.mapInArrow(_measured(index.books, k) if every else _looked_up(index.books, rerank), SCORED)
+    kept = written(topk_per_group(found, ["query_id"], [F.asc("vector_distance"), F.asc("case_id")], n, rank_col).select(
         "query_id", "case_id"), "candidates")
     asking = queries.select("query_id", F.col("embedding").alias("asked"))
     true = F.round(cosine_distance(F.col("embedding"), F.col("asked")), DISTANCE_DECIMALS)

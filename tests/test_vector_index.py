@@ -1,6 +1,7 @@
 """Exact search that skips cells, and product quantisation."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankweave.operators import vector_index as I
@@ -58,3 +59,34 @@ def test_codes(table, tmp_path):
     assert hits(I.pq_search(pq, queries, 10, rerank=940)) == hits(truth)
     with pytest.raises(ValueError):
         I.build_pq(table, str(tmp_path / "other"), parts=5)
+
+
+def test_all_candidates_are_no_table_of_pairs(spark, table, tmp_path, monkeypatch):
+    pq = I.build_pq(table, str(tmp_path / "pq"), parts=8, sample=500)
+    queries = table.where("case_id < 900").withColumnRenamed("case_id", "query_id")
+    kept = {}
+    monkeypatch.setattr(I, "written", lambda df, label: kept.setdefault(label, df))
+    found = hits(I.pq_search(pq, queries, 5, rerank=pq.codes.count()))
+    assert found == hits(V.knn_join(queries, table, 5))
+    assert kept["candidates"].count() == 900 * 5                # before: 900 * 940, each pair measured by itself
+
+
+def test_codes_rule_out_most_of_the_vectors(table, tmp_path):
+    pq = I.build_pq(table, str(tmp_path / "pq"), parts=8, sample=900)
+    rows = pq.coded.toArrow().combine_chunks()
+    unit = V._unit_rows(rows["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, 16))[0]
+    measured = []
+
+    class Counting(V._Running):
+        def take(self, query, case, near):
+            measured.append(len(query))
+            super().take(query, case, near)
+
+    ids = np.frombuffer(rows["case_id"].to_numpy().tobytes(), np.int64)
+    running = Counting(ids[:100], unit[:100], 5)
+    blocks = [pa.scalar(b) for b in (ids.tobytes(), b"".join(rows["code"].to_pylist()), unit.tobytes())]
+    I._meet_coded(running, 16, *blocks, pq.books)
+    assert sum(measured) < 100 * len(ids) / 4
+    for q in range(100):
+        exact = sorted((round(float(d), 12), int(c)) for d, c in zip(1 - unit @ unit[q], ids, strict=True))[:5]
+        assert [c for p, c in zip(running.best[0], running.best[2], strict=True) if p == q] == [c for _, c in exact]
