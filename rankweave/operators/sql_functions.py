@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scoring import BM25_B, BM25_K1
 from rankweave.functions.text import FOLD_FROM, FOLD_TO, STOP_WORDS, WORD_BREAK
-from rankweave.operators.keyword import KeywordIndex
+from rankweave.operators.keyword import KeywordIndex, unfolded
 from rankweave.schemas import CANDIDATES, CASE_COLS, MISSING_RANK
 
 CASES_VIEW, VECTORS_VIEW, POSTINGS_VIEW, LENGTHS_VIEW = "search_cases", "search_vectors", "search_postings", "search_lengths"
@@ -111,7 +111,7 @@ def register(spark: SparkSession, cases: DataFrame, embeddings: DataFrame, index
         return
     if index.postings is None:
         raise ValueError("SQL functions need a stored index")
-    index.postings.createOrReplaceTempView(POSTINGS_VIEW)
+    unfolded(index.postings).createOrReplaceTempView(POSTINGS_VIEW)
     index.lengths.select("case_id", F.aggregate("lens", F.lit(0).cast("long"), lambda n, x: n + x).alias("dl")
                          ).createOrReplaceTempView(LENGTHS_VIEW)
     create("search_words(part STRING) RETURNS ARRAY<STRING>",

@@ -364,3 +364,35 @@ def test_statistics_are_one_row_for_each_block_of_a_task():
                                        names=["tile", "block", "questions"])
     found = [r for b in K._count_tiles(iter([batch])) for r in b.to_pylist()]
     assert found == [{"block": b, "n": 8, "len": 12, "leaf": [0], "df": [8]} for b in (3, 4)]
+
+
+def test_an_index_stores_blocks_of_postings(spark, tmp_path):
+    """One row for a word in a run of cases, not one for each case and field."""
+    rows = [(i, "chest pain of the chest", None if i % 3 else f"pain w{i}") for i in range(300)] + [(7, "chest", "")]
+    table = spark.createDataFrame(rows, "case_id long, title string, body string").coalesce(1)
+    index = K.build_index(table, str(tmp_path), FIELDS, buckets=4)
+    assert spark.read.parquet(str(tmp_path / "postings")).count() == 2 + 100 + 1
+    columns = ["term_bucket", "term", "case_id", "field", "tf", "positions"]
+    want = K.build_postings(table, FIELDS, buckets=4, lengths=True)
+    assert sorted(map(str, rows_of(K.unfolded(index.postings).select(*columns)))) == sorted(
+        map(str, rows_of(want.where("term_bucket >= 0").select(*columns))))
+    assert sorted(rows_of(index.lengths)) == sorted(rows_of(K.case_lengths(want)))
+    # names come from the index, whichever order a reader asks in
+    other = K.read_index(spark, str(tmp_path), FIELDS[::-1])
+    assert rows_of(K.unfolded(other.postings).where("term = 'w3'").select("case_id", "field", "positions")) == [(3, "body", [1])]
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_runs_of_any_size_hold_the_same_postings(size, monkeypatch):
+    monkeypatch.setattr(K, "RUN_WORDS", size)
+    texts = [["chest of pain", "", "pain", "pain pain chest"], ["", "", "cough", "chest"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 5]), *map(pa.array, texts)], names=["case_id", "ws0", "ws1"])
+    got, lens = [], []
+    for out in K._folded(iter([batch]), 2, ["of"]):
+        for r in out.to_pylist():
+            places = [r["positions"][a:b] for a, b in zip([0, *r["ends"]], r["ends"])]
+            target = got if r["term"] else lens
+            target += [(r["term"], *x) for x in zip(r["case_ids"], r["fields"], places, strict=True)]
+    assert sorted(got) == [("chest", 5, 0, [0]), ("chest", 5, 0, [2]), ("chest", 5, 1, [0]), ("cough", 7, 1, [0]),
+                           ("pain", 5, 0, [0, 1]), ("pain", 5, 0, [2]), ("pain", 7, 0, [0])]
+    assert [x[1:] for x in lens] == [(5, -1, [2, 0]), (6, -1, [0, 0]), (7, -1, [1, 1]), (5, -1, [3, 1])]
