@@ -11,6 +11,7 @@ import pytest
 
 from rankweave.functions.text import STOP_WORDS
 from rankweave.operators import keyword as K
+from rankweave.operators.conditions import near_places
 from tests.conftest import plan_of, rows_of
 
 FIELDS = ("title", "body")
@@ -396,3 +397,14 @@ def test_runs_of_any_size_hold_the_same_postings(size, monkeypatch):
     assert sorted(got) == [("chest", 5, 0, [0]), ("chest", 5, 0, [2]), ("chest", 5, 1, [0]), ("cough", 7, 1, [0]),
                            ("pain", 5, 0, [0, 1]), ("pain", 5, 0, [2]), ("pain", 7, 0, [0])]
     assert [x[1:] for x in lens] == [(5, -1, [2, 0]), (6, -1, [0, 0]), (7, -1, [1, 1]), (5, -1, [3, 1])]
+
+
+def test_places_of_near_are_counted_as_arrays():
+    """Also in a slice of a batch; no list of places is made."""
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    rows = [("n", 1, 0, [1, 1], [0], [4]), ("n", 2, 2, [1, 1], [0, 1, 1], [4, 5, 9]), ("n", 3, 2, [1, 1], [0, 1], [1, 9])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                       names=["leaf", "case_id", "window", "widths", "sub", "start"])
+    want = [len(near_places([np.array([p for s, p in zip(r[4], r[5], strict=True) if s == k]) for k in (0, 1)], r[3], r[2])) for r in rows]
+    got = [r["tf"] for b in K._count_near(iter([batch, batch.slice(1)])) for r in b.to_pylist()]
+    assert got == want + want[1:] and want[1] > 0
