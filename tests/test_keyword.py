@@ -408,3 +408,73 @@ def test_places_of_near_are_counted_as_arrays():
     want = [len(near_places([np.array([p for s, p in zip(r[4], r[5], strict=True) if s == k]) for k in (0, 1)], r[3], r[2])) for r in rows]
     got = [r["tf"] for b in K._count_near(iter([batch, batch.slice(1)])) for r in b.to_pylist()]
     assert got == want + want[1:] and want[1] > 0
+
+
+def scan_case(seed, cases=60, questions=40):
+    """Tiles of random words, and a block of questions of one to three leaves, some of them phrases or with NOT."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(25)], k=rng.randrange(1, 30))) for _ in range(3 * cases)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + cases)), pa.array(texts[lo:lo + cases])], names=["case_id", "ws0"])
+               for lo in range(0, 3 * cases, cases)]
+    names = [*words, "w0 w1", "w2 w0", "gone"]
+    leaves = [K.make_leaf([(name.split(), False)], None, []) for name in names]
+    trees = [[[(False, k)] for k in rng.sample(range(len(names)), rng.randrange(1, 4))] for _ in range(questions)]
+    trees.append([[(False, 0), (True, 1)]])
+    return [t for b in batches for t in K._tiles(iter([b]), 1, [])], K._Block(leaves, [(100 + q, tree) for q, tree in enumerate(trees)])
+
+
+def scored_tiles(tiles, block, limit):
+    counters = [K._Counter(t) for t in tiles]
+    df = sum(c.frequencies(block) for c in counters)
+    n, length = sum(len(t.ids) for t in tiles), sum(int(c.length.sum()) for c in counters)
+    rows = ((0, block, c if limit else K._counted(c, block), n, length, list(range(len(df))), df.tolist()) for c in counters)
+    return [tuple(r.values()) for b in K._best_hits(rows, limit, 1.2, 0.75) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 500])
+@pytest.mark.parametrize("dense_from, cells", [(0, 1 << 24), (1 << 40, 1 << 24), (1 << 40, 200), (3, 1 << 24)])
+def test_the_best_hits_of_tiles_are_those_of_all_scores(limit, dense_from, cells, monkeypatch):
+    monkeypatch.setattr(K, "DENSE_FROM", dense_from)
+    monkeypatch.setattr(K, "TABLE_CELLS", cells)
+    monkeypatch.setattr(K, "WAITING_HITS", 20)
+    monkeypatch.setattr(K, "CANDIDATE_PAIRS", 50)
+    tiles, block = scan_case(limit)
+    want = []
+    for q, _ in block.questions:
+        want += sorted((r for r in scored_tiles(tiles, block, None) if r[0] == q), key=lambda r: (-r[2], r[1]))[:limit]
+    assert scored_tiles(tiles, block, limit) == want and want
+
+
+def test_few_cases_of_a_question_are_scored(monkeypatch):
+    """Before, every question was scored in every case of a tile."""
+    tiles, block = scan_case(2, cases=2000)
+    looked_up = []
+    find = K._Postings.find
+    monkeypatch.setattr(K._Postings, "find", lambda self, code, row: looked_up.append(len(code)) or find(self, code, row))
+    monkeypatch.setattr(K, "WAITING_HITS", 20)
+    scored_tiles(tiles, block, 3)
+    assert 0 < sum(looked_up) < 41 * 6000 / 20
+
+
+def test_blocks_beyond_what_a_task_holds_come_in_groups(spark, table, corpus, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_QUESTIONS", 4)
+    monkeypatch.setattr(K, "HELD_HITS", 30)
+    requests = spark.createDataFrame(list(enumerate(CONDITIONS)), "query_id long, keyword_search string")
+    assert K._groups(len(CONDITIONS) // 4, 3) > 1
+    got = {}
+    for q, case, score, rank in rows_of(K.keyword_topk(K.scan_index(table, FIELDS), requests, 3), "query_id", "keyword_rank"):
+        got.setdefault(q, []).append((case, score))
+    for q, condition in enumerate(CONDITIONS):
+        every = py_search(corpus, condition)
+        close(dict(got.get(q, [])), {c: every[c] for c, _ in got.get(q, [])})
+        best = sorted(every.items(), key=lambda x: (-round(x[1], 8), x[0]))[:3]
+        assert [c for c, _ in got.get(q, [])] == [c for c, _ in best]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_hits_are_put_in_order_by_one_number_or_three(scale):
+    rng = np.random.default_rng(1)
+    question, cases = rng.integers(0, 9, 500), rng.permutation(500)
+    score = np.round(rng.integers(1, 20, 500) / 7 * scale, 8)
+    assert (K._ranked_order(question, score, cases) == np.lexsort((cases, -score, question))).all()

@@ -230,3 +230,19 @@ def test_a_task_gives_k_hits_however_many_blocks_of_questions_it_meets():
 def test_questions_go_to_every_share(spark):
     rows = V.for_shares(spark.range(3).withColumnRenamed("id", "block"))
     assert rows_of(rows, "block", "share") == [(b, s) for b in range(3) for s in range(V.SHARES)]
+
+
+def test_products_in_floats_lose_no_neighbour():
+    """Distances differ by less than a float can tell, the nearest come last, and hits wait before they are sorted in."""
+    rng = np.random.default_rng(8)
+    asked = V._unit_rows(rng.normal(size=(5, 16)))[0]
+    every = np.concatenate([V._unit_rows(asked[[i % 5]] + rng.normal(size=(200, 16)) * 10.0 ** -(i // 5 + 3))[0] for i in range(20)])
+    running = V._Running(np.arange(5), asked, 7)
+    for lo in range(0, len(every), 100):
+        running.add(np.arange(lo, lo + 100), every[lo:lo + 100])
+    got = {}
+    for q, c, d in zip(*(running.rows().column(i).to_pylist() for i in range(3)), strict=True):
+        got.setdefault(q, []).append((d, c))
+    for q, one in enumerate(asked):
+        exact = np.round(1.0 - np.einsum("ij,ij->i", every, np.broadcast_to(one, every.shape)), V.DISTANCE_DECIMALS)
+        assert sorted(got[q]) == sorted(zip(exact.tolist(), range(len(every)), strict=True))[:7]
